@@ -6,6 +6,7 @@ from loometric.functions.numeric import (
     percent,
     softmax,
 )
+from loometric.functions.stage import computed
 from loometric.functions.text import (
     clean_cell,
     entity_type,
@@ -26,6 +27,7 @@ __all__ = [
     "argmax_label",
     "bce_with_logits",
     "clean_cell",
+    "computed",
     "cross_entropy",
     "entity_type",
     "fill_prompt",

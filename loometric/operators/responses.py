@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometric.fixed import RESPONSE_MARK
+from loometric.functions.stage import computed
 from loometric.functions.text import strip
 
 EXTRACT_MODES = ("last", "first", "between", "word")
@@ -53,22 +54,14 @@ def parse_structured_response(df: DataFrame, response_col: str = "response", tok
     Adds ``pred_tags`` (null on a broken row) and ``broken_reason`` (null on a good row):
     ``no_response``, ``bad_json``, ``bad_shape``, ``length_mismatch``, ``missing_label``.
     """
-    parsed = F.try_parse_json(F.col(response_col))
-    staged = df.withColumn("_json", parsed).withColumn(
-        "_shape", F.schema_of_variant(F.col("_json"))
-    ).withColumn(
-        "_items", F.when(F.col("_shape").startswith("OBJECT"),
-                         F.try_variant_get("_json", f"$.{list_key}", "variant"))
-    ).withColumn(
-        "_listed", F.coalesce(F.schema_of_variant("_items").startswith("ARRAY"), F.lit(False))
-    ).withColumn(
-        "_absent", F.col("_shape").startswith("OBJECT") & F.col("_items").isNull()
-    ).withColumn(
-        "_list", F.when(F.col("_listed"), F.try_variant_get("_items", "$", "array<variant>"))
-        .when(F.col("_absent"), F.array().cast("array<variant>"))
-    ).withColumn(
-        "_tags", F.transform("_list", lambda v: F.try_variant_get(v, f"$.{label_key}", "string"))
-    )
+    staged = computed(df, _json=F.try_parse_json(F.col(response_col)))
+    is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
+    staged = computed(staged, _object=is_object,
+                      _items=F.when(is_object, F.try_variant_get("_json", f"$.{list_key}", "variant")))
+    listed = F.coalesce(F.schema_of_variant("_items").startswith("ARRAY"), F.lit(False))
+    staged = computed(staged, _list=F.when(listed, F.try_variant_get("_items", "$", "array<variant>")).when(
+        F.col("_object") & F.col("_items").isNull(), F.array().cast("array<variant>")))
+    staged = computed(staged, _tags=F.transform("_list", lambda v: F.try_variant_get(v, f"$.{label_key}", "string")))
     reason = (
         F.when(F.col(response_col).isNull(), "no_response")
         .when(F.col("_json").isNull(), "bad_json")
@@ -76,6 +69,6 @@ def parse_structured_response(df: DataFrame, response_col: str = "response", tok
         .when(F.size("_list") != F.size(tokens_col), "length_mismatch")
         .when(F.exists("_tags", lambda t: t.isNull()), "missing_label")
     )
-    return staged.withColumn("broken_reason", reason).withColumn(
+    return computed(staged, broken_reason=reason).withColumn(
         "pred_tags", F.when(F.col("broken_reason").isNull(), F.col("_tags"))
-    ).drop("_json", "_shape", "_items", "_listed", "_absent", "_list", "_tags")
+    ).drop("_json", "_object", "_items", "_list", "_tags")

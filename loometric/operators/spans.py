@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loometric.fixed import ANSWER_MARK, LAW_MARK, QUESTION_MARK, WORD_START
+from loometric.functions.stage import computed
 from loometric.functions.text import clean_cell, let, normalize_text, split_words, strip
 from loometric.operators.classmetrics import per_class
 from loometric.operators.relate import label_map, lookup
@@ -67,14 +68,14 @@ def match_entities(df: DataFrame, true_col: str = "true", pred_col: str = "pred"
         return F.transform(spans, lambda s: F.struct(
             s["label"].alias("label"), split_words(normalize_text(s["text"])).alias("words")))
 
-    df = df.withColumns({"_t": worded(F.col(true_col)), "_p": worded(F.col(pred_col))})
+    df = computed(df, _t=worded(F.col(true_col)), _p=worded(F.col(pred_col)))
     # true spans that fit each prediction, found before the order-dependent pass
-    df = df.withColumn("_fits", F.transform("_p", lambda p: F.filter(
+    df = computed(df, _fits=F.transform("_p", lambda p: F.filter(
         F.transform("_t", lambda t, j: F.when(
             (t["label"] == p["label"]) & F.arrays_overlap(t["words"], p["words"]), j)),
         lambda j: j.isNotNull())))
     # the taken index of each prediction, -1 without one
-    df = df.withColumn("_taken", F.aggregate("_fits", F.array().cast("array<int>"), lambda taken, fits: F.concat(
+    df = computed(df, _taken=F.aggregate("_fits", F.array().cast("array<int>"), lambda taken, fits: F.concat(
         taken, F.array(F.coalesce(F.get(F.array_except(fits, taken), F.lit(0)), F.lit(-1))))))
 
     def pair(truth: Column, predicted: Column) -> Column:
@@ -85,7 +86,7 @@ def match_entities(df: DataFrame, true_col: str = "true", pred_col: str = "pred"
         F.when(F.get("_taken", i) >= 0, p["label"]).otherwise(none), p["label"]))
     missed = F.transform(F.array_except(F.transform("_t", lambda t, j: j), F.col("_taken")),
                          lambda j: pair(F.get("_t", j)["label"], none))
-    return df.withColumn(into, F.concat(hits, missed)).drop("_t", "_p", "_fits", "_taken")
+    return computed(df, **{into: F.concat(hits, missed)}).drop("_t", "_p", "_fits", "_taken")
 
 
 def entity_overlap_scores(df: DataFrame, true_col: str = "true", pred_col: str = "pred") -> DataFrame:

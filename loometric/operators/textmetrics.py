@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometric.fixed import SMALLEST_NORMAL
+from loometric.functions.stage import computed
 from loometric.functions.text import let, split_words
 
 VECTOR_BLOCK = 512
@@ -44,15 +45,12 @@ def _numbered(grams: Column) -> Column:
 
 def _with_overlaps(pairs: DataFrame, candidate: Column, reference: Column, orders: range) -> DataFrame:
     """Adds ``_c{n}``, ``_r{n}`` (numbers of n-grams) and ``_o{n}`` (clipped matches)."""
-    df = pairs.withColumns({"_cw": candidate, "_rw": reference})
-    # each stage is its own projection, so that no array is computed twice
-    df = df.withColumns({f"_{side}g{n}": F.array_sort(ngrams(F.col(f"_{side}w"), n))
-                         for n in orders for side in "cr"})
-    df = df.withColumns({f"_{side}k{n}": _numbered(F.col(f"_{side}g{n}")) for n in orders for side in "cr"})
-    return df.withColumns(
-        {f"_{side}{n}": F.size(f"_{side}g{n}") for n in orders for side in "cr"}
-        | {f"_o{n}": F.size(F.array_intersect(f"_ck{n}", f"_rk{n}")) for n in orders}
-    ).drop("_cw", "_rw", *[f"_{side}{kind}{n}" for n in orders for side in "cr" for kind in "gk"])
+    df = computed(pairs, _cw=candidate, _rw=reference)
+    df = computed(df, **{f"_{side}g{n}": F.array_sort(ngrams(F.col(f"_{side}w"), n)) for n in orders for side in "cr"})
+    return computed(
+        df, **{f"_{side}{n}": F.size(f"_{side}g{n}") for n in orders for side in "cr"},
+        **{f"_o{n}": F.size(F.array_intersect(_numbered(F.col(f"_cg{n}")), _numbered(F.col(f"_rg{n}")))) for n in orders},
+    ).drop("_cw", "_rw", *[f"_{side}g{n}" for n in orders for side in "cr"])
 
 
 def _f_measure(overlap: Column, candidate: Column, reference: Column) -> Column:
@@ -90,11 +88,9 @@ def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
 
 def rouge_l_pairs(pairs: DataFrame, candidate_col: str, reference_col: str, unicode: bool = False) -> DataFrame:
     """ROUGE-L F per pair (``rougeL``)."""
-    df = pairs.withColumns({"_cw": rouge_words(F.col(candidate_col), unicode),
-                            "_rw": rouge_words(F.col(reference_col), unicode)})
+    df = computed(pairs, _cw=rouge_words(F.col(candidate_col), unicode), _rw=rouge_words(F.col(reference_col), unicode))
     df = df.withColumn("_lcs", common_subsequence("_cw", "_rw"))
-    return df.withColumn("rougeL", _f_measure(F.col("_lcs"), F.size("_cw"), F.size("_rw"))
-                         ).drop("_cw", "_rw", "_lcs")
+    return computed(df, rougeL=_f_measure(F.col("_lcs"), F.size("_cw"), F.size("_rw"))).drop("_cw", "_rw", "_lcs")
 
 
 def mean_scores(scored: DataFrame, *names: str) -> DataFrame:

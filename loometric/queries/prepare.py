@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loometric import functions as fn
 from loometric.fixed import IGNORE_ID
 from loometric.operators import prep, profile, relate, sampling
+from loometric.plans import evaluation
 from loometric.queries import views as v
 from loometric.queries.registry import query
 from loometric.session import shared_folder
@@ -329,6 +330,6 @@ def format_metric(spark, sf_dir):
 def training_text(spark, sf_dir):
     """Stored messages to shuffled training text, with the length filter before the shuffle."""
     df = prep.to_messages(v.fx_io(spark, sf_dir), v.SYSTEM_PROMPT)
-    df = df.select("doc_id", "split", prep.render_chat(F.col("messages")).alias("text"))
-    kept = prep.filter_max_tokens(df, "text", MAX_TOKENS)
+    stored = df.select("doc_id", "split", F.to_json("messages").alias("messages"))
+    kept = evaluation.training_text(stored, MAX_TOKENS)
     return sampling.shuffle_rows(kept, "doc_id", SEED).withColumn("place", sampling.seeded_hash(F.col("doc_id"), SEED))

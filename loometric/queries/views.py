@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loometric.fixed import WHITESPACE_CHARS, WORD_START
-from loometric.functions import argmax_label, split_words
+from loometric.functions import argmax_label, computed, split_words
 from loometric.operators.spans import decode_bio
 
 LABELS = {f"L{i}": i for i in range(11)}
@@ -55,10 +55,9 @@ def fx_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     def score(k: int) -> Column:
         return F.aggregate(F.filter("embedding", lambda x, i: i % 10 == k), F.lit(0.0), lambda a, x: a + x)
 
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("label").alias("t"),
-        F.array(*[score(k) for k in range(10)]).alias("logits"),
-    ).withColumn("p", argmax_label(F.col("logits")))
+    df = computed(table(spark, sf_dir, "embeddings"), logits=F.array(*[score(k) for k in range(10)]))
+    return computed(df, p=argmax_label(F.col("logits"))).select(
+        F.col("vec_id").alias("id"), F.col("label").alias("t"), "logits", "p")
 
 
 def fx_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,15 +67,15 @@ def fx_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tags: capital words open or continue an entity, every 17th word is plain."""
-    df = table(spark, sf_dir, "documents").select(
-        "doc_id", F.expr(SPLIT_RULE).alias("split"), F.expr(KIND_RULE).alias("kind"),
-        split_words(F.col("text")).alias("tokens"))
+    df = computed(table(spark, sf_dir, "documents").select(
+        "doc_id", F.expr(SPLIT_RULE).alias("split"), F.expr(KIND_RULE).alias("kind"), "text",
+    ), tokens=split_words(F.col("text")))
     capital = "^[A-Z]"
     tag = (lambda w, i: F.when(i % 17 == 0, "O")
            .when(~F.rlike(w, F.lit(capital)), "O")
            .when(F.rlike(F.get("tokens", i - 1), F.lit(capital)), F.concat(F.lit("I-"), F.col("kind")))
            .otherwise(F.concat(F.lit("B-"), F.col("kind"))))
-    return df.select("doc_id", "split", "tokens", F.transform("tokens", tag).alias("tags"))
+    return computed(df, tags=F.transform("tokens", tag)).select("doc_id", "split", "tokens", "tags")
 
 
 def _chunks(word: Column, width: int = 4) -> Column:
@@ -106,8 +105,7 @@ def fx_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True spans, and predicted ones with lost words, other labels and gaps."""
-    df = fx_tagged(spark, sf_dir).select(
-        "doc_id", decode_bio(F.col("tokens"), F.col("tags"), READABLE).alias("true"))
+    df = computed(fx_tagged(spark, sf_dir), true=decode_bio(F.col("tokens"), F.col("tags"), READABLE))
     rotated = F.create_map(*[F.lit(x) for pair in ROTATED.items() for x in pair])
     numbered = F.transform("true", lambda s, i: F.struct(
         (i + 1).alias("k"),
@@ -115,27 +113,25 @@ def fx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise("")).otherwise(s["text"]).alias("text"),
         F.when((i + 1) % 5 == 0, F.element_at(rotated, s["label"])).otherwise(s["label"]).alias("label"),
         (((i + 1) % 10) / 10).alias("score")))
-    return df.withColumn("pred", F.filter(numbered, lambda s: s["k"] % 7 != 0))
+    return computed(df, pred=F.filter(numbered, lambda s: s["k"] % 7 != 0)).select("doc_id", "true", "pred")
 
 
 def fx_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction rows: the whole text, and every third word of it as the answer."""
     df = table(spark, sf_dir, "documents").select(
         "doc_id", F.expr(SPLIT_RULE).alias("split"), F.lit(SYSTEM_PROMPT).alias("instruction"),
-        F.col("text").alias("input"), split_words(F.col("text")).alias("_words"))
-    return df.withColumn(
-        "output", F.array_join(F.filter("_words", lambda w, i: i % 3 == 0), " ")).drop("_words")
+        F.col("text").alias("input"))
+    return computed(df, output=F.array_join(F.filter(split_words(F.col("input")), lambda w, i: i % 3 == 0), " "))
 
 
 def fx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected texts, and generated ones: a third moved to the end, every fifth word lost."""
-    df = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("pair_id"), F.col("text").alias("expected"), split_words(F.col("text")).alias("_words"))
+    df = computed(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pair_id"), F.col("text").alias("expected")), _words=split_words(F.col("expected")))
     third = F.expr("size(_words) div 3")
     moved = F.concat(F.slice("_words", third + 1, F.size("_words")), F.slice("_words", F.lit(1), third))
-    return df.withColumn("_moved", moved).select(
-        "pair_id", "expected",
-        F.array_join(F.filter("_moved", lambda w, i: i % 5 != 4), " ").alias("generated"))
+    generated = F.array_join(F.filter(moved, lambda w, i: i % 5 != 4), " ")
+    return computed(df, generated=generated).select("pair_id", "expected", "generated")
 
 
 def fx_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +193,10 @@ def fx_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.col("doc_id") % 5
     entities = F.zip_with("tokens", "tags", lambda w, t: F.struct(w.alias("kelime"), t.alias("etiket")))
     bare = F.transform("tokens", lambda w: F.struct(w.alias("kelime")))
-    return fx_tagged(spark, sf_dir).select(
-        "doc_id", "tokens", "tags",
-        F.when(form == 0, F.to_json(F.struct(entities.alias("entities"))))
+    return computed(fx_tagged(spark, sf_dir), response=F.when(form == 0, F.to_json(F.struct(entities.alias("entities"))))
         .when(form == 1, F.to_json(F.struct(F.slice(entities, 2, F.size("tokens")).alias("entities"))))
         .when(form == 2, F.concat(F.lit("the labels are "), F.array_join("tags", ", ")))
-        .when(form == 4, F.to_json(F.struct(bare.alias("entities")))).alias("response"))
+        .when(form == 4, F.to_json(F.struct(bare.alias("entities"))))).drop("split")
 
 
 def fx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:

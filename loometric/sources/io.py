@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from loometric.functions.stage import computed
+
 # Other names under which a split is stored (fixed values).
 SPLIT_ALIASES = {"valid": "validation", "eval": "validation", "dev": "validation"}
 
@@ -78,8 +80,8 @@ def normalize_prompts(df: DataFrame, item_col: str, *keep: str) -> DataFrame:
     string. Any other item is left out.
     """
     item = F.col("_item")
-    staged = df.select(*keep, F.try_parse_json(F.col(item_col)).alias("_item")).withColumn(
-        "_kind", F.schema_of_variant(item))
+    staged = computed(df.select(*keep, item_col), _item=F.try_parse_json(F.col(item_col)))
+    staged = computed(staged, _kind=F.schema_of_variant(item))
 
     def text_of(path: str) -> Column:
         return F.try_variant_get(item, path, "string")
@@ -87,9 +89,8 @@ def normalize_prompts(df: DataFrame, item_col: str, *keep: str) -> DataFrame:
     def has(key: str) -> Column:
         return F.col("_kind").startswith("OBJECT") & F.try_variant_get(item, f"$.{key}", "variant").isNotNull()
 
-    return (staged.withColumn("_rule", F.when(has("question"), 1).when(has("prompt"), 2)
-                              .when(F.col("_kind") == "STRING", 3))
-            .filter(F.col("_rule").isNotNull())
+    rule = F.when(has("question"), 1).when(has("prompt"), 2).when(F.col("_kind") == "STRING", 3)
+    return (computed(staged, _rule=rule).filter(F.col("_rule").isNotNull())
             .select(*keep,
                     F.when(F.col("_rule") == 1, text_of("$.question")).when(F.col("_rule") == 2, text_of("$.prompt"))
                     .otherwise(text_of("$")).alias("input"),
@@ -143,7 +144,7 @@ def matrix_lines(wide: DataFrame, labels: list[str]) -> DataFrame:
         F.struct(F.lit(0).cast("bigint").alias("ord"), F.lit("|  | " + " | ".join(labels) + " |").alias("line")),
         F.struct(F.lit(1).cast("bigint").alias("ord"),
                  F.lit("| " + " | ".join(["---"] * (len(labels) + 1)) + " |").alias("line")))))
-    return top.unionByName(body.withColumn("ord", F.col("ord") + 1)).orderBy("ord")
+    return top.unionByName(body).orderBy("ord")
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from loometric.fixed import WHITESPACE_CHARS
 
@@ -36,7 +37,7 @@ def token_counter(encoder: Callable[[], Callable[[str], list]]) -> Callable[[Col
     ``encoder`` is called once per Python task and returns a function text -> tokens.
     """
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
         for texts in batches:

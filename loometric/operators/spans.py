@@ -136,10 +136,14 @@ def extract_qa(sheet: DataFrame, source_col: str = "source", row_col: str = "row
 
 
 def merge_subwords(subwords: Column, offsets: Column, predictions: Column, labels: Column,
-                   max_length: int = 256, word_start: str = WORD_START) -> Column:
-    """One label per word: position 1 and marked subwords count, empty offsets do not."""
-    zipped = F.slice(F.arrays_zip(subwords.alias("subword"), offsets.alias("offset"),
-                                  predictions.alias("pred")), 1, max_length)
+                   max_length: int | None = 256, word_start: str = WORD_START) -> Column:
+    """One label per word: position 1 and marked subwords count, empty offsets do not.
+
+    ``max_length`` cuts the sequence as the model's input limit does.
+    """
+    zipped = F.arrays_zip(subwords.alias("subword"), offsets.alias("offset"), predictions.alias("pred"))
+    if max_length is not None:
+        zipped = F.slice(zipped, 1, max_length)
     kept = F.filter(zipped, lambda s, i: ~((s["offset"]["start"] == 0) & (s["offset"]["end"] == 0))
                     & ((i == 1) | s["subword"].startswith(word_start)))
     return F.transform(kept, lambda s: F.struct(

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from loometric.fixed import SMALLEST_NORMAL
 from loometric.functions.stage import computed
@@ -46,7 +47,7 @@ def _numbered(grams: Column) -> Column:
 def _with_overlaps(pairs: DataFrame, candidate: Column, reference: Column, orders: range) -> DataFrame:
     """Adds ``_c{n}``, ``_r{n}`` (numbers of n-grams) and ``_o{n}`` (clipped matches)."""
     df = computed(pairs, _cw=candidate, _rw=reference)
-    df = computed(df, **{f"_{side}g{n}": F.array_sort(ngrams(F.col(f"_{side}w"), n)) for n in orders for side in "cr"})
+    df = computed(df, **{f"_{side}g{n}": F.sort_array(ngrams(F.col(f"_{side}w"), n)) for n in orders for side in "cr"})
     return computed(
         df, **{f"_{side}{n}": F.size(f"_{side}g{n}") for n in orders for side in "cr"},
         **{f"_o{n}": F.size(F.array_intersect(_numbered(F.col(f"_cg{n}")), _numbered(F.col(f"_rg{n}")))) for n in orders},
@@ -66,7 +67,7 @@ def rouge_n_pairs(pairs: DataFrame, candidate_col: str, reference_col: str, unic
                            for n in (1, 2)}).drop("_c1", "_r1", "_o1", "_c2", "_r2", "_o2")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two word arrays.
 
@@ -146,7 +147,7 @@ def embedding_match_pairs(vectors: DataFrame, pair_col: str = "pair_id", side_co
                                  / (F.col("precision") + F.col("recall"))).otherwise(0.0)))
 
 
-@F.pandas_udf("array<struct<side:string,pos:bigint,best:double>>")
+@F.pandas_udf(ArrayType(StructType().add("side", StringType()).add("pos", LongType()).add("best", DoubleType())))
 def _best_matches(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     def unit(items) -> np.ndarray:
         m = np.array([item["vec"] for item in items], dtype="float64")

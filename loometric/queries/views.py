@@ -241,7 +241,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                list_transform(range(ceil(length(w) / 4)::BIGINT), lambda c: (i - 1)::BIGINT))), [NULL::BIGINT]) AS word_ids
         FROM fx_tagged"""),
     "fx_pieces": (("fx_tagged",), f"""
-        SELECT doc_id, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS at, pos, k, piece, start, stop
+        SELECT doc_id, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS place, pos, k, piece, start, stop
         FROM (SELECT doc_id, pos, k,
                      CASE WHEN pos > 0 AND k = 0 THEN '{WORD_START}' ELSE '' END || substr(word, 4 * k + 1, 4) AS piece,
                      4 * k AS start, 4 * k + length(substr(word, 4 * k + 1, 4)) AS stop

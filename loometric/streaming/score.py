@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructType
 
 from loometric.operators.relate import pending
 from loometric.sources.io import append_results, read_results
@@ -38,7 +38,7 @@ def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
 
 def filter_rows(df: DataFrame, column: str, keep: Callable[[object], bool]) -> DataFrame:
     """Rows for which a user function of one column holds."""
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def holds(values: pd.Series) -> pd.Series:
         return values.map(keep).astype(bool)
 

@@ -9,7 +9,8 @@ from pyspark.sql.types import IntegerType
 
 from loometric.fixed import WHITESPACE_CHARS
 
-_SPACE_RUN = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE_CHARS) + "]+"
+# the same characters as WHITESPACE_CHARS: Unicode white space and the four ASCII separators
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

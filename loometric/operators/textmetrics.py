@@ -23,20 +23,21 @@ def rouge_words(text: Column, unicode: bool = False) -> Column:
     return F.array_remove(F.split(F.lower(text), inner), "")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` words joined by a space."""
-    if n == 1:
-        return words
-    heads = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-    return F.transform(heads, lambda w, i: F.concat_ws(
-        " ", w, *[F.get(words, i + k) for k in range(1, n)]))
+def longer_ngrams(shorter: Column, words: Column, n: int) -> Column:
+    """All runs of ``n`` words joined by a space, from the runs of ``n - 1`` words."""
+    return F.zip_with(
+        F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0))),
+        F.slice(words, F.lit(n), F.size(words)),
+        lambda run, word: F.concat(run, F.lit(" "), word))
 
 
-def _numbered(grams: Column) -> Column:
-    """Each gram with the number of its copy, so that set operations count copies.
+def _repeats(grams: Column) -> Column:
+    """A sorted array without the first copy of each gram."""
+    return F.filter(grams, lambda g, i: g == F.get(grams, i - 1))
 
-    Works on a sorted array: runs of equal grams are found once and numbered.
-    """
+
+def _numbered(grams: Column) -> Column:
+    """Each gram of a sorted array with the number of its copy, so that set operations count copies."""
     starts = F.filter(F.transform(grams, lambda g, i: i),
                       lambda i: ~F.get(grams, i).eqNullSafe(F.get(grams, i - 1)))
     return let(starts, lambda runs: F.flatten(F.transform(runs, lambda s, k: F.transform(
@@ -46,12 +47,22 @@ def _numbered(grams: Column) -> Column:
 
 def _with_overlaps(pairs: DataFrame, candidate: Column, reference: Column, orders: range) -> DataFrame:
     """Adds ``_c{n}``, ``_r{n}`` (numbers of n-grams) and ``_o{n}`` (clipped matches)."""
-    df = computed(pairs, _cw=candidate, _rw=reference)
-    df = computed(df, **{f"_{side}g{n}": F.sort_array(ngrams(F.col(f"_{side}w"), n)) for n in orders for side in "cr"})
+    df = computed(pairs, _cw1=candidate, _rw1=reference)
+    for n in orders[1:]:
+        df = computed(df, **{f"_{side}w{n}": longer_ngrams(F.col(f"_{side}w{n - 1}"), F.col(f"_{side}w1"), n)
+                             for side in "cr"})
+    df = computed(df, **{f"_{side}g{n}": F.sort_array(f"_{side}w{n}") for n in orders for side in "cr"})
+    # first copies match as sets; only further copies, mostly few, are numbered
+    df = computed(df, **{f"_{side}x{n}": _repeats(F.col(f"_{side}g{n}")) for n in orders for side in "cr"})
+
+    def matches(n: int) -> Column:
+        return F.size(F.array_intersect(f"_cg{n}", f"_rg{n}")) + F.size(
+            F.array_intersect(_numbered(F.col(f"_cx{n}")), _numbered(F.col(f"_rx{n}"))))
+
     return computed(
         df, **{f"_{side}{n}": F.size(f"_{side}g{n}") for n in orders for side in "cr"},
-        **{f"_o{n}": F.size(F.array_intersect(_numbered(F.col(f"_cg{n}")), _numbered(F.col(f"_rg{n}")))) for n in orders},
-    ).drop("_cw", "_rw", *[f"_{side}g{n}" for n in orders for side in "cr"])
+        **{f"_o{n}": matches(n) for n in orders},
+    ).drop(*[f"_{side}{kind}{n}" for n in orders for side in "cr" for kind in "wgx"])
 
 
 def _f_measure(overlap: Column, candidate: Column, reference: Column) -> Column:

@@ -6,6 +6,7 @@ of several forms; none leaves rows out.
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,39 @@ SYSTEM_PROMPT = "Summarize the text."
 RUNS = ("click", "error", "purchase", "signup", "view")
 
 
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stored_bytes(path: str) -> int | None:
+    """Stored size of a table, None where it cannot be told."""
+    try:
+        files, inside = FileSystem.from_uri(path)
+        found = files.get_file_info(inside)
+        if found.type == FileType.Directory:
+            return sum(f.size or 0 for f in files.get_file_info(FileSelector(inside, recursive=True)))
+        return found.size
+    except (OSError, ValueError):
+        return None
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work that is heavy per row.
+
+    A small table may sit in one row group, which one task would read and work on
+    alone. Up to a checked size it is spread over the cores; a big table has many
+    row groups and is used as it is scanned.
+    """
+    df = table(spark, sf_dir, "documents").select("doc_id", *columns)
+    size = _stored_bytes(f"{sf_dir}/documents.parquet")
+    if size is not None and size <= SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return df
+
+
 # --- SQL pieces -------------------------------------------------------------------
 
 SQL_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE_CHARS) + "]+"
@@ -67,7 +97,7 @@ def fx_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tags: capital words open or continue an entity, every 17th word is plain."""
-    df = computed(table(spark, sf_dir, "documents").select(
+    df = computed(documents(spark, sf_dir, "lang", "text").select(
         "doc_id", F.expr(SPLIT_RULE).alias("split"), F.expr(KIND_RULE).alias("kind"), "text",
     ), tokens=split_words(F.col("text")))
     capital = "^[A-Z]"
@@ -118,7 +148,7 @@ def fx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction rows: the whole text, and every third word of it as the answer."""
-    df = table(spark, sf_dir, "documents").select(
+    df = documents(spark, sf_dir, "text").select(
         "doc_id", F.expr(SPLIT_RULE).alias("split"), F.lit(SYSTEM_PROMPT).alias("instruction"),
         F.col("text").alias("input"))
     return computed(df, output=F.array_join(F.filter(split_words(F.col("input")), lambda w, i: i % 3 == 0), " "))
@@ -126,7 +156,7 @@ def fx_io(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected texts, and generated ones: a third moved to the end, every fifth word lost."""
-    df = computed(table(spark, sf_dir, "documents").select(
+    df = computed(documents(spark, sf_dir, "text").select(
         F.col("doc_id").alias("pair_id"), F.col("text").alias("expected")), _words=split_words(F.col("expected")))
     third = F.expr("size(_words) div 3")
     moved = F.concat(F.slice("_words", third + 1, F.size("_words")), F.slice("_words", F.lit(1), third))
@@ -162,7 +192,7 @@ def fx_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     whole = F.to_json(F.array(text))
     form = F.col("doc_id") % 4
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(
+    return documents(spark, sf_dir, "source", "text").select("doc_id", F.when(
         form == 0, F.substr(whole, F.lit(2), F.length(whole) - 2)).when(
         form == 1, F.to_json(F.struct(text.alias("question"), F.col("source").alias("answer")))).when(
         form == 2, F.to_json(F.struct(text.alias("prompt")))).otherwise(

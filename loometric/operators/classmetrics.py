@@ -101,19 +101,31 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per_class_from_counts(pair_counts(df, truth, predicted))
 
 
-def average_scores(classes: DataFrame, average: str = "weighted", positive=1) -> DataFrame:
-    """One row with precision, recall and F1 over classes."""
-    scores = ("precision", "recall", "f1")
+SCORES = ("precision", "recall", "f1")
+
+
+def average_columns(average: str = "weighted", positive=1) -> list[Column]:
+    """Aggregates of precision, recall and F1 over a table of classes."""
     if average == "weighted":
-        return classes.agg(*[(F.sum(F.col(s) * F.col("support")) / F.sum("support")).alias(s) for s in scores])
+        return [(F.sum(F.col(s) * F.col("support")) / F.sum("support")).alias(s) for s in SCORES]
     if average == "macro":
-        return classes.agg(*[F.avg(s).alias(s) for s in scores])
+        return [F.avg(s).alias(s) for s in SCORES]
     if average == "binary":
-        return classes.agg(*[F.coalesce(F.max(F.when(F.col("label") == positive, F.col(s))), F.lit(0.0)).alias(s)
-                             for s in scores])
+        return [F.coalesce(F.max(F.when(F.col("label") == positive, F.col(s))), F.lit(0.0)).alias(s) for s in SCORES]
     raise ValueError(f"average must be one of {AVERAGES}")
 
 
+def average_scores(classes: DataFrame, average: str = "weighted", positive=1) -> DataFrame:
+    """One row with precision, recall and F1 over classes."""
+    return classes.agg(*average_columns(average, positive))
+
+
+def all_scores(classes: DataFrame, average: str = "weighted", positive=1) -> DataFrame:
+    """One row with averages and accuracy, all from the same pass over the classes."""
+    return classes.agg(*average_columns(average, positive),
+                       (F.sum("hits") / F.sum("support")).alias("accuracy"))
+
+
 def precision_recall_f1(df: DataFrame, truth: str, predicted: str, average: str = "weighted",
                         positive=1) -> DataFrame:
     return average_scores(per_class(df, truth, predicted), average, positive)

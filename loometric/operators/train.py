@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loometric.functions.numeric import argmax_label
-from loometric.operators.classmetrics import average_scores, pair_counts, per_class_from_counts
+from loometric.operators.classmetrics import all_scores, per_class
 from loometric.operators.sampling import best_run
 
 
@@ -36,10 +36,7 @@ def predict_classes(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def validation_scores(scored: DataFrame, label_col: str = "label", average: str = "macro") -> DataFrame:
     """Accuracy, precision, recall and F1 from one pass of grouped counts."""
-    counts = pair_counts(scored, label_col, "predicted")
-    classes = per_class_from_counts(counts)
-    totals = classes.agg((F.sum("hits") / F.sum("support")).alias("accuracy"))
-    return average_scores(classes, average).withColumn("accuracy", totals.scalar())
+    return all_scores(per_class(scored, label_col, "predicted"), average)
 
 
 def train_text_classifier(train: DataFrame, validation: DataFrame, regularizations: Iterable[float] = (0.001, 0.01, 0.1),

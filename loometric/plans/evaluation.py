@@ -16,14 +16,12 @@ from loometric.sources import io
 def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Scores per class, then the macro and the weighted average, from one grouped count."""
     classes = cm.per_class(df, truth, predicted)
-    scores = ("precision", "recall", "f1")
 
     def line(label: str, average: str) -> DataFrame:
-        totals = cm.average_scores(classes, average)
-        support = classes.select(F.sum("support")).scalar()
-        return totals.select(F.lit(label).alias("label"), support.alias("support"), *scores)
+        totals = classes.agg(F.sum("support").alias("support"), *cm.average_columns(average))
+        return totals.select(F.lit(label).alias("label"), "support", *cm.SCORES)
 
-    rows = classes.select(F.col("label").cast("string").alias("label"), "support", *scores)
+    rows = classes.select(F.col("label").cast("string").alias("label"), "support", *cm.SCORES)
     return rows.unionByName(line("macro avg", "macro")).unionByName(line("weighted avg", "weighted"))
 
 
@@ -33,8 +31,7 @@ def ner_report(predictions: DataFrame, labels_col: str, predictions_col: str, tr
     flat = cm.flatten_valid(predictions, labels_col, predictions_col)
     counts = cm.pair_counts(flat, "truth", "predicted")
     classes = cm.per_class_from_counts(counts)
-    scores = cm.average_scores(classes, average).withColumn(
-        "accuracy", classes.select(F.sum("hits") / F.sum("support")).scalar())
+    scores = cm.all_scores(classes, average)
     lengths = profile.sequence_length_stats(train, tags_col)
     tags = cm.label_distribution(train, tags_col, labels)
     return (io.report_rows(scores, "Evaluation Metrics", 0)

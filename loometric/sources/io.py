@@ -45,7 +45,7 @@ def write_splits(splits: Mapping[str, DataFrame] | DataFrame, path: str) -> None
 
 
 def read_runs(spark: SparkSession, path: str, schema: StructType | str, run_from: str = "file",
-              arrays_span_lines: bool = True, suffix: str = "_filtered") -> DataFrame:
+              arrays_span_lines: bool = True, suffix: str = "_filtered", pattern: str = "*.json*") -> DataFrame:
     """Result files of many runs with a ``run`` column and a corrupt-record column.
 
     A run is named by its file, or by its folder when it is stored as many part files.
@@ -55,7 +55,7 @@ def read_runs(spark: SparkSession, path: str, schema: StructType | str, run_from
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wanted = StructType(list(wanted.fields)).add(CORRUPT, StringType())
     df = (spark.read.schema(wanted).option("multiLine", arrays_span_lines)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*")
+          .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
           .option("columnNameOfCorruptRecord", CORRUPT).json(path)
           .select("*", "_metadata.file_path"))
     parts = F.split("file_path", "/")
@@ -63,14 +63,17 @@ def read_runs(spark: SparkSession, path: str, schema: StructType | str, run_from
         stem = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl?(\.gz)?$", "")
     else:
         stem = F.regexp_replace(F.element_at(parts, -2), "^run=", "")
-    return df.withColumn("run", F.replace(stem, F.lit(suffix), F.lit("")))
+    # Spark refuses to read the corrupt column alone, so an empty piece of a data column goes with it
+    nothing = F.substr(F.coalesce(F.col(df.columns[0]).cast("string"), F.lit("")), F.lit(1), F.lit(0))
+    return df.withColumn("run", F.replace(stem, F.lit(suffix), F.lit(""))).withColumn(
+        CORRUPT, F.concat(F.col(CORRUPT), nothing))
 
 
 def split_corrupt(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and a dead-letter table of what could not be read."""
-    bad = F.col(CORRUPT).isNotNull()
-    good = runs.filter(~bad).drop(CORRUPT, "file_path")
-    return good, runs.filter(bad).select("run", "file_path", F.col(CORRUPT).alias("content"))
+    good = runs.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "file_path")
+    bad = runs.filter(F.col(CORRUPT).isNotNull())
+    return good, bad.select("run", "file_path", F.col(CORRUPT).alias("content"))
 
 
 def normalize_prompts(df: DataFrame, item_col: str, *keep: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
 from loometric.operators.relate import pending
 from loometric.sources.io import append_results, read_results
@@ -93,7 +93,7 @@ def dead_letters(scored: DataFrame, user_col: str, system_prompt: str = "") -> D
 def classify(df: DataFrame, model: Callable[[], Callable[[list[str]], Iterable[list[float]]]],
              text_col: str = "text") -> DataFrame:
     """Adds ``logits`` from a user's classifier, loaded once per task."""
-    schema = StructType(list(df.schema.fields)).add("logits", "array<double>")
+    schema = StructType(list(df.schema.fields)).add("logits", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loometric.functions.numeric import argmax_label
 from loometric.operators.classmetrics import all_scores, per_class
 from loometric.operators.sampling import best_run
+from loometric.session import shared_folder
 
 
 def text_classifier(regularization: float, features: int = 1 << 16, iterations: int = 20,
@@ -41,18 +42,23 @@ def validation_scores(scored: DataFrame, label_col: str = "label", average: str
 
 def train_text_classifier(train: DataFrame, validation: DataFrame, regularizations: Iterable[float] = (0.001, 0.01, 0.1),
                           metric: str = "accuracy", average: str = "macro", text_col: str = "text",
-                          label_col: str = "label", features: int = 1 << 16,
-                          iterations: int = 20) -> tuple[PipelineModel, DataFrame]:
+                          label_col: str = "label", features: int = 1 << 16, iterations: int = 20,
+                          folder: str | None = None) -> tuple[PipelineModel, DataFrame]:
     """Fit one model per candidate and keep the one that validates best.
 
-    Returns the kept model and one row of validation scores per candidate.
+    Candidates are written to ``folder`` and used from there. Returns the kept model and
+    one row of validation scores per candidate.
     """
-    models, rows = {}, None
+    spark = train.sparkSession
+    folder = folder or shared_folder(spark, "models")
+    rows = None
     for strength in regularizations:
         name = f"reg={strength:g}"
-        models[name] = text_classifier(strength, features, iterations, text_col, label_col).fit(train)
-        scores = validation_scores(predict_classes(models[name], validation), label_col, average).withColumn(
+        text_classifier(strength, features, iterations, text_col, label_col).fit(train).save(f"{folder}/{name}")
+        model = PipelineModel.load(f"{folder}/{name}")
+        scores = validation_scores(predict_classes(model, validation), label_col, average).withColumn(
             "run", F.lit(name))
         rows = scores if rows is None else rows.unionByName(scores)
-    table = train.sparkSession.createDataFrame(rows.collect(), rows.schema)
-    return models[best_run(table, metric).first()["run"]], table
+    # one row per candidate
+    table = spark.createDataFrame(rows.collect(), rows.schema)
+    return PipelineModel.load(f"{folder}/{best_run(table, metric).first()['run']}"), table

@@ -14,8 +14,12 @@ SALTS = 16
 
 
 def digest(*columns: Column) -> Column:
-    """A short join key for long texts, so that texts themselves stay out of the shuffle."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)
+    """A short join key for long texts, so that texts themselves stay out of the shuffle.
+
+    Declared non-null: a nullable key would be hashed once more for a null check.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def _keep_or_drop(df: DataFrame, keys: DataFrame, key: Column, how: str, salts: int) -> DataFrame:

@@ -238,7 +238,7 @@ def fx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+    return documents(spark, sf_dir, "text").join(table(spark, sf_dir, "labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").cast("int").alias("label"))
 
 

@@ -99,7 +99,7 @@ def plain_scores(pairs):
     return out
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(pairs=st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from("abcd")), min_size=1, max_size=30))
 def test_any_labels(spark, pairs):
     df = spark.createDataFrame(pairs, "t string, p string").repartition(3)

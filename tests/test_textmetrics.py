@@ -51,7 +51,7 @@ def plain_bleu(pairs):
     return brevity * math.exp(sum(math.log(m / t if m else 2.2250738585072014e-308) for m, t in zip(matches, totals)) / 4)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(pairs=st.lists(st.tuples(TEXTS, TEXTS), min_size=1, max_size=6))
 def test_any_pairs(spark, pairs):
     df = spark.createDataFrame([(i, c, r) for i, (c, r) in enumerate(pairs)], "id int, c string, r string").repartition(3, "id")

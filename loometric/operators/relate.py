@@ -22,6 +22,12 @@ def digest(*columns: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
+def _row_salt(df: DataFrame, salts: int) -> Column:
+    # hashing the row keeps the salt the same when a lost task is run again
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+
+
 def _keep_or_drop(df: DataFrame, keys: DataFrame, key: Column, how: str, salts: int) -> DataFrame:
     """Semi or anti join of ``df`` with a set of digests (column ``_key``, distinct).
 
@@ -30,9 +36,7 @@ def _keep_or_drop(df: DataFrame, keys: DataFrame, key: Column, how: str, salts:
     """
     left = df.withColumn("_key", key)
     if salts > 1:
-        # hashing the row keeps the salt the same when a lost task is run again
-        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+        left = left.withColumn("_salt", _row_salt(df, salts))
         keys = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return left.join(keys, ["_key", "_salt"], how).drop("_key", "_salt")
     return left.join(keys, "_key", how).drop("_key")
@@ -104,17 +108,35 @@ def lookup(labels: Column, key: Column, strict: bool = False) -> Column:
 
 def encode_labels(df: DataFrame, labels: Mapping | DataFrame, label_col: str, into: str) -> DataFrame:
     """Label names as ids; an unknown name raises."""
-    return _with_map(df, label_map(labels, "name", "id"),
-                     lambda m: lookup(m, F.col(label_col), strict=True), into)
+    if isinstance(labels, Mapping):
+        return df.withColumn(into, lookup(label_map(labels), F.col(label_col), strict=True))
+    return _joined_lookup(df, labels, label_col, "name", "id", into, strict=True)
 
 
 def decode_labels(df: DataFrame, labels: Mapping | DataFrame, id_col: str, into: str) -> DataFrame:
     """Label ids as names; an unknown id passes through as text."""
-    return _with_map(df, label_map(labels, "id", "name"), lambda m: lookup(m, F.col(id_col)), into)
+    if isinstance(labels, Mapping):
+        return df.withColumn(into, lookup(label_map(labels), F.col(id_col)))
+    return _joined_lookup(df, labels, id_col, "id", "name", into, strict=False)
 
 
-def _with_map(df: DataFrame, labels: Column, body, into: str) -> DataFrame:
-    return df.withColumn("_labels", labels).withColumn(into, body(F.col("_labels"))).drop("_labels")
+def _joined_lookup(df: DataFrame, labels: DataFrame, column: str, key: str, value: str, into: str,
+                   strict: bool) -> DataFrame:
+    """Lookup in a label table of any size.
+
+    Spark broadcasts the table when it measures it as small. Otherwise rows of a
+    frequent label are spread over salts, with the label table repeated once per salt.
+    """
+    table = labels.select(F.col(key).alias("_key"), F.col(value).alias("_value")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = df.withColumns({"_key": F.col(column), "_salt": _row_salt(df, SALTS)})
+    joined = left.join(table, ["_key", "_salt"], "left")
+    if strict:
+        found = F.coalesce("_value", F.raise_error(
+            F.concat(F.lit("unknown label: "), F.coalesce(F.col("_key").cast("string"), F.lit("null")))))
+    else:
+        found = F.coalesce(F.col("_value").cast("string"), F.col("_key").cast("string"))
+    return joined.withColumn(into, found).drop("_key", "_salt", "_value")
 
 
 def intersect_inputs(first: DataFrame, *others: DataFrame, on: str = "input") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from loometric.fixed import SMALLEST_NORMAL
 from loometric.functions.stage import computed
@@ -145,10 +145,16 @@ def embedding_match_pairs(vectors: DataFrame, pair_col: str = "pair_id", side_co
                                            .alias("vec"))).alias("_items")))
 
     def side(name: str) -> DataFrame:
-        return packed.filter(F.col(side_col) == name).select(pair_col, F.col("_items").alias(f"_{name}"))
+        return packed.filter(F.col(side_col) == name).select(
+            pair_col, F.col("_items.pos").alias(f"_{name}_pos"), F.col("_items.vec").alias(f"_{name}_vec"))
 
-    met = side("candidate").join(side("reference"), pair_col)
-    best = met.select(pair_col, F.inline(_best_matches("_candidate", "_reference")))
+    def marked(name: str) -> Column:
+        return F.zip_with(F.col(f"_{name}_pos"), F.col("_best")[name], lambda pos, best: F.struct(
+            F.lit(name).alias("side"), pos.alias("pos"), best.alias("best")))
+
+    met = side("candidate").join(side("reference"), pair_col).withColumn(
+        "_best", _best_matches("_candidate_vec", "_reference_vec"))
+    best = met.select(pair_col, F.inline(F.concat(marked("candidate"), marked("reference"))))
     tokens = best.groupBy(pair_col, "side", "pos").agg(F.max("best").alias("best"))
     return (tokens.groupBy(pair_col).agg(
         F.avg(F.when(F.col("side") == "candidate", F.col("best"))).alias("precision"),
@@ -158,16 +164,13 @@ def embedding_match_pairs(vectors: DataFrame, pair_col: str = "pair_id", side_co
                                  / (F.col("precision") + F.col("recall"))).otherwise(0.0)))
 
 
-@F.pandas_udf(ArrayType(StructType().add("side", StringType()).add("pos", LongType()).add("best", DoubleType())))
-def _best_matches(candidate: pd.Series, reference: pd.Series) -> pd.Series:
-    def unit(items) -> np.ndarray:
-        m = np.array([item["vec"] for item in items], dtype="float64")
+@F.pandas_udf(StructType().add("candidate", ArrayType(DoubleType())).add("reference", ArrayType(DoubleType())))
+def _best_matches(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Best cosine of each vector of a block with the vectors of the other block."""
+    def unit(vectors) -> np.ndarray:
+        m = np.stack(vectors)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    def best(cand, ref):
-        cosines = unit(cand) @ unit(ref).T
-        return [{"side": "candidate", "pos": c["pos"], "best": v} for c, v in zip(cand, cosines.max(axis=1))] + \
-               [{"side": "reference", "pos": r["pos"], "best": v} for r, v in zip(ref, cosines.max(axis=0))]
-
-    return pd.Series([best(c, r) for c, r in zip(candidate, reference)])
+    cosines = [unit(c) @ unit(r).T for c, r in zip(candidate, reference)]
+    return pd.DataFrame({"candidate": [m.max(axis=1) for m in cosines], "reference": [m.max(axis=0) for m in cosines]})

@@ -271,10 +271,18 @@ def metric_report(spark, sf_dir):
     return rounded(io.report_rows(scores, "Scores"), "value")
 
 
-@query("report_lines")
+@query("report_lines", """
+    WITH s AS (SELECT sum(precision * support) / sum(support) AS p, sum(recall * support) / sum(support) AS r,
+                      sum(f1 * support) / sum(support) AS f FROM fx_classes)
+    SELECT 0 AS place, chr(10) || '## Scores' || chr(10) AS line
+    UNION ALL SELECT 1, printf('- **precision:** %.4f', round(p, 4)) FROM s
+    UNION ALL SELECT 2, printf('- **recall:** %.4f', round(r, 4)) FROM s
+    UNION ALL SELECT 3, printf('- **f1:** %.4f', round(f, 4)) FROM s
+""", ("fx_classes",))
 def report_lines(spark, sf_dir):
     scores = cm.precision_recall_f1(v.fx_pred(spark, sf_dir), "t", "p")
-    return io.report_lines(io.report_rows(scores, "Scores"))
+    lines = io.report_lines(io.report_rows(scores, "Scores"))
+    return lines.select(F.ceil(F.col("ord") + 0.5).cast("int").alias("place"), "line")
 
 
 # --- judge scores, coverage, failures -------------------------------------------------
@@ -299,7 +307,12 @@ def judge_leaderboard(spark, sf_dir):
     return rounded(profile.leaderboard(judged), "avg_score", "median_score", "std_dev")
 
 
-@query("leaderboard_lines")
+@query("leaderboard_lines", """
+    SELECT run, concat_ws(chr(10), '## ' || run, printf('- **Average Score**: %.2f', round(avg(score), 2)),
+                          printf('- **Median Score**: %.1f', median(score)),
+                          printf('- **Standard Deviation**: %.2f', round(coalesce(stddev_samp(score), 0), 2))) AS line
+    FROM fx_runs WHERE score IS NOT NULL GROUP BY run
+""", ("fx_runs",))
 def leaderboard_lines(spark, sf_dir):
     return evaluation.leaderboard_lines(profile.leaderboard(v.fx_runs(spark, sf_dir)))
 

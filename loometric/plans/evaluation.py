@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometric.functions.stage import computed
@@ -14,15 +14,21 @@ from loometric.sources import io
 
 
 def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Scores per class, then the macro and the weighted average, from one grouped count."""
-    classes = cm.per_class(df, truth, predicted)
-
-    def line(label: str, average: str) -> DataFrame:
-        totals = classes.agg(F.sum("support").alias("support"), *cm.average_columns(average))
-        return totals.select(F.lit(label).alias("label"), "support", *cm.SCORES)
-
-    rows = classes.select(F.col("label").cast("string").alias("label"), "support", *cm.SCORES)
-    return rows.unionByName(line("macro avg", "macro")).unionByName(line("weighted avg", "weighted"))
+    """Scores per class, then the macro and the weighted average, in one pass.
+
+    Each class goes into its own line and, with its weight, into both averages.
+    """
+    def entry(line: int, label: Column, weight: Column) -> Column:
+        return F.struct(F.lit(line).alias("line"), label.cast("string").alias("label"),
+                        weight.cast("bigint").alias("weight"), "support", *cm.SCORES)
+
+    lines = F.array(entry(0, F.col("label"), F.lit(1)), entry(1, F.lit("macro avg"), F.lit(1)),
+                    entry(2, F.lit("weighted avg"), F.col("support")))
+    weight = F.sum("weight")
+    return (cm.per_class(df, truth, predicted).select(F.inline(lines)).groupBy("line", "label").agg(
+        F.sum("support").alias("support"),
+        *[F.when(weight > 0, F.sum(F.col(s) * F.col("weight")) / weight).otherwise(0.0).alias(s) for s in cm.SCORES])
+        .drop("line"))
 
 
 def ner_report(predictions: DataFrame, labels_col: str, predictions_col: str, train: DataFrame,

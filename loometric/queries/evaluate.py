@@ -129,12 +129,11 @@ def confusion_matrix_fixed(spark, sf_dir):
 
 
 @query("confusion_matrix_seen", """
-    WITH seen AS (SELECT tag FROM fx_tags UNION SELECT g FROM (SELECT unnest(pred_tags) AS g FROM fx_parsed)),
-    pairs AS (SELECT unnest(tags) AS t, unnest(pred_tags) AS p FROM fx_parsed WHERE broken_reason IS NULL),
+    WITH pairs AS (SELECT unnest(tags) AS t, unnest(pred_tags) AS p FROM fx_parsed WHERE broken_reason IS NULL),
     used AS (SELECT t AS x FROM pairs UNION SELECT p FROM pairs)
     SELECT a.x AS truth, b.x AS predicted, count(pairs.t) AS n
     FROM used a JOIN used b ON true LEFT JOIN pairs ON pairs.t = a.x AND pairs.p = b.x GROUP BY a.x, b.x
-""", ("fx_parsed", "fx_tags"))
+""", ("fx_parsed",))
 def confusion_matrix_seen(spark, sf_dir):
     good = responses.parse_structured_response(v.fx_structured(spark, sf_dir)).filter("broken_reason IS NULL")
     pairs = good.select(F.inline(F.arrays_zip(F.col("tags").alias("t"), F.col("pred_tags").alias("p"))))

@@ -125,7 +125,8 @@ def resume_scoring(items: DataFrame, model: Callable[[], Model], results_path: s
 
 def score_stream(spark: SparkSession, source: str, schema: StructType | str, model: Callable[[], Model],
                  results_path: str, failures_path: str, checkpoint: str, prompt_col: str = "input",
-                 order_key: str | None = None, duplicates: str = "each", save_failures: bool = False) -> None:
+                 order_key: str | None = None, duplicates: str = "each", save_failures: bool = False,
+                 source_format: str = "parquet") -> None:
     """Score files that arrived since the last run, once, across restarts.
 
     Repeats are recognised by the result table itself rather than by stream state, so
@@ -134,7 +135,7 @@ def score_stream(spark: SparkSession, source: str, schema: StructType | str, mod
     def each_batch(batch: DataFrame, _: int) -> None:
         resume_scoring(batch, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures)
 
-    query = (spark.readStream.schema(schema).parquet(source).writeStream
+    query = (spark.readStream.schema(schema).format(source_format).load(source).writeStream
              .foreachBatch(each_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()

@@ -14,14 +14,14 @@ def write(folder, name, value):
 
 
 def test_runs_with_a_malformed_file(spark, tmp_path):
-    write(tmp_path, "gemma_filtered.json", [{"input": "ü", "score": 5}, {"output": "no input", "score": None}])
-    write(tmp_path, "llama.json", [{"input": "a\nb", "output": "c"}])
+    write(tmp_path, "first_filtered.json", [{"input": "ü", "score": 5}, {"output": "no input", "score": None}])
+    write(tmp_path, "second.json", [{"input": "a\nb", "output": "c"}])
     write(tmp_path, "empty.json", [])
     write(tmp_path, "broken.json", "@not json at all")
     write(tmp_path, "notes.txt", "ignored")
     good, bad = io.split_corrupt(io.read_runs(spark, str(tmp_path), SCHEMA))
     rows = sorted((r["run"], r["input"], r["output"], r["score"]) for r in good.fillna("-").collect())
-    assert rows == [("gemma", "-", "no input", None), ("gemma", "ü", "-", 5), ("llama", "a\nb", "c", None)]
+    assert rows == [("first", "-", "no input", None), ("first", "ü", "-", 5), ("second", "a\nb", "c", None)]
     letters = bad.collect()
     assert [r["run"] for r in letters] == ["broken"] and "not json" in letters[0]["content"]
     assert bad.count() == 1 and good.count() == 3

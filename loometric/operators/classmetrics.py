@@ -50,7 +50,8 @@ def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: Sequence
                  .withColumn("n", F.lit(0).cast("bigint")))
         counts = counts.filter(F.col("truth").isin(*labels) & F.col("predicted").isin(*labels))
         return _dense(counts, zeros)
-    seen = seen_labels(counts)
+    # asking for the count keeps both uses of the counts alike, so that Spark makes them once
+    seen = seen_labels(counts.filter(F.col("n") > 0))
     too_many = F.raise_error(F.lit("too many classes for a dense matrix: use pair_counts"))
     names = seen.limit(MAX_CLASSES + 1).agg(
         F.when(F.count(F.lit(1)) > MAX_CLASSES, too_many).otherwise(F.collect_list("label"))).scalar()

@@ -92,3 +92,53 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     np.cumsum(terms, out=sums[1:])
     body = (sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts]
     return mixed(body + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+# --- texts of a batch as bytes ----------------------------------------------------
+
+CHUNK_BYTES = 1 << 21
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Consecutive rows of about ``limit`` bytes: (first row, end row, their bytes, offsets in these bytes).
+
+    A longer text comes whole, alone. The texts must not be null.
+    """
+    wide = texts.cast(pa.large_string())
+    _, ends, data = wide.buffers()
+    offsets = np.frombuffer(ends, dtype=np.int64)[wide.offset:wide.offset + len(wide) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    row = 0
+    while row < len(wide):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
+        yield row, end, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
+        row = end
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def word_ranges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and, for each text, the number of words before it; words are runs of ``inside`` within one text."""
+    before = np.zeros(len(inside), dtype=bool)
+    before[1:] = inside[:-1]
+    after = np.zeros(len(inside), dtype=bool)
+    after[:-1] = inside[1:]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    before[firsts] = False
+    after[lasts] = False
+    starts = np.flatnonzero(inside & ~before)
+    ends = np.flatnonzero(inside & ~after) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_ranges`` of the words ``[^\\x20\\x09-\\x0D]+``."""
+    return word_ranges(~_IS_SPACE[data], offsets)

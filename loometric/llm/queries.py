@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometric.llm import near, quality
+from loometric.llm import decontaminate, near, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,3 +55,9 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles,
 @query("op9_ngram_jaccard_join", _LINKED_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op5_benchmark_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a benchmark item: document, item, edits, the edits allowed, and the span."""
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

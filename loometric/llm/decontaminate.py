@@ -4,6 +4,10 @@ Texts and test items are compared as lower-case words with single spaces. An ite
 characters may differ by ``budget`` = n * percent // 100 edits. Cut into budget + 1 pieces, any
 place within that budget holds at least one piece unchanged; an Aho-Corasick automaton over
 all pieces finds these in one sweep of a text, and Myers' bit-parallel distance verifies the window around each.
+
+Short pieces are hit by chance, so a hit is verified from the piece outwards. The same rule holds for
+any run of m pieces with m - 1 edits: halving the item again and again, some unchanged piece has
+only such runs above it. Most chance hits fail with the piece next to theirs.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from loometric.llm.common import id_and_text
 PERCENT = 10
 # Characters of test items that one pass over the documents looks for; more items take more passes.
 BLOCK_CHARS = 1_000_000
-# Length of the character runs that are counted before a window is verified.
-GRAM = 5
+# Parts of an item with up to so many pieces are verified on their own before the whole item is.
+SMALL_PART = 8
 
 _WORDS = re.compile(r"[^\W_]+")
 _GAPS = re.compile(r"[\W_]+")
@@ -78,26 +82,67 @@ def closest(masks: dict[str, int], length: int, window: str, budget: int) -> tup
     return best if best[0] <= budget else None
 
 
+class Part:
+    """A run of pieces of an item: ``edits`` is one less than their number."""
+
+    __slots__ = ("begin", "end", "edits", "masks")
+
+    def __init__(self, pattern: str, begin: int, end: int, edits: int):
+        self.begin, self.end, self.edits = begin, end, edits
+        self.masks = letter_masks(pattern[begin:end])
+
+
+class Leaf:
+    """A piece of an item, what must stand beside it, and the parts around it from small to large."""
+
+    __slots__ = ("number", "offset", "beside", "slack", "parts")
+
+    def __init__(self, number: int, offset: int, beside: list[tuple[int, str]], slack: int, parts: list[Part]):
+        self.number, self.offset, self.beside, self.slack, self.parts = number, offset, beside, slack, parts
+
+
+def leaves(number: int, pattern: str, percent: int) -> list[tuple[str, Leaf]]:
+    """Every piece of an item with its leaf."""
+    cut = pieces(pattern, percent)
+    found: list[tuple[str, Leaf]] = []
+
+    def halved(low: int, high: int, above: list[Part], beside: range) -> None:
+        if high - low > 1:
+            middle = (low + high) // 2
+            begin, end = cut[low][0], cut[high - 1][0] + len(cut[high - 1][1])
+            parts = [Part(pattern, begin, end, high - low - 1), *above] if high - low <= SMALL_PART and (low, high) != (0, len(cut)) else above
+            halved(low, middle, parts, range(middle, high))
+            halved(middle, high, parts, range(low, middle))
+            return
+        # m pieces with m - 1 edits, one unchanged: of the halves of the others at least one is unchanged too
+        halves = []
+        for i in beside:
+            offset, piece = cut[i]
+            half = len(piece) // 2
+            halves += [(offset, piece[:half]), (offset + half, piece[half:])]
+        found.append((cut[low][1], Leaf(number, cut[low][0], halves, len(beside), above)))
+
+    halved(0, len(cut), [], range(0))
+    return found
+
+
 class Searcher:
     """Test items as an automaton over their pieces."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
-        self.items, self.grams = [], []
-        found: dict[str, list[tuple[int, int]]] = {}
+        self.items = []
+        found: dict[str, list[Leaf]] = {}
         for item_id, text in items:
             pattern = plain(text)
             if not pattern:
                 continue
-            for offset, piece in pieces(pattern, percent):
-                found.setdefault(piece, []).append((len(self.items), offset))
+            for piece, leaf in leaves(len(self.items), pattern, percent):
+                found.setdefault(piece, []).append(leaf)
             budget = len(pattern) * percent // 100
-            back = pattern[::-1]
-            grams = frozenset(pattern[i:i + GRAM] for i in range(len(pattern) - GRAM + 1))
-            self.grams.append((grams, len(pattern) - GRAM + 1 - budget * GRAM))
-            self.items.append((item_id, len(pattern), budget, letter_masks(pattern), letter_masks(back)))
+            self.items.append((item_id, len(pattern), budget, letter_masks(pattern), letter_masks(pattern[::-1])))
         self.automaton = ahocorasick.Automaton()
-        for piece, places in found.items():
-            self.automaton.add_word(piece, (len(piece), places))
+        for piece, where in found.items():
+            self.automaton.add_word(piece, (len(piece), where))
         if found:
             self.automaton.make_automaton()
 
@@ -105,37 +150,45 @@ class Searcher:
         """(item number, distance, budget, start, end) in the plain text; places of one item don't overlap."""
         if not self.items:
             return []
-        # windows of one item in which a piece was hit; those that overlap are one
         windows: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
-            first = last + 1 - size
-            for number, offset in where:
-                _, length, budget, _, _ = self.items[number]
-                begin, end = max(0, first - offset - budget), first - offset + length + budget
-                spans = windows.setdefault(number, [])
-                if spans and begin <= spans[-1][1] and begin >= spans[-1][0]:
-                    spans[-1][1] = max(spans[-1][1], end)
-                elif spans and begin < spans[-1][0] and end >= spans[-1][0]:
-                    spans[-1][0] = begin
-                else:
-                    spans.append([begin, end])
+            for leaf in where:
+                base = last + 1 - size - leaf.offset
+                _, length, budget, _, _ = self.items[leaf.number]
+                begin, end = max(0, base - budget), base + length + budget
+                spans = windows.get(leaf.number)
+                if spans and spans[-1][0] <= begin and end <= spans[-1][1]:
+                    continue
+                if self._holds_around(leaf, base, text):
+                    windows.setdefault(leaf.number, []).append([begin, end])
         found = []
         for number, spans in windows.items():
             for begin, end in joined(spans):
                 found.extend(self._verified(number, text, begin, min(end, len(text))))
         return found
 
-    def _may_hold(self, number: int, window: str) -> bool:
-        """An edit changes at most GRAM runs of GRAM characters; so many of the item's runs must stand in the window."""
-        grams, least = self.grams[number]
-        return least <= 0 or sum([window[i:i + GRAM] in grams for i in range(len(window) - GRAM + 1)]) >= least
+    @staticmethod
+    def _holds_around(leaf: Leaf, base: int, text: str) -> bool:
+        slack = leaf.slack
+        if leaf.beside:
+            for offset, half in leaf.beside:
+                at = base + offset
+                if at + len(half) + slack > 0 and text.find(half, max(0, at - slack), at + len(half) + slack) >= 0:
+                    break
+            else:
+                return False
+        for part in leaf.parts:
+            window = text[max(0, base + part.begin - part.edits):max(0, base + part.end + part.edits)]
+            if closest(part.masks, part.end - part.begin, window, part.edits) is None:
+                return False
+        return True
 
     def _verified(self, number: int, text: str, begin: int, end: int) -> Iterator[tuple[int, int, int, int, int]]:
         _, length, budget, masks, back = self.items[number]
         todo = [(begin, end)]
         while todo:
             begin, end = todo.pop()
-            if end - begin < length - budget or not self._may_hold(number, text[begin:end]):
+            if end - begin < length - budget:
                 continue
             best = closest(masks, length, text[begin:end], budget)
             if best is None:

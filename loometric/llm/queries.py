@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometric.llm import decontaminate, near, quality
+from loometric.llm import decontaminate, near, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +61,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a benchmark item: document, item, edits, the edits allowed, and the span."""
     return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.withColumn("spans", F.concat("base", "found")).select(
+        "doc_id", *counts, F.sha2(pii.joined_spans("base").cast("binary"), 256).alias("base_sha256"),
+        pii.joined_spans("spans").alias("spans"), F.size("found").cast("bigint").alias("n_found"))

@@ -6,6 +6,8 @@ Shingles stand as 64-bit hashes; their numeric order is the one global order of
 2. Candidates by the pigeonhole rule: two linked sets differ in at most H shingles, so of more than H
    parts of the hash space at least one holds the same shingles in both. Each set gives a key for
    each part that is not empty, the hash of the part's whole content. A frequent shingle alone makes no key common.
+   Candidates of one key are met by a bitmap filter: bit i of a set's bitmap is the parity of its shingles that
+   fall on i, and two bitmaps differ in no more bits than the sets differ in shingles.
 3. Connected sets of candidates are small clusters. Each cluster, or for a cluster of very many
    sets each bounded block of it, is joined in one task through a trie: sets that begin alike
    share a path, so their overlap with a query is counted once; a subtree is left as soon as the
@@ -15,8 +17,8 @@ Shingles stand as 64-bit hashes; their numeric order is the one global order of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ BLOCK_SHINGLES = 1 << 19
 REMEMBERED = 100_000
 SALTS = 8
 
+# Bits of a set's bitmap, and candidates of one key that are met by it at once; beyond that all of a
+# key's sets stay candidates of its first, which costs work and loses no link.
+BITS = 512
+GROUP = 2048
+
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -68,72 +75,74 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(mixed(np.array(sums, dtype=np.uint64) + n).view(np.int64).tolist())
 
 
-@lru_cache(maxsize=None)
-def size_classes(percent: int, upto: int = 1 << 40) -> tuple[tuple[int, int, int], ...]:
-    """(end, most differences, parts) of classes of set sizes.
+class SizeClasses:
+    """Classes of set sizes: (end, most differences of two linked sets, parts) of each.
 
     Parts are more than the differences, by about as many as may be empty.
     """
-    found, low = [], 1
-    while low < upto:
-        end = max(low + 1, (low * 7 + 4) // 5)
-        differences = (100 - percent) * 2 * (end - 1) // (100 + percent)
-        parts = differences + 1
-        for _ in range(4):
-            empty = parts * np.exp(-low / parts)
-            parts = differences + 2 + int(empty + 4 * np.sqrt(empty))
-        found.append((end, differences, parts))
-        low = end
-    return tuple(found)
-
-
-def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: two linked sets that differ have one in common."""
-    classes = size_classes(percent)
-    ends = _class_ends(percent)
-    n = len(shingles)
-    largest = 100 * n // percent
-    content = mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3))
-    keys = []
-    for c in range(int(np.searchsorted(ends, n, side="right")), int(np.searchsorted(ends, largest, side="right")) + 1):
-        _, differences, parts = classes[c]
-        if not differences:
-            continue
-        part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(content, at)
-        tag = np.uint64(c << 40) + part[at] + np.uint64(1)
-        keys.append(mixed(sums + mixed(tag)))
-        if parts - len(at) >= parts - differences:  # so many empty parts that they may be all that agrees
-            missing = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at])
-            keys.append(mixed(mixed(np.uint64(c << 40) + missing + np.uint64(1))))
-    return np.concatenate(keys) if keys else shingles[:0]
-
-
-@lru_cache(maxsize=None)
-def _class_ends(percent: int) -> np.ndarray:
-    return np.array([end for end, _, _ in size_classes(percent)])
+
+    def __init__(self, percent: int, upto: int = 1 << 40):
+        self.percent, self.classes, low = percent, [], 1
+        while low < upto:
+            end = max(low + 1, (low * 7 + 4) // 5)
+            differences = (100 - percent) * 2 * (end - 1) // (100 + percent)
+            parts = differences + 1
+            for _ in range(4):
+                empty = parts * np.exp(-low / parts)
+                parts = differences + 2 + int(empty + 4 * np.sqrt(empty))
+            self.classes.append((end, differences, parts))
+            low = end
+        self.ends = np.array([end for end, _, _ in self.classes])
+
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        """Keys of a set: two linked sets that differ have one in common."""
+        n = len(shingles)
+        content = mixed(shingles ^ np.uint64(0x8EBC6AF09C88C6E3))
+        keys = []
+        first = int(np.searchsorted(self.ends, n, side="right"))
+        last = int(np.searchsorted(self.ends, 100 * n // self.percent, side="right"))
+        for c in range(first, last + 1):
+            _, differences, parts = self.classes[c]
+            if not differences:
+                continue
+            part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            sums = np.add.reduceat(content, at)
+            keys.append(mixed(sums + mixed(np.uint64(c << 40) + part[at] + np.uint64(1))))
+            if parts - len(at) >= parts - differences:  # so many empty parts that they may be all that agrees
+                missing = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at])
+                keys.append(mixed(mixed(np.uint64(c << 40) + missing + np.uint64(1))))
+        return np.concatenate(keys) if keys else shingles[:0]
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles that fall on each bit."""
+    place = (shingles ^ (shingles >> np.uint64(17))) & np.uint64(BITS - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
 def set_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n, d1, d2) of every row: size and digest of its set."""
+    """(id, n, d1, d2, bits) of every row: size, digest and bitmap of its set."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, ones, twos = [], [], []
+        sizes, ones, twos, bits = [], [], [], []
         for _, _, data, offsets in text_chunks(batch.column("text")):
             for shingles in shingle_sets(data, offsets, words):
                 one, two = digest(shingles)
                 sizes.append(len(shingles))
                 ones.append(one)
                 twos.append(two)
+                bits.append(bitmap(shingles))
         return pa.RecordBatch.from_arrays(
-            [batch.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())],
-            names=["id", "n", "d1", "d2"])
+            [batch.column("id").cast(pa.int64()), *[pa.array(x, pa.int64()) for x in (sizes, ones, twos)], pa.array(bits, pa.binary())],
+            names=["id", "n", "d1", "d2", "bits"])
 
-    return over_batches(docs, run, "id bigint, n bigint, d1 bigint, d2 bigint")
+    return over_batches(docs, run, "id bigint, n bigint, d1 bigint, d2 bigint, bits binary")
 
 
 def candidate_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, d1, d2): the keys of every set, once for each task that meets it."""
+    classes = SizeClasses(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
@@ -148,7 +157,7 @@ def candidate_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add((one, two))
-                    found = part_keys(shingles, percent)
+                    found = classes.keys(shingles)
                     keys.append(found.view(np.int64))
                     ones.append(np.full(len(found), one))
                     twos.append(np.full(len(found), two))
@@ -159,30 +168,103 @@ def candidate_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return docs.select("text").mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
 
 
-def candidate_links(keys: DataFrame) -> DataFrame:
-    """(a1, a2, b1, b2): each set that shares a key with others, with the first set of that key.
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The distinct rows of ``keys`` whose key stands for more than one set.
 
     The keys are sorted by Spark and read in one sweep that holds one row, so a key of very many sets costs no memory.
     """
+    names = ["key", "d1", "d2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = first = None
+        held = np.empty((0, 3), dtype=np.int64)  # the last row, and whether its key was shared already
+        shared = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            known = last if last is not None else rows[0] + 1  # a different key
-            before = np.concatenate((known[None], rows[:-1]))
-            fresh = rows[:, 0] != before[:, 0]
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), -1))
-            lead = np.where((at >= 0)[:, None], rows[np.maximum(at, 0), 1:], first if first is not None else rows[0, 1:])
-            other = ~fresh & (rows[:, 1:] != before[:, 1:]).any(axis=1) & (rows[:, 1:] != lead).any(axis=1)
-            last, first = rows[-1], lead[-1]
-            if other.any():
-                pairs = np.concatenate((rows[other, 1:], lead[other]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(4)], names=["a1", "a2", "b1", "b2"])
+            rows = np.concatenate((held, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)))
+            fresh = np.ones(len(rows), dtype=bool)
+            fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            first = rows[0]
+            rows = rows[fresh]
+            alike = rows[1:, 0] == rows[:-1, 0]
+            keep = np.zeros(len(rows), dtype=bool)
+            keep[1:] |= alike
+            keep[:-1] |= alike
+            keep[0] |= shared and len(held) > 0
+            held, rest = rows[-1:], keep[:-1]
+            shared = bool(keep[-1]) if len(rows) > 1 or shared and (rows[0] == first).all() else False
+            if rest.any():
+                yield _columns(rows[:-1][rest], names)
+        if len(held) and shared:
+            yield _columns(held, names)
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    return ordered.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
+    return ordered.mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
+
+
+def _columns(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(names))], names=names)
+
+
+def alike_groups(sizes: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows that connect all rows which size and bitmap allow to be linked."""
+    found, left = [], np.arange(1, len(sizes))
+    todo = [0] if len(sizes) else []
+    while todo:
+        i = todo.pop()
+        if not len(left):
+            break
+        apart = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        low, high = np.minimum(sizes[left], sizes[i]), np.maximum(sizes[left], sizes[i])
+        near = (apart * (100 + percent) <= (100 - percent) * (low + high)) & (100 * low >= percent * high)
+        found += [(int(j), i) for j in left[near]]
+        todo += left[near].tolist()
+        left = left[~near]
+        if not todo and len(left):
+            todo.append(int(left[0]))
+            left = left[1:]
+    return found
+
+
+def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+    """(a, b): names of sets that share a key and may be linked; connected sets may have fewer pairs.
+
+    ``sets`` has d1, d2, n and bits of each set.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        lead, out = None, []
+
+        def flush() -> None:
+            if len(held) > 1:
+                sizes = np.array([r[3] for r in held])
+                bits = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint64).reshape(len(held), -1)
+                out.extend((held[i], held[j]) for i, j in alike_groups(sizes, bits, percent))
+            if lead is not None and held:  # part of a key of very many sets: all stay candidates of its first
+                out.extend((r, lead) for r in held if r is not lead)
+            held.clear()
+
+        for batch in batches:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if held and held[-1][0] != row[0] or not held and lead is not None and lead[0] != row[0]:
+                    flush()
+                    lead = None
+                held.append(row)
+                if len(held) >= group:
+                    lead = lead or held[0]
+                    flush()
+            if out:
+                pairs = np.array([(*a[1:3], *b[1:3]) for a, b in out], dtype=np.int64)
+                out.clear()
+                yield _columns(pairs, ["a1", "a2", "b1", "b2"])
+        flush()
+        if out:
+            yield _columns(np.array([(*a[1:3], *b[1:3]) for a, b in out], dtype=np.int64), ["a1", "a2", "b1", "b2"])
+
+    rows = shared.join(sets, ["d1", "d2"]).select("key", "d1", "d2", "n", "bits")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
+    pairs = ordered.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
+    return pairs.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))
 
 
 # --- the trie ---------------------------------------------------------------------
@@ -289,16 +371,15 @@ class SetTrie:
 
 
 def _block_join(percent: int, words: int):
-    """Links within one block: rows (cluster, block, node, known, text) to (a, b) of nodes.
+    """Links within one block: rows (cluster, block, node, known, packed text) to (a, b) of nodes.
 
     ``known`` names nodes that are connected already.
     """
     def run(table: pa.Table) -> pa.Table:
         nodes, known = table.column("node").to_pylist(), table.column("known").to_pylist()
         sets: list[np.ndarray] = []
-        for piece in table.column("text").chunks:
-            for _, _, data, offsets in text_chunks(piece):
-                sets.extend(s.copy() for s in shingle_sets(data, offsets, words))
+        for packed in table.column("packed").to_pylist():
+            sets.extend(s.copy() for s in _unpacked(packed, words))
         trie, groups, found = SetTrie(percent), {}, {}
         for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i])):
             if nodes[i] in found:  # a repeated row
@@ -331,9 +412,9 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = stored(set_digests(texts, words), "set-digests")
     node = _name("d1", "d2").alias("node")
     reps = sets.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
-    links = candidate_links(candidate_keys(texts, words, percent))
-    clusters = components(links.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b")))
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    shared = stored(shared_keys(candidate_keys(texts, words, percent)), "shared-keys")
+    clusters = components(candidate_links(shared, reps.select("d1", "d2", "n", "bits"), percent))
     named = reps.select(node, "rep", "rows", "n")
     members = stored(clusters.join(named, "node").withColumnRenamed("root", "cluster"), "cluster-members")
     # blocks of bounded size; the first set of a cluster is in each of its blocks
@@ -345,9 +426,9 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     schema = "a string, b string"
     join = _block_join(percent, words)
     # the text of a set: that of its smallest id; the digest tells rows of a repeated id apart
-    bodies = _texts_of(texts, members, words)
+    bodies = stored(_texts_of(texts, members, words), "cluster-texts")
     first = (spread.join(bodies, "node").withColumn("known", F.col("node"))
-             .select("cluster", "block", "node", "known", "text").groupBy("cluster", "block").applyInArrow(join, schema))
+             .select("cluster", "block", "node", "known", "packed").groupBy("cluster", "block").applyInArrow(join, schema))
     found = stored(first, "near-links")
     large = placed.where("blocks > 1")
     if not large.isEmpty():
@@ -375,17 +456,31 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     F.coalesce("component_id", "id").alias("component_id")))
 
 
+def _unpacked(packed: bytes, words: int) -> Iterator[np.ndarray]:
+    data = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]), words)
+
+
 def _texts_of(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(node, text) of the sets in ``members``: the text of one row with that set."""
-    wanted = members.select(F.col("rep").alias("id"), "node")
-    rows = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text")
+    """(node, packed) of the sets in ``members``: the compressed text of one row with that set.
+
+    Texts are compressed before they are shuffled.
+    """
+    wanted = members.select(F.col("rep").alias("wanted"), "node")
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [zlib.compress(t.as_py().encode(), 1) for t in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same = [any(_hex_name(s) == node for s in _unpacked(packed, words))
+                for node, packed in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist())]
+        return batch.filter(pa.array(same, pa.bool_()))
+
+    rows = over_batches(texts, pack, "id bigint, packed binary")
+    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("node", "packed")
+    return over_batches(found, keep, "node string, packed binary")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = []
-        for _, _, data, offsets in text_chunks(batch.column("text")):
-            for shingles in shingle_sets(data, offsets, words):
-                names.append(":".join(f"{x & 0xFFFFFFFFFFFFFFFF:X}" for x in digest(shingles)))
-        keep = pa.array([a == b for a, b in zip(batch.column("node").to_pylist(), names)], pa.bool_())
-        return batch.filter(keep)
 
-    return over_batches(rows, run, "node string, text string")
+def _hex_name(shingles: np.ndarray) -> str:
+    return ":".join(f"{x & 0xFFFFFFFFFFFFFFFF:X}" for x in digest(shingles))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometric.llm import decontaminate, near, pii, quality
+from loometric.llm import decontaminate, encode, near, pii, quality, token_counts
+
+# The model file of the two tokenizer queries.
+MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def model_path(name: str = MODEL) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,3 +80,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.concat("base", "found")).select(
         "doc_id", *counts, F.sha2(pii.joined_spans("base").cast("binary"), 256).alias("base_sha256"),
         pii.joined_spans("spans").alias("spans"), F.size("found").cast("bigint").alias("n_found"))
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and whether decoding them gives the text back."""
+    return encode.encoded(table(spark, sf_dir, "documents"), model_path())
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), model_path())

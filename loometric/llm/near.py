@@ -17,6 +17,7 @@ Shingles stand as 64-bit hashes; their numeric order is the one global order of
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -484,3 +485,16 @@ def _texts_of(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 def _hex_name(shingles: np.ndarray) -> str:
     return ":".join(f"{x & 0xFFFFFFFFFFFFFFFF:X}" for x in digest(shingles))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which each component keeps the one with the smallest id.
+
+    Rows with a null id stay unless their text is there again with the same (null) id. Of rows that repeat both id
+    and text one stays.
+    """
+    found = near_components(docs, id_column, text_column)
+    gone = found.where(F.col("component_id") < F.col(id_column)).select(F.col(id_column).alias(f"{id_column}_gone")).distinct()
+    left = docs.join(gone, docs[id_column] == gone[f"{id_column}_gone"], "left_anti")
+    mark = f"copy_{uuid.uuid4().hex}"
+    return left.withColumn(mark, F.sha2(F.coalesce(text_column, F.lit("")).cast("binary"), 256)).dropDuplicates([id_column, mark]).drop(mark)

@@ -1,9 +1,11 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
 Six rules look at a text and vote good (1), bad (-1) or abstain (0). How far each rule can be
-trusted is not set by hand: expectation-maximisation over the votes of all documents
-estimates an accuracy for each rule and the share of good documents, and a document is
-kept when its posterior probability of being good is at least one half, unless it fails the base rule.
+trusted is not set by hand: expectation-maximisation over the votes of all documents estimates
+how often it is right, and how common each class is. A document is kept when its posterior
+probability of being good is at least one half, unless it fails the base rule. Junk of one sort
+breaks the rule about it and passes the others, so there is a class of bad documents for each rule
+beside the good ones, and each class has its own rate of bad votes for each rule.
 
 The votes of a document are one of 3 ** 6 patterns, so expectation-maximisation works on at
 most 729 counted patterns, whatever the size of the corpus: each round is one aggregate.
@@ -11,7 +13,6 @@ most 729 counted patterns, whatever the size of the corpus: each round is one ag
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,23 +23,35 @@ from loometric.functions import computed
 from loometric.llm.common import stored
 
 RULES = ("symbols", "word_length", "line_copies", "repetition", "capitals", "sentences")
-ROUNDS = 12
-START_ACCURACY = 0.8
-# Rules are taken to be better than a coin; the bounds keep a rule that never disagrees from deciding alone.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.95
-START_SHARE = 0.8
-LEAST_SHARE, MOST_SHARE = 0.05, 0.95
+ROUNDS = 10
+# Shares of bad votes among a rule's votes: (start, least, most) on good documents, on the bad ones
+# that the rule is about, and on other bad ones. The bounds keep the classes what they are named for.
+ON_GOOD = (0.005, 0.0005, 0.03)
+ON_OWN = (0.9, 0.5, 0.99)
+ON_OTHER = (0.1, 0.005, 0.9)
+# Share of each bad class: (start, least, most).
+SHARE = (0.03, 0.0005, 0.15)
 
 _SPACE = r"[\x20\x09-\x0D]"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
+def _limits(k: int, j: int) -> tuple[float, float, float]:
+    """Start and bounds of the share of bad votes of rule j in class k; class 0 is good, class j + 1 is about rule j."""
+    return ON_GOOD if k == 0 else ON_OWN if k == j + 1 else ON_OTHER
+
+
 @dataclass(frozen=True)
 class RuleModel:
-    """Share of good documents, and for each rule the probability that a vote is right."""
+    """Share of each class, the good one first, and in each class the share of bad votes among each rule's votes."""
+
+    shares: tuple[float, ...]
+    bad: tuple[tuple[float, ...], ...]
 
-    share: float
-    accuracies: tuple[float, ...]
+
+def start_model() -> RuleModel:
+    n = len(RULES)
+    return RuleModel((1 - n * SHARE[0], *(SHARE[0],) * n), tuple(tuple(_limits(k, j)[0] for j in range(n)) for k in range(n + 1)))
 
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -94,7 +107,7 @@ def votes() -> dict[str, Column]:
         "word_length": _vote((chars >= 3 * n) & (chars <= 9 * n), (chars < 2 * n) | (chars > 20 * n), some),
         "line_copies": _vote(10 * F.col("n_dup_lines") <= F.col("n_lines"), 10 * F.col("n_dup_lines") > 4 * F.col("n_lines"),
                              F.col("n_lines") >= 2),
-        "repetition": _vote(10 * F.col("n_repeat_words") <= n, 100 * F.col("n_repeat_words") > 35 * n, enough),
+        "repetition": _vote(10 * F.col("n_repeat_words") <= n, 2 * F.col("n_repeat_words") > n, enough),
         "capitals": _vote(10 * F.col("n_capitals") <= chars, 10 * F.col("n_capitals") > 3 * chars, some),
         "sentences": _vote((200 * F.col("n_ends") >= n) & (3 * F.col("n_ends") <= n),
                            (F.col("n_ends") == 0) | (2 * F.col("n_ends") > n), enough),
@@ -109,15 +122,20 @@ def with_votes(features: DataFrame) -> DataFrame:
     return features.select("*", *[v.alias(f"vote_{name}") for name, v in votes().items()], base_failed().alias("base_failed"))
 
 
-def log_odds(model: RuleModel) -> Column:
-    """Log odds that a document is good, from its votes."""
-    start = F.lit(math.log(model.share / (1 - model.share)))
-    parts = [F.col(f"vote_{name}") * F.lit(math.log(a / (1 - a))) for name, a in zip(RULES, model.accuracies)]
-    return reduce(lambda a, b: a + b, parts, start)
+def class_weights(model: RuleModel) -> list[Column]:
+    """For each class its share times the probability of the votes."""
+    found = []
+    for share, rates in zip(model.shares, model.bad):
+        parts = [F.when(F.col(f"vote_{name}") == -1, rate).when(F.col(f"vote_{name}") == 1, 1 - rate).otherwise(1.0)
+                 for name, rate in zip(RULES, rates)]
+        found.append(reduce(lambda a, b: a * b, parts, F.lit(share)))
+    return found
 
 
-def _probability(odds: Column) -> Column:
-    return 1 / (1 + F.exp(-odds))
+def quality_of(model: RuleModel) -> Column:
+    """Posterior probability that a document is good."""
+    weights = class_weights(model)
+    return weights[0] / reduce(lambda a, b: a + b, weights)
 
 
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> RuleModel:
@@ -127,27 +145,35 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> RuleModel:
     """
     columns = [f"vote_{name}" for name in RULES]
     patterns = stored(voted.groupBy(*columns).agg(F.count(F.lit(1)).alias("c")).coalesce(1), "vote-patterns")
-    model = RuleModel(START_SHARE, (START_ACCURACY,) * len(RULES))
+    model = start_model()
+    classes = range(len(RULES) + 1)
     for _ in range(rounds):
-        p = _probability(log_odds(model))
-        sums = [F.sum("c").alias("n"), F.sum(F.col("c") * p).alias("good")]
-        for i, column in enumerate(columns):
-            right = F.when(F.col(column) == 1, p).when(F.col(column) == -1, 1 - p).otherwise(0.0)
-            sums.append(F.sum(F.col("c") * right).alias(f"right{i}"))
-            sums.append(F.sum(F.when(F.col(column) != 0, F.col("c")).otherwise(0)).alias(f"spoken{i}"))
-        found = patterns.agg(*sums).first()
-        if not found["n"]:
+        weighed = patterns.select("*", *[w.alias(f"w{k}") for k, w in enumerate(class_weights(model))])
+        total = reduce(lambda a, b: a + b, [F.col(f"w{k}") for k in classes])
+        shares_of = F.transform(F.array(*[f"w{k}" for k in classes]), lambda w: F.col("c") * w / total)
+        mine = weighed.select(*columns, F.posexplode(shares_of).alias("k", "r"))
+        sums = [F.sum("r").alias("n")]
+        for j, column in enumerate(columns):
+            sums.append(F.sum(F.when(F.col(column) == -1, F.col("r")).otherwise(0.0)).alias(f"bad{j}"))
+            sums.append(F.sum(F.when(F.col(column) != 0, F.col("r")).otherwise(0.0)).alias(f"all{j}"))
+        found = {row["k"]: row for row in mine.groupBy("k").agg(*sums).collect()}  # one row for each class
+        if not found:
             return model
-        accuracies = tuple(
-            min(MOST_ACCURACY, max(LEAST_ACCURACY, found[f"right{i}"] / found[f"spoken{i}"])) if found[f"spoken{i}"] else START_ACCURACY
-            for i in range(len(columns)))
-        model = RuleModel(min(MOST_SHARE, max(LEAST_SHARE, found["good"] / found["n"])), accuracies)
+        rows = sum(found[k]["n"] for k in classes)
+        shares = [_bounded(found[k]["n"], rows, SHARE) for k in classes[1:]]
+        rates = tuple(tuple(_bounded(found[k][f"bad{j}"], found[k][f"all{j}"], _limits(k, j)) for j in range(len(RULES))) for k in classes)
+        model = RuleModel((1 - sum(shares), *shares), rates)
     return model
 
 
+def _bounded(part: float, whole: float, limits: tuple[float, float, float]) -> float:
+    start, least, most = limits
+    return min(most, max(least, part / whole)) if whole > 0 else start
+
+
 def judged(voted: DataFrame, model: RuleModel) -> DataFrame:
     """``voted`` with the posterior probability ``quality`` and the verdict ``kept``."""
-    with_quality = voted.withColumn("quality", _probability(log_odds(model)))
+    with_quality = voted.withColumn("quality", quality_of(model))
     return with_quality.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
@@ -188,33 +214,50 @@ measures AS (SELECT words.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_
     len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_capitals, len(regexp_extract_all(t, '[.!?]'))::BIGINT AS n_ends,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words
     FROM words LEFT JOIN covered USING (r)),
-voted AS (SELECT *,
+voted AS MATERIALIZED (SELECT *,
     CASE WHEN n_words = 0 THEN 0 WHEN 10 * n_symbols > n_words THEN -1 WHEN 100 * n_symbols <= 2 * n_words THEN 1 ELSE 0 END AS v0,
     CASE WHEN n_words = 0 THEN 0 WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN -1
         WHEN word_chars >= 3 * n_words AND word_chars <= 9 * n_words THEN 1 ELSE 0 END AS v1,
     CASE WHEN n_lines < 2 THEN 0 WHEN 10 * n_dup_lines > 4 * n_lines THEN -1 WHEN 10 * n_dup_lines <= n_lines THEN 1 ELSE 0 END AS v2,
-    CASE WHEN n_words < 20 THEN 0 WHEN 100 * n_repeat_words > 35 * n_words THEN -1
+    CASE WHEN n_words < 20 THEN 0 WHEN 2 * n_repeat_words > n_words THEN -1
         WHEN 10 * n_repeat_words <= n_words THEN 1 ELSE 0 END AS v3,
     CASE WHEN n_words = 0 THEN 0 WHEN 10 * n_capitals > 3 * word_chars THEN -1 WHEN 10 * n_capitals <= word_chars THEN 1 ELSE 0 END AS v4,
     CASE WHEN n_words < 20 THEN 0 WHEN n_ends = 0 OR 2 * n_ends > n_words THEN -1
         WHEN 200 * n_ends >= n_words AND 3 * n_ends <= n_words THEN 1 ELSE 0 END AS v5,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
     FROM measures),
-patterns AS (SELECT v0, v1, v2, v3, v4, v5, count(*) AS c FROM voted GROUP BY ALL)
+patterns AS MATERIALIZED (SELECT v0, v1, v2, v3, v4, v5, count(*) AS c FROM voted GROUP BY ALL)
 """
 
 
 def sql_steps(table: str = "documents", rounds: int = ROUNDS) -> str:
     """Common table expressions of the whole method; the last one is ``judged``."""
-    k = range(len(RULES))
-    steps = [_SQL_MEASURES.format(table=table).strip(),
-             f"m0 AS (SELECT {START_SHARE}::DOUBLE AS s, " + ", ".join(f"{START_ACCURACY}::DOUBLE AS a{i}" for i in k) + ")"]
-    odds = "ln(s / (1 - s)) + " + " + ".join(f"v{i} * ln(a{i} / (1 - a{i}))" for i in k)
+    n = len(RULES)
+    start = start_model()
+    classes, rules = range(n + 1), range(n)
+    first = [f"{start.shares[k]}::DOUBLE AS s{k}" for k in classes] + [f"{start.bad[k][j]}::DOUBLE AS p{k}_{j}" for k in classes for j in rules]
+    steps = [_SQL_MEASURES.format(table=table).strip(), f"m0 AS (SELECT {', '.join(first)})"]
+
+    def weight(k: int) -> str:
+        return " * ".join([f"s{k}"] + [f"CASE v{j} WHEN -1 THEN p{k}_{j} WHEN 1 THEN 1 - p{k}_{j} ELSE 1 END" for j in rules])
+
+    def bounded(part: str, whole: str, limits: tuple[float, float, float]) -> str:
+        return f"CASE WHEN {whole} > 0 THEN least({limits[2]}, greatest({limits[1]}, {part} / {whole})) ELSE {limits[0]} END"
+
+    weights = ", ".join(f"{weight(k)} AS w{k}" for k in classes)
+    total = "(" + " + ".join(f"w{k}" for k in classes) + ")"
     for step in range(1, rounds + 1):
-        accuracies = ", ".join(
-            f"CASE WHEN sum(abs(v{i}) * c) > 0 THEN least({MOST_ACCURACY}, greatest({LEAST_ACCURACY}, sum(c * CASE v{i} WHEN 1 THEN p "
-            f"WHEN -1 THEN 1 - p ELSE 0 END) / sum(abs(v{i}) * c))) ELSE {START_ACCURACY} END AS a{i}" for i in k)
-        steps.append(f"m{step} AS (SELECT least({MOST_SHARE}, greatest({LEAST_SHARE}, sum(c * p) / sum(c))) AS s, {accuracies} FROM "
-                     f"(SELECT patterns.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns, m{step - 1}))")
-    steps.append(f"judged AS (SELECT voted.*, NOT base_failed AND 1 / (1 + exp(-({odds}))) >= 0.5 AS kept FROM voted, m{rounds})")
+        sums = [f"sum(r{k}) AS n{k}" for k in classes]
+        sums += [f"sum(CASE WHEN v{j} = -1 THEN r{k} ELSE 0 END) AS b{k}_{j}, sum(CASE WHEN v{j} <> 0 THEN r{k} ELSE 0 END) AS a{k}_{j}"
+                 for k in classes for j in rules]
+        rows = "(" + " + ".join(f"n{k}" for k in classes) + ")"
+        shares = [bounded(f"n{k}", rows, SHARE) for k in classes[1:]]
+        values = [f"1 - ({' + '.join(shares)}) AS s0"] + [f"{share} AS s{k}" for k, share in zip(classes[1:], shares)]
+        values += [f"{bounded(f'b{k}_{j}', f'a{k}_{j}', _limits(k, j))} AS p{k}_{j}" for k in classes for j in rules]
+        steps.append(f"e{step} AS MATERIALIZED (SELECT {', '.join(sums)} FROM (SELECT *, "
+                     + ", ".join(f"c * w{k} / {total} AS r{k}" for k in classes)
+                     + f" FROM (SELECT patterns.*, {weights} FROM patterns, m{step - 1})))")
+        steps.append(f"m{step} AS MATERIALIZED (SELECT {', '.join(values)} FROM e{step})")
+    steps.append(f"judged AS (SELECT *, NOT base_failed AND w0 / {total} >= 0.5 AS kept FROM "
+                 f"(SELECT voted.*, {weights} FROM voted, m{rounds}))")
     return ",\n".join(steps)

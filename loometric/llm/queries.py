@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometric.llm import decontaminate, encode, near, pii, quality, token_counts
+from loometric.llm import decontaminate, encode, licenses, near, pii, quality, token_counts
 
 # The model file of the two tokenizer queries.
 MODEL = "piece_bpe_32k.model"
@@ -91,3 +91,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), model_path())
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometric.llm import decontaminate, encode, licenses, near, pii, quality, token_counts
+from loometric.llm import decontaminate, encode, licenses, near, pages, pii, quality, token_counts
 
 # The model file of the two tokenizer queries.
 MODEL = "piece_bpe_32k.model"
@@ -96,3 +96,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op3_site_style_tree")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

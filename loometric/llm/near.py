@@ -479,7 +479,8 @@ def _texts_of(texts: DataFrame, members: DataFrame, words: int) -> DataFrame:
         return batch.filter(pa.array(same, pa.bool_()))
 
     rows = over_batches(texts, pack, "id bigint, packed binary")
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("node", "packed")
+    # the same plan at every size: both sides are shuffled and merged
+    found = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted"))).select("node", "packed")
     return over_batches(found, keep, "node string, packed binary")
 
 
@@ -495,6 +496,6 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     found = near_components(docs, id_column, text_column)
     gone = found.where(F.col("component_id") < F.col(id_column)).select(F.col(id_column).alias(f"{id_column}_gone")).distinct()
-    left = docs.join(gone, docs[id_column] == gone[f"{id_column}_gone"], "left_anti")
+    left = docs.join(gone.hint("merge"), docs[id_column] == gone[f"{id_column}_gone"], "left_anti")
     mark = f"copy_{uuid.uuid4().hex}"
     return left.withColumn(mark, F.sha2(F.coalesce(text_column, F.lit("")).cast("binary"), 256)).dropDuplicates([id_column, mark]).drop(mark)

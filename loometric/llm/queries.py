@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometric.llm import decontaminate, encode, licenses, near, pages, pii, quality, token_counts
+from loometric.llm import cotraining, decontaminate, encode, licenses, near, pages, pii, quality, token_counts, toxicity
 
 # The model file of the two tokenizer queries.
 MODEL = "piece_bpe_32k.model"
@@ -102,3 +102,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.main_texts(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op4_cotraining_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

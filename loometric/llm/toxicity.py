@@ -25,8 +25,10 @@ WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 8, 12, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 13
 ROUNDS, BATCH, RATE = 5, 128, 0.01
-# Steps of each round, at least: few labels are gone through more often.
+# Steps of each round, at least.
 LEAST_STEPS = 30
+# Share of words that a training step leaves out, and the pull of word inputs towards zero.
+DROPPED, DECAY = 0.2, 0.02
 # Windows that are scored together, and words whose inputs a task remembers; both only bound memory.
 BLOCK_WINDOWS = 1024
 REMEMBERED = 150_000
@@ -134,10 +136,9 @@ def recurrent(x: np.ndarray, u: np.ndarray, mask: np.ndarray, backward: bool, ke
         z, r = gates[:, :n], gates[:, n:]
         new = np.tanh(x[t, :, 2 * n:] + r * a[:, 2 * n:])
         m = mask[t][:, None]
-        after = (new + z * (h - new)) * m
         if keep is not None:
             keep.append((t, h, z, r, new, a[:, 2 * n:], m))
-        h = after
+        h = h + m * (1 - z) * (new - h)  # a masked step changes nothing
         out[t] = h
     return out
 
@@ -147,14 +148,15 @@ def recurrent_gradient(dout: np.ndarray, u: np.ndarray, kept: list, dx: np.ndarr
     n = u.shape[0]
     carry = np.zeros_like(dout[0])
     for t, h, z, r, new, an, m in reversed(kept):
-        d = (dout[t] + carry) * m
-        dnew = d * (1 - z) * (1 - new * new)
-        dz = d * (h - new) * z * (1 - z)
+        d = dout[t] + carry
+        seen = d * m
+        dnew = seen * (1 - z) * (1 - new * new)
+        dz = seen * (h - new) * z * (1 - z)
         dr = dnew * an * r * (1 - r)
         dx[t, :, :n], dx[t, :, n:2 * n], dx[t, :, 2 * n:] = dz, dr, dnew
         da = np.concatenate((dz, dr, dnew * r), axis=1)
         du += h.T @ da
-        carry = d * z + da @ u.T
+        carry = d - seen * (1 - z) + da @ u.T
 
 
 def window_logits(p: dict[str, np.ndarray], tables: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -249,44 +251,63 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     rng = np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
+    negative = np.flatnonzero(target[owner] == 0)
+    loud = _word_odds(ids, owner, target, len(vocabulary.rows))[ids].max(axis=1)
     for turn in range(rounds):
-        if turn:
-            logits = score_ids(p, project(p, inputs(p, hashes)), ids)
-            best = np.lexsort((-logits, owner))
-            best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
-            some = rng.permutation(len(ids))
-            some = some[target[owner[some]] == 0][:len(best)]
-            chosen = np.concatenate((best, some))
-        else:
-            mixed_up = rng.permutation(len(ids))
-            rank = np.argsort(owner[mixed_up], kind="stable")
-            places = np.arange(len(ids)) - np.searchsorted(owner[mixed_up][rank], owner[mixed_up][rank])
-            chosen = mixed_up[rank][places < 3]
-        for _ in range(max(2, -(-LEAST_STEPS * BATCH // len(chosen)))):
-            shuffled = rng.permutation(chosen)
-            for at in range(0, len(shuffled), BATCH):
-                part = shuffled[at:at + BATCH]
-                used, local = np.unique(ids[part], return_inverse=True)
-                local = local.reshape(ids[part].shape)
-                if used[0] != 0:  # row 0 stays padding
-                    used, local = np.concatenate(([0], used)), local + 1
-                _, g = gradients(p, hashes.take(used), local, target[owner[part]],
-                                 np.where(target[owner[part]] > 0, heavier, np.float32(1)))
-                step += 1
-                for k, v in p.items():
-                    m, s = moment[k]
-                    m += 0.1 * (g[k] - m)
-                    s += 0.01 * (g[k] * g[k] - s)
-                    v -= (RATE * m / (1 - 0.9 ** step) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+        logits = score_ids(p, project(p, inputs(p, hashes)), ids) if turn else loud
+        best = np.lexsort((-logits, owner))
+        best = best[np.concatenate(([True], owner[best][1:] != owner[best][:-1]))]
+        # every window of a clean document is clean; toxic documents are sure of one window only
+        room = max(len(best), LEAST_STEPS * BATCH - 2 * len(best))
+        chosen = np.concatenate((best, best, rng.permutation(negative)[:room]))
+        shuffled = rng.permutation(chosen)
+        for at in range(0, len(shuffled), BATCH):
+            part = shuffled[at:at + BATCH]
+            thinned = np.where(rng.random((len(part), WINDOW)) < DROPPED, 0, ids[part])
+            used, local = np.unique(np.concatenate(([0], thinned.ravel())), return_inverse=True)
+            y = target[owner[part]]
+            _, g = gradients(p, hashes.take(used), local[1:].reshape(thinned.shape), y, np.where(y > 0, heavier, np.float32(1)))
+            step += 1
+            for k, v in p.items():
+                m, s = moment[k]
+                m += 0.1 * (g[k] - m)
+                s += 0.01 * (g[k] * g[k] - s)
+                v -= (RATE * m / (1 - 0.9 ** step) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+                if k in ("word", "char"):
+                    v *= 1 - RATE * DECAY
     return p
 
 
+def _word_odds(ids: np.ndarray, owner: np.ndarray, target: np.ndarray, rows: int) -> np.ndarray:
+    """Log odds of words between toxic and clean documents, by how many of each hold them: a first guess at loud windows."""
+    pairs = np.unique(np.stack((np.repeat(owner, ids.shape[1]), ids.ravel())), axis=1)
+    toxic = np.bincount(pairs[1], weights=target[pairs[0]], minlength=rows)
+    clean = np.bincount(pairs[1], minlength=rows) - toxic
+    odds = np.log((toxic + 0.5) / (target.sum() + 1)) - np.log((clean + 0.5) / ((target == 0).sum() + 1))
+    odds[0] = -1e9  # padding
+    return odds
+
+
 def score_ids(p: dict[str, np.ndarray], tables: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
     if not len(ids):
         return np.zeros(0, np.float32)
     return np.concatenate([window_logits(p, tables, ids[i:i + BLOCK_WINDOWS]) for i in range(0, len(ids), BLOCK_WINDOWS)])
 
 
+def calibrated(p: dict[str, np.ndarray], texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
+    """The network with the line that turns document logits into log odds, fitted on documents it has not learned from."""
+    y = np.array(labels, np.float64)
+    line = np.array([1.0, 0.0])
+    if len(y) and 0 < y.sum() < len(y):
+        x = np.stack((np.array(Scorer(p).logits(texts)), np.ones(len(y))), axis=1)
+        for _ in range(30):
+            q = sigmoid(np.clip(x @ line, -30, 30))
+            step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag([0.5, 0.05]), x.T @ (q - y) + [0.5 * (line[0] - 1), 0.05 * line[1]])
+            line = line - np.clip(step, -1, 1)
+        line[0] = max(line[0], 0.05)
+    return p | {"line": line}
+
+
 class Scorer:
     """Scores documents; remembers the projected inputs of the words it has met."""
 
@@ -311,10 +332,15 @@ class Scorer:
         self.done = n
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Probability of each document by its most toxic window; without words the network's bare bias."""
+        """Probability that each document is toxic."""
+        slope, shift = self.p.get("line", (1.0, 0.0))
+        return sigmoid(np.clip(slope * self.logits(texts) + shift, -50, 50))
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """Logit of each document's most toxic window; without words the network's bare bias."""
         if len(self.vocabulary.rows) > REMEMBERED:
             self._fresh()
-        out = np.full(len(texts), float(sigmoid(self.p["out_bias"][0])))
+        out = np.full(len(texts), float(self.p["out_bias"][0]))
         waiting: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         size = 0
@@ -326,7 +352,7 @@ class Scorer:
                 ids, owner = np.concatenate(waiting), np.concatenate(owners)
                 logits = score_ids(self.p, self.tables, ids)
                 first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                out[owner[first]] = sigmoid(np.maximum.reduceat(logits, first).astype(np.float64))
+                out[owner[first]] = np.maximum.reduceat(logits, first)
                 waiting.clear()
                 owners.clear()
                 size = 0
@@ -348,10 +374,12 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, sample: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``sample`` documents of each class, first by a hash of the id; held-out rows are left out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str,
+                    sample: int) -> list[tuple[str, int, bool]]:
+    """(text, label, set aside) of at most ``sample`` documents of each class, first by a hash of the id.
 
-    An id with several labels counts as toxic if one of them is.
+    Held-out rows are left out; the next fifth of the ids is set aside for calibration. An id with
+    several labels counts as toxic if one of them is.
     """
     known = (labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
              .groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("y")))
@@ -361,8 +389,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_col
         picked = part if picked is None else picked.union(part)
     # at most twice ``sample`` rows of an id and a label: small by its bound
     rows = id_and_text(docs, id_column, text_column).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.max("text").alias("text")).sort("id")
-    found = rows.select("text", "y").collect()
-    return [r["text"] for r in found], [r["y"] for r in found]
+    found = rows.select("text", "y", (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 1).alias("aside")).collect()
+    return [(r["text"], r["y"], r["aside"]) for r in found]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
@@ -372,7 +400,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     Only the text goes into a score. Null and empty texts get the score of no words. Without labels
     of both classes the network stays as it starts. Repeated rows are scored each; an empty table gives an empty result.
     """
-    p = train(*labelled_sample(docs, labels, id_column, text_column, label_column, sample), rounds=rounds)
+    rows = labelled_sample(docs, labels, id_column, text_column, label_column, sample)
+    learned, aside = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    p = train([r[0] for r in learned], [r[1] for r in learned], rounds=rounds)
+    p = calibrated(p, [r[0] for r in aside], [r[1] for r in aside])
     rows = id_and_text(docs, id_column, text_column)
     shipped = rows.sparkSession.sparkContext.broadcast(p)  # a fixed size, under 2 MB
 

@@ -23,6 +23,15 @@ def _hooked(edges: DataFrame) -> DataFrame:
     return small.select("e.a", "e.b").where("a <> b").distinct()
 
 
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether each node has one link, to a smaller node that has none of its own."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+                                          F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into"))
+    worst = nodes.agg(F.max("out"), F.max(F.least("out", "into"))).first()
+    return worst[0] is None or worst[0] <= 1 and worst[1] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links(a, b)``; the root is the smallest node of its component.
 
@@ -30,16 +39,11 @@ def components(links: DataFrame) -> DataFrame:
     with many links is met by aggregates that combine before the shuffle and by joins that
     adaptive execution can split. Each round is written to the shared folder.
     """
-    edges = stored(links.where("a <> b").select("a", "b").distinct(), "links")
-    size = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint"))).first()
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(MAX_ROUNDS):
-        if not size[0]:
+        if _is_flat(edges):
             break
         edges = stored(_hooked(edges), "links")
-        found = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint"))).first()
-        if found == size:
-            break
-        size = found
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

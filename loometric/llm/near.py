@@ -372,7 +372,7 @@ class SetTrie:
 
 
 def _block_join(percent: int, words: int):
-    """Links within one block: rows (cluster, block, node, known, packed text) to (a, b) of nodes.
+    """Groups within one block: rows (cluster, block, node, known, packed text) to (a, b), a node and its group's smallest.
 
     ``known`` names nodes that are connected already.
     """
@@ -389,9 +389,14 @@ def _block_join(percent: int, words: int):
             found[nodes[i]] = number
             groups.setdefault(known[i], number)
             trie.add(sets[i], number)
-        names = list(found)
-        return pa.table({"a": pa.array([names[a] for a, _ in trie.links], pa.string()),
-                         "b": pa.array([names[b] for _, b in trie.links], pa.string())})
+        # a star for each group: its sets with the smallest name
+        least: dict[int, str] = {}
+        for name, number in found.items():
+            root = trie.find(number)
+            least[root] = min(name, least.get(root, name))
+        pairs = [(name, least[trie.find(number)]) for name, number in found.items()]
+        pairs = [(a, b) for a, b in pairs if a != b]
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.string()), "b": pa.array([b for _, b in pairs], pa.string())})
 
     return run
 

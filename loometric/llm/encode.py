@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,9 @@ from loometric.llm.spmodel import (BPE, BYTE, NORMAL, SPACE_MARK, UNKNOWN, USER_
                                    splits_at_spaces)
 
 # Distinct words that a task remembers; only saves work.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+# New words that are encoded as one text.
+JOINED = 64
 # Texts are handed to the library in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 
@@ -67,39 +69,91 @@ def tokenizer_of(model: Model) -> tokenizers.Tokenizer:
 
 
 class Coder:
-    """Texts to ids and back."""
+    """Texts to ids and back. The ids of words that have been met stand in one flat array."""
 
     def __init__(self, data: bytes):
         self.model = parse(data)
         self.tokenizer = tokenizer_of(self.model)
         self.by_word = splits_at_spaces(self.model)
-        self.known: dict[str, list[int]] = {}
-        self.spelling = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(SPACE_MARK, " ").encode()
-                         for text, _, kind in self.model.pieces]
-        self.unknown = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == UNKNOWN}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        spelling = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(SPACE_MARK, " ").encode()
+                    for text, _, kind in self.model.pieces]
+        self.spelled = np.frombuffer(b"".join(spelling), dtype=np.uint8)
+        self.spelled_ends = np.cumsum([len(b) for b in spelling])
+        self.starts_word = np.array([text.startswith(SPACE_MARK) for text, _, _ in self.model.pieces])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Plain ones are encoded many to a text: each begins at a token with a space mark."""
+        alone = [w for w in words if not w or " " in w]
+        plain_ones = [w for w in words if w and " " not in w]
+        found, sizes = [self.ids], [np.diff(self.ends, prepend=0)]
+        joined = [" ".join(plain_ones[i:i + JOINED]) for i in range(0, len(plain_ones), JOINED)]
+        if joined:
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.int32)
+            at = np.flatnonzero(self.starts_word[ids])
+            if len(at) != len(plain_ones):
+                raise ValueError("a token crosses from one word into the next")
+            found.append(ids)
+            sizes.append(np.diff(at, append=len(ids)))
+        for word in alone:
+            # the leading space mark of a word is the one that the normaliser puts before it
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else [self.tokenizer.token_to_id(SPACE_MARK)]
+            found.append(np.array(ids, np.int32))
+            sizes.append(np.array([len(ids)]))
+        first = len(self.rows)
+        self.rows.update(zip(chain(plain_ones, alone), range(first, first + len(words))))
+        self.ids, self.ends = np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
         if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+        if len(self.rows) > REMEMBERED:
+            self._forget()
         words = [_words(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list(set(chain.from_iterable(words)).difference(self.known))
-        if fresh:
-            # the leading space mark of a word is the one that the normaliser puts before it
-            found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            self.known.update((word, e.ids) for word, e in zip(fresh, found))
-            if "" in fresh:
-                self.known[""] = self.tokenizer.encode(" ", add_special_tokens=False).ids and [self.tokenizer.token_to_id(SPACE_MARK)]
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in words]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        total = int(counts.sum())
+        numbers = np.fromiter(map(self.rows.get, chain.from_iterable(words), repeat(-1)), np.int64, total)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            flat = list(chain.from_iterable(words))
+            fresh = [flat[i] for i in missing]
+            self._learn(list(dict.fromkeys(fresh)))
+            numbers[missing] = np.fromiter(map(self.rows.__getitem__, fresh), np.int64, len(fresh))
+        ids, sizes = _gathered(self.ids, self.ends, numbers)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        return ids, np.diff(ends)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, sizes = self.encode_flat(texts)
+        return [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that the pieces spell, in a row, and how many each id has."""
+        return _gathered(self.spelled, self.spelled_ends, ids)
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes that the pieces spell, without the leading space that encoding adds."""
-        out = b"".join(map(self.spelling.__getitem__, ids))
+        """The bytes of one text, without the leading space that encoding adds."""
+        out = self.decode_flat(np.array(ids, np.int64))[0].tobytes()
         return out[1:] if self.model.dummy_prefix and out[:1] == b" " else out
 
 
+def _gathered(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the given rows one after another, and the size of each row; row i ends at ends[i]."""
+    if not len(rows):
+        return values[:0], np.zeros(0, np.int64)
+    sizes = np.diff(ends, prepend=0)[rows]
+    shift = ends[rows] - np.cumsum(sizes)
+    return values[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 _RUNS = re.compile(" *[^ ]+| +$")
 
 
@@ -135,13 +189,10 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
                 while end < len(texts) and (end == first or size + len(texts[end]) <= GROUP_CHARS):
                     size += len(texts[end])
                     end += 1
-                group = coder.encode(texts[first:end])
-                same = [coder.decode(ids) == plain(coder, text) for ids, text in zip(group, texts[first:end])]
-                sizes = np.fromiter(map(len, group), np.int32, len(group))
-                flat = np.fromiter(chain.from_iterable(group), np.int32, int(sizes.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+                ids, sizes = coder.encode_flat(texts[first:end])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, end - first), lists, pa.array(sizes.astype(np.int64)), pa.array(same)],
+                    [batch.column("id").slice(first, end - first), lists, pa.array(sizes), pa.array(_same(coder, ids, sizes, texts[first:end]))],
                     names=["id", "ids", "n_tokens", "same"])
                 first = end
 
@@ -149,11 +200,21 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
+def _same(coder: Coder, ids: np.ndarray, sizes: np.ndarray, texts: list[str]) -> list[bool]:
+    """For each text whether its ids spell it."""
+    spelled, lengths = coder.decode_flat(ids)
+    ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+    data = spelled.tobytes()
+    return [data[a:b] == plain(coder, text) for a, b, text in zip(ends, ends[1:], texts)]
+
+
 def plain(coder: Coder, text: str) -> bytes:
-    """What decoding should give."""
+    """What the ids of a text should spell, the leading space included."""
+    if not text:
+        return b""
     if not coder.by_word and coder.tokenizer.normalizer is not None:
-        text = coder.tokenizer.normalizer.normalize_str(text)[1 if coder.model.dummy_prefix and text else 0:]
-    return text.replace(SPACE_MARK, " ").encode()
+        return coder.tokenizer.normalizer.normalize_str(text).replace(SPACE_MARK, " ").encode()
+    return f" {text}".replace(SPACE_MARK, " ").encode()
 
 
 def decoded(tokens: DataFrame, model_path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

@@ -28,6 +28,3 @@ LAW_MARK = "İlgili Yasa:"
 
 # Smallest positive normal double: stands in for a zero n-gram precision in BLEU (fixed value).
 SMALLEST_NORMAL = 2.2250738585072014e-308
-
-# Class names stand in memory as literals or as one scalar value, so their number is checked.
-MAX_CLASSES = 10_000

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loometric.fixed import IGNORE_ID, MAX_CLASSES
+from loometric.fixed import IGNORE_ID
 
 AVERAGES = ("weighted", "macro", "binary")
 
@@ -37,26 +37,19 @@ def _dense(counts: DataFrame, zeros: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str, labels: Sequence | None = None) -> DataFrame:
-    """Dense counts, one row per cell with zeros kept.
+    """Counts per cell.
 
-    With ``labels`` the matrix covers exactly these, otherwise all labels seen in
-    either column.
+    With ``labels`` the matrix covers exactly these, zeros filled in. Otherwise it has the
+    cells that occur, for any number of labels; ``seen_labels`` of it lists them.
     """
     counts = pair_counts(df, truth, predicted)
-    if labels is not None:
-        wanted = F.array(*[F.lit(x) for x in labels])
-        zeros = (df.sparkSession.range(1).select(F.explode(wanted).alias("truth"))
-                 .select("truth", F.explode(wanted).alias("predicted"))
-                 .withColumn("n", F.lit(0).cast("bigint")))
-        counts = counts.filter(F.col("truth").isin(*labels) & F.col("predicted").isin(*labels))
-        return _dense(counts, zeros)
-    # asking for the count keeps both uses of the counts alike, so that Spark makes them once
-    seen = seen_labels(counts.filter(F.col("n") > 0))
-    too_many = F.raise_error(F.lit("too many classes for a dense matrix: use pair_counts"))
-    names = seen.limit(MAX_CLASSES + 1).agg(
-        F.when(F.count(F.lit(1)) > MAX_CLASSES, too_many).otherwise(F.collect_list("label"))).scalar()
-    zeros = seen.select(F.col("label").alias("truth"), F.explode(names).alias("predicted"),
-                        F.lit(0).cast("bigint").alias("n"))
+    if labels is None:
+        return counts
+    wanted = F.array(*[F.lit(x) for x in labels])
+    zeros = (df.sparkSession.range(1).select(F.explode(wanted).alias("truth"))
+             .select("truth", F.explode(wanted).alias("predicted"))
+             .withColumn("n", F.lit(0).cast("bigint")))
+    counts = counts.filter(F.col("truth").isin(*labels) & F.col("predicted").isin(*labels))
     return _dense(counts, zeros)
 
 

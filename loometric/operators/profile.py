@@ -39,11 +39,11 @@ def word_count_stats(df: DataFrame, messages_col: str = "messages", split_col: s
 def leaderboard(scores: DataFrame, run_col: str = "run", score_col: str = "score") -> DataFrame:
     """Mean, median and sample deviation of whole-number scores per run, best mean first.
 
-    Rows shrink to one per (run, score) before anything is ordered, and the sums are
+    Scores with a fraction are no judge's scores and are left out, as nulls are. Rows shrink to one per (run, score) before anything is ordered, and the sums are
     exact, so the result does not depend on partitioning. Runs without a score vanish.
     """
     wide = "decimal(38,0)"
-    levels = (scores.filter(F.col(score_col).isNotNull())
+    levels = (scores.filter(F.col(score_col).isNotNull() & (F.col(score_col).cast("bigint") == F.col(score_col)))
               .groupBy(F.col(run_col).alias("run"), F.col(score_col).cast("bigint").alias("score"))
               .agg(F.count(F.lit(1)).alias("n")))
     by_score = W.partitionBy("run").orderBy("score")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from loometric.fixed import MAX_CLASSES
-
 SALTS = 16
 
 
@@ -22,10 +20,13 @@ def digest(*columns: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
-def _row_salt(df: DataFrame, salts: int) -> Column:
-    # hashing the row keeps the salt the same when a lost task is run again
-    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
-    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+def _row_salt(df: DataFrame, salts: int, row_key: str | None = None) -> Column:
+    """A salt that copies of a row do not share where they lie in different partitions, or have different row keys.
+
+    It depends on the row and its partition alone, so it is the same when a lost task is run again.
+    """
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)] if row_key is None else [row_key]
+    return F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(salts)).cast("int")
 
 
 def _keep_or_drop(df: DataFrame, keys: DataFrame, key: Column, how: str, salts: int) -> DataFrame:
@@ -43,14 +44,17 @@ def _keep_or_drop(df: DataFrame, keys: DataFrame, key: Column, how: str, salts:
 
 
 def pending(items: DataFrame, done: DataFrame, on: str = "input", order_key: str | None = None,
-            duplicates: str = "each", salts: int = SALTS) -> DataFrame:
+            duplicates: str = "each", salts: int = SALTS, done_digest: str | None = None) -> DataFrame:
     """Rows of ``items`` whose text is not yet in ``done``.
 
+    ``done_digest`` names a column of ``done`` with the digests of its texts, which then need not be read.
+
     ``duplicates="each"`` keeps every copy of a text. ``"once"`` keeps the copy with
     the smallest ``order_key``, which must be unique: the copies are decided on
     (digest, key) pairs and only then are whole rows fetched by key.
     """
-    seen = done.select(digest(F.col(on)).alias("_key")).distinct()
+    known = digest(F.col(on)) if done_digest is None else F.coalesce(done_digest, F.lit(""))
+    seen = done.select(known.alias("_key")).distinct()
     if duplicates == "each":
         return _keep_or_drop(items, seen, digest(F.col(on)), "left_anti", salts)
     if duplicates != "once" or order_key is None:
@@ -81,20 +85,9 @@ def zip_tables(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "inner")
 
 
-def label_map(labels: Mapping | DataFrame, key: str = "name", value: str = "id") -> Column:
-    """Lookup map of a label dictionary.
-
-    A Python mapping becomes a literal. A table becomes one map value, whose number of
-    entries is checked, so that a frequent label never skews a join.
-    """
-    if isinstance(labels, Mapping):
-        if len(labels) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} labels: join the label table instead")
-        return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    few = labels.select(key, value).limit(MAX_CLASSES + 1)
-    too_many = F.raise_error(F.lit("too many labels: join the label table instead"))
-    return few.agg(F.when(F.count(F.lit(1)) > MAX_CLASSES, too_many).otherwise(
-        F.map_from_entries(F.collect_list(F.struct(key, value))))).scalar()
+def label_map(labels: Mapping) -> Column:
+    """A label dictionary as a literal map; a table of labels is joined by ``encode_labels`` and ``decode_labels``."""
+    return F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
 
 
 def lookup(labels: Column, key: Column, strict: bool = False) -> Column:
@@ -126,8 +119,9 @@ def _joined_lookup(df: DataFrame, labels: DataFrame, column: str, key: str, valu
 
     Spark broadcasts the table when it measures it as small. Otherwise rows of a
     frequent label are spread over salts, with the label table repeated once per salt.
+    A key that is there more than once has its smallest value, so rows are never multiplied.
     """
-    table = labels.select(F.col(key).alias("_key"), F.col(value).alias("_value")).withColumn(
+    table = labels.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_value")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = df.withColumns({"_key": F.col(column), "_salt": _row_salt(df, SALTS)})
     joined = left.join(table, ["_key", "_salt"], "left")
@@ -140,11 +134,22 @@ def _joined_lookup(df: DataFrame, labels: DataFrame, column: str, key: str, valu
 
 
 def intersect_inputs(first: DataFrame, *others: DataFrame, on: str = "input") -> DataFrame:
-    """Distinct inputs found in all tables."""
-    result = first.select(on).distinct()
-    for other in others:
-        result = result.intersect(other.select(on))
-    return result
+    """Distinct inputs found in all tables, by one grouping of their union."""
+    tagged = None
+    for i, df in enumerate((first, *others)):
+        part = df.select(on, F.lit(i).alias("_table"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    return intersect_runs(tagged, "_table", on, 1 + len(others))
+
+
+def intersect_runs(runs: DataFrame, run_col: str = "run", on: str = "input", n_runs: int | None = None) -> DataFrame:
+    """Distinct inputs found in every run of one table; ``n_runs`` if their number is known.
+
+    (input, run) pairs are reduced before the shuffle, and the runs of one input are counted in one scan.
+    """
+    pairs = runs.select(on, run_col).distinct()
+    wanted = F.lit(n_runs) if n_runs is not None else runs.select(F.count_distinct(run_col)).scalar()
+    return pairs.groupBy(on).agg(F.count(F.lit(1)).alias("_runs")).filter(F.col("_runs") == wanted).select(on)
 
 
 def union_labels(*columns: tuple[DataFrame, str], into: str = "label") -> DataFrame:

@@ -55,11 +55,10 @@ def parse_structured_response(df: DataFrame, response_col: str = "response", tok
     ``no_response``, ``bad_json``, ``bad_shape``, ``length_mismatch``, ``missing_label``.
     """
     staged = computed(df, _json=F.try_parse_json(F.col(response_col)))
-    is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
+    is_object = F.try_variant_get("_json", "$", "map<string,variant>").isNotNull()
     staged = computed(staged, _object=is_object,
                       _items=F.when(is_object, F.try_variant_get("_json", f"$.{list_key}", "variant")))
-    listed = F.coalesce(F.schema_of_variant("_items").startswith("ARRAY"), F.lit(False))
-    staged = computed(staged, _list=F.when(listed, F.try_variant_get("_items", "$", "array<variant>")).when(
+    staged = computed(staged, _list=F.when(F.col("_items").isNotNull(), F.try_variant_get("_items", "$", "array<variant>")).when(
         F.col("_object") & F.col("_items").isNull(), F.array().cast("array<variant>")))
     staged = computed(staged, _tags=F.transform("_list", lambda v: F.try_variant_get(v, f"$.{label_key}", "string")))
     reason = (

@@ -34,22 +34,30 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> Data
 def sample_exact(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """Exactly ``floor(rows * fraction)`` rows, those with the smallest hashes of a unique key.
 
-    A histogram over leading hash digits finds the one bucket that the cut falls into,
-    and only keys of that bucket are ranked. Whole rows are read once, for a plain
-    comparison with the cut.
+    A histogram over leading hash digits finds the one bucket that the cut falls into, and a
+    second one over further digits a bucket of that bucket. Only its keys, one in four
+    billion, are ranked; all others are dropped before any exchange. Whole rows are
+    read once, for a plain comparison with the cut.
     """
     hashed = seeded_hash(F.col(key), seed)
     keys = df.select(hashed.alias("_hash")).withColumn("_bucket", _leading_bits(F.col("_hash"), 4))
-    sizes = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 65,536 rows, so a single ordered pass is bounded
-    placed = sizes.select(
-        "_bucket", F.sum("_n").over(W.orderBy("_bucket")).alias("_upto"), "_n",
-        F.floor(F.sum("_n").over(W.partitionBy(F.lit(0))) * F.lit(fraction)).alias("_want"))
-    edge = placed.filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
-    ranked = (keys.join(edge, "_bucket")
-              .withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_hash"))
-                          + F.col("_upto") - F.col("_n")))
-    cut = ranked.filter(F.col("_rank") <= F.col("_want")).select(F.max("_hash")).scalar()
+
+    def edge_of(sizes: DataFrame, wanted: Column) -> Column:
+        """The bucket of the cut and the rows still wanted in it; at most 65,536 rows are ordered in one pass."""
+        placed = sizes.select("_bucket", F.sum("_n").over(W.orderBy("_bucket")).alias("_upto"), "_n",
+                              F.sum("_n").over(W.partitionBy(F.lit(0))).alias("_all"))
+        found = placed.select("_bucket", "_upto", "_n", wanted.alias("_want")).filter(
+            (F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+        return found.select(F.struct("_bucket", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left"))).scalar()
+
+    count = F.count(F.lit(1)).alias("_n")
+    first = edge_of(keys.groupBy("_bucket").agg(count), F.floor(F.col("_all") * F.lit(fraction)))
+    finer = (keys.filter(F.col("_bucket") == first["_bucket"])
+             .withColumn("_bucket", F.conv(F.substr("_hash", F.lit(5), F.lit(4)), 16, 10).cast("bigint")))
+    second = edge_of(finer.groupBy("_bucket").agg(count), first["_left"])
+    ranked = finer.filter(F.col("_bucket") == second["_bucket"]).select(
+        "_hash", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_hash")).alias("_rank"))
+    cut = ranked.filter(F.col("_rank") <= second["_left"]).select(F.max("_hash")).scalar()
     return df.filter(hashed <= cut)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,14 +71,8 @@ def match_entities(df: DataFrame, true_col: str = "true", pred_col: str = "pred"
             s["label"].alias("label"), split_words(normalize_text(s["text"])).alias("words")))
 
     df = computed(df, _t=worded(F.col(true_col)), _p=worded(F.col(pred_col)))
-    # true spans that fit each prediction, found before the order-dependent pass
-    df = computed(df, _fits=F.transform("_p", lambda p: F.filter(
-        F.transform("_t", lambda t, j: F.when(
-            (t["label"] == p["label"]) & F.arrays_overlap(t["words"], p["words"]), j)),
-        lambda j: j.isNotNull())))
     # the taken index of each prediction, -1 without one
-    df = computed(df, _taken=F.aggregate("_fits", F.array().cast("array<int>"), lambda taken, fits: F.concat(
-        taken, F.array(F.coalesce(F.get(F.array_except(fits, taken), F.lit(0)), F.lit(-1))))))
+    df = df.withColumn("_taken", _taken("_t.label", "_t.words", "_p.label", "_p.words"))
 
     def pair(truth: Column, predicted: Column) -> Column:
         return F.struct(truth.alias("truth"), predicted.alias("predicted"))
@@ -86,7 +82,37 @@ def match_entities(df: DataFrame, true_col: str = "true", pred_col: str = "pred"
         F.when(F.get("_taken", i) >= 0, p["label"]).otherwise(none), p["label"]))
     missed = F.transform(F.array_except(F.transform("_t", lambda t, j: j), F.col("_taken")),
                          lambda j: pair(F.get("_t", j)["label"], none))
-    return computed(df, **{into: F.concat(hits, missed)}).drop("_t", "_p", "_fits", "_taken")
+    return computed(df, **{into: F.concat(hits, missed)}).drop("_t", "_p", "_taken")
+
+
+@F.pandas_udf("array<int>")
+def _taken(true_labels: pd.Series, true_words: pd.Series, labels: pd.Series, words: pd.Series) -> pd.Series:
+    """For each prediction in order the first free true span of its label with a shared word, else -1.
+
+    True spans are listed by label and word, and a taken one leaves its lists when it comes up: the work
+    grows with the number of words, not with pairs of spans.
+    """
+    def match(true_labels, true_words, labels, words):
+        if true_labels is None or labels is None:
+            return None
+        places: dict[tuple, deque] = {}
+        for j, (label, own) in enumerate(zip(true_labels, true_words)):
+            for word in set(own) if label is not None and own is not None else ():
+                places.setdefault((label, word), deque()).append(j)
+        used, found = set(), []
+        for label, own in zip(labels, words):
+            first = -1
+            for word in set(own) if label is not None and own is not None else ():
+                free = places.get((label, word))
+                while free and free[0] in used:
+                    free.popleft()
+                if free and (first < 0 or free[0] < first):
+                    first = free[0]
+            used.add(first)
+            found.append(first)
+        return found
+
+    return pd.Series([match(*row) for row in zip(true_labels, true_words, labels, words)])
 
 
 def entity_overlap_scores(df: DataFrame, true_col: str = "true", pred_col: str = "pred") -> DataFrame:
@@ -136,10 +162,10 @@ def extract_qa(sheet: DataFrame, source_col: str = "source", row_col: str = "row
 
 
 def merge_subwords(subwords: Column, offsets: Column, predictions: Column, labels: Column,
-                   max_length: int | None = 256, word_start: str = WORD_START) -> Column:
+                   max_length: int | None = None, word_start: str = WORD_START) -> Column:
     """One label per word: position 1 and marked subwords count, empty offsets do not.
 
-    ``max_length`` cuts the sequence as the model's input limit does.
+    ``max_length``, when given, cuts the sequence as a model's input limit does.
     """
     zipped = F.arrays_zip(subwords.alias("subword"), offsets.alias("offset"), predictions.alias("pred"))
     if max_length is not None:

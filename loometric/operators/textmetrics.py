@@ -15,6 +15,7 @@ from loometric.functions.stage import computed
 from loometric.functions.text import let, split_words
 
 VECTOR_BLOCK = 512
+BLOCK_SALTS = 16
 
 
 def rouge_words(text: Column, unicode: bool = False) -> Column:
@@ -136,23 +137,31 @@ def embedding_match_pairs(vectors: DataFrame, pair_col: str = "pair_id", side_co
                           pos_col: str = "pos", vec_col: str = "vec", block: int = VECTOR_BLOCK) -> DataFrame:
     """Greedy-matching precision, recall and F1 per pair from token vectors.
 
-    Tokens are packed into blocks of at most ``block`` positions. Only blocks of one
-    pair meet, and each meeting gives one best value per token, so token pairs are
-    never rows and a very long pair is spread over many tasks.
+    Tokens are packed into blocks of at most ``block`` positions. Blocks of one pair
+    meet by both block numbers, so a very long pair is spread over many tasks; each
+    meeting gives one best value per token, so token pairs are never rows.
     """
-    packed = (vectors.groupBy(pair_col, side_col, F.floor(F.col(pos_col) / block).alias("_block"))
+    place = F.floor(F.col(pos_col) / block).cast("int")
+    packed = (vectors.groupBy(pair_col, side_col, place.alias("_block"))
               .agg(F.collect_list(F.struct(F.col(pos_col).alias("pos"), F.col(vec_col).cast("array<double>")
                                            .alias("vec"))).alias("_items")))
+    # the last block of each side: one narrow row per pair, salted since a pair may have very many blocks
+    ends = vectors.groupBy(pair_col).agg(*[F.max(F.when(F.col(side_col) == name, place)).alias(f"_{name}_end")
+                                           for name in ("candidate", "reference")])
+    salted = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1))))
+    placed = packed.withColumn("_salt", F.pmod("_block", F.lit(BLOCK_SALTS))).join(salted, [pair_col, "_salt"])
 
-    def side(name: str) -> DataFrame:
-        return packed.filter(F.col(side_col) == name).select(
-            pair_col, F.col("_items.pos").alias(f"_{name}_pos"), F.col("_items.vec").alias(f"_{name}_vec"))
+    def side(name: str, other: str) -> DataFrame:
+        return placed.filter(F.col(side_col) == name).select(
+            pair_col, F.col("_items.pos").alias(f"_{name}_pos"), F.col("_items.vec").alias(f"_{name}_vec"),
+            F.col("_block").alias(f"_{name}_block"), F.explode(F.sequence(F.lit(0), f"_{other}_end")).alias(f"_{other}_block"))
 
     def marked(name: str) -> Column:
         return F.zip_with(F.col(f"_{name}_pos"), F.col("_best")[name], lambda pos, best: F.struct(
             F.lit(name).alias("side"), pos.alias("pos"), best.alias("best")))
 
-    met = side("candidate").join(side("reference"), pair_col).withColumn(
+    met = side("candidate", "reference").join(
+        side("reference", "candidate"), [pair_col, "_candidate_block", "_reference_block"]).withColumn(
         "_best", _best_matches("_candidate_vec", "_reference_vec"))
     best = met.select(pair_col, F.inline(F.concat(marked("candidate"), marked("reference"))))
     tokens = best.groupBy(pair_col, "side", "pos").agg(F.max("best").alias("best"))

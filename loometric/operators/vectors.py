@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from loometric.fixed import IGNORE_ID
 from loometric.functions.numeric import bce_with_logits, cross_entropy
@@ -17,14 +18,24 @@ def eval_loss(df: DataFrame, prediction_col: str, label_col: str, kind: str = "c
               ignore: int = IGNORE_ID) -> DataFrame:
     """Mean loss of a prediction table.
 
-    ``cross_entropy``         logit array against a class id, ignored ids left out
-    ``squared_error``         number against number
+    ``cross_entropy``         logit array against a class id, ignored ids left out; any other id
+                              outside the logits raises
+    ``squared_error``         number against number, or array against an array of the same length
     ``binary_cross_entropy``  logit array against a 0/1 array
     """
     prediction, label = F.col(prediction_col), F.col(label_col)
     if kind == "cross_entropy":
-        return df.filter(label != ignore).agg(F.avg(cross_entropy(prediction, label)).alias("loss"))
+        known = (label >= 0) & (label < F.size(prediction))
+        loss = F.when(known, cross_entropy(prediction, label)).otherwise(F.raise_error(
+            F.concat(F.lit("label outside the logits: "), label.cast("string"))))
+        return df.filter(label != ignore).agg(F.avg(loss).alias("loss"))
     if kind == "squared_error":
+        if isinstance(df.schema[label_col].dataType, ArrayType):
+            # the mean runs over all numbers of all vectors
+            same = F.when(F.size(prediction) == F.size(label), F.zip_with(prediction, label, lambda p, y: (p - y) * (p - y)))
+            squares = F.coalesce(same, F.raise_error(F.lit("vectors of different lengths")))
+            part = df.select(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b.cast("double")).alias("_sum"), F.size(label).alias("_n"))
+            return part.agg((F.sum("_sum") / F.sum("_n")).alias("loss"))
         error = prediction.cast("double") - label.cast("double")
         return df.agg(F.avg(error * error).alias("loss"))
     if kind == "binary_cross_entropy":

@@ -134,7 +134,7 @@ def append_results(spark, sf_dir):
     for part in (labelled(spark, sf_dir, items), items):
         score.resume_scoring(part, length_model, f"{folder}/results", f"{folder}/failures",
                              order_key="doc_id", duplicates="once")
-    return spark.read.parquet(f"{folder}/results")
+    return spark.read.parquet(f"{folder}/results").drop(score.BATCH, score.DIGEST)
 
 
 @query("score_stream", SQL_SCORED_ONCE)
@@ -147,7 +147,7 @@ def score_stream(spark, sf_dir):
         score.score_stream(spark, f"{folder}/incoming", "doc_id bigint, input string", length_model,
                            f"{folder}/results", f"{folder}/failures", f"{folder}/checkpoint",
                            order_key="doc_id", duplicates="once")
-    return spark.read.parquet(f"{folder}/results")
+    return spark.read.parquet(f"{folder}/results").drop(score.BATCH, score.DIGEST)
 
 
 @query("scoring_throughput", "SELECT count(*) AS rows, true AS timed FROM documents")
@@ -173,22 +173,39 @@ def classify(spark, sf_dir):
         F.array_max(fn.softmax(F.col("logits"))).alias("top_share")), "top_share")
 
 
+def part_of(text: str):
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % 5
+
+
+SQL_PART = "('0x' || substr(md5(text), 1, 8))::BIGINT % 5"
+
+
 def trained(spark, sf_dir):
     """The whole labelled table in two parts that a stable hash of the text decides."""
-    df = v.fx_text(spark, sf_dir).withColumn("_part", F.pmod(F.xxhash64("text"), F.lit(5)))
+    df = v.fx_text(spark, sf_dir).withColumn("_part", part_of("text"))
     fit, check = df.filter("_part > 0").drop("_part"), df.filter("_part = 0").drop("_part")
     model, table = train.train_text_classifier(fit, check, regularizations=(0.01, 0.1), features=1 << 14, iterations=10)
-    return model, table, df.drop("_part")
+    return model, table, fit, check
 
 
-@query("train_text_classifier")
+@query("train_text_classifier", f"""
+    WITH parts AS (SELECT {SQL_PART} AS part FROM documents JOIN labels USING (doc_id)),
+    sizes AS (SELECT count(*) FILTER (part > 0) AS fit_rows, count(*) FILTER (part = 0) AS check_rows FROM parts)
+    SELECT run, fit_rows, check_rows, true AS scores_in_range FROM sizes, (VALUES ('reg=0.01'), ('reg=0.1')) AS runs(run)
+""")
 def train_text_classifier(spark, sf_dir):
-    _, table, _ = trained(spark, sf_dir)
-    return table
+    """One row per candidate; SQL can state the parts, and that every score is a share."""
+    _, table, fit, check = trained(spark, sf_dir)
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1")]
+    sizes = fit.agg(F.count(F.lit(1))).scalar(), check.agg(F.count(F.lit(1))).scalar()
+    return table.select("run", sizes[0].alias("fit_rows"), sizes[1].alias("check_rows"),
+                        (shares[0] & shares[1] & shares[2] & shares[3]).alias("scores_in_range"))
 
 
-@query("predict_classes")
+@query("predict_classes", "SELECT doc_id, true AS known_class, 1.0::DOUBLE AS total FROM documents")
 def predict_classes(spark, sf_dir):
-    model, _, df = trained(spark, sf_dir)
-    scored = train.predict_classes(model, df.select("doc_id", "text"))
-    return scored.select("doc_id", "predicted", F.round(F.get("probabilities", F.lit(1)), 6).alias("share"))
+    """All documents, labelled or not; SQL can state that each has a class and shares that sum to one."""
+    model, *_ = trained(spark, sf_dir)
+    scored = train.predict_classes(model, v.documents(spark, sf_dir, "text"))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+    return scored.select("doc_id", F.col("predicted").isin(0, 1).alias("known_class"), F.round(total, 6).alias("total"))

@@ -96,8 +96,7 @@ def decode_labels(spark, sf_dir):
     SELECT input FROM fx_runs GROUP BY input HAVING count(DISTINCT run) = 5
 """, ("fx_runs",))
 def intersect_inputs(spark, sf_dir):
-    runs = v.fx_runs(spark, sf_dir).select("run", "input")
-    return relate.intersect_inputs(*[runs.filter(F.col("run") == name) for name in v.RUNS])
+    return relate.intersect_runs(v.fx_runs(spark, sf_dir), n_runs=len(v.RUNS))
 
 
 @query("union_labels", """
@@ -129,10 +128,8 @@ def confusion_matrix_fixed(spark, sf_dir):
 
 
 @query("confusion_matrix_seen", """
-    WITH pairs AS (SELECT unnest(tags) AS t, unnest(pred_tags) AS p FROM fx_parsed WHERE broken_reason IS NULL),
-    used AS (SELECT t AS x FROM pairs UNION SELECT p FROM pairs)
-    SELECT a.x AS truth, b.x AS predicted, count(pairs.t) AS n
-    FROM used a JOIN used b ON true LEFT JOIN pairs ON pairs.t = a.x AND pairs.p = b.x GROUP BY a.x, b.x
+    WITH pairs AS (SELECT unnest(tags) AS t, unnest(pred_tags) AS p FROM fx_parsed WHERE broken_reason IS NULL)
+    SELECT t AS truth, p AS predicted, count(*) AS n FROM pairs GROUP BY t, p
 """, ("fx_parsed",))
 def confusion_matrix_seen(spark, sf_dir):
     good = responses.parse_structured_response(v.fx_structured(spark, sf_dir)).filter("broken_reason IS NULL")

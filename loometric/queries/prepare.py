@@ -37,9 +37,8 @@ def read_splits(spark, sf_dir):
 """, ("fx_words",))
 def write_splits(spark, sf_dir):
     df = v.fx_io(spark, sf_dir).select("doc_id", "split", F.col("input").alias("text"))
-    parts = {name: df.filter(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
     path = shared_folder(spark, "dataset")
-    io.write_splits(parts, path)
+    io.write_splits(df, path)
     return io.read_splits(spark, path).select("doc_id", F.col("split").cast("string").alias("split"), "text")
 
 

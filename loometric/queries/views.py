@@ -6,7 +6,6 @@ of several forms; none leaves rows out.
 
 from __future__ import annotations
 
-from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,37 +22,13 @@ SYSTEM_PROMPT = "Summarize the text."
 RUNS = ("click", "error", "purchase", "signup", "view")
 
 
-SPREAD_BYTES = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _stored_bytes(path: str) -> int | None:
-    """Stored size of a table, None where it cannot be told."""
-    try:
-        files, inside = FileSystem.from_uri(path)
-        found = files.get_file_info(inside)
-        if found.type == FileType.Directory:
-            return sum(f.size or 0 for f in files.get_file_info(FileSelector(inside, recursive=True)))
-        return found.size
-    except (OSError, ValueError):
-        return None
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents for work that is heavy per row.
-
-    A small table may sit in one row group, which one task would read and work on
-    alone. Up to a checked size it is spread over the cores; a big table has many
-    row groups and is used as it is scanned.
-    """
-    df = table(spark, sf_dir, "documents").select("doc_id", *columns)
-    size = _stored_bytes(f"{sf_dir}/documents.parquet")
-    if size is not None and size <= SPREAD_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    return df
+    """Documents as they are scanned, whatever their number; split sizes are settings of the session."""
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
 # --- SQL pieces -------------------------------------------------------------------

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: str = "8", checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -18,20 +17,16 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
-    The setting names storage that every executor sees. Only a local master may run
-    without it; then a temporary checkpoint folder is set for the session.
+    Where that is unset, the warehouse (``spark.sql.warehouse.dir``) is used: both settings
+    name storage that the driver and every executor see.
     """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loometric-"))
-        base = context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
-from loometric.operators.relate import pending
+from loometric.operators.relate import digest, pending
 from loometric.sources.io import append_results, read_results
 
 Model = Callable[[list[str]], Iterable[str | None]]
@@ -49,8 +51,8 @@ def score_batches(df: DataFrame, model: Callable[[], Model], prompt_col: str, ba
     """Adds ``response`` and ``error`` from a user's model.
 
     ``model`` is called once per task and returns a function from a list of prompts to
-    responses. When a batch fails, its rows are tried one by one, so that only the bad
-    ones carry an error.
+    responses. A batch that fails is tried again in halves, down to single rows, so that
+    only the bad ones carry an error and the good ones meet the model a few times at most.
     """
     schema = StructType(list(df.schema.fields)).add("response", "string").add("error", "string")
 
@@ -63,7 +65,8 @@ def score_batches(df: DataFrame, model: Callable[[], Model], prompt_col: str, ba
         except Exception as problem:  # a user's model may raise anything
             if len(prompts) == 1:
                 return [(None, f"{type(problem).__name__}: {problem}")]
-            return [pair for prompt in prompts for pair in attempt(answer, [prompt])]
+            half = len(prompts) // 2
+            return attempt(answer, prompts[:half]) + attempt(answer, prompts[half:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = model()
@@ -103,24 +106,81 @@ def classify(df: DataFrame, model: Callable[[], Callable[[list[str]], Iterable[l
     return df.mapInPandas(run, schema)
 
 
+BATCH, DIGEST, AGAIN = "batch", "input_digest", "_again"
+
+
 def resume_scoring(items: DataFrame, model: Callable[[], Model], results_path: str, failures_path: str,
                    prompt_col: str = "input", order_key: str | None = None, duplicates: str = "each",
-                   save_failures: bool = False) -> None:
+                   save_failures: bool = False, run_id: str = "default") -> None:
     """Score the items whose text is not in the result table, and append them to it.
 
-    The scored batch is written once, failures included, and both tables are filled
-    from that copy, so the model sees each row once.
+    Items that failed before and have no result yet are tried again along with the new ones, unless
+    ``save_failures`` counts a failure as a result. Each scored batch has its own folder and name, and is
+    logged before it is appended; a run that was stopped in between, with the same ``run_id``,
+    first appends what is missing, without asking the model again. Results carry a digest of their
+    text: what is done already is read from this column alone.
     """
     spark = items.sparkSession
-    kept_schema = StructType(list(items.schema.fields)).add("response", "string")
-    done = read_results(spark, results_path, kept_schema)
-    todo = pending(items, done, prompt_col, order_key, duplicates)
-    scored = score_batches(todo, model, prompt_col)
-    batch_path = f"{results_path.rstrip('/')}_last_batch"
-    scored.write.mode("overwrite").parquet(batch_path)
-    written = spark.read.schema(scored.schema).parquet(batch_path)
-    append_results(dead_letters(written, prompt_col), failures_path)
-    append_results(scored_rows(written, save_failures), results_path)
+    paths = _Paths(results_path, failures_path)
+    for batch, _ in _unfinished(spark, paths, run_id):
+        _finish(spark, paths, run_id, batch, items.schema, prompt_col, save_failures)
+    done = read_results(spark, results_path, StructType().add(DIGEST, "string"))
+    todo = items.withColumn(AGAIN, F.lit(False))
+    if not save_failures:
+        mine = items.select(digest(F.col(prompt_col)).alias("_key")).distinct()
+        failed = read_results(spark, paths.failed_items, items.schema).select(*items.columns)
+        failed = failed.withColumn("_key", digest(F.col(prompt_col))).join(mine, "_key", "left_anti").drop("_key")
+        todo = todo.unionByName(failed.withColumn(AGAIN, F.lit(True)))
+    scored = score_batches(pending(todo, done, prompt_col, order_key, duplicates, done_digest=DIGEST), model, prompt_col)
+    batch = f"b{uuid.uuid4().hex}"
+    scored.write.parquet(paths.batch(batch))
+    _log(spark, paths, run_id, batch, "scored")
+    _finish(spark, paths, run_id, batch, items.schema, prompt_col, save_failures)
+
+
+@dataclass(frozen=True)
+class _Paths:
+    results: str
+    failures: str
+
+    @property
+    def log(self) -> str:
+        return f"{self.results.rstrip('/')}_log"
+
+    @property
+    def failed_items(self) -> str:
+        return f"{self.failures.rstrip('/')}_items"
+
+    def batch(self, name: str) -> str:
+        return f"{self.results.rstrip('/')}_batches/{name}"
+
+
+LOG_SCHEMA = "run_id string, batch string, state string"
+
+
+def _log(spark: SparkSession, paths: _Paths, run_id: str, batch: str, state: str) -> None:
+    append_results(spark.createDataFrame([(run_id, batch, state)], LOG_SCHEMA), paths.log)
+
+
+def _unfinished(spark: SparkSession, paths: _Paths, run_id: str) -> list[tuple[str, int]]:
+    """Batches of this run that were scored and not appended in full: one at most after each stop."""
+    log = read_results(spark, paths.log, LOG_SCHEMA).filter(F.col("run_id") == run_id)
+    states = log.groupBy("batch").agg(F.count_distinct("state").alias("states"))
+    return [(r["batch"], r["states"]) for r in states.filter("states < 2").collect()]
+
+
+def _finish(spark: SparkSession, paths: _Paths, run_id: str, batch: str, schema: StructType, prompt_col: str,
+            save_failures: bool) -> None:
+    """Append a scored batch to each table that does not have it yet."""
+    stored = StructType(list(schema.fields)).add(AGAIN, "boolean").add("response", "string").add("error", "string")
+    written = spark.read.schema(stored).parquet(paths.batch(batch))
+    failed = written.filter(F.col("error").isNotNull() & ~F.col(AGAIN)).drop(AGAIN, "response", "error")
+    results = scored_rows(written, save_failures).drop(AGAIN).withColumn(DIGEST, digest(F.col(prompt_col)))
+    for rows, path in ((dead_letters(written, prompt_col), paths.failures), (failed, paths.failed_items), (results, paths.results)):
+        known = read_results(spark, path, StructType().add(BATCH, "string"))
+        if known.filter(F.col(BATCH) == batch).isEmpty():
+            rows.withColumn(BATCH, F.lit(batch)).write.mode("append").partitionBy(BATCH).parquet(path)
+    _log(spark, paths, run_id, batch, "appended")
 
 
 def score_stream(spark: SparkSession, source: str, schema: StructType | str, model: Callable[[], Model],
@@ -130,12 +190,19 @@ def score_stream(spark: SparkSession, source: str, schema: StructType | str, mod
     """Score files that arrived since the last run, once, across restarts.
 
     Repeats are recognised by the result table itself rather than by stream state, so
-    a batch that is run again after a failure adds nothing twice.
+    a batch that is run again after a failure adds nothing twice. Rows that failed are
+    tried again with every later batch, and once when no new file has come.
     """
-    def each_batch(batch: DataFrame, _: int) -> None:
-        resume_scoring(batch, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures)
+    batches = []
+
+    def each_batch(batch: DataFrame, number: int) -> None:
+        batches.append(number)
+        resume_scoring(batch, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures, checkpoint)
 
     query = (spark.readStream.schema(schema).format(source_format).load(source).writeStream
              .foreachBatch(each_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    if not batches and not save_failures:
+        nothing = spark.createDataFrame([], schema)
+        resume_scoring(nothing, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures, checkpoint)

@@ -14,8 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", "4")
+def spark(tmp_path_factory):
+    session = local_session("8", "4", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

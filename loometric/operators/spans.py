@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loometric.fixed import ANSWER_MARK, LAW_MARK, QUESTION_MARK, WORD_START
 from loometric.functions.stage import computed
@@ -85,7 +86,7 @@ def match_entities(df: DataFrame, true_col: str = "true", pred_col: str = "pred"
     return computed(df, **{into: F.concat(hits, missed)}).drop("_t", "_p", "_taken")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _taken(true_labels: pd.Series, true_words: pd.Series, labels: pd.Series, words: pd.Series) -> pd.Series:
     """For each prediction in order the first free true span of its label with a shared word, else -1.
 

@@ -84,6 +84,31 @@ def test_one_class_may_hold_most_rows(spark):
     assert {r["v"]: r["count"] for r in decoded} == {"other": 19800, "B": 200}
 
 
+def test_equal_rows_reach_more_than_one_salt(spark):
+    df = spark.range(0, 1000, 1, 8).select(F.lit("same").alias("input"))
+    assert df.select(relate._row_salt(df, 16).alias("s")).distinct().count() > 1
+
+
+def test_long_pairs_meet_by_block_numbers(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(tm.embedding_match_pairs(views.fx_vectors(spark, DATA_DIR)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(pair_id#\d+L?, _candidate_block#\d+, _reference_block#\d+", plan)
+
+
+def test_repeated_label_keys_multiply_no_rows(spark):
+    names = spark.createDataFrame([("O", "b"), ("O", "a")], "id string, name string")
+    df = spark.createDataFrame([("O",), ("X",)], "t string")
+    assert sorted(r["v"] for r in relate.decode_labels(df, names, "t", "v").collect()) == ["X", "a"]
+
+
+def test_intersection_is_one_scan(spark):
+    runs = views.fx_runs(spark, DATA_DIR)
+    assert plan_of(relate.intersect_runs(runs, n_runs=5)).count("FileScan") == 1
+
+
 def test_registry():
     assert len(catalog.QUERIES) >= 95 and len(catalog.CHECKS) >= 90
     assert not [n for n in catalog.QUERIES if re.match(r"op\d|.*pipeline", n)]

@@ -67,6 +67,86 @@ def test_stream_resumes(spark, items, tmp_path):
     assert run(str(tmp_path / "new")) == [0, 1, 5]
 
 
+def recovering_model(switch):
+    """Fails on "bad" until the switch file is there."""
+    import os
+
+    def load():
+        def answer(prompts):
+            if any("bad" in p for p in prompts) and not os.path.exists(switch):
+                raise RuntimeError("no")
+            return [p.upper() for p in prompts]
+
+        return answer
+
+    return load
+
+
+def test_failed_rows_are_tried_again(spark, items, tmp_path):
+    source, results, failures, checkpoint = (str(tmp_path / n) for n in ("in", "out", "failed", "checkpoint"))
+    model = recovering_model(str(tmp_path / "switch"))
+
+    def run():
+        score.score_stream(spark, source, "id int, input string", model, results, failures, checkpoint, order_key="id", duplicates="once")
+        return sorted(r["id"] for r in spark.read.parquet(results).collect())
+
+    io.append_results(items.filter("id <= 2"), source)
+    assert run() == [0, 1]
+    assert run() == [0, 1] and spark.read.parquet(failures).count() == 2
+    (tmp_path / "switch").touch()
+    # no new file has come, and the row that failed is scored now
+    assert run() == [0, 1, 2]
+    io.append_results(items.filter("id > 2"), source)
+    assert run() == [0, 1, 2, 4, 5] and spark.read.parquet(failures).count() == 2
+
+
+def test_stopped_run_appends_what_is_missing(spark, items, tmp_path, monkeypatch):
+    paths = str(tmp_path / "results"), str(tmp_path / "failures")
+    asked = str(tmp_path / "asked")
+
+    def counting():
+        def answer(prompts):
+            with open(asked, "a") as file:
+                file.write("x" * len(prompts))
+            return shouting_model()(prompts)
+
+        return answer
+
+    logged = score._log
+
+    def stop(spark, paths, run_id, batch, state):
+        logged(spark, paths, run_id, batch, state)
+        if state == "scored":
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(score, "_log", stop)
+    with pytest.raises(KeyboardInterrupt):
+        score.resume_scoring(items, counting, *paths, order_key="id", duplicates="once", save_failures=True)
+    monkeypatch.setattr(score, "_log", logged)
+    # another run does not touch the batch, and writes its own
+    assert score._unfinished(spark, score._Paths(*paths), "other") == []
+    before = len(open(asked).read())
+    score.resume_scoring(items, counting, *paths, order_key="id", duplicates="once", save_failures=True)
+    assert sorted(r["id"] for r in spark.read.parquet(paths[0]).collect()) == [0, 1, 2, 4, 5]
+    assert spark.read.parquet(paths[1]).count() == 2 and len(open(asked).read()) == before
+
+
+def test_failing_batch_is_halved(spark):
+    calls = []
+
+    def model():
+        def answer(prompts):
+            calls.append(len(prompts))
+            if "bad" in prompts:
+                raise RuntimeError("no")
+            return prompts
+
+        return answer
+
+    df = spark.createDataFrame([(i, "bad" if i == 5 else "x") for i in range(64)], "id int, input string").coalesce(1)
+    assert score.score_batches(df, model, "input").where("error IS NOT NULL").count() == 1
+
+
 def test_user_functions(spark, items):
     assert sorted(r["n"] for r in score.map_rows(items, lambda r: {"n": len(r["input"])}, "n int").collect()) == [1, 1, 1, 1, 6, 7]
     kept = score.map_batches(items, lambda b: b[b["input"].str.len() == 1], "id int, input string")
@@ -93,6 +173,14 @@ def test_losses(spark):
     assert math.isfinite(vectors.eval_loss(df, "x", "z", "binary_cross_entropy").first()[0])
 
 
+def test_losses_of_vectors_and_odd_labels(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [0.0, 0.0]), ([1.0], [3.0])], "x array<double>, y array<double>")
+    assert vectors.eval_loss(df, "x", "y", "squared_error").first()[0] == pytest.approx((1 + 4 + 4) / 3)
+    odd = spark.createDataFrame([([1.0, 2.0], 2)], "x array<double>, y int")
+    with pytest.raises(Exception, match="label outside the logits"):
+        vectors.eval_loss(odd, "x", "y").collect()
+
+
 def test_pooling(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(40, 3))

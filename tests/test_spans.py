@@ -107,3 +107,13 @@ def test_entity_threshold(spark):
                                "e array<struct<text:string,label:string,score:double>>")
     row = df.select(spans.filter_entities(F.col("e"), 0.5, ["X"]).alias("k")).first()["k"]
     assert [r["text"] for r in row] == ["a"]
+
+
+def test_many_spans_are_matched_in_linear_time(spark):
+    def many(n):
+        return [{"text": f"common w{i}", "label": "L"} for i in range(n)]
+
+    kind = "array<struct<text:string,label:string>>"
+    df = spark.createDataFrame([(many(4000), many(4000))], f"true {kind}, pred {kind}")
+    found = spans.match_entities(df).select(F.size("matches").alias("n"), F.size(F.filter("matches", lambda m: m["truth"] == m["predicted"])).alias("k")).first()
+    assert tuple(found) == (4000, 4000)

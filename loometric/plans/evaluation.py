@@ -44,7 +44,7 @@ def ner_report(predictions: DataFrame, labels_col: str, predictions_col: str, tr
             .unionByName(io.report_rows(lengths, "Dataset Summary", 100))
             .unionByName(tags.select(
                 F.lit("Label Distribution").alias("section"), (F.lit(200) + F.col("id")).cast("bigint").alias("ord"),
-                F.col("label").alias("metric"), F.col("n").cast("double").alias("value"))))
+                F.col("label").alias("metric"), F.col("n").cast("double").alias("value"), F.lit("count").alias("kind"))))
 
 
 def training_text(messages: DataFrame, max_tokens: int, messages_col: str = "messages",

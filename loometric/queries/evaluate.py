@@ -242,7 +242,7 @@ def label_distribution(spark, sf_dir):
 def ner_report(spark, sf_dir):
     df = aligned(spark, sf_dir).withColumn("guess", F.transform("labels", lambda x, i: i % 9))
     train = v.fx_tagged(spark, sf_dir).filter("split = 'train'").select("tags")
-    return rounded(evaluation.ner_report(df, "labels", "guess", train, "tags", v.TAGS), "value")
+    return rounded(evaluation.ner_report(df, "labels", "guess", train, "tags", v.TAGS).drop("kind"), "value")
 
 
 @query("matrix_report", """
@@ -264,7 +264,7 @@ def matrix_report(spark, sf_dir):
 """, ("fx_classes",))
 def metric_report(spark, sf_dir):
     scores = cm.precision_recall_f1(v.fx_pred(spark, sf_dir), "t", "p")
-    return rounded(io.report_rows(scores, "Scores"), "value")
+    return rounded(io.report_rows(scores, "Scores").drop("kind"), "value")
 
 
 @query("report_lines", """

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import IntegralType, StringType, StructType
 
 from loometric.functions.stage import computed
 
@@ -116,10 +116,14 @@ def read_results(spark: SparkSession, path: str, schema: StructType | str) -> Da
 
 
 def report_rows(df: DataFrame, section: str, first: int = 0, *metrics: str) -> DataFrame:
-    """One row of metrics as a long table ``(section, ord, metric, value)``."""
+    """One row of metrics as a long table ``(section, ord, metric, value, kind)``.
+
+    Whole-number columns are counts, others are scores.
+    """
     names = metrics or tuple(df.columns)
     entries = [F.struct(F.lit(section).alias("section"), F.lit(first + i).cast("bigint").alias("ord"),
-                        F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
+                        F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"),
+                        F.lit("count" if isinstance(df.schema[name].dataType, IntegralType) else "score").alias("kind"))
                for i, name in enumerate(names)]
     return df.select(F.inline(F.array(*entries)))
 
@@ -127,9 +131,9 @@ def report_rows(df: DataFrame, section: str, first: int = 0, *metrics: str) -> D
 def report_lines(report: DataFrame, digits: int = 4) -> DataFrame:
     """Markdown lines of a long metric table, a heading before each section.
 
-    Whole values print without decimals.
+    Counts print without decimals, scores always with them.
     """
-    value = F.when(F.col("value") == F.floor("value"), F.format_string("%d", F.col("value").cast("bigint"))).otherwise(
+    value = F.when(F.col("kind") == "count", F.format_string("%d", F.col("value").cast("bigint"))).otherwise(
         F.format_string(f"%.{digits}f", F.col("value")))
     lines = report.select("section", "ord", F.concat(F.lit("- **"), F.col("metric"), F.lit(":** "), value).alias("line"))
     headings = report.groupBy("section").agg((F.min("ord") - 0.5).alias("ord")).select(

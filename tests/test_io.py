@@ -60,10 +60,10 @@ def test_union_typed_items(spark):
 
 
 def test_report(spark, tmp_path):
-    df = spark.createDataFrame([(0.5, 12.0)], "precision double, support double")
+    df = spark.createDataFrame([(1.0, 12)], "precision double, support bigint")
     report = io.report_rows(df, "Scores").unionByName(io.report_rows(df.select("precision"), "More", 10))
     lines = [r["line"] for r in io.report_lines(report).collect()]
-    assert lines == ["\n## Scores\n", "- **precision:** 0.5000", "- **support:** 12", "\n## More\n", "- **precision:** 0.5000"]
+    assert lines == ["\n## Scores\n", "- **precision:** 1.0000", "- **support:** 12", "\n## More\n", "- **precision:** 1.0000"]
     io.write_report(io.report_lines(report), str(tmp_path / "report"))
     assert "- **support:** 12" in [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
 

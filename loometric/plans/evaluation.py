@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometric.functions.stage import computed
+from loometric.functions.text import fill_prompt
 from loometric.operators import classmetrics as cm
 from loometric.operators import profile, prep
+from loometric.operators.responses import parse_score
 from loometric.sources import io
+from loometric.streaming.score import score_batches
 
 
 def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -59,6 +62,21 @@ def training_text(messages: DataFrame, max_tokens: int, messages_col: str = "mes
     return prep.filter_max_tokens(text, "text", max_tokens, counter)
 
 
+def judge_runs(runs: DataFrame, judge: Callable[[], Callable], template: str, prompt_cols: Sequence[str], results: str,
+               run_col: str = "run") -> DataFrame:
+    """The whole judge job: fill the prompt, ask the judge's model, parse its scores, keep them, rank the runs.
+
+    Every row is kept in ``results`` once, with a null score where the judge failed or gave no
+    whole number; the leaderboard is made from that table and counts these rows as ``unscored``.
+    """
+    asked = runs.withColumn("prompt", fill_prompt(template, *[F.col(c) for c in prompt_cols]))
+    scored = score_batches(asked, judge, "prompt").withColumn("score", parse_score(F.col("response")))
+    scored.drop("prompt", "error").write.mode("append").parquet(results)
+    kept = runs.sparkSession.read.parquet(results)
+    unscored = kept.groupBy(F.col(run_col).alias("run")).agg(F.count_if(F.col("score").isNull()).alias("unscored"))
+    return unscored.join(profile.leaderboard(kept, run_col), "run", "left")
+
+
 def leaderboard_lines(board: DataFrame) -> DataFrame:
     """Leaderboard rows as Markdown lines, best run first."""
     def metric(name: str, column: str, pattern: str):

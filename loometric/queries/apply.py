@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loometric import functions as fn
-from loometric.operators import profile, train
+from loometric.operators import profile, relate, train
+from loometric.plans import evaluation
 from loometric.queries import views as v
 from loometric.queries.prepare import rounded
 from loometric.queries.registry import query
@@ -32,6 +33,11 @@ def vowel_model():
     return lambda texts: [[t.count(c) / max(len(t), 1) for c in "aeo"] for t in texts]
 
 
+def judge_model():
+    """A stand-in judge: scores from 1 to 5 by the prompt's length, and no score on multiples of seven."""
+    return lambda prompts: ["no score" if len(p) % 7 == 0 else str(1 + len(p) % 5) for p in prompts]
+
+
 def prompts(spark, sf_dir):
     return v.documents(spark, sf_dir, "text").withColumnRenamed("text", "input")
 
@@ -42,14 +48,25 @@ def prompts(spark, sf_dir):
 def read_runs(spark, sf_dir):
     """Runs as JSON arrays of a bounded number of rows, one folder of part files per run."""
     path = shared_folder(spark, "runs")
-    packed = (v.fx_runs(spark, sf_dir).groupBy("run", F.expr(f"id div {FILE_ROWS}").alias("part"))
-              .agg(F.to_json(F.collect_list(F.struct("id", "input", "response", "score"))).alias("value")))
-    packed.select("run", "value").write.partitionBy("run").option("compression", "none").format("text").save(path)
+    io.write_runs(v.fx_runs(spark, sf_dir), path, "id", ("id", "input", "response", "score"), rows=FILE_ROWS)
     runs = io.read_runs(spark, path, RUN_SCHEMA, run_from="folder", arrays_span_lines=False, pattern="*")
     good, _ = io.split_corrupt(runs)
     return good.select("run", "id", "input", "response", "score")
 
 
+@query("filtered_runs", """
+    SELECT run, id, input, response, score FROM fx_runs
+    WHERE input IN (SELECT input FROM fx_runs GROUP BY input HAVING count(DISTINCT run) = 5)
+""", ("fx_runs",))
+def filtered_runs(spark, sf_dir):
+    """Runs reduced to the prompts that all of them have, written as run files and read again."""
+    path = shared_folder(spark, "filtered-runs")
+    shared = relate.common_prompts(v.fx_runs(spark, sf_dir), "input")
+    io.write_runs(shared, path, "id", ("id", "input", "response", "score"), rows=FILE_ROWS)
+    runs = io.read_runs(spark, path, RUN_SCHEMA, run_from="folder", arrays_span_lines=False, pattern="*")
+    return io.split_corrupt(runs)[0].select("run", "id", "input", "response", "score")
+
+
 @query("split_corrupt", """
     SELECT run, count(score) AS good, count(*) - count(score) AS bad FROM fx_runs GROUP BY run
 """, ("fx_runs",))
@@ -150,6 +167,24 @@ def score_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/results").drop(score.BATCH, score.DIGEST)
 
 
+JUDGE_TEMPLATE = "Text: {}\nScore 1-5:"
+
+
+@query("judge_job", f"""
+    WITH asked AS (SELECT source AS run, length(text) + {len(JUDGE_TEMPLATE) - 2} AS n FROM documents),
+    scored AS (SELECT run, CASE WHEN n % 7 <> 0 THEN 1 + n % 5 END AS score FROM asked)
+    SELECT run, count(*) - count(score) AS unscored, nullif(count(score), 0) AS scored, round(avg(score), 6) AS avg_score,
+           round(median(score)::DOUBLE, 6) AS median_score,
+           CASE WHEN count(score) > 0 THEN round(coalesce(stddev_samp(score), 0), 6) END AS std_dev
+    FROM scored GROUP BY run
+""")
+def judge_job(spark, sf_dir):
+    """Prompt, judge, parsed score, kept nulls and leaderboard in one job."""
+    docs = v.documents(spark, sf_dir, "source", "text").select(F.col("source").alias("run"), "doc_id", "text")
+    board = evaluation.judge_runs(docs, judge_model, JUDGE_TEMPLATE, ["text"], shared_folder(spark, "judged"))
+    return rounded(board, "avg_score", "median_score", "std_dev")
+
+
 @query("scoring_throughput", "SELECT count(*) AS rows, true AS timed FROM documents")
 def scoring_throughput(spark, sf_dir):
     scored = score.score_batches(prompts(spark, sf_dir), length_model, "input")

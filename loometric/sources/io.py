@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +69,17 @@ def read_runs(spark: SparkSession, path: str, schema: StructType | str, run_from
         CORRUPT, F.concat(F.col(CORRUPT), nothing))
 
 
+def write_runs(runs: DataFrame, path: str, order_key: str, columns: Sequence[str], run_col: str = "run", rows: int = 50_000) -> None:
+    """Result files of many runs: a folder for each run, whose files hold lines, each a JSON array of rows.
+
+    An array holds the rows of one range of ``rows`` values of a whole-number key, so its size is bounded however
+    large the run is. ``read_runs`` with ``run_from="folder"`` and ``arrays_span_lines=False`` reads them.
+    """
+    packed = (runs.groupBy(F.col(run_col).alias("run"), F.floor(F.col(order_key) / rows).alias("_part"))
+              .agg(F.to_json(F.sort_array(F.collect_list(F.struct(order_key, *[c for c in columns if c != order_key])))).alias("value")))
+    packed.select("run", "value").write.mode("overwrite").partitionBy("run").text(path)
+
+
 def split_corrupt(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good rows, and a dead-letter table of what could not be read."""
     good = runs.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "file_path")

@@ -22,7 +22,7 @@ HEADLINE = (
     "align_labels", "mask_prompt", "pending_each", "pending_once", "common_prompts", "coverage", "leaderboard",
     "parse_structured_response", "rouge_n", "rouge_l", "corpus_bleu", "embedding_match", "pool_mean",
     "loss_cross_entropy", "decode_bio", "entity_overlap_scores", "extract_qa", "merge_subwords", "score_batches",
-    "append_results",
+    "append_results", "score_stream", "train_text_classifier", "predict_classes", "match_entities",
 )
 
 

@@ -124,11 +124,11 @@ def with_votes(features: DataFrame) -> DataFrame:
 
 def class_weights(model: RuleModel) -> list[Column]:
     """For each class its share times the probability of the votes."""
+    # written as SQL: a few expressions for Spark to read instead of hundreds of calls to build them
     found = []
     for share, rates in zip(model.shares, model.bad):
-        parts = [F.when(F.col(f"vote_{name}") == -1, rate).when(F.col(f"vote_{name}") == 1, 1 - rate).otherwise(1.0)
-                 for name, rate in zip(RULES, rates)]
-        found.append(reduce(lambda a, b: a * b, parts, F.lit(share)))
+        parts = [f"CASE vote_{name} WHEN -1 THEN {rate!r}D WHEN 1 THEN {1 - rate!r}D ELSE 1D END" for name, rate in zip(RULES, rates)]
+        found.append(F.expr(" * ".join([f"{share!r}D", *parts])))
     return found
 
 
@@ -149,13 +149,13 @@ def fit(voted: DataFrame, rounds: int = ROUNDS) -> RuleModel:
     classes = range(len(RULES) + 1)
     for _ in range(rounds):
         weighed = patterns.select("*", *[w.alias(f"w{k}") for k, w in enumerate(class_weights(model))])
-        total = reduce(lambda a, b: a + b, [F.col(f"w{k}") for k in classes])
-        shares_of = F.transform(F.array(*[f"w{k}" for k in classes]), lambda w: F.col("c") * w / total)
+        total = " + ".join(f"w{k}" for k in classes)
+        shares_of = F.array(*[F.expr(f"c * w{k} / ({total})") for k in classes])
         mine = weighed.select(*columns, F.posexplode(shares_of).alias("k", "r"))
         sums = [F.sum("r").alias("n")]
         for j, column in enumerate(columns):
-            sums.append(F.sum(F.when(F.col(column) == -1, F.col("r")).otherwise(0.0)).alias(f"bad{j}"))
-            sums.append(F.sum(F.when(F.col(column) != 0, F.col("r")).otherwise(0.0)).alias(f"all{j}"))
+            sums.append(F.expr(f"sum(CASE WHEN {column} = -1 THEN r ELSE 0D END) AS bad{j}"))
+            sums.append(F.expr(f"sum(CASE WHEN {column} <> 0 THEN r ELSE 0D END) AS all{j}"))
         found = {row["k"]: row for row in mine.groupBy("k").agg(*sums).collect()}  # one row for each class
         if not found:
             return model

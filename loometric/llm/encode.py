@@ -150,8 +150,8 @@ def _gathered(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[n
     if not len(rows):
         return values[:0], np.zeros(0, np.int64)
     sizes = np.diff(ends, prepend=0)[rows]
-    shift = ends[rows] - np.cumsum(sizes)
-    return values[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+    shift = (ends[rows] - np.cumsum(sizes)).astype(np.int32)
+    return values[np.repeat(shift, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)], sizes
 
 
 _RUNS = re.compile(" *[^ ]+| +$")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +34,13 @@ def id_and_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
 
+def returned_memory() -> None:
+    """Give memory that is free back to the system: an idle worker keeps its process, and Spark runs other work beside it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch of ``df``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,6 +49,7 @@ def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBa
                 found = function(batch)
                 if found is not None and found.num_rows:
                     yield found
+        returned_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -96,7 +106,7 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 # --- texts of a batch as bytes ----------------------------------------------------
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)

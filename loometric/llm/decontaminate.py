@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometric.llm.common import id_and_text
+from loometric.llm.common import id_and_text, returned_memory
 
 PERCENT = 10
 # Characters of test items that one pass over the documents looks for; more items take more passes.
@@ -310,6 +310,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_column: str = "text",
             for batch in batches:
                 clean = [not (text.as_py() and searcher.places(plain(text.as_py()))) for text in batch.column(text_column)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            returned_memory()
 
         return run
 

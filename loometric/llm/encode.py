@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import decoders, models, normalizers, pre_tokenizers
 
-from loometric.llm.common import id_and_text
+from loometric.llm.common import id_and_text, returned_memory, text_chunks
 from loometric.llm.spmodel import (BPE, BYTE, NORMAL, SPACE_MARK, UNKNOWN, USER_DEFINED, Model, model_bytes, parse,
                                    splits_at_spaces)
 
 # Distinct words that a task remembers; only saves work.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 # New words that are encoded as one text.
 JOINED = 64
-# Texts are handed to the library in groups of about so many characters.
-GROUP_CHARS = 1 << 20
+# Texts are read and handed to the library in groups of about so many bytes.
+GROUP_CHARS = 1 << 19
 
 
 def merges_of(model: Model) -> list[tuple[str, str]]:
@@ -182,19 +182,15 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shipped.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            first = 0
-            while first < len(texts):
-                end, size = first, 0
-                while end < len(texts) and (end == first or size + len(texts[end]) <= GROUP_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                ids, sizes = coder.encode_flat(texts[first:end])
+            for first, end, _, _ in text_chunks(batch.column("text"), GROUP_CHARS):
+                texts = batch.column("text").slice(first, end - first).to_pylist()
+                ids, sizes = coder.encode_flat(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, end - first), lists, pa.array(sizes), pa.array(_same(coder, ids, sizes, texts[first:end]))],
+                    [batch.column("id").slice(first, end - first), lists, pa.array(sizes), pa.array(_same(coder, ids, sizes, texts))],
                     names=["id", "ids", "n_tokens", "same"])
-                first = end
+        del coder
+        returned_memory()
 
     schema = f"id {docs.schema[id_column].dataType.simpleString()}, {ENCODED}"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)

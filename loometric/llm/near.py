@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometric.llm.common import (id_and_text, lower_ascii, mixed, over_batches, run_hashes, spaced_words, stored,
-                                  text_chunks)
+from loometric.llm.common import (id_and_text, lower_ascii, mixed, over_batches, returned_memory, run_hashes, spaced_words,
+                                  stored, text_chunks)
 from loometric.llm.components import components
 
 WORDS = 4
@@ -165,6 +165,8 @@ def candidate_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, ones, twos)],
                                                      names=["key", "d1", "d2"])
+        seen.clear()
+        returned_memory()
 
     return docs.select("text").mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
 
@@ -198,6 +200,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
                 yield _columns(rows[:-1][rest], names)
         if len(held) and shared:
             yield _columns(held, names)
+        returned_memory()
 
     ordered = keys.repartition("key").sortWithinPartitions("key", "d1", "d2")
     return ordered.mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
@@ -261,6 +264,7 @@ def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT,
         flush()
         if out:
             yield _columns(np.array([(*a[1:3], *b[1:3]) for a, b in out], dtype=np.int64), ["a1", "a2", "b1", "b2"])
+        returned_memory()
 
     rows = shared.join(sets, ["d1", "d2"]).select("key", "d1", "d2", "n", "bits")
     ordered = rows.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
@@ -396,6 +400,8 @@ def _block_join(percent: int, words: int):
             least[root] = min(name, least.get(root, name))
         pairs = [(name, least[trie.find(number)]) for name, number in found.items()]
         pairs = [(a, b) for a, b in pairs if a != b]
+        del sets, trie
+        returned_memory()
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.string()), "b": pa.array([b for _, b in pairs], pa.string())})
 
     return run

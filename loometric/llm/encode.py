@@ -8,6 +8,7 @@ one word into the next, texts are cut there, and each distinct word is encoded o
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -180,6 +181,8 @@ def encoded(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_co
     shipped = rows.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task has few cores; each thread of the library keeps memory of its own
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         coder = Coder(shipped.value)
         for batch in batches:
             for first, end, _, _ in text_chunks(batch.column("text"), GROUP_CHARS):

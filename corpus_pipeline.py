@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loometric.llm import common, decontaminate, encode, near, pii, quality, queries
 
+# The near-duplicate stage: shingles of so many words, linked from this percentage on. The op9 query has its own numbers.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -14,7 +17,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked, directly or through others, the one with the smallest id stays."""
-    return near.one_of_each(docs)
+    return near.one_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

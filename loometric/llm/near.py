@@ -499,13 +499,14 @@ def _hex_name(shingles: np.ndarray) -> str:
     return ":".join(f"{x & 0xFFFFFFFFFFFFFFFF:X}" for x in digest(shingles))
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS,
+                percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each component keeps the one with the smallest id.
 
     Rows with a null id stay unless their text is there again with the same (null) id. Of rows that repeat both id
     and text one stays.
     """
-    found = near_components(docs, id_column, text_column)
+    found = near_components(docs, id_column, text_column, words, percent)
     gone = found.where(F.col("component_id") < F.col(id_column)).select(F.col(id_column).alias(f"{id_column}_gone")).distinct()
     left = docs.join(gone.hint("merge"), docs[id_column] == gone[f"{id_column}_gone"], "left_anti")
     mark = f"copy_{uuid.uuid4().hex}"

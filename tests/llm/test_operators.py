@@ -168,6 +168,38 @@ def test_near_edges(docs, nothing):
     assert left.columns == docs.columns and left.where("doc_id = 4").count() == 1 and left.count() == docs.count() - 1
 
 
+def brute_kept(texts, words, percent):
+    """The smallest id of each component, by comparing all pairs."""
+    sets, root = {}, {i: i for i, _ in texts}
+    for i, text in texts:
+        w = text.split()
+        sets[i] = {tuple(w[k:k + words]) for k in range(len(w) - words + 1)} or {tuple(w)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                a_root, b_root = find(a), find(b)
+                root[max(a_root, b_root)] = min(a_root, b_root)
+    return {find(i) for i in sets}
+
+
+def test_near_stage_takes_five_words_and_80_percent(spark):
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(100)]
+        # one changed run of 2 to 13 words
+        texts += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:40] + [f"new{g}x{k}" for k in range(g + 2)] + base[42 + g:]))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()}
+    assert found == brute_kept(texts, 5, 80) != brute_kept(texts, 4, 85)
+    assert {r["doc_id"] for r in near.one_of_each(df).collect()} == brute_kept(texts, 4, 85)
+
+
 def test_long_chains_and_hot_nodes_are_joined(spark):
     chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(70)] + [("h", f"s{i:03d}") for i in range(300)] + [("z", "z")]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a string, b string")).collect()}

@@ -26,7 +26,7 @@ from loometric.llm.common import over_batches, stored
 THRESHOLD = 0.1
 MIN_PAGES = 5
 SALTS = 16
-# Elements below this depth of a main part belong to the style node above them.
+# Paths of more elements than this, from the page's root, are named by a running hash.
 DEPTH = 24
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +57,9 @@ NOISE_WORDS = frozenset(
 SURE_WORDS = frozenset("comment comments commentlist disqus discussion respond reply replies related recommended recommendations".split())
 MAIN_TAGS = frozenset(("article", "main"))
 
-_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)>|[a-zA-Z/!?][^>]*+(?:>|\Z))")
+_TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[a-zA-Z/!?][^>]*+(?:>|\Z))")
+# From a tag's name or the end of a quoted value to the tag's end, or to the quote that opens the next value.
+_TO_QUOTE = re.compile(r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=)))*+(?:>|[^\s/>][^\s/>=]*+\s*+=\s*+([\"']))")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -94,11 +96,36 @@ def _element(tag: str, attributes: str) -> Element:
     return Element(tag, tag + named, noise, sure)
 
 
+def _tag_end(text: str, place: int, dead: set[int | str]) -> int:
+    """Where the tag ends whose attributes begin at ``place``, or -1 if it has no end.
+
+    Quoted values may be of any length. ``dead`` keeps the places from which no end was found, and the
+    quotes that are not there again, so a page is read in linear time.
+    """
+    tried = []
+    while place not in dead:
+        tried.append(place)
+        found = _TO_QUOTE.match(text, place)
+        if found is None:
+            break
+        if not found[1]:
+            return found.end()
+        # a quote of this kind that is missing from here on is missing from every later place
+        quote = -1 if found[1] in dead else text.find(found[1], found.end())
+        if quote < 0:
+            dead.add(found[1])
+            break
+        place = quote + 1
+    dead.update(tried)
+    return -1
+
+
 def parse(text: str) -> Element:
     """The element tree of a page. Missing end tags are implied; stray ones are passed over."""
     root = Element("#page", "")
     stack, place, n = [root], 0, len(text)
     open_tags: Counter[str] = Counter()
+    dead: set[int | str] = set()
 
     def close(names: tuple[str, ...], scope) -> None:
         if not any(open_tags[name] for name in names):
@@ -127,6 +154,11 @@ def parse(text: str) -> Element:
         tag = found[3]
         if tag is None:
             continue
+        end = _tag_end(text, place, dead)
+        if end < 0:
+            place = text.find(">", place) + 1 or n
+            continue
+        attributes, place = text[place:end - 1], end
         tag = tag.lower()
         if found[2]:
             if tag == "br":
@@ -135,8 +167,9 @@ def parse(text: str) -> Element:
                 close((tag,), ())
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(text, place) if not found[4].rstrip().endswith("/") else found
-            place = n if end is None else max(place, end.end())
+            if not attributes.rstrip().endswith("/"):
+                close_tag = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(text, place)
+                place = n if close_tag is None else close_tag.end()
             continue
         if tag in ENDS_P:
             close(("p",), P_SCOPE)
@@ -147,7 +180,7 @@ def parse(text: str) -> Element:
             if tag == "hr":
                 stack[-1].children.append(Element("hr", "hr"))
             continue
-        element = _element(tag, found[4])
+        element = _element(tag, attributes)
         stack[-1].children.append(element)
         if element.holds_main and not element.noise:
             for above in reversed(stack):
@@ -164,15 +197,25 @@ def _is_noise(element: Element) -> bool:
     return element.noise and (element.sure or element.tag in MAIN_TAGS or not element.holds_main)
 
 
-def _below(path: tuple[str, ...], element: Element) -> tuple[str, ...]:
-    return (*path, element.name) if len(path) < DEPTH else path
+# The number of elements on a path, and its name.
+Path = tuple[int, str]
+_TOP: Path = (0, "")
+
 
+def _below(path: Path, element: Element) -> Path:
+    """The path of a child: names joined by slashes; from DEPTH on the hash of the path above and the name, so deep pages stay linear."""
+    depth, above = path
+    name = f"{above}/{element.name}" if depth else element.name
+    if depth >= DEPTH:
+        name = "#" + hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return depth + 1, name
 
-def main_parts(root: Element) -> list[tuple[Element, tuple[str, ...]]]:
+
+def main_parts(root: Element) -> list[tuple[Element, Path]]:
     """The outermost articles with their paths, else the main element, else the body or the page."""
     for wanted in ("article", "main", "body", "#page"):
-        found: list[tuple[Element, tuple[str, ...]]] = []
-        todo = [(root, ())]
+        found: list[tuple[Element, Path]] = []
+        todo = [(root, _TOP)]
         while todo:
             element, path = todo.pop()
             here = _below(path, element)
@@ -183,10 +226,10 @@ def main_parts(root: Element) -> list[tuple[Element, tuple[str, ...]]]:
                 todo += [(c, here) for c in reversed(element.children) if isinstance(c, Element)]
         if found:
             return found
-    return [(root, ("",))]
+    return [(root, (1, ""))]
 
 
-def blocks(element: Element, path: tuple[str, ...], drop: frozenset[str], inside: bool) -> Iterator[str]:
+def blocks(element: Element, path: Path, drop: frozenset[str], inside: bool) -> Iterator[str]:
     """Texts of the blocks in page order, without noise and without the branches whose path is in ``drop``."""
     pieces: list[str] = []
     # an explicit stack: pages may nest as deep as they like
@@ -202,7 +245,7 @@ def blocks(element: Element, path: tuple[str, ...], drop: frozenset[str], inside
             if text:
                 yield text
             continue
-        if drop and "/".join(here) in drop:
+        if drop and here[1] in drop:
             continue
         block = item.tag in BLOCKS or item.tag == "#page"
         if block:
@@ -236,24 +279,79 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+# Modulus and base of the hashes of runs of blocks.
+_PRIME, _BASE = (1 << 127) - 1, 0x5DEECE66D1CE4E5B9A0761D6478BD64
+_NO_BLOCK = 1
+
+
+class _Runs:
+    """The blocks of a page in order, as running hashes: a hash of any run of them is at hand without its texts."""
+
+    def __init__(self):
+        self.sums, self.powers = [0], [1]
+
+    def add(self, pieces: list[str]) -> None:
+        text = " ".join("".join(pieces).split())
+        pieces.clear()
+        if text:
+            number = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=15).digest(), "big") + 2
+            self.sums.append((self.sums[-1] * _BASE + number) % _PRIME)
+            self.powers.append(self.powers[-1] * _BASE % _PRIME)
+
+    def end(self) -> int:
+        return len(self.sums) - 1
+
+    def joined(self, runs: list[tuple[int, int]]) -> int:
+        """A number for the blocks of all runs one after the other; an empty run is an empty block."""
+        total = blocks_seen = 0
+        for start, end in runs:
+            if start == end:
+                total, blocks_seen = (total * _BASE + _NO_BLOCK) % _PRIME, blocks_seen + 1
+            else:
+                power = self.powers[end - start]
+                total = (total * power + self.sums[end] - self.sums[start] * power) % _PRIME
+                blocks_seen += end - start
+        return _number(f"{blocks_seen}:{total}")
+
+
 def style_nodes(text: str) -> dict[str, tuple[int, int, int]]:
-    """For each style path of the page's main parts: numbers for its content, its child sequences, and the page."""
+    """For each style path of the page's main parts: numbers for its content, its child sequences, and the page.
+
+    The content of a node is a run of the page's blocks, so each text is read once at any depth.
+    """
     root = parse(text)
-    contents: dict[str, list[str]] = {}
+    runs, parts = _Runs(), main_parts(root)
+    contents: dict[str, list[list[int]]] = {}
     children: dict[str, list[str]] = {}
-    for element, path in main_parts(root):
-        todo = [(element, path)]
+    for element, path in parts:
+        pieces: list[str] = []
+        todo: list[tuple] = [("open", element, path, True)]
         while todo:
-            item, here = todo.pop()
-            name = "/".join(here)
-            inner = [c for c in item.children if isinstance(c, Element) and not _is_noise(c)]
-            children.setdefault(name, []).append(",".join(c.name for c in inner))
-            contents.setdefault(name, []).append("\n".join(blocks(item, here, frozenset(), True)))
-            # inline elements are content of their block, and empty elements show nothing
-            if len(here) < DEPTH:
-                todo += [(c, _below(here, c)) for c in reversed(inner) if c.tag in BLOCKS]
-    page = _number("\n".join(contents.get("/".join(p), [""])[0] for _, p in main_parts(root)))
-    return {name: (_number("\n".join(found)), _number(";".join(children[name])), page) for name, found in contents.items()}
+            step, item, here, is_node = todo.pop()
+            if step == "text":
+                pieces.append(html.unescape(item) if "&" in item else item)
+                continue
+            if step == "close":
+                runs.add(pieces)
+                if item is not None:
+                    item.append(runs.end())
+                continue
+            run = None
+            if item.tag in BLOCKS or item.tag == "#page":
+                runs.add(pieces)
+                run = [runs.end()] if is_node else None
+                todo.append(("close", run, None, False))
+            inner = [c for c in item.children if isinstance(c, str) or not _is_noise(c)]
+            if run is not None:
+                contents.setdefault(here[1], []).append(run)
+                children.setdefault(here[1], []).append(",".join(c.name for c in inner if isinstance(c, Element)))
+            for child in reversed(inner):
+                if isinstance(child, str):
+                    todo.append(("text", child, None, False))
+                else:  # inline elements are content of their block
+                    todo.append(("open", child, _below(here, child), run is not None and child.tag in BLOCKS))
+    page = runs.joined([contents[p[1]][0] for _, p in parts])
+    return {name: (runs.joined(found), _number(";".join(children[name])), page) for name, found in contents.items()}
 
 
 def _rows(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:

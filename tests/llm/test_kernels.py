@@ -225,6 +225,32 @@ def test_odd_pages_stay_linear():
         pages.style_nodes(page)
 
 
+def test_attributes_of_any_length():
+    long = "x" * 10_000
+    page = (f"<body><div data-props='{long} > y'><article title=\"{long}\"><p>A</article></div><aside class=\"{long}\">s</aside>"
+            f"<script src=\"{long}\">var t;</script>")
+    assert pages.main_text(page) == "A"
+    assert pages.main_text(f"<p>A</p><script src='{long}'>var t;</script><aside style=\"{long}\">s</aside>") == "A"
+    # a quote that opens no value, and a value that is never closed
+    assert pages.main_text("<p title=it's>one</p><p class=\"a\"\">two</p>") == "one\ntwo"
+    assert pages.main_text("<p>one<b title=\"x>two") == "onetwo"
+
+
+def test_unclosed_values_stay_linear():
+    for page in ('<a b=">x" c=' * 30_001, '<a b=">' * 30_001, "<a b='\">" * 30_000, "<a " * 60_000, "<a b = " * 30_000):
+        pages.main_text(page)
+
+
+def test_paths_below_the_depth_are_kept():
+    def page(i):
+        return f"<body>{'<div>' * 60}<div class=menu1>same</div><div class=text1>text {i}</div>{'</div>' * 60}"
+
+    nodes = [pages.style_nodes(page(i)) for i in range(2)]
+    assert len(nodes[0]) == 63 and nodes[0].keys() == nodes[1].keys()
+    same = [name for name in nodes[0] if nodes[0][name][:2] == nodes[1][name][:2]]
+    assert len(same) == 1 and pages.main_text(page(7), frozenset(same)) == "text 7"
+
+
 # --- the network ------------------------------------------------------------------------
 
 def test_gradients_agree_with_differences(monkeypatch):

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from loometric.llm.common import id_and_text, over_batches, stored
 
@@ -254,9 +256,10 @@ def pii_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return with_spans(docs, bootstrap(docs, text_column), id_column, text_column)
 
 
-def redacted_text(text: str, patterns: frozenset[str]) -> str:
-    """The text with each span, or run of overlapping spans, replaced by the kind of its first in square brackets."""
-    spans = sorted((a, b, k) for k, a, b in all_spans(text, patterns))
+def redacted_text(text: str, found: list[tuple[int, int]]) -> str:
+    """The text with each base or found span, or run of overlapping spans, replaced by the kind of its first in square brackets."""
+    base = base_spans(text)
+    spans = sorted([(a, b, k) for k in KINDS for a, b in base[k]] + [(a, b, FOUND) for a, b in found])
     out, place = [], 0
     for start, end, kind in spans:
         if start >= place:
@@ -267,17 +270,36 @@ def redacted_text(text: str, patterns: frozenset[str]) -> str:
 
 def redacted(docs: DataFrame, text_column: str = "text", length_column: str | None = "n_chars",
              block_patterns: int = BLOCK_PATTERNS) -> DataFrame:
-    """The rows of ``docs`` with personal data replaced in their texts; null texts stay null. Texts pass no shuffle."""
-    def scan(block: frozenset[str]):
+    """The rows of ``docs`` with personal data replaced in their texts; null texts stay null. Texts pass no shuffle.
+
+    Every block of patterns reads the given text; what all of them find is replaced at once by the last.
+    """
+    mark = f"found_{uuid.uuid4().hex}"
+    pairs = pa.list_(pa.list_(pa.int32()))
+    wider = StructType([*docs.schema.fields, StructField(mark, ArrayType(ArrayType(IntegerType())))])
+
+    def scan(block: frozenset[str], earlier: bool, last: bool):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             i = batch.schema.get_field_index(text_column)
-            clean = [None if t is None else redacted_text(t, block) for t in batch.column(i).to_pylist()]
+            texts = batch.column(i).to_pylist()
+            before = batch.column(mark).to_pylist() if earlier else [()] * len(texts)
+            found = [sorted({(a, b) for a, b in spans} | set(found_spans(t or "", block))) for t, spans in zip(texts, before)]
+            if earlier:
+                batch = batch.drop_columns([mark])
+            if not last:
+                return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pairs)], names=[*batch.schema.names, mark])
+            clean = [None if t is None else redacted_text(t, spans) for t, spans in zip(texts, found)]
             return batch.set_column(i, batch.schema.field(i), pa.array(clean, batch.schema.field(i).type))
 
         return run
 
-    for block in _blocks(bootstrap(docs, text_column), block_patterns):
-        docs = over_batches(docs, scan(block), docs.schema)
+    given, earlier = docs.schema, False
+    blocks = _blocks(bootstrap(docs, text_column), block_patterns)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        docs = over_batches(docs, scan(block, earlier, following is None), given if following is None else wider)
+        block, earlier = following, True
     if length_column in docs.columns:
         docs = docs.withColumn(length_column, F.length(text_column).cast(docs.schema[length_column].dataType))
     return docs

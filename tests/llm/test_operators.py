@@ -89,6 +89,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in by_blocks.collect()} == found
 
 
+def test_redaction_does_not_depend_on_blocks(spark):
+    """Contexts of identifiers beside redacted spans, each in a block of its own."""
+    ends = ("org", "com", "net", "edu", "info", "museum")
+    seeds = [(f"mail a{i}@site.{end} 10.0.{i}.{k} now{i}",) for k, end in enumerate(ends) for i in range(4)]
+    unseen = [(f"mail b@other.{end} ZX-4487{k}-Q done",) for k, end in enumerate(ends)]
+    df = spark.createDataFrame(seeds + unseen, "text string").coalesce(2)
+    whole = sorted(r[0] for r in pii.redacted(df).collect())
+    assert whole.count("mail [EMAIL] [ID] done") == len(ends)
+    assert sorted(r[0] for r in pii.redacted(df, block_patterns=1).collect()) == whole
+
+
 def test_decontamination(docs, nothing, items):
     found = decontaminate.benchmark_matches(docs, items).collect()
     assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} >= {(4, 1, 0)} and len([r for r in found if r["doc_id"] == 4 and r["distance"] == 0]) == 2

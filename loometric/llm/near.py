@@ -17,14 +17,17 @@ Shingles stand as 64-bit hashes; their numeric order is the one global order of
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loometric.llm.common import (id_and_text, lower_ascii, mixed, over_batches, returned_memory, run_hashes, spaced_words,
                                   stored, text_chunks)
@@ -420,7 +423,24 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Rows with a null id take part like others but are never a component's name while another id
     is there. A repeated id is a document for each of its rows. An empty table gives an empty result.
     """
-    texts = id_and_text(docs, id_column, text_column)
+    sets, linked = _linked_sets(id_and_text(docs, id_column, text_column), words, percent, block_shingles)
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows"))
+    classes = linked.select("node", "root").join(least.where("rows > 1"), "root").select("node", "component_id")
+    return (_with_classes(sets, classes)
+            .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
+                    F.coalesce("component_id", "id").alias("component_id")))
+
+
+def _with_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with what ``classes`` says of their node, or nulls."""
+    # a class of copies may be a third of all rows: its few rows are salted, not the documents collected
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = sets.select("id", "n", "d1", "d2", _name("d1", "d2").alias("node"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(salted, ["node", "salt"], "left")
+
+
+def _linked_sets(texts: DataFrame, words: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, d1, d2, bits) of every row, and (node, rep, rows, n, root) of every set: its smallest id, its rows, its component's root."""
     sets = stored(set_digests(texts, words), "set-digests")
     node = _name("d1", "d2").alias("node")
     reps = sets.where("n > 0").groupBy("d1", "d2").agg(
@@ -457,15 +477,7 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pairs = own.select(*columns).union(outside.select(*columns)).join(bodies, "node")
         found = found.union(stored(pairs.groupBy("cluster", "i", "j").applyInArrow(join, schema), "near-links"))
     roots = components(found)
-    linked = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows"))
-    classes = linked.select("node", "root").join(least.where("rows > 1"), "root").select("node", "component_id")
-    # a class of copies may be a third of all rows: its few rows are salted, not the documents collected
-    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = sets.select("id", "n", node, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return (rows.join(salted, ["node", "salt"], "left")
-            .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "id").alias("component_id")))
+    return sets, named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _unpacked(packed: bytes, words: int) -> Iterator[np.ndarray]:
@@ -503,11 +515,40 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each component keeps the one with the smallest id.
 
-    Rows with a null id stay unless their text is there again with the same (null) id. Of rows that repeat both id
-    and text one stays.
+    Rows are told apart by id and set, so of a repeated id only the rows of the component go; of sets with the same id the first by
+    name stays, and of rows that repeat both id and set one. A text without words is linked with nothing; of such rows that repeat
+    both id and text one stays. Rows with a null id stay unless their text is there again with the same (null) id.
     """
-    found = near_components(docs, id_column, text_column, words, percent)
-    gone = found.where(F.col("component_id") < F.col(id_column)).select(F.col(id_column).alias(f"{id_column}_gone")).distinct()
-    left = docs.join(gone.hint("merge"), docs[id_column] == gone[f"{id_column}_gone"], "left_anti")
-    mark = f"copy_{uuid.uuid4().hex}"
-    return left.withColumn(mark, F.sha2(F.coalesce(text_column, F.lit("")).cast("binary"), 256)).dropDuplicates([id_column, mark]).drop(mark)
+    sets, linked = _linked_sets(id_and_text(docs, id_column, text_column), words, percent, BLOCK_SHINGLES)
+    heads = linked.groupBy("root").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "node"))).alias("head"), F.sum("rows").alias("rows"))
+    classes = linked.select("node", "root").join(heads.where("rows > 1"), "root").select("node", "head")
+    met = _with_classes(sets, classes).where("NOT (id = head.rep AND node = head.node)")
+    mark = uuid.uuid4().hex
+    one, two = f"one_{mark}", f"two_{mark}"
+    gone = met.select(F.col("id").alias(f"id_{mark}"), F.col("d1").alias(f"d1_{mark}"), F.col("d2").alias(f"d2_{mark}")).distinct()
+    marked = _marked(docs, id_column, text_column, words, one, two)
+    same = (F.col(id_column) == F.col(f"id_{mark}")) & (F.col(one) == F.col(f"d1_{mark}")) & (F.col(two) == F.col(f"d2_{mark}"))
+    left = marked.join(gone.hint("merge"), same, "left_anti")
+    return left.dropDuplicates([id_column, one, two]).drop(one, two)
+
+
+def _marked(docs: DataFrame, id_column: str, text_column: str, words: int, one: str, two: str) -> DataFrame:
+    """``docs`` with the digest of each row's set as two more columns; texts without words and rows without an id have that of the characters."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pc.fill_null(batch.column(text_column).cast(pa.string()), "")
+        ids = batch.column(id_column)
+        ones, twos = [], []
+        for row, _, data, offsets in text_chunks(texts):
+            for k, shingles in enumerate(shingle_sets(data, offsets, words)):
+                if len(shingles) and ids[row + k].is_valid:
+                    first, second = digest(shingles)
+                else:
+                    characters = hashlib.blake2b(texts[row + k].as_py().encode(), digest_size=16).digest()
+                    first, second = np.frombuffer(characters, dtype=np.int64).tolist()
+                ones.append(first)
+                twos.append(second)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ones, pa.int64()), pa.array(twos, pa.int64())],
+                                          names=[*batch.schema.names, one, two])
+
+    schema = StructType([*docs.schema.fields, StructField(one, LongType()), StructField(two, LongType())])
+    return over_batches(docs, run, schema)

@@ -211,6 +211,21 @@ def test_near_stage_takes_five_words_and_80_percent(spark):
     assert {r["doc_id"] for r in near.one_of_each(df).collect()} == brute_kept(texts, 4, 85)
 
 
+def test_one_row_of_each_component_with_repeated_ids(spark):
+    def text(g, changed=()):
+        return " ".join(f"new{g}x{k}" if k in changed else f"g{g}w{k}" for k in range(80))
+
+    rows = [
+        (1, text(0)), (2, text(0, (5,))), (2, text(1)),  # id 2: a copy of 1, and a text of its own
+        (3, text(2)), (3, text(2, (9,))), (3, text(2).upper()), (3, text(2)),  # near copies under one id
+        (None, text(3)), (None, text(3)), (None, text(3, (8,))),  # without an id
+        (4, ""), (4, " "), (4, ""), (5, ""), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    left = [(r["doc_id"], (r["text"] or "").lower()) for r in near.one_of_each(df).collect()]
+    groups = sorted((t.split()[3].split("w")[0] if "w" in t else "", -1 if i is None else i) for i, t in left)
+    assert groups == [("", -1), ("", 4), ("", 4), ("", 5), ("g0", 1), ("g1", 2), ("g2", 3), ("g3", -1), ("g3", -1)]
+
+
 def test_long_chains_and_hot_nodes_are_joined(spark):
     chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(70)] + [("h", f"s{i:03d}") for i in range(300)] + [("z", "z")]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a string, b string")).collect()}

@@ -12,6 +12,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +31,27 @@ from loometric.llm.common import id_and_text, returned_memory, stored
 LENGTH = 2048
 END_ID = 0
 # Words that a task remembers, and the longest one; bounds its memory, not the result.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 LONGEST_WORD = 200
-BATCH_WORDS = 4096
+
+# Words of ASCII and Latin-1 letters, for which the parts and the lower case are surely the tokenizer's own.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# How the tokenizer parts a lower-case word: a fixed value of its file, for these characters.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_MARKS = b",.;:!?"
+# What a file must say for that.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_marks() -> dict[int, str]:
+    """Each Latin-1 character as the marks of its UTF-8 bytes: a byte that prints stands for itself, the others follow from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in prints]
+    marks = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(marks[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_BYTE_MARKS = _byte_marks()
 
 
 # --- the plan ---------------------------------------------------------------------
@@ -146,49 +167,60 @@ class WordIds(dict):
     """Ids of words between spaces, as bytes of 32-bit numbers.
 
     The tokenizer drops white space and looks at no word's neighbours, so a text's ids are those of its words;
-    ``parts_at_spaces`` proves it for a file.
+    ``parts_at_spaces`` proves it for a file. A new word of plain characters is parted as the tokenizer parts it, and
+    only parts not met before are merged by its model; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def _encoded(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        split = [t.encode().split() for t in texts]
-        missing = list({w for words in split for w in words if w not in self})
-        if len(self) + len(missing) > REMEMBERED:
-            self.clear()
-            missing = list({w for words in split for w in words})
-        long = set()
-        for at in range(0, len(missing), BATCH_WORDS):
-            words = missing[at:at + BATCH_WORDS]
-            self.update(zip(words, self._encoded(words)))
-            long.update(w for w in words if len(w) > LONGEST_WORD)
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
-        for word in long:  # not worth remembering
-            del self[word]
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.merged = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters are one part
+            ids = self._part(word.lower().decode())
+        elif word[:-1].isalpha() and word[-1] in _MARKS:
+            ids = self._part(word[:-1].lower().decode()) + self._part(chr(word[-1]))
+        else:
+            text = word.decode()
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join([self._part(part) for part in _PARTS.findall(text.lower())])
+            else:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = b"".join([self.id_bytes[t.id] for t in self.merged(part if part.isascii() else part.translate(_BYTE_MARKS))])
+            if len(part) <= LONGEST_WORD:
+                if len(self.parts) >= REMEMBERED:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        """The ids of a text."""
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 def parts_at_spaces(path: str) -> None:
-    """Raises unless the tokenizer of the file drops white space before it looks for words.
+    """Raises unless the tokenizer of the file drops white space before it looks for words, and parts words as ``_PARTS`` does.
 
     Then ids of words follow each other: the normaliser works on single characters and marks behind them, spaces are in no word,
     and added tokens hold no space and take none with them.
     """
-    import json
-
     with open(path, encoding="utf-8") as file:
         made = json.load(file)
     normal, parts = made["normalizer"], made["pre_tokenizer"]
     kinds = [n["type"] for n in normal["normalizers"]] if normal and normal["type"] == "Sequence" else [normal and normal["type"]]
     first = parts["pretokenizers"][0] if parts and parts["type"] == "Sequence" else parts
-    drops = first and first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]
+    drops = first and first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"] == {"Regex": PATTERN}
     quiet = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made["added_tokens"])
     if not (drops and quiet and set(kinds) <= {"NFC", "Replace", "Lowercase"}):
         raise ValueError(f"the tokenizer of {path} may look across spaces")
@@ -202,14 +234,15 @@ def token_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # a task has few cores; each thread of the library keeps memory of its own
         words, part = WordIds(path), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 row, piece, size, sums = [], [], [], []
-                for k, ids in enumerate(words.of(some.column("text").to_pylist())):
-                    ids += end
+                for k, text in enumerate(some.column("text").to_pylist()):
+                    ids = words.of(text) + end
                     for i, begin in enumerate(range(0, len(ids), 4 * length)):
                         cut = ids[begin:begin + 4 * length]
                         row.append(k)
@@ -230,6 +263,7 @@ def token_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
                      pa.array(sums, pa.int64()), pa.array(np.full(len(sizes), part), pa.int64()), pa.array(numbers)],
                     names=["id", "piece", "start", "length", "ids_crc32", "part", "number"])
         words.clear()
+        words.parts.clear()
         returned_memory()
 
     kind = docs.schema[id_column].dataType.simpleString()

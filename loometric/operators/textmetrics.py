@@ -1,18 +1,31 @@
 """Overlap scores between generated and expected texts.
 
 A pair of texts is one row, so n-gram overlaps and longest common subsequences are
-found inside the row: nothing but per-pair counts is ever shuffled.
+found inside the row: nothing but per-pair counts is ever shuffled. Only the subsequences of very
+long pairs are spread over tasks, as tiles that exchange their borders.
 """
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from loometric.fixed import SMALLEST_NORMAL
 from loometric.functions.stage import computed
-from loometric.functions.text import let, split_words
+from loometric.functions.text import split_words
+from loometric.session import shared_folder
+
+# Words of a slice of pairs that are matched at once, of the rows of one block, and of a side of a tile: bounds of memory.
+SLICE_WORDS = 1 << 19
+BLOCK_BITS = 4096
+TILE_WORDS = 1 << 16
 
 VECTOR_BLOCK = 512
 BLOCK_SALTS = 16
@@ -24,46 +37,75 @@ def rouge_words(text: Column, unicode: bool = False) -> Column:
     return F.array_remove(F.split(F.lower(text), inner), "")
 
 
-def longer_ngrams(shorter: Column, words: Column, n: int) -> Column:
-    """All runs of ``n`` words joined by a space, from the runs of ``n - 1`` words."""
-    return F.zip_with(
-        F.slice(shorter, F.lit(1), F.greatest(F.size(shorter) - 1, F.lit(0))),
-        F.slice(words, F.lit(n), F.size(words)),
-        lambda run, word: F.concat(run, F.lit(" "), word))
-
-
-def _repeats(grams: Column) -> Column:
-    """A sorted array without the first copy of each gram."""
-    return F.filter(grams, lambda g, i: g == F.get(grams, i - 1))
+def clipped_matches(words: np.ndarray, texts: np.ndarray, pairs: int, orders: range) -> dict[int, np.ndarray]:
+    """For each order the number of n-grams that both texts of a pair have, each counted as often as in the text with fewer.
 
-
-def _numbered(grams: Column) -> Column:
-    """Each gram of a sorted array with the number of its copy, so that set operations count copies."""
-    starts = F.filter(F.transform(grams, lambda g, i: i),
-                      lambda i: ~F.get(grams, i).eqNullSafe(F.get(grams, i - 1)))
-    return let(starts, lambda runs: F.flatten(F.transform(runs, lambda s, k: F.transform(
-        F.sequence(F.lit(1), F.coalesce(F.get(runs, k + 1), F.size(grams)) - s),
-        lambda c: F.concat_ws("\x1f", F.get(grams, s), c.cast("string"))))))
+    ``words`` are numbers, ``texts`` says of each word whose it is: text t < ``pairs`` is the candidate of pair t,
+    text ``pairs`` + t its reference. A run of n + 1 words is the rank of its first n and the rank of its last word, so no
+    run is ever spelled out; runs whose beginning is not in both texts can't match and are left out.
+    """
+    found, at = {}, np.arange(len(words))
+    single = np.unique((texts % max(pairs, 1)) * (int(words.max(initial=0)) + 1) + words, return_inverse=True)[1]
+    many, ranks = int(single.max(initial=0)) + 1, single
+    for n in orders:
+        if n > 1:  # ranks holds, for the places ``at``, the rank of the run of n - 1 words
+            inside = at + n - 1 < len(words)
+            at, ranks = at[inside], ranks[inside]
+            inside = texts[at] == texts[at + n - 1]
+            at, ranks = at[inside], ranks[inside]
+            ranks = np.unique(ranks * many + single[at + n - 1], return_inverse=True)[1]
+        kinds, owners = int(ranks.max(initial=-1)) + 1, texts[at]
+        in_candidate = owners < pairs
+        both = np.minimum(np.bincount(ranks[in_candidate], minlength=kinds), np.bincount(ranks[~in_candidate], minlength=kinds))
+        pair_of = np.zeros(kinds, dtype=np.int64)
+        pair_of[ranks] = owners % max(pairs, 1)
+        found[n] = np.bincount(pair_of, weights=both, minlength=pairs).astype(np.int64)
+        matched = both[ranks] > 0
+        at, ranks = at[matched], ranks[matched]
+    return found
+
+
+def _row_slices(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about ``limit`` words; a longer row comes alone."""
+    ends, row = np.cumsum(lengths), 0
+    while row < len(lengths):
+        before = ends[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield row, end
+        row = end
+
+
+def _lengths(words: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _overlaps(orders: range):
+    """An Arrow function of two word arrays: the clipped matches of each order, null where a text is."""
+    @F.arrow_udf(StructType([StructField(f"o{n}", LongType()) for n in orders]))
+    def overlaps(candidate: pa.Array, reference: pa.Array) -> pa.Array:
+        parts = {n: [np.empty(0, dtype=np.int64)] for n in orders}
+        for row, end in _row_slices(_lengths(candidate) + _lengths(reference), SLICE_WORDS):
+            sides = [side.slice(row, end - row) for side in (candidate, reference)]
+            texts = np.repeat(np.arange(2 * (end - row)), np.concatenate([_lengths(side) for side in sides]))
+            words = pa.concat_arrays([side.flatten() for side in sides]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            for n, counts in clipped_matches(words, texts, end - row, orders).items():
+                parts[n].append(counts)
+        missing = pc.or_(pc.is_null(candidate), pc.is_null(reference))
+        return pa.StructArray.from_arrays([pc.if_else(missing, None, pa.array(np.concatenate(parts[n]))) for n in orders], [f"o{n}" for n in orders])
+
+    return overlaps
 
 
 def _with_overlaps(pairs: DataFrame, candidate: Column, reference: Column, orders: range) -> DataFrame:
     """Adds ``_c{n}``, ``_r{n}`` (numbers of n-grams) and ``_o{n}`` (clipped matches)."""
-    df = computed(pairs, _cw1=candidate, _rw1=reference)
-    for n in orders[1:]:
-        df = computed(df, **{f"_{side}w{n}": longer_ngrams(F.col(f"_{side}w{n - 1}"), F.col(f"_{side}w1"), n)
-                             for side in "cr"})
-    df = computed(df, **{f"_{side}g{n}": F.sort_array(f"_{side}w{n}") for n in orders for side in "cr"})
-    # first copies match as sets; only further copies, mostly few, are numbered
-    df = computed(df, **{f"_{side}x{n}": _repeats(F.col(f"_{side}g{n}")) for n in orders for side in "cr"})
+    df = computed(pairs, _cw=candidate, _rw=reference).withColumn("_o", _overlaps(orders)("_cw", "_rw"))
+    return df.select(*pairs.columns, *[F.greatest(F.size(f"_{side}w") - (n - 1), F.lit(0)).alias(f"_{side}{n}") for n in orders for side in "cr"],
+                     *[F.col(f"_o.o{n}").alias(f"_o{n}") for n in orders])
 
-    def matches(n: int) -> Column:
-        return F.size(F.array_intersect(f"_cg{n}", f"_rg{n}")) + F.size(
-            F.array_intersect(_numbered(F.col(f"_cx{n}")), _numbered(F.col(f"_rx{n}"))))
 
-    return computed(
-        df, **{f"_{side}{n}": F.size(f"_{side}g{n}") for n in orders for side in "cr"},
-        **{f"_o{n}": matches(n) for n in orders},
-    ).drop(*[f"_{side}{kind}{n}" for n in orders for side in "cr" for kind in "wgx"])
+def common_words(candidate: Column | str, reference: Column | str) -> Column:
+    """How many words two word arrays share, each counted as often as in the array with fewer."""
+    return _overlaps(range(1, 2))(candidate, reference)["o1"]
 
 
 def _f_measure(overlap: Column, candidate: Column, reference: Column) -> Column:
@@ -79,31 +121,124 @@ def rouge_n_pairs(pairs: DataFrame, candidate_col: str, reference_col: str, unic
                            for n in (1, 2)}).drop("_c1", "_r1", "_o1", "_c2", "_r2", "_o2")
 
 
-@F.pandas_udf(IntegerType())
-def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two word arrays.
+def subsequence_bits(rows: list, columns: list, state: bytes | None = None, carries: bytes | None = None,
+                     block: int = BLOCK_BITS) -> tuple[bytes, bytes]:
+    """One tile of the table of longest common subsequences, as its border.
 
-    Bit-parallel: one whole-number operation handles a row of the usual table.
+    Bit i of the state is 0 where the table grows from row i to the next in the column reached so far; the carries say for each
+    column what the addition of the rows above hands down. Rows are worked off in blocks of fixed size, each over all columns, and only the
+    carries pass from block to block, so the memory is linear in both texts. Without borders the tile lies at the edge.
+    """
+    size, carries = len(rows), bytearray(carries if carries is not None else len(columns))
+    given = int.from_bytes(state, "little") if state is not None else (1 << size) - 1
+    done = 0
+    for at in range(0, size, block):
+        part = rows[at:at + block]
+        places: dict = {}
+        for i, word in enumerate(part):
+            places[word] = places.get(word, 0) | 1 << i
+        width = len(part)
+        full = (1 << width) - 1
+        bits, seen = given >> at & full, places.get
+        for j, word in enumerate(columns):
+            here = seen(word)
+            if here is None:
+                if carries[j]:
+                    total = bits + 1
+                    carries[j] = total >> width
+                    bits |= total & full
+                continue
+            hits = bits & here
+            total = bits + hits + carries[j]
+            carries[j] = total >> width
+            bits = (total & full) | (bits ^ hits)
+        done |= bits << at
+    return done.to_bytes((size + 7) // 8, "little"), bytes(carries)
+
+
+def _closed(state: bytes, size: int) -> int:
+    """How often the table grows along a tile's last column."""
+    return size - int.from_bytes(state, "little").bit_count()
+
+
+@F.arrow_udf(IntegerType())
+def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two word arrays; null where one is."""
+    def length(a: list | None, b: list | None) -> int | None:
+        if a is None or b is None:
+            return None
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        return _closed(subsequence_bits(a, b)[0], len(a))
+
+    return pa.array([length(a.as_py(), b.as_py()) for a, b in zip(left, right)], pa.int32())
+
+
+def tiled_subsequences(pairs: DataFrame, key_col: str, left_col: str, right_col: str, tile_words: int = TILE_WORDS) -> DataFrame:
+    """(key, lcs): the longest common subsequences of pairs of word arrays that are too long for one task.
+
+    The table of a pair is cut into tiles. Tiles of one diagonal don't need each other, so each round of the loop works on a diagonal of
+    all pairs, with the borders of the one before: a bit for each row, a byte for each column. ``key_col`` is unique.
+    """
+    spark = pairs.sparkSession
+
+    def parts(column: str, name: str) -> DataFrame:
+        starts = F.when(F.size(column) > 0, F.sequence(F.lit(0), F.size(column) - 1, F.lit(tile_words)))
+        rows = pairs.select(F.col(key_col).alias("key"), F.col(column).alias("words"), F.posexplode(starts).alias("part", "start"))
+        path = shared_folder(spark, f"lcs-{name}")
+        rows.select("key", "part", F.slice("words", F.col("start") + 1, F.lit(tile_words)).alias("words")).write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows, columns = parts(left_col, "rows"), parts(right_col, "columns")
+    ends = [side.groupBy("key").agg((F.max("part") + 1).alias("n")) for side in (rows, columns)]
+    last = ends[0].withColumnRenamed("n", "a").join(ends[1].withColumnRenamed("n", "b"), "key").agg(F.max(F.col("a") + F.col("b"))).first()[0] or 1
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = batch.slice(k, 1)
+                a, b, state, carries = (tile.column(name)[0].as_py() for name in ("row_words", "column_words", "state", "carries"))
+                state, carries = subsequence_bits(a, b, state, carries)
+                yield pa.RecordBatch.from_arrays(
+                    [tile.column("key"), tile.column("i"), tile.column("j"), pa.array([state], pa.binary()), pa.array([carries], pa.binary()),
+                     pa.array([_closed(state, len(a))], pa.int64())], names=["key", "i", "j", "state", "carries", "closed"])
+
+    schema = StructType([StructField("key", pairs.schema[key_col].dataType), *[StructField(n, IntegerType()) for n in "ij"],
+                         StructField("state", BinaryType()), StructField("carries", BinaryType()), StructField("closed", LongType())])
+    before, paths = spark.createDataFrame([], schema), []
+    for diagonal in range(last - 1):
+        met = rows.select("key", F.col("part").alias("i"), F.col("words").alias("row_words"), (F.lit(diagonal) - F.col("part")).alias("j")).join(
+            columns.select("key", F.col("part").alias("j"), F.col("words").alias("column_words")), ["key", "j"])
+        met = (met.join(before.select("key", "i", "state"), ["key", "i"], "left")
+               .join(before.select("key", "j", "carries"), ["key", "j"], "left"))
+        paths.append(shared_folder(spark, "lcs-diagonal"))
+        met.select("key", "i", "j", "row_words", "column_words", "state", "carries").mapInArrow(tiles, schema).write.parquet(paths[-1])
+        before = spark.read.schema(schema).parquet(paths[-1])
+    done = spark.read.schema(schema).parquet(*paths) if paths else before
+    ended = done.join(ends[1], "key").where("j = n - 1").groupBy("key").agg(F.sum("closed").alias("lcs"))
+    keys = pairs.select(F.col(key_col).alias("key")).join(ended, "key", "left")
+    return keys.select(F.col("key").alias(key_col), F.coalesce("lcs", F.lit(0)).cast("int").alias("lcs"))
+
+
+def rouge_l_pairs(pairs: DataFrame, candidate_col: str, reference_col: str, unicode: bool = False, key_col: str | None = None,
+                  tile_words: int = TILE_WORDS) -> DataFrame:
+    """ROUGE-L F per pair (``rougeL``).
+
+    A pair is worked on in its row. With a unique ``key_col``, pairs with a text of more than ``tile_words`` words are spread over tasks as tiles.
     """
-    def length(a, b) -> int:
-        places: dict[str, int] = {}
-        for i, word in enumerate(a):
-            places[word] = places.get(word, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        open_bits = full
-        for word in b:
-            hits = open_bits & places.get(word, 0)
-            open_bits = ((open_bits + hits) | (open_bits - hits)) & full
-        return len(a) - open_bits.bit_count()
-
-    return pd.Series([length(a, b) for a, b in zip(left, right)], dtype="int32")
-
-
-def rouge_l_pairs(pairs: DataFrame, candidate_col: str, reference_col: str, unicode: bool = False) -> DataFrame:
-    """ROUGE-L F per pair (``rougeL``)."""
     df = computed(pairs, _cw=rouge_words(F.col(candidate_col), unicode), _rw=rouge_words(F.col(reference_col), unicode))
-    df = df.withColumn("_lcs", common_subsequence("_cw", "_rw"))
-    return computed(df, rougeL=_f_measure(F.col("_lcs"), F.size("_cw"), F.size("_rw"))).drop("_cw", "_rw", "_lcs")
+
+    def scored(lengths: DataFrame) -> DataFrame:
+        return computed(lengths, rougeL=_f_measure(F.col("_lcs"), F.size("_cw"), F.size("_rw"))).drop("_cw", "_rw", "_lcs")
+
+    if key_col is None:
+        return scored(df.withColumn("_lcs", common_subsequence("_cw", "_rw")))
+    longer = F.coalesce(F.greatest(F.size("_cw"), F.size("_rw")) > tile_words, F.lit(False))
+    path = shared_folder(pairs.sparkSession, "long-pairs")
+    df.where(longer).write.parquet(path)
+    far = pairs.sparkSession.read.parquet(path)
+    lengths = tiled_subsequences(far, key_col, "_cw", "_rw", tile_words).withColumnRenamed("lcs", "_lcs")
+    near = df.where(~longer).withColumn("_lcs", common_subsequence("_cw", "_rw"))
+    return scored(near).unionByName(scored(far.join(lengths, key_col)))
 
 
 def mean_scores(scored: DataFrame, *names: str) -> DataFrame:

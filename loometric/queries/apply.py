@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loometric import functions as fn
@@ -167,6 +168,27 @@ def score_stream(spark, sf_dir):
     return spark.read.parquet(f"{folder}/results").drop(score.BATCH, score.DIGEST)
 
 
+@query("attempt_ledger", """
+    SELECT min(d.doc_id) AS doc_id, 2 + max(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS tries,
+           max(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) = 1 AS quarantined, 'ValueError: length is a multiple of seven' AS error,
+           2 + max(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS letters
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE length(text) % 7 = 0 GROUP BY text
+""")
+def attempt_ledger(spark, sf_dir):
+    """The labelled documents are scored, then all, and then all again: three tries at most for a text, one letter for each."""
+    folder = shared_folder(spark, "attempts")
+    paths = f"{folder}/results", f"{folder}/failures"
+    items = prompts(spark, sf_dir)
+    for part in (labelled(spark, sf_dir, items), items, items):
+        score.resume_scoring(part, length_model, *paths, order_key="doc_id", duplicates="once", max_tries=3)
+    firsts = items.groupBy(relate.digest(F.col("input")).alias(score.DIGEST)).agg(F.min("doc_id").alias("doc_id"))
+    letters = spark.read.parquet(paths[1]).groupBy(relate.digest(F.col("user_prompt")).alias(score.DIGEST)).agg(F.count(F.lit(1)).alias("letters"))
+    kept = score.quarantined(spark, *paths, max_tries=3).select(score.DIGEST, F.lit(True).alias("quarantined"))
+    found = score.attempts(spark, *paths).join(firsts, score.DIGEST).join(letters, score.DIGEST).join(kept, score.DIGEST, "left")
+    return found.select("doc_id", F.col("tries").cast("int").alias("tries"), F.coalesce("quarantined", F.lit(False)).alias("quarantined"), "error",
+                        F.col("letters").cast("int").alias("letters"))
+
+
 JUDGE_TEMPLATE = "Text: {}\nScore 1-5:"
 
 
@@ -185,13 +207,16 @@ def judge_job(spark, sf_dir):
     return rounded(board, "avg_score", "median_score", "std_dev")
 
 
-@query("scoring_throughput", "SELECT count(*) AS rows, true AS timed FROM documents")
+@query("scoring_throughput", "SELECT count(*) AS rows, count(*) AS counted, count(*) FILTER (length(text) % 7 = 0) AS failed FROM documents")
 def scoring_throughput(spark, sf_dir):
+    """What a timed job wrote, and what was counted while it ran."""
     scored = score.score_batches(prompts(spark, sf_dir), length_model, "input")
     path = shared_folder(spark, "timed")
     took = profile.scoring_throughput(scored, lambda df: df.write.parquet(path))
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.lit(took.seconds > 0 and took.rows > 0).alias("timed"))
+    if took.seconds <= 0 or took.seconds_per_row * took.rows != took.seconds and abs(took.seconds_per_row * took.rows / took.seconds - 1) > 1e-9:
+        raise ValueError("a job has a duration, and a row its share of it")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.lit(took.rows).cast("bigint").alias("counted"),
+                                        F.count("error").alias("failed"))
 
 
 @query("classify", """
@@ -215,28 +240,31 @@ def part_of(text: str):
 SQL_PART = "('0x' || substr(md5(text), 1, 8))::BIGINT % 5"
 
 
-def trained(spark, sf_dir):
-    """The whole labelled table in two parts that a stable hash of the text decides."""
+def trained(spark, sf_dir, **options):
+    """The whole labelled table in three parts that a stable hash of the text decides."""
     df = v.fx_text(spark, sf_dir).withColumn("_part", part_of("text"))
-    fit, check = df.filter("_part > 0").drop("_part"), df.filter("_part = 0").drop("_part")
-    model, table = train.train_text_classifier(fit, check, regularizations=(0.01, 0.1), features=1 << 14, iterations=10)
-    return model, table, fit, check
+    fit, check, test = (df.filter(f"_part {c}").drop("_part") for c in ("> 1", "= 0", "= 1"))
+    model, table = train.train_text_classifier(fit, check, regularizations=(0.01, 0.1), features=1 << 14, iterations=10, test=test, **options)
+    return model, table, check, test
 
 
 @query("train_text_classifier", f"""
-    WITH parts AS (SELECT {SQL_PART} AS part FROM documents JOIN labels USING (doc_id)),
-    sizes AS (SELECT count(*) FILTER (part > 0) AS fit_rows, count(*) FILTER (part = 0) AS check_rows FROM parts)
-    SELECT run, fit_rows, check_rows, true AS scores_in_range FROM sizes, (VALUES ('reg=0.01'), ('reg=0.1')) AS runs(run)
+    WITH parts AS (SELECT {SQL_PART} AS k, quality AS label FROM documents JOIN labels USING (doc_id)),
+    sizes AS (SELECT CASE WHEN k = 0 THEN 'validation' ELSE 'test' END AS part, count(*) AS rows,
+              greatest(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS most FROM parts WHERE k < 2 GROUP BY ALL)
+    SELECT part, rows, most, CASE WHEN part = 'test' THEN 1 ELSE 2 END::BIGINT AS candidates, true AS at_least_the_majority FROM sizes
 """)
 def train_text_classifier(spark, sf_dir):
-    """One row per candidate; SQL can state the parts, and that every score is a share."""
-    _, table, fit, check = trained(spark, sf_dir)
-    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1")]
-    sizes = fit.agg(F.count(F.lit(1))).scalar(), check.agg(F.count(F.lit(1))).scalar()
-    return table.select("run", sizes[0].alias("fit_rows"), sizes[1].alias("check_rows"),
-                        (shares[0] & shares[1] & shares[2] & shares[3]).alias("scores_in_range"))
+    """Both parts that are scored; the best candidate is right at least as often as naming the commonest class would be."""
+    _, table, check, test = trained(spark, sf_dir)
+    sizes = check.withColumn("part", F.lit("validation")).union(test.withColumn("part", F.lit("test"))).groupBy("part", "label").agg(
+        F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+    best = table.groupBy("part").agg(F.max("accuracy").alias("accuracy"), F.count(F.lit(1)).alias("candidates"))
+    return sizes.join(best, "part").select("part", "rows", "most", "candidates",
+                                           (F.round(F.col("accuracy") * F.col("rows")) >= F.col("most")).alias("at_least_the_majority"))
 
 
+# the kept candidate is the one with the best validation score, and its shares are those of its stored weights
 @query("predict_classes", "SELECT doc_id, true AS known_class, 1.0::DOUBLE AS total FROM documents")
 def predict_classes(spark, sf_dir):
     """All documents, labelled or not; SQL can state that each has a class and shares that sum to one."""
@@ -244,3 +272,15 @@ def predict_classes(spark, sf_dir):
     scored = train.predict_classes(model, v.documents(spark, sf_dir, "text"))
     total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
     return scored.select("doc_id", F.col("predicted").isin(0, 1).alias("known_class"), F.round(total, 6).alias("total"))
+
+
+@query("predict_with_weights", f"""
+    WITH z AS (SELECT doc_id, 0.02 * len({v.sql_words('lower(text)')}) - 4 AS z FROM documents)
+    SELECT doc_id, CASE WHEN z > 0 THEN 1 ELSE 0 END AS predicted, round(1 / (1 + exp(-z)), 6) AS share FROM z
+""")
+def predict_with_weights(spark, sf_dir):
+    """A classifier with one feature, which all words fall on, so that SQL can compute its shares."""
+    folder = shared_folder(spark, "given")
+    train.TextClassifier(2, np.array([[0.02, -4.0]])).save(spark, folder, "given")
+    scored = train.predict_classes(train.TextClassifier.load(spark, folder, "given"), v.documents(spark, sf_dir, "text"))
+    return rounded(scored.select("doc_id", F.col("predicted").cast("int").alias("predicted"), F.get("probabilities", F.lit(1)).alias("share")), "share")

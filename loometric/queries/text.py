@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from loometric.functions import computed, split_words
 from loometric.operators import textmetrics as tm
 from loometric.queries import views as v
 from loometric.queries.prepare import rounded
@@ -61,6 +64,39 @@ def rouge_l(spark, sf_dir):
     return rounded(tm.mean_scores(scored, "rougeL"), "rougeL")
 
 
+# a text that lost words is a subsequence of the whole text, so every word it kept counts
+@query("rouge_l_kept_words", f"""
+    WITH words AS (SELECT doc_id, len({SQL_ROUGE_WORDS.format('output')}) AS c, len({SQL_ROUGE_WORDS.format('input')}) AS r FROM fx_io)
+    SELECT doc_id, CASE WHEN c > 0 THEN round(2 * c / (c + r), 6) ELSE 0 END AS "rougeL" FROM words
+""", ("fx_io",))
+def rouge_l_kept_words(spark, sf_dir):
+    """Whole texts against every third word of them; pairs with long texts are spread over tasks as tiles."""
+    pairs = v.fx_io(spark, sf_dir).select("doc_id", "input", "output")
+    scored = tm.rouge_l_pairs(pairs, "output", "input", key_col="doc_id", tile_words=2048)
+    return rounded(scored.select("doc_id", "rougeL"), "rougeL")
+
+
+# most: the words that both texts have; least: the kept words of the part that was not moved
+@query("rouge_l_bounds", f"""
+    WITH words AS (SELECT pair_id, {SQL_ROUGE_WORDS.format('generated')} AS c, {SQL_ROUGE_WORDS.format('expected')} AS r FROM fx_pairs),
+    {sql_grams(1)},
+    counted AS (SELECT pair_id, g, count(*) FILTER (side = 'c') AS cc, count(*) FILTER (side = 'r') AS rc FROM grams GROUP BY ALL),
+    most AS (SELECT pair_id, sum(least(cc, rc)) AS n FROM counted GROUP BY ALL),
+    tails AS (SELECT doc_id, array_to_string(list_filter(tokens[len(tokens) // 3 + 1:], lambda w, i: (i - 1) % 5 <> 4), ' ') AS kept FROM fx_words)
+    SELECT doc_id AS pair_id, coalesce(n, 0)::BIGINT AS most, len({SQL_ROUGE_WORDS.format('kept')})::BIGINT AS least, true AS within
+    FROM tails LEFT JOIN most ON doc_id = pair_id
+""", ("fx_pairs",))
+def rouge_l_bounds(spark, sf_dir):
+    """Longest common subsequences lie between two numbers that SQL can count."""
+    pairs = v.fx_pairs(spark, sf_dir)
+    words = computed(pairs, c=tm.rouge_words(F.col("generated")), r=tm.rouge_words(F.col("expected")), w=split_words(F.col("expected")))
+    tail = F.slice("w", F.expr("size(w) div 3") + 1, F.size("w"))
+    kept = F.array_join(F.filter(tail, lambda w, i: i % 5 != 4), " ")
+    found = words.withColumn("lcs", tm.common_subsequence("c", "r")).withColumn("o", tm.common_words("c", "r"))
+    least = F.size(tm.rouge_words(kept)).cast("bigint")
+    return found.select("pair_id", F.col("o").alias("most"), least.alias("least"), F.col("lcs").between(least, F.col("o")).alias("within"))
+
+
 @query("corpus_bleu", f"""
     WITH words AS (SELECT pair_id, {v.sql_words('generated')} AS c, {v.sql_words('expected')} AS r FROM fx_pairs),
     orders AS (SELECT unnest([1, 2, 3, 4]) AS n),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
@@ -106,17 +106,27 @@ def classify(df: DataFrame, model: Callable[[], Callable[[list[str]], Iterable[l
     return df.mapInPandas(run, schema)
 
 
-BATCH, DIGEST, AGAIN = "batch", "input_digest", "_again"
+BATCH, DIGEST, ROW, SEQ = "batch", "input_digest", "row_digest", "seq"
+# How often a failing text meets the model, at most.
+MAX_TRIES = 5
+# Batches of attempts that are read one by one before their sums are written as one table.
+LEDGER_BATCHES = 16
+
+
+def retry_gap(tries: Column) -> Column:
+    """Batches to wait after so many tries: 1, 1, 2, 4, 8 and so on."""
+    return F.pow(F.lit(2.0), F.least(F.greatest(tries - 2, F.lit(0)), F.lit(20))).cast("bigint")
 
 
 def resume_scoring(items: DataFrame, model: Callable[[], Model], results_path: str, failures_path: str,
                    prompt_col: str = "input", order_key: str | None = None, duplicates: str = "each",
-                   save_failures: bool = False, run_id: str = "default") -> None:
+                   save_failures: bool = False, run_id: str = "default", max_tries: int = MAX_TRIES) -> None:
     """Score the items whose text is not in the result table, and append them to it.
 
     Items that failed before and have no result yet are tried again along with the new ones, unless
-    ``save_failures`` counts a failure as a result. Each scored batch has its own folder and name, and is
-    logged before it is appended; a run that was stopped in between, with the same ``run_id``,
+    ``save_failures`` counts a failure as a result. A ledger of attempts by digest decides which: after each try a text waits
+    longer, and after ``max_tries`` it is quarantined and never sent again, however often it comes. Each scored batch has its own
+    folder and name, and is logged before it is appended; a run that was stopped in between, with the same ``run_id``,
     first appends what is missing, without asking the model again. Results carry a digest of their
     text: what is done already is read from this column alone.
     """
@@ -124,18 +134,42 @@ def resume_scoring(items: DataFrame, model: Callable[[], Model], results_path: s
     paths = _Paths(results_path, failures_path)
     for batch, _ in _unfinished(spark, paths, run_id):
         _finish(spark, paths, run_id, batch, items.schema, prompt_col, save_failures)
-    done = read_results(spark, results_path, StructType().add(DIGEST, "string"))
-    todo = items.withColumn(AGAIN, F.lit(False))
+    seq = _batches_so_far(spark, paths) + 1
+    done = read_results(spark, results_path, StructType().add(DIGEST, "string")).select(DIGEST)
+    todo = items
     if not save_failures:
-        mine = items.select(digest(F.col(prompt_col)).alias("_key")).distinct()
-        failed = read_results(spark, paths.failed_items, items.schema).select(*items.columns)
-        failed = failed.withColumn("_key", digest(F.col(prompt_col))).join(mine, "_key", "left_anti").drop("_key")
-        todo = todo.unionByName(failed.withColumn(AGAIN, F.lit(True)))
+        ledger = attempts(spark, results_path, failures_path)
+        due = (F.col("tries") < max_tries) & (F.col("last") + retry_gap(F.col("tries")) <= seq)
+        failed_schema = StructType(list(items.schema.fields)).add(DIGEST, "string").add(ROW, "string")
+        failed = (read_results(spark, paths.failed_items, failed_schema).select(*failed_schema.names)
+                  .join(ledger.where(due).select(DIGEST), DIGEST, "left_semi")
+                  .join(items.select(_row_digest(items).alias(ROW)), ROW, "left_anti"))
+        todo = items.unionByName(failed.select(*items.columns))
+        done = done.unionByName(ledger.where(~due).select(DIGEST))  # these wait, or are quarantined
     scored = score_batches(pending(todo, done, prompt_col, order_key, duplicates, done_digest=DIGEST), model, prompt_col)
-    batch = f"b{uuid.uuid4().hex}"
+    batch = f"b{seq:08d}-{uuid.uuid4().hex}"
     scored.write.parquet(paths.batch(batch))
     _log(spark, paths, run_id, batch, "scored")
     _finish(spark, paths, run_id, batch, items.schema, prompt_col, save_failures)
+    if not save_failures:
+        _sum_up(spark, paths, run_id, seq)
+
+
+def attempts(spark: SparkSession, results_path: str, failures_path: str) -> DataFrame:
+    """The ledger, (digest, tries, last, error): one row for each text that has failed, done since then or not."""
+    paths = _Paths(results_path, failures_path)
+    summed = _summed_up_to(spark, paths)
+    single = read_results(spark, paths.ledger, LEDGER_SCHEMA).where(F.col(SEQ) > summed).select(
+        DIGEST, F.lit(1).cast("bigint").alias("tries"), F.col(SEQ).alias("last"), "error")
+    if summed:
+        single = single.unionByName(read_results(spark, paths.ledger_sums(summed), SUMS_SCHEMA))
+    return single.groupBy(DIGEST).agg(F.sum("tries").alias("tries"), F.max_by("error", "last").alias("error"), F.max("last").alias("last"))
+
+
+def quarantined(spark: SparkSession, results_path: str, failures_path: str, max_tries: int = MAX_TRIES) -> DataFrame:
+    """The ledger's rows of texts that are not tried again and have no result."""
+    done = read_results(spark, results_path, StructType().add(DIGEST, "string")).select(DIGEST)
+    return attempts(spark, results_path, failures_path).where(F.col("tries") >= max_tries).join(done, DIGEST, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -151,11 +185,25 @@ class _Paths:
     def failed_items(self) -> str:
         return f"{self.failures.rstrip('/')}_items"
 
+    @property
+    def ledger(self) -> str:
+        return f"{self.failures.rstrip('/')}_ledger"
+
+    def ledger_sums(self, seq: int) -> str:
+        return f"{self.failures.rstrip('/')}_ledger_sums/{seq}"
+
     def batch(self, name: str) -> str:
         return f"{self.results.rstrip('/')}_batches/{name}"
 
 
 LOG_SCHEMA = "run_id string, batch string, state string"
+LEDGER_SCHEMA = f"{DIGEST} string, error string, {SEQ} bigint, {BATCH} string"
+SUMS_SCHEMA = f"{DIGEST} string, tries bigint, last bigint, error string"
+
+
+def _row_digest(df: DataFrame) -> Column:
+    """Tells rows apart, whatever the types of their columns."""
+    return F.sha2(F.to_json(F.struct(*df.columns)), 256)
 
 
 def _log(spark: SparkSession, paths: _Paths, run_id: str, batch: str, state: str) -> None:
@@ -164,40 +212,101 @@ def _log(spark: SparkSession, paths: _Paths, run_id: str, batch: str, state: str
 
 def _unfinished(spark: SparkSession, paths: _Paths, run_id: str) -> list[tuple[str, int]]:
     """Batches of this run that were scored and not appended in full: one at most after each stop."""
-    log = read_results(spark, paths.log, LOG_SCHEMA).filter(F.col("run_id") == run_id)
+    log = read_results(spark, paths.log, LOG_SCHEMA).filter((F.col("run_id") == run_id) & (F.col("state") != "summed"))
     states = log.groupBy("batch").agg(F.count_distinct("state").alias("states"))
     return [(r["batch"], r["states"]) for r in states.filter("states < 2").collect()]
 
 
+def _batches_so_far(spark: SparkSession, paths: _Paths) -> int:
+    return read_results(spark, paths.log, LOG_SCHEMA).filter("state = 'scored'").count()
+
+
+def _seq(batch: str) -> int:
+    return int(batch[1:9])
+
+
+def _summed_up_to(spark: SparkSession, paths: _Paths) -> int:
+    """The last batch whose attempts are in a table of sums; 0 without one."""
+    log = read_results(spark, paths.log, LOG_SCHEMA).filter("state = 'summed'")
+    return log.agg(F.max(F.col("batch").cast("bigint"))).first()[0] or 0
+
+
+def _sum_up(spark: SparkSession, paths: _Paths, run_id: str, seq: int) -> None:
+    """Write the ledger's sums once enough batches have come: later ones read them and the batches since.
+
+    A run that is stopped meanwhile leaves a folder without an entry in the log; it is written anew.
+    """
+    if seq - _summed_up_to(spark, paths) >= LEDGER_BATCHES:
+        attempts(spark, paths.results, paths.failures).select("input_digest", "tries", "last", "error").write.mode("overwrite").parquet(
+            paths.ledger_sums(seq))
+        _log(spark, paths, run_id, str(seq), "summed")
+
+
 def _finish(spark: SparkSession, paths: _Paths, run_id: str, batch: str, schema: StructType, prompt_col: str,
             save_failures: bool) -> None:
     """Append a scored batch to each table that does not have it yet."""
-    stored = StructType(list(schema.fields)).add(AGAIN, "boolean").add("response", "string").add("error", "string")
-    written = spark.read.schema(stored).parquet(paths.batch(batch))
-    failed = written.filter(F.col("error").isNotNull() & ~F.col(AGAIN)).drop(AGAIN, "response", "error")
-    results = scored_rows(written, save_failures).drop(AGAIN).withColumn(DIGEST, digest(F.col(prompt_col)))
-    for rows, path in ((dead_letters(written, prompt_col), paths.failures), (failed, paths.failed_items), (results, paths.results)):
-        known = read_results(spark, path, StructType().add(BATCH, "string"))
-        if known.filter(F.col(BATCH) == batch).isEmpty():
+    stored = StructType(list(schema.fields)).add("response", "string").add("error", "string")
+    written = spark.read.schema(stored).parquet(paths.batch(batch)).withColumn(DIGEST, digest(F.col(prompt_col)))
+    items = written.drop("response", "error", DIGEST)
+    bad = written.filter(F.col("error").isNotNull())
+    # of a row that fails again its first copy is kept
+    known = read_results(spark, paths.failed_items, StructType().add(ROW, "string").add(BATCH, "string")).filter(F.col(BATCH) != batch)
+    failed = bad.withColumn(ROW, _row_digest(items)).drop("response", "error").join(known.select(ROW), ROW, "left_anti")
+    tried = bad.groupBy(DIGEST).agg(F.max("error").alias("error")).withColumn(SEQ, F.lit(_seq(batch)).cast("bigint"))
+    tables = [(dead_letters(written, prompt_col), paths.failures), (scored_rows(written, save_failures), paths.results)]
+    if not save_failures:
+        tables[1:1] = [(failed, paths.failed_items), (tried, paths.ledger)]
+    for rows, path in tables:
+        had = read_results(spark, path, StructType().add(BATCH, "string"))
+        if had.filter(F.col(BATCH) == batch).isEmpty():
             rows.withColumn(BATCH, F.lit(batch)).write.mode("append").partitionBy(BATCH).parquet(path)
     _log(spark, paths, run_id, batch, "appended")
 
 
+def compact_results(spark: SparkSession, results_path: str, failures_path: str, schema: StructType | str, rows_per_file: int = 1_000_000) -> None:
+    """Rewrite the result table, one folder for each batch, as one folder of large files under the name of the last batch.
+
+    For a quiet time: nobody may score or read meanwhile. The new folder is complete before the old ones go; a run that was
+    stopped in between is finished by the next call. ``schema`` is that of the results without ``batch``.
+    """
+    paths = _Paths(results_path, failures_path)
+    fs, folder = _file_system(spark, results_path)
+    name = spark._jvm.org.apache.hadoop.fs.Path
+    fresh = name(f"{results_path.rstrip('/')}_compacted")
+    done = name(fresh, "_SUCCESS")
+    if not fs.exists(done):
+        table = read_results(spark, results_path, schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
+        table.drop(BATCH).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(fresh.toString())
+    last = f"b{_batches_so_far(spark, paths):08d}-compacted"
+    for entry in list(fs.listStatus(folder)):
+        if entry.getPath().getName().startswith(f"{BATCH}=") and entry.getPath().getName() != f"{BATCH}={last}":
+            fs.delete(entry.getPath(), True)
+    target = name(folder, f"{BATCH}={last}")
+    fs.delete(target, True)
+    fs.rename(fresh, target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def score_stream(spark: SparkSession, source: str, schema: StructType | str, model: Callable[[], Model],
                  results_path: str, failures_path: str, checkpoint: str, prompt_col: str = "input",
                  order_key: str | None = None, duplicates: str = "each", save_failures: bool = False,
-                 source_format: str = "parquet") -> None:
+                 source_format: str = "parquet", max_tries: int = MAX_TRIES) -> None:
     """Score files that arrived since the last run, once, across restarts.
 
     Repeats are recognised by the result table itself rather than by stream state, so
     a batch that is run again after a failure adds nothing twice. Rows that failed are
-    tried again with every later batch, and once when no new file has come.
+    tried again with later batches, and when no new file has come, ``max_tries`` times at most.
     """
     batches = []
 
     def each_batch(batch: DataFrame, number: int) -> None:
         batches.append(number)
-        resume_scoring(batch, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures, checkpoint)
+        resume_scoring(batch, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures, checkpoint,
+                       max_tries)
 
     query = (spark.readStream.schema(schema).format(source_format).load(source).writeStream
              .foreachBatch(each_batch).option("checkpointLocation", checkpoint)
@@ -205,4 +314,5 @@ def score_stream(spark: SparkSession, source: str, schema: StructType | str, mod
     query.awaitTermination()
     if not batches and not save_failures:
         nothing = spark.createDataFrame([], schema)
-        resume_scoring(nothing, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures, checkpoint)
+        resume_scoring(nothing, model, results_path, failures_path, prompt_col, order_key, duplicates, save_failures, checkpoint,
+                       max_tries)

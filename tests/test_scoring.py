@@ -131,6 +131,94 @@ def test_stopped_run_appends_what_is_missing(spark, items, tmp_path, monkeypatch
     assert spark.read.parquet(paths[1]).count() == 2 and len(open(asked).read()) == before
 
 
+def counting_model(folder):
+    """Notes each prompt it meets in a file of its own."""
+    import os
+    import uuid
+
+    def load():
+        def answer(prompts):
+            for p in prompts:
+                open(os.path.join(folder, f"{p.replace(' ', '_')}-{uuid.uuid4().hex}"), "w").close()
+            return shouting_model()(prompts)
+
+        return answer
+
+    return load
+
+
+def test_a_failing_text_is_tried_a_bounded_number_of_times(spark, items, tmp_path, monkeypatch):
+    monkeypatch.setattr(score, "LEDGER_BATCHES", 4)
+    paths = str(tmp_path / "results"), str(tmp_path / "failures")
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    single = items.where("id = 2").coalesce(1)
+    for batch in range(1, 21):
+        # the text comes again with some batches, and other rows with others
+        new = single if batch % 3 == 1 else items.where("id < 0") if batch % 3 == 2 else spark.createDataFrame([(100 + batch, f"new {batch}")], items.schema)
+        score.resume_scoring(new, counting_model(str(asked)), *paths, order_key="id", max_tries=4)
+        tries = {1: 1, 2: 2, 3: 3, 4: 3}.get(batch, 4)
+        assert score.attempts(spark, *paths).where("tries > 0").first()["tries"] == tries, batch
+    met = [p for p in asked.iterdir() if p.name.startswith("bad")]
+    letters = spark.read.parquet(paths[1])
+    assert len(met) == 4 == letters.count() and {r["error"] for r in letters.collect()} == {"RuntimeError: no"}
+    assert spark.read.parquet(f"{paths[1]}_items").count() == 1  # kept once, however often it came
+    row = score.quarantined(spark, *paths, max_tries=4).first()
+    assert row["tries"] == 4 and row["error"] == "RuntimeError: no" and score.quarantined(spark, *paths, max_tries=5).count() == 0
+    assert score._summed_up_to(spark, score._Paths(*paths)) == 20
+    assert sorted(r["id"] for r in spark.read.parquet(paths[0]).collect()) == [100 + b for b in range(3, 21, 3)]
+
+
+def test_gaps_grow(spark):
+    df = spark.range(1, 9).select(score.retry_gap(F.col("id")))
+    assert [r[0] for r in df.collect()] == [1, 1, 2, 4, 8, 16, 32, 64]
+
+
+def test_copies_of_a_failing_text_are_all_scored_later(spark, tmp_path):
+    paths = str(tmp_path / "results"), str(tmp_path / "failures")
+    model = recovering_model(str(tmp_path / "switch"))
+    rows = [(1, "bad one"), (2, "bad one"), (2, "bad one")]
+    score.resume_scoring(spark.createDataFrame(rows[:1], "id int, input string"), model, *paths)
+    score.resume_scoring(spark.createDataFrame(rows[1:], "id int, input string"), model, *paths)
+    assert spark.read.parquet(f"{paths[1]}_items").count() == 3
+    (tmp_path / "switch").touch()
+    score.resume_scoring(spark.createDataFrame([], "id int, input string"), model, *paths)
+    assert sorted(r["id"] for r in spark.read.parquet(paths[0]).collect()) == [1, 2, 2]
+
+
+def test_compacted_results_are_the_same(spark, items, tmp_path, monkeypatch):
+    paths = str(tmp_path / "results"), str(tmp_path / "failures")
+    for i in (0, 1, 3, 5):
+        score.resume_scoring(items.where(f"id <= {i}"), shouting_model, *paths, order_key="id")
+    before = sorted(map(tuple, spark.read.parquet(paths[0]).drop(score.BATCH).collect()))
+    schema = spark.read.parquet(paths[0]).drop(score.BATCH).schema
+    file_system = score._file_system
+
+    class Stopping:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise KeyboardInterrupt
+            return getattr(self.fs, name)
+
+    def stopping(spark, path):
+        fs, folder = file_system(spark, path)
+        return Stopping(fs), folder
+
+    monkeypatch.setattr(score, "_file_system", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        score.compact_results(spark, *paths, schema)
+    monkeypatch.setattr(score, "_file_system", file_system)
+    for _ in range(2):
+        score.compact_results(spark, *paths, schema)
+        assert len([p for p in (tmp_path / "results").iterdir() if p.name.startswith("batch=")]) == 1
+        assert sorted(map(tuple, spark.read.parquet(paths[0]).drop(score.BATCH).collect())) == before
+    score.resume_scoring(items, shouting_model, *paths, order_key="id")
+    assert sorted(map(tuple, spark.read.parquet(paths[0]).drop(score.BATCH).collect())) == before
+
+
 def test_failing_batch_is_halved(spark):
     calls = []
 
@@ -205,3 +293,71 @@ def test_training_learns_and_keeps_the_best(spark):
     scored = train.predict_classes(model, df)
     assert scored.filter("predicted <> label").count() == 0
     assert scored.select(F.size("probabilities")).first()[0] == 2
+
+
+def test_candidates_share_every_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(" ".join(rng.choice(words[:40] if y else words[20:], 30)), int(y)) for y in rng.integers(0, 2, 400)]
+    df = spark.createDataFrame(texts + [(None, 1), ("", 0), ("w1", None)], "text string, label int").repartition(5)
+    passes, jobs = [], []
+    plain_sums, plain_counts = train.gradient_sums, train.hashed_counts
+    monkeypatch.setattr(train, "gradient_sums", lambda rows, points, scale: (passes.append(len(points)), plain_sums(rows, points, scale))[1])
+    monkeypatch.setattr(train, "hashed_counts", lambda *a: (jobs.append(a), plain_counts(*a))[1])
+    options = {"features": 512, "iterations": 12}
+    strengths = (0.3, 0.001, 10.0)
+    folder = {}
+
+    def weights(*chosen):
+        path = train.shared_folder(spark, "models")
+        train.train_text_classifier(df, df, chosen, folder=path, **options)
+        return {f"reg={c:g}": train.TextClassifier.load(spark, f"{path}/candidates", f"reg={c:g}").weights for c in chosen}
+
+    together = weights(*strengths)
+    count, features_read = len(passes), len(jobs)
+    assert features_read == 1 and max(passes) == 3
+    alone = {}
+    for c in strengths:
+        passes.clear()
+        alone |= weights(c)
+        folder[c] = len(passes)
+    assert count == max(folder.values()) < sum(folder.values())
+    for name, w in together.items():
+        assert np.abs(w - alone[name]).max() < 1e-6
+    assert np.abs(together["reg=10"]).max() < np.abs(together["reg=0.001"]).max()
+
+
+def test_fit_equals_the_library(spark):
+    """Without collisions of hashed words the shares are those of a fit by Spark ML."""
+    rng = np.random.default_rng(4)
+    texts = [(" ".join(rng.choice(["a", "bb", "ccc", "d", "e"], 12, p=[.3, .3, .2, .1, .1] if y else [.2, .2, .2, .2, .2])), int(y))
+             for y in rng.integers(0, 2, 300)]
+    df = spark.createDataFrame(texts, "text string, label int").coalesce(2)
+    model, _ = train.train_text_classifier(df, df, (0.05,), iterations=200)
+    library = train.text_classifier(0.05, iterations=200).fit(df)
+    ours, theirs = (sorted((r["text"], r["probabilities"][1]) for r in train.predict_classes(m, df).collect()) for m in (model, library))
+    assert [t for t, _ in ours] == [t for t, _ in theirs]
+    assert max(abs(p - q) for (_, p), (_, q) in zip(ours, theirs)) < 1e-3
+
+
+def test_many_classes_and_a_test_part(spark):
+    rows = [(f"{word} {word} and {i}", k) for i in range(40) for k, word in enumerate(["red", "green", "blue"])]
+    df = spark.createDataFrame(rows, "text string, label bigint")
+    model, table = train.train_text_classifier(df, df, (0.01, 0.1), features=4096, iterations=15, test=df)
+    found = {(r["part"], r["run"]): r["accuracy"] for r in table.collect()}
+    assert len(found) == 3 and found["test", "reg=0.01"] == 1.0 and model.classes == 3
+    scored = train.predict_classes(model, df.union(spark.createDataFrame([(None, 0)], df.schema))).collect()
+    assert all(r["predicted"] == r["label"] for r in scored if r["text"]) and all(sum(r["probabilities"]) == pytest.approx(1) for r in scored)
+
+
+def test_gradients_are_the_slopes_of_the_losses():
+    rng = np.random.default_rng(5)
+    for outputs, classes in ((1, 2), (4, 4)):
+        z, y = rng.normal(size=(outputs, 7)), rng.integers(0, classes, 7)
+        _, slopes = train._losses(z, y)
+        for k in range(outputs):
+            for i in range(7):
+                up, down = z.copy(), z.copy()
+                up[k, i] += 1e-6
+                down[k, i] -= 1e-6
+                assert slopes[k, i] == pytest.approx((train._losses(up, y)[0] - train._losses(down, y)[0]) / 2e-6, abs=1e-6)

@@ -1,13 +1,16 @@
 """ROUGE, BLEU and embedding matching against plain definitions."""
 
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loometric.operators import textmetrics as tm
 
@@ -106,3 +109,58 @@ def test_embedding_match_in_blocks(spark):
     p, r = cos.max(axis=1).mean(), cos.max(axis=0).mean()
     row = tm.embedding_match_pairs(df, block=5).first()
     assert (row["precision"], row["recall"], row["f1"]) == pytest.approx((p, r, 2 * p * r / (p + r)))
+
+
+def test_blocks_and_tiles_equal_the_table():
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(0, 40))] for _ in "ab")
+        assert all(tm._closed(tm.subsequence_bits(a, b, block=n)[0], len(a)) == subsequence(a, b) for n in (1, 3, 64))
+        states, carries, grown = {}, {}, 0
+        for i in range(0, len(a), 5):
+            for j in range(0, len(b), 4):
+                states[i], carries[j] = tm.subsequence_bits(a[i:i + 5], b[j:j + 4], states.get(i), carries.get(j), block=2)
+            grown += tm._closed(states[i], len(a[i:i + 5])) if b else 0
+        assert grown == subsequence(a, b)
+
+
+def test_long_pairs_take_linear_memory():
+    rng = random.Random(8)
+    a, b = ([f"w{rng.randrange(40_000)}" for _ in range(n)] for n in (20_000, 100_000))
+    tracemalloc.start()
+    state, carries = tm.subsequence_bits(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000 and len(state) == 2500 and len(carries) == len(b)
+    same = [f"w{i % 30_000}" for i in range(100_000)]
+    assert tm._closed(tm.subsequence_bits(same, same[1:])[0], len(same)) == len(same) - 1
+
+
+def test_tiled_pairs_equal_pairs_in_a_row(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 90))), " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 60))), "x")
+             for i in range(40)] + [(100, None, "a b", "x"), (101, "", "a " * 50, "x"), (102, "a " * 50, None, None), (103, "a b " * 40, "", "x")]
+    df = spark.createDataFrame(texts, "key int, c string, r string, words string")
+    plain = {r["key"]: r["rougeL"] for r in tm.rouge_l_pairs(df, "c", "r").collect()}
+    for tile in (7, 30, 1000):
+        tiled = tm.rouge_l_pairs(df, "c", "r", key_col="key", tile_words=tile)
+        assert tiled.columns == ["key", "c", "r", "words", "rougeL"]
+        assert {r["key"]: r["rougeL"] for r in tiled.collect()} == plain and tiled.count() == len(texts)
+    assert tm.rouge_l_pairs(df.where("key < 0"), "c", "r", key_col="key", tile_words=2).count() == 0
+
+
+def test_clipped_matches_by_ranks(spark, monkeypatch):
+    monkeypatch.setattr(tm, "SLICE_WORDS", 50)
+    rng = random.Random(10)
+    pairs = [tuple(" ".join(rng.choices("abcd", k=rng.randrange(0, 60))) for _ in "cr") for _ in range(60)]
+    df = spark.createDataFrame([(i, c, r) for i, (c, r) in enumerate(pairs)] + [(60, None, "a b c"), (61, "a", None)], "id int, c string, r string")
+    words = [tm.split_words(F.col(side)) for side in "cr"]
+    found = {r["id"]: r for r in tm._with_overlaps(df, *words, range(1, 5)).collect()}
+    for i, (c, r) in enumerate(pairs):
+        for n in range(1, 5):
+            grams = [Counter(zip(*[t.split()[k:] for k in range(n)])) for t in (c, r)]
+            assert (found[i][f"_c{n}"], found[i][f"_r{n}"], found[i][f"_o{n}"]) == (
+                grams[0].total(), grams[1].total(), (grams[0] & grams[1]).total())
+    assert found[60]["_c1"] == 0 and found[60]["_r1"] == 3 and found[60]["_o1"] is None and found[61]["_o2"] is None
+    plan = tm.corpus_bleu(df, "c", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in plan and "zip_with" not in plan

@@ -7,7 +7,8 @@ Shingles stand as 64-bit hashes; their numeric order is the one global order of
    parts of the hash space at least one holds the same shingles in both. Each set gives a key for
    each part that is not empty, the hash of the part's whole content. A frequent shingle alone makes no key common.
    Candidates of one key are met by a bitmap filter: bit i of a set's bitmap is the parity of its shingles that
-   fall on i, and two bitmaps differ in no more bits than the sets differ in shingles.
+   fall on i, and two bitmaps differ in no more bits than the sets differ in shingles. Bitmaps grow with the sets, so
+   the filter passes few pairs that are not linked, at any size, and clusters stay close to what is linked.
 3. Connected sets of candidates are small clusters. Each cluster, or for a cluster of very many
    sets each bounded block of it, is joined in one task through a trie: sets that begin alike
    share a path, so their overlap with a query is counted once; a subtree is left as soon as the
@@ -42,7 +43,7 @@ BLOCK_SHINGLES = 1 << 19
 REMEMBERED = 100_000
 SALTS = 8
 
-# Bits of a set's bitmap, and candidates of one key that are met by it at once; beyond that all of a
+# Least bits of a set's bitmap, and candidates of one key that are met by it at once; beyond that all of a
 # key's sets stay candidates of its first, which costs work and loses no link.
 BITS = 512
 GROUP = 2048
@@ -119,10 +120,26 @@ class SizeClasses:
         return np.concatenate(keys) if keys else shingles[:0]
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
+def bits_for(n: int) -> int:
+    """At least twice as many bits as shingles, so that bitmaps tell sets of any size apart; a power of two."""
+    return max(BITS, 1 << max(2 * n - 1, 0).bit_length())
+
+
+def bitmap(shingles: np.ndarray, bits: int = BITS) -> bytes:
     """Parities of the shingles that fall on each bit."""
-    place = (shingles ^ (shingles >> np.uint64(17))) & np.uint64(BITS - 1)
-    return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS) & 1).tobytes()
+    place = (shingles ^ (shingles >> np.uint64(17))) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def same_bits(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps of sets of unlike sizes as rows of the least of their widths: the halves of a wider one are added up."""
+    width, rows = min(map(len, bitmaps)), []
+    for bits in bitmaps:
+        row = np.frombuffer(bits, dtype=np.uint64)
+        while 8 * len(row) > width:
+            row = row[:len(row) // 2] ^ row[len(row) // 2:]
+        rows.append(row)
+    return np.stack(rows)
 
 
 def set_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -135,7 +152,7 @@ def set_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sizes.append(len(shingles))
                 ones.append(one)
                 twos.append(two)
-                bits.append(bitmap(shingles))
+                bits.append(bitmap(shingles, bits_for(len(shingles))))
         return pa.RecordBatch.from_arrays(
             [batch.column("id").cast(pa.int64()), *[pa.array(x, pa.int64()) for x in (sizes, ones, twos)], pa.array(bits, pa.binary())],
             names=["id", "n", "d1", "d2", "bits"])
@@ -245,8 +262,7 @@ def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT,
         def flush() -> None:
             if len(held) > 1:
                 sizes = np.array([r[3] for r in held])
-                bits = np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint64).reshape(len(held), -1)
-                out.extend((held[i], held[j]) for i, j in alike_groups(sizes, bits, percent))
+                out.extend((held[i], held[j]) for i, j in alike_groups(sizes, same_bits([r[4] for r in held]), percent))
             if lead is not None and held:  # part of a key of very many sets: all stay candidates of its first
                 out.extend((r, lead) for r in held if r is not lead)
             held.clear()

@@ -140,6 +140,22 @@ def test_trie_keys_and_bitmaps_lose_no_link():
         assert len(set(zip(found, wanted))) == len(set(found)) == len(set(wanted))
 
 
+def test_wide_bitmaps_are_folded_and_reject_unrelated_sets_of_any_size():
+    rng = np.random.default_rng(6)
+    for n in (100, 1600, 6000):
+        base = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        common = base[:n // 20]
+        sets = [np.unique(np.concatenate((common, rng.integers(0, 1 << 62, n - len(common) + extra, dtype=np.uint64)))) for extra in (0, n // 5, n // 7)]
+        sets += [base, np.unique(np.concatenate((base[n // 12:], rng.integers(0, 1 << 62, n // 12, dtype=np.uint64)))), base[n // 5:]]
+        bits = near.same_bits([near.bitmap(s, near.bits_for(len(s))) for s in sets])
+        assert bits.shape == (len(sets), near.bits_for(min(map(len, sets))) // 64)
+        for i in range(len(sets)):  # two folded bitmaps differ in no more bits than the sets differ in shingles
+            for j in range(i):
+                assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(np.setxor1d(sets[i], sets[j]))
+        linked = near.alike_groups(np.array([len(s) for s in sets]), bits, 80)
+        assert {i for pair in linked for i in pair} == {3, 4, 5}
+
+
 # --- tokens -----------------------------------------------------------------------------
 
 def odd_texts():

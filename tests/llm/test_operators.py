@@ -1,5 +1,7 @@
 """The operators on Spark: nulls, empty and repeated rows, ties, clashing names, empty tables, and brute force."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,29 @@ def test_near_components(spark, monkeypatch, block, group):
     assert found == brute_components(texts)
 
 
+def test_long_unrelated_texts_are_no_candidates(spark):
+    """300 texts of 2,000 shingles, of which they share frequent passages, and one pair that is linked."""
+    rng = random.Random(12)
+    passages = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(8)]
+
+    def text(k):
+        own = [f"t{k}x{rng.randrange(10 ** 9)}" for _ in range(1800)]
+        for passage in rng.sample(passages, 4):
+            at = rng.randrange(len(own))
+            own[at:at] = passage.split()
+        return own
+
+    texts = [text(k) for k in range(300)]
+    texts.append([w if i % 70 else "other" for i, w in enumerate(texts[0])])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id bigint, text string")
+    sets = near.set_digests(df, 5)
+    shared = near.shared_keys(near.candidate_keys(df, 5, 80))
+    links = near.candidate_links(shared, sets.select("d1", "d2", "n", "bits"), 80)
+    found = near.near_components(df, "id", "text", 5, 80)
+    assert {r["component_id"] for r in found.where("id = 300").collect()} == {0} and found.select("component_id").distinct().count() == 300
+    assert links.count() <= 3
+
+
 def test_near_edges(docs, nothing):
     found = near.near_components(docs)
     assert found.count() == docs.count() and near.near_components(nothing).count() == 0

@@ -12,6 +12,8 @@ only such runs above it. Most chance hits fail with the piece next to theirs.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -82,6 +84,30 @@ def closest(masks: dict[str, int], length: int, window: str, budget: int) -> tup
     return best if best[0] <= budget else None
 
 
+def ends_within(masks: dict[str, int], length: int, window: str, budget: int, offset: int = 0) -> Iterator[tuple[int, int]]:
+    """(offset + end, distance) of every place of the pattern within the budget, of all starts the nearest one."""
+    full = (1 << length) - 1
+    top = 1 << (length - 1)
+    up, down, score = full, 0, length
+    get = masks.get
+    for i, c in enumerate(window, offset + 1):
+        equal = get(c, 0)
+        x = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        plus = down | ~(across | up)
+        minus = up & across
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        if score <= budget:
+            yield i, score
+        plus <<= 1
+        minus <<= 1
+        up = (minus | ~(x | plus)) & full
+        down = plus & x & full
+
+
 class Part:
     """A run of pieces of an item: ``edits`` is one less than their number."""
 
@@ -184,20 +210,39 @@ class Searcher:
         return True
 
     def _verified(self, number: int, text: str, begin: int, end: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """Places within ``begin`` to ``end`` that don't overlap, the best first.
+
+        One sweep gives all ends within the budget. A place that is taken changes only the ends that a place may reach from
+        behind it: these are swept again, from its end on.
+        """
         _, length, budget, masks, back = self.items[number]
-        todo = [(begin, end)]
-        while todo:
-            begin, end = todo.pop()
-            if end - begin < length - budget:
-                continue
-            best = closest(masks, length, text[begin:end], budget)
-            if best is None:
+        reach = length + budget
+        near = dict(ends_within(masks, length, text[begin:end], budget, begin))
+        queue = [(distance, stop) for stop, distance in near.items()]
+        heapq.heapify(queue)
+        starts: list[int] = []  # of the places taken, and their ends
+        taken: list[int] = []
+        while queue:
+            distance, stop = heapq.heappop(queue)
+            if near.get(stop) != distance:
                 continue
-            distance, stop = best[0], begin + best[1]
-            head = text[max(begin, stop - length - budget):stop][::-1]
-            start = stop - anchored(back, length, head, distance)
+            k = bisect.bisect_right(taken, stop)
+            edge = max(begin, stop - reach, taken[k - 1] if k else 0)
+            start = stop - anchored(back, length, text[edge:stop][::-1], distance)
             yield number, distance, budget, start, stop
-            todo += [(begin, start), (stop, end)]
+            limit = min(end, stop + reach, starts[k] if k < len(starts) else end)
+            taken.insert(k, stop)
+            starts.insert(k, start)
+            for i in range(start + 1, stop + 1):
+                near.pop(i, None)
+            behind = dict(ends_within(masks, length, text[stop:limit], budget, stop))
+            for i in range(stop + 1, limit + 1):
+                if i in near and behind.get(i) != near[i]:
+                    if i in behind:
+                        near[i] = behind[i]
+                        heapq.heappush(queue, (behind[i], i))
+                    else:
+                        del near[i]
 
 
 def joined(spans: list[list[int]]) -> list[tuple[int, int]]:
@@ -237,20 +282,30 @@ def anchored(masks: dict[str, int], length: int, window: str, distance: int) ->
     return len(window)
 
 
+class Origin:
+    """Where the words of a plain text stand in the given text."""
+
+    def __init__(self, text: str):
+        lowered = text.lower()
+        self.size, place = len(text), 0
+        self.places, self.afters, self.spans = [], [], []
+        for word in _WORDS.finditer(text if len(lowered) == len(text) else lowered):
+            self.places.append(place)
+            self.afters.append(place + len(word[0]))
+            self.spans.append(word.span())
+            place = self.afters[-1] + 1
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """Code points that the plain text's span comes from, to whole words."""
+        first, last = bisect.bisect_right(self.afters, start), bisect.bisect_left(self.places, end) - 1
+        if first > last:
+            return 0, 0
+        return self.spans[first][0], min(self.spans[last][1], self.size)
+
+
 def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     """Code points of ``text`` that the plain text's span comes from, to whole words."""
-    place, first, last = 0, None, 0
-    lowered = text.lower()
-    words = _WORDS.finditer(text if len(lowered) == len(text) else lowered)
-    for word in words:
-        after = place + len(word[0])
-        if after > start and place < end:
-            first = word.start() if first is None else first
-            last = word.end()
-        if place >= end:
-            break
-        place = after + 1
-    return (first or 0), min(last, len(text))
+    return Origin(text).span(start, end)
 
 
 def item_blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
@@ -270,8 +325,10 @@ def _matching(items: list[tuple[int, str]], percent: int):
             rows = []
             for row_id, value in zip(batch.column("id").to_pylist(), batch.column("text")):
                 text = value.as_py()
-                for number, distance, budget, start, end in searcher.places(plain(text)):
-                    first, last = original_span(text, start, end)
+                places = searcher.places(plain(text))
+                origin = Origin(text) if places else None
+                for number, distance, budget, start, end in places:
+                    first, last = origin.span(start, end)
                     rows.append((row_id, searcher.items[number][0], distance, budget, first, last))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())

@@ -8,6 +8,7 @@ its interval lies within that of another of the same or a higher priority (of eq
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -187,18 +188,23 @@ def scan_text(scanner: Scanner, text: str) -> tuple:
     if not any(w in body for w in scanner.leads):
         return len(words), 0, None, None, "", "", 0.0, []
     plain = body.decode()
+    spaces = [m.start() for m in re.finditer(" ", plain)]
+
+    def word_at(place: int) -> int:
+        return bisect.bisect_left(spaces, place)
+
     starts, base_labels = [], set()
     padded = f" {plain} "
     for phrase, label in BASE:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            starts.append(plain.count(" ", 0, at))
+            starts.append(word_at(at))
             base_labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     found = scanner.detections(plain)
     labels = base_labels | {rule.label for _, _, rule in found}
     score = max([rule.weight for _, _, rule in found] + [0.8] * bool(starts), default=0.0)
-    shown = [{"label": rule.label, "first_word": plain.count(" ", 0, a), "end_word": plain.count(" ", 0, b) + 1, "priority": rule.priority,
+    shown = [{"label": rule.label, "first_word": word_at(a), "end_word": word_at(b) + 1, "priority": rule.priority,
               "weight": rule.weight} for a, b, rule in found]
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)),
             ",".join(sorted(labels)), score, shown)

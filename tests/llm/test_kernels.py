@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -309,3 +310,65 @@ def test_network_learns_rare_words():
     p = toxicity.calibrated(toxicity.train(texts[:600], labels[:600]), texts[600:660], labels[600:660])
     scores = toxicity.Scorer(p).scores(texts[660:])
     assert np.mean((scores >= 0.5) == np.array(labels[660:])) >= 0.9
+
+
+# --- very long texts ----------------------------------------------------------------------
+
+def places_by_halving(searcher, number, text, begin, end):
+    """The best place first, then both sides of it."""
+    _, length, budget, masks, back = searcher.items[number]
+    best = decontaminate.closest(masks, length, text[begin:end], budget)
+    if best is None:
+        return []
+    stop = begin + best[1]
+    start = stop - decontaminate.anchored(back, length, text[max(begin, stop - length - budget):stop][::-1], best[0])
+    return [(number, best[0], budget, start, stop), *places_by_halving(searcher, number, text, begin, start),
+            *places_by_halving(searcher, number, text, stop, end)]
+
+
+def test_places_of_one_sweep_are_those_of_halving():
+    rng = random.Random(21)
+    for _ in range(400):
+        item = "".join(rng.choice("ab ") for _ in range(rng.randrange(10, 24))).strip() or "ab"
+        searcher = decontaminate.Searcher([(1, item)], 20)
+        if not searcher.items:
+            continue
+        body = decontaminate.plain(item)
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            copy = list(body)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(copy))
+                copy[at:at + rng.randrange(0, 2)] = rng.choice("abc")
+            parts.append("".join(copy) + "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 8))))
+        text = "".join(parts)
+        found = list(searcher._verified(0, text, 0, len(text)))
+        assert sorted(found) == sorted(places_by_halving(searcher, 0, text, 0, len(text)))
+
+
+def test_words_of_spans():
+    text = "Ab, cd!! İx  ef.gh"
+    plain, origin = decontaminate.plain(text), decontaminate.Origin(text)
+    for start in range(len(plain)):
+        for end in range(start + 1, len(plain) + 1):
+            place, first, last = 0, None, 0
+            for word in decontaminate._WORDS.finditer(text if len(text.lower()) == len(text) else text.lower()):
+                after = place + len(word[0])
+                if after > start and place < end:
+                    first, last = word.start() if first is None else first, word.end()
+                place = after + 1
+            assert origin.span(start, end) == ((first or 0), min(last, len(text)))
+
+
+def test_two_megabytes_of_repeats_take_seconds():
+    item = "what is the seventh planet counted from the sun outwards"
+    text = decontaminate.plain((item + ". ") * 36_000)
+    searcher, begin = decontaminate.Searcher([(1, item)], 10), time.process_time()
+    places = searcher.places(text)
+    origin = decontaminate.Origin(text)
+    spans = {origin.span(p[3], p[4]) for p in places}
+    assert len(places) == len(spans) == 36_000 and {p[1] for p in places} == {0}
+    assert time.process_time() - begin < 60
+    scanner, begin = licenses.Scanner(licenses.rules()), time.process_time()
+    row = licenses.scan_text(scanner, "mit license " * 170_000)
+    assert row[:4] == (340_000, 170_000, 0, 339_998) and time.process_time() - begin < 60

@@ -1,7 +1,9 @@
 """Quality by co-training of two views of a document: its text, and what is known about it besides.
 
 Each view has its own logistic classifier. In each round both score all unlabelled documents, and the surest
-of one become pseudo-labelled examples of the other. At the end each view is calibrated on labelled documents that neither
+of one become pseudo-labelled examples of the other, if documents that neither has learned from show that its surest ones are
+right more often than naming the class blindly would be; a view keeps what it was given only if that makes it
+better on these documents. Copies are given once. At the end each view is calibrated on labelled documents that neither
 has learned from, and the calibrated views together score every document.
 """
 
@@ -23,8 +25,11 @@ SAMPLE = 5000
 # Pseudo-labels that each view gives the other in a round, of each class. Their number belongs to the method.
 ROUNDS, EXCHANGED = 3, 500
 WORD_BUCKETS, NAME_BUCKETS = 48, 32
-STATS = 12
-TEXT_DIM, META_DIM = STATS + WORD_BUCKETS, 2 + 2 * NAME_BUCKETS
+STATS, SIZES = 12, 24
+TEXT_DIM, META_DIM = STATS + WORD_BUCKETS, 2 + SIZES + 3 * NAME_BUCKETS
+# What a view must show on documents that neither has learned from before it may give labels of a class: so many more of
+# its surest ones are right than the share of the class, as a part of what is missing, even at the lower end of what the count allows.
+GAIN, SURENESS = 0.5, 1.64
 
 _SYMBOLS = np.zeros(256, dtype=np.int64)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>{}[]\\^~=_"]] = 1
@@ -76,13 +81,16 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def meta_features(langs: list, sources: list, sizes: list) -> np.ndarray:
-    """A row of META_DIM numbers for each document: its length, and hashed names of language and source."""
+    """A row of META_DIM numbers for each document: its length and the class of the length, and hashed names of language, source and both."""
     out = np.zeros((len(langs), META_DIM), np.float32)
     out[:, 0] = [np.log1p(max(0, n or 0)) / 10 for n in sizes]
     out[:, 1] = [n is None for n in sizes]
-    for column, names in enumerate((langs, sources)):
+    rows = np.arange(len(langs))
+    out[rows, 2 + np.array([min(max(0, n or 0).bit_length(), SIZES - 1) for n in sizes], dtype=int)] = 1
+    both = [f"{lang}\x1f{source}" for lang, source in zip(langs, sources)]
+    for column, names in enumerate((langs, sources, both)):
         codes = {name: int.from_bytes(_digest(str(name)), "big") % NAME_BUCKETS for name in set(names)}
-        out[np.arange(len(names)), 2 + column * NAME_BUCKETS + np.array([codes[name] for name in names], dtype=int)] = 1
+        out[rows, 2 + SIZES + column * NAME_BUCKETS + np.array([codes[name] for name in names], dtype=int)] = 1
     return out
 
 
@@ -166,18 +174,47 @@ def _unpacked(batch: pa.RecordBatch, name: str, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.float32).reshape(len(values), dims).astype(np.float64)
 
 
-def _scored(features: DataFrame, text: Linear, meta: Linear, keep_views: bool = False) -> DataFrame:
-    """(id, text_logit, meta_logit) of every row, with the views where the surest rows are to be learned from."""
+def trusted_beyond(logits: np.ndarray, y: np.ndarray, label: float, gain: float = GAIN, sureness: float = SURENESS) -> float | None:
+    """The logit from which on a view may name documents ``label`` (for the other class: up to which); None if it may not at all.
+
+    Measured on documents that no view has learned from: of those beyond it the lower bound of the share that has the label
+    (by the count, after Wilson) must lie above the label's share among all. So a view that tells nothing gives nothing.
+    """
+    hit = y == label
+    share = hit.mean() if len(hit) else 1.0
+    order = np.argsort(-logits if label else logits, kind="stable")
+    n = np.arange(1, len(order) + 1)
+    right = np.cumsum(hit[order]) / n
+    z = sureness ** 2 / n
+    low = (right + z / 2 - np.sqrt(z * (right * (1 - right) + z / 4))) / (1 + z)
+    ends = np.append(logits[order][1:] != logits[order][:-1], True)[:len(order)]  # equal logits come together
+    good = np.flatnonzero((low >= share + gain * (1 - share)) & ends)
+    return float(logits[order][good[-1]]) if len(good) else None
+
+
+def _scored(features: DataFrame, text: Linear, meta: Linear) -> DataFrame:
+    """(id, text_logit, meta_logit, content) of every row; ``content`` stands for both of its views."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 logits = [pa.array(m.logits(_unpacked(batch, name, dims))) for m, name, dims in
                           ((text, "text_view", TEXT_DIM), (meta, "meta_view", META_DIM))]
-                columns = [batch.column("id"), *logits] + ([batch.column("text_view"), batch.column("meta_view")] if keep_views else [])
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_logit", "meta_logit", "text_view", "meta_view"][:len(columns)])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *logits, batch.column("content")],
+                                                 names=["id", "text_logit", "meta_logit", "content"])
+
+    with_content = features.select("id", "text_view", "meta_view", F.xxhash64("text_view", "meta_view").alias("content"))
+    return with_content.mapInArrow(run, "id bigint, text_logit double, meta_logit double, content bigint")
 
-    schema = "id bigint, text_logit double, meta_logit double" + (", text_view binary, meta_view binary" if keep_views else "")
-    return features.mapInArrow(run, schema)
+
+def _surest(scored: DataFrame, features: DataFrame, giver: str, taker: str, label: float, beyond: float, exchanged: int,
+            given: set[int]) -> list[tuple[int, bytes]]:
+    """(content, the taker's view) of the documents beyond a logit, the surest first; each content once, and none that was given before."""
+    logit = F.col(f"{giver}_logit")
+    sure = scored.where((logit >= max(beyond, 0.0) if label else logit <= min(beyond, 0.0)) & ~F.col("content").isin(list(given)))
+    once = sure.groupBy("content").agg(F.min("id").alias("id"), (F.max(logit) if label else F.min(logit)).alias("logit"))
+    chosen = once.orderBy(F.desc("logit") if label else F.asc("logit"), "content").limit(exchanged)
+    rows = features.join(F.broadcast(chosen), "id").groupBy("content").agg(F.first(f"{taker}_view").alias("view")).sort("content").collect()
+    return [(r["content"], r["view"]) for r in rows]
 
 
 def fold(id_column: str) -> Column:
@@ -195,7 +232,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     """(id, held_out, text_score, meta_score, score, keep) of every row of ``docs``.
 
     Null texts and null metadata are values of their own. An id with several labels counts as good if one says so; rows
-    with a null id are scored but never learned from. Repeated rows are scored each. Without labels of both classes every
+    with a null id are scored but never learned from; other ids are whole numbers. Repeated rows are scored each; equal logits get equal scores,
+    and of equally sure documents the one whose content has the smaller hash is given first. Without labels of both classes every
     document gets the same score; an empty table gives an empty result.
     """
     features = stored(views(docs, id_column, text_column, lang_column, source_column, size_column), "quality-views")
@@ -212,27 +250,44 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     x = {"text": _matrix(examples, "text_view", TEXT_DIM), "meta": _matrix(examples, "meta_view", META_DIM)}
     more: dict[str, list[tuple[np.ndarray, float]]] = {"text": [], "meta": []}
 
-    def fitted(view: str) -> Linear:
+    aside = ~learn
+
+    def fitted(view: str, extra: list[tuple[np.ndarray, float]]) -> Linear:
         own = x[view][learn], y[learn]
-        if more[view]:
-            own = np.concatenate([own[0], np.array([m for m, _ in more[view]])]), np.concatenate([own[1], np.array([v for _, v in more[view]])])
+        if extra:
+            own = np.concatenate([own[0], np.array([m for m, _ in extra])]), np.concatenate([own[1], np.array([v for _, v in extra])])
         return fit_linear(*own)
 
+    def loss_aside(view: str, model: Linear) -> float:
+        z = calibrated(model, x[view][aside], y[aside]).logits(x[view][aside])
+        return float(np.logaddexp(0.0, np.where(y[aside] == 1, -z, z)).mean()) if aside.any() else 0.0
+
     given: set[int] = set()
     unlabelled = features.where("id IS NOT NULL").join(known.select("id"), "id", "left_anti")
     for _ in range(rounds):
-        text, meta = fitted("text"), fitted("meta")
-        scored = stored(_scored(unlabelled, text, meta, keep_views=True), "quality-round")
-        for giver, taker, dims in (("text", "meta", META_DIM), ("meta", "text", TEXT_DIM)):
-            for label, order in ((1.0, F.desc), (0.0, F.asc)):
-                sure = F.col(f"{giver}_logit") > 0 if label else F.col(f"{giver}_logit") < 0
-                # the rows of the last rounds are among them, so ask for as many more
-                surest = scored.where(sure).orderBy(order(f"{giver}_logit"), "id").limit(exchanged + len(given)).collect()
-                fresh = [r for r in surest if r["id"] not in given][:exchanged]
-                more[taker] += [(np.frombuffer(r[f"{taker}_view"], dtype=np.float32).astype(np.float64), label) for r in fresh]
-                given.update(r["id"] for r in fresh)
-    aside = ~learn
-    text, meta = (calibrated(fitted(v), x[v][aside], y[aside]) for v in ("text", "meta"))
+        models = {view: fitted(view, more[view]) for view in ("text", "meta")}
+        offers = []
+        for giver, taker in (("text", "meta"), ("meta", "text")):
+            for label in (1.0, 0.0):
+                beyond = trusted_beyond(models[giver].logits(x[giver][aside]), y[aside], label)
+                if beyond is not None:
+                    offers.append((giver, taker, label, beyond))
+        if not offers:
+            break  # neither view knows anything for the other
+        scored = stored(_scored(unlabelled, models["text"], models["meta"]), "quality-round")
+        fresh: dict[str, list[tuple[np.ndarray, float]]] = {"text": [], "meta": []}
+        for giver, taker, label, beyond in offers:
+            rows = _surest(scored, features, giver, taker, label, beyond, exchanged, given)
+            fresh[taker] += [(np.frombuffer(view, dtype=np.float32).astype(np.float64), label) for _, view in rows]
+            given.update(content for content, _ in rows)
+        helped = False
+        for taker, rows in fresh.items():  # what makes a view worse on documents it has not learned from is given back
+            if rows and loss_aside(taker, fitted(taker, more[taker] + rows)) < loss_aside(taker, models[taker]):
+                more[taker] += rows
+                helped = True
+        if not helped:
+            break
+    text, meta = (calibrated(fitted(v, more[v]), x[v][aside], y[aside]) for v in ("text", "meta"))
     share = (y[aside].sum() + 1) / (aside.sum() + 2)
     prior = float(np.log(share / (1 - share)))
     both = F.col("text_logit") + F.col("meta_logit") - prior

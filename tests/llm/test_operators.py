@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +294,39 @@ def test_cotraining_tells_junk(spark):
     assert sum(r["keep"] == (r["doc_id"] % 4 != 0) for r in found) >= 0.95 * len(found)
 
 
+def test_exchange_never_makes_it_worse_and_an_empty_view_gives_nothing(spark):
+    """Metadata that says nothing gives no labels, and the scores are those without an exchange; so it is with a text that says nothing."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(1500):
+        bad = i % 5 == 0
+        words = [f"w{rng.randrange(900)}" + ("%%" if bad and rng.random() < 0.4 else "") for _ in range(60)]
+        rows.append((i, " ".join(words), "en", "src", 300))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 1500, 2)], "doc_id bigint, quality int")
+
+    def right(docs, **options):
+        found = cotraining.quality_scores(docs, labels, **options).where("held_out").collect()
+        return sum(r["keep"] == (r["doc_id"] % 5 != 0) for r in found) / len(found), {r["meta_score"] for r in found}
+
+    docs = spark.createDataFrame(rows, schema)
+    with_exchange, meta = right(docs)
+    assert with_exchange >= right(docs, rounds=0)[0] and with_exchange > 0.95 and len(meta) == 1
+    silent = spark.createDataFrame([(i, "same words for all of them", "en", "bad" if i % 5 == 0 else "good", 26) for i in range(1500)], schema)
+    assert right(silent)[0] == 1.0
+
+
+def test_trust_is_measured():
+    logits = np.array([5.0, 4, 3, 2, 1, 0, -1, -2, -3, -4] * 40)
+    told = (logits > 0).astype(float)
+    assert cotraining.trusted_beyond(logits, told, 1.0) <= 1 and cotraining.trusted_beyond(logits, told, 0.0) >= 0
+    blind = np.tile([1.0, 1, 1, 0], 100)  # no rows beyond any logit are better than the share
+    assert cotraining.trusted_beyond(np.zeros(400), blind, 1.0) is None and cotraining.trusted_beyond(np.zeros(400), blind, 0.0) is None
+    assert cotraining.trusted_beyond(np.zeros(0), np.zeros(0), 1.0) is None
+    few = np.array([9.0, -1, -2])  # three right ones are too few to be sure
+    assert cotraining.trusted_beyond(few, np.array([1.0, 0, 0]), 1.0) is None
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage keeps what it should of the stage before, and its decisions take effect."""
     leak = "This very item of the benchmark must not stay in any text"

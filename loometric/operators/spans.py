@@ -51,6 +51,60 @@ def decode_bio(tokens: Column, tags: Column, names: Mapping[str, str] | None = N
     return let(heads, spans)
 
 
+CHUNK = 4096
+
+
+def _continues(tag: Column, before: Column) -> Column:
+    return F.coalesce(tag.startswith("I-") & ((before == F.concat(F.lit("B-"), F.substr(tag, F.lit(3)))) | (before == tag)), F.lit(False))
+
+
+def decode_bio_long(tokens: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos", token_col: str = "token", tag_col: str = "tag",
+                    names: Mapping[str, str] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(doc, start, stop, text, label) of the spans of ``decode_bio`` from one row for each token.
+
+    A segmented scan: positions are cut into chunks, so one huge document is worked on by many tasks. A chunk is summed up by its
+    first and last tag, its first position and the last place behind that where a run starts; on these few rows the state at
+    each chunk's border follows (the tag before it, the place where the run open there has started), and only this state is carried
+    into the chunk. ``start`` and ``stop`` (inclusive) are positions, which rise in a document and may leave gaps.
+    """
+    rows = tokens.select(F.col(doc_col).alias("doc"), F.floor(F.col(pos_col) / chunk).alias("part"), F.col(pos_col).alias("pos"),
+                         F.col(token_col).alias("token"), F.col(tag_col).alias("tag"))
+    inside = W.partitionBy("doc", "part").orderBy("pos")
+    marked = rows.withColumn("before", F.lag("tag").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
+    begins = F.when(~F.col("first") & ~_continues(F.col("tag"), F.col("before")), F.col("pos"))
+    borders = marked.groupBy("doc", "part").agg(
+        F.min_by("tag", "pos").alias("head"), F.max_by("tag", "pos").alias("tail"), F.min("pos").alias("pos"), F.max(begins).alias("start"))
+    earlier = W.partitionBy("doc").orderBy("part")
+    borders = borders.withColumn("above", F.lag("tail").over(earlier))
+    # the last start at or before a chunk's end: in it, or at its head, or carried on
+    borders = borders.withColumn("start", F.coalesce("start", F.when(~_continues(F.col("head"), F.col("above")), F.col("pos"))))
+    carried = borders.select("doc", "part", "above", F.last("start", ignorenulls=True).over(earlier.rowsBetween(W.unboundedPreceding, -1)).alias("open"))
+    met = marked.join(carried, ["doc", "part"])
+    met = met.withColumn("before", F.when(F.col("first"), F.col("above")).otherwise(F.col("before")))
+    met = met.withColumn("own", F.when(~_continues(F.col("tag"), F.col("before")), F.col("pos")))
+    running = F.last("own", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+    runs = met.withColumn("start", F.coalesce(running, "open")).where(F.col("tag").startswith("B-") | F.col("tag").startswith("I-"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
+    found = runs.groupBy("doc", "start").agg(F.max("pos").alias("stop"), F.min_by("tag", "pos").alias("tag"), ordered.alias("tokens"))
+    kind = F.substr("tag", F.lit(3))
+    label = lookup(label_map(names), kind) if names else kind
+    return found.where(F.col("tag").startswith("B-")).select(
+        F.col("doc").alias(doc_col), "start", "stop", F.array_join(F.transform("tokens", lambda t: t["token"]), " ").alias("text"), label.alias("label"))
+
+
+def merge_subwords_long(subwords: DataFrame, labels: Mapping[int, str], max_length: int | None = None, word_start: str = WORD_START,
+                        doc_col: str = "doc_id", pos_col: str = "pos") -> DataFrame:
+    """(doc, pos, word, label) of the words of ``merge_subwords`` from one row for each subword: subword, start, end and pred.
+
+    A subword counts by itself, so nothing is carried from row to row and nothing is shuffled.
+    """
+    pos, empty = F.col(pos_col), (F.col("start") == 0) & (F.col("end") == 0)
+    kept = subwords.where(~empty & ((pos == 1) | F.col("subword").startswith(word_start)))
+    if max_length is not None:
+        kept = kept.where(pos < max_length)
+    return kept.select(doc_col, pos_col, F.ltrim("subword", F.lit(word_start)).alias("word"), lookup(label_map(labels), F.col("pred")).alias("label"))
+
+
 def filter_entities(entities: Column, threshold: float = 0.5, labels: list[str] | None = None) -> Column:
     """Predicted entities at or above a score, with an allowed label."""
     def keep(e: Column) -> Column:

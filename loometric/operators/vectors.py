@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -43,6 +43,56 @@ def eval_loss(df: DataFrame, prediction_col: str, label_col: str, kind: str = "c
     raise ValueError(f"kind must be one of {LOSSES}")
 
 
+# Exponents of one step: e to this power, and sums of it over any table, stay well inside a double.
+STEP = 512
+
+
+def long_cross_entropy(logits: DataFrame, *keys: str, label_col: str = "label", logit_col: str = "logit", truth_col: str = "truth") -> DataFrame:
+    """(keys, truth, loss) from one row for each logit: so a vocabulary of any size spreads over tasks.
+
+    The sum of exponentials is kept as steps of ``STEP``: for each step of the logits the sum of what is above it. Such sums are plain
+    aggregates that combine before the shuffle. Of the steps only the highest and the one below it can count, and these two are the
+    highest even and the highest odd one, which maxima find. ``truth_col`` repeats in each row of a position; a truth without a logit raises.
+    """
+    x = F.col(logit_col).cast("double")
+    step = F.floor(x / STEP)
+    hit = F.when(F.col(label_col) == F.col(truth_col), x)
+    sums = logits.groupBy(*keys, F.col(truth_col).alias("truth"), step.alias("_step")).agg(
+        F.sum(F.exp(x - step * STEP)).alias("_sum"), F.max(hit).alias("_hit"))
+
+    def highest(odd: int) -> Column:
+        return F.max(F.when(F.pmod("_step", F.lit(2)) == odd, F.struct("_step", "_sum")))
+
+    found = sums.groupBy(*keys, "truth").agg(highest(0).alias("_even"), highest(1).alias("_odd"), F.max("_hit").alias("_hit"))
+    top = F.greatest("_even._step", "_odd._step")
+
+    def part(side: str) -> Column:
+        return F.coalesce(F.col(f"{side}._sum") * F.exp((F.col(f"{side}._step") - top) * STEP), F.lit(0.0))
+
+    known = F.coalesce("_hit", F.raise_error(F.concat(F.lit("label outside the logits: "), F.col("truth").cast("string"))).cast("double"))
+    return found.select(*keys, "truth", (top * STEP + F.ln(part("_even") + part("_odd")) - known).alias("loss"))
+
+
+def long_eval_loss(logits: DataFrame, *keys: str, label_col: str = "label", logit_col: str = "logit", truth_col: str = "truth",
+                   kind: str = "cross_entropy", ignore: int = IGNORE_ID) -> DataFrame:
+    """``eval_loss`` over one row for each number: ``keys`` name a position, ``label_col`` the number's place in it.
+
+    ``cross_entropy`` takes the class id in ``truth_col``, repeated in each row of its position, and leaves out ignored ones;
+    ``squared_error`` and ``binary_cross_entropy`` the target of each number.
+    """
+    x, y = F.col(logit_col).cast("double"), F.col(truth_col)
+    if kind == "cross_entropy":
+        kept = logits.filter(y != ignore)
+        return long_cross_entropy(kept, *keys, label_col=label_col, logit_col=logit_col, truth_col=truth_col).agg(F.avg("loss").alias("loss"))
+    if kind == "squared_error":
+        return logits.agg(F.avg((x - y) * (x - y)).alias("loss"))
+    if kind == "binary_cross_entropy":
+        # the mean runs over positions first, as in the array form
+        losses = F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+        return logits.groupBy(*keys).agg(F.avg(losses).alias("loss")).agg(F.avg("loss").alias("loss"))
+    raise ValueError(f"kind must be one of {LOSSES}")
+
+
 def pool_vectors(tokens: DataFrame, how: str = "mean", doc_col: str = "doc_id", pos_col: str = "pos",
                  vec_col: str = "vec", pad_col: str | None = None, mask: bool = False) -> DataFrame:
     """One vector per document from its token vectors.

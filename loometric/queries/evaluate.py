@@ -411,6 +411,17 @@ def loss_cross_entropy(spark, sf_dir):
     return rounded(vectors.eval_loss(df, "logits", "t"), "loss")
 
 
+@query("loss_long_form", """
+    SELECT t AS truth, count(*) AS positions, round(avg(ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[t + 1]), 6) AS loss
+    FROM fx_pred GROUP BY t
+""", ("fx_pred",))
+def loss_long_form(spark, sf_dir):
+    """One row for each logit."""
+    rows = v.fx_pred(spark, sf_dir).select("id", F.col("t").alias("truth"), F.posexplode("logits").alias("label", "logit"))
+    losses = vectors.long_cross_entropy(rows, "id")
+    return rounded(losses.groupBy("truth").agg(F.count(F.lit(1)).alias("positions"), F.avg("loss").alias("loss")), "loss")
+
+
 @query("loss_squared_error", "SELECT round(avg((p - t) * (p - t)), 6) AS loss FROM fx_pred", ("fx_pred",))
 def loss_squared_error(spark, sf_dir):
     return rounded(vectors.eval_loss(v.fx_pred(spark, sf_dir), "p", "t", "squared_error"), "loss")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loometric.operators import relate, spans
@@ -20,6 +21,16 @@ def decode_bio(spark, sf_dir):
     return found.select("doc_id", (F.col("k") + 1).cast("bigint").alias("k"), "span.text", "span.label")
 
 
+@query("decode_bio_long", "SELECT doc_id, k, text, label FROM fx_true_spans", ("fx_true_spans",))
+def decode_bio_long(spark, sf_dir):
+    """The same spans from one row for each token, numbered by their start."""
+    df = v.fx_tagged(spark, sf_dir)
+    rows = df.select("doc_id", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t")).select("doc_id", "pos", "t.tokens", "t.tags")
+    found = spans.decode_bio_long(rows, "doc_id", "pos", "tokens", "tags", v.READABLE, chunk=256)
+    k = F.row_number().over(W.partitionBy("doc_id").orderBy("start"))
+    return found.select("doc_id", k.cast("bigint").alias("k"), "text", "label")
+
+
 @query("filter_entities", """
     SELECT doc_id, k, text, label, round(score, 6) AS score FROM fx_pred_spans
     WHERE score >= 0.5 AND label IN ('Location', 'Organization', 'Person')
@@ -98,3 +109,15 @@ def merge_subwords(spark, sf_dir):
     merged = spans.merge_subwords(F.col("subwords"), F.col("offsets"), F.col("preds"), F.col("_names"), max_length=None)
     return df.select("doc_id", F.array_join(
         F.transform(merged, lambda m: F.concat(m["word"], F.lit("/"), m["label"])), " ").alias("words"))
+
+
+@query("merge_subwords_long", """
+    SELECT doc_id, place AS pos, CASE WHEN pos = 0 AND k = 0 THEN piece ELSE substr(piece, 2) END AS word, 'P' || ((place + doc_id) % 7) AS label
+    FROM fx_pieces WHERE k = 0
+""", ("fx_pieces",))
+def merge_subwords_long(spark, sf_dir):
+    """One row for each subword, and one for each word that counts."""
+    df = v.fx_subwords(spark, sf_dir)
+    zipped = F.arrays_zip(F.col("subwords").alias("subword"), F.col("offsets").alias("offset"), F.col("preds").alias("pred"))
+    rows = df.select("doc_id", F.posexplode(zipped).alias("pos", "s")).select("doc_id", "pos", "s.subword", "s.offset.start", "s.offset.end", "s.pred")
+    return spans.merge_subwords_long(rows, PRED_NAMES).withColumn("pos", F.col("pos").cast("bigint"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from loometric import functions as fn
 from loometric.operators import profile, train, vectors
 from loometric.sources import io
 from loometric.streaming import score
@@ -269,6 +270,28 @@ def test_losses_of_vectors_and_odd_labels(spark):
         vectors.eval_loss(odd, "x", "y").collect()
 
 
+def test_long_form_equals_the_array_form(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=9) * s).tolist(), int(rng.integers(0, 9))) for i, s in enumerate([1, 3, 300, 1e4, 1e4] * 40)]
+    rows += [(900, [1e4] * 9, 2), (901, [-1e4] * 9, 8), (902, [-1e4, 1e4, *[0.0] * 7], 0), (903, [511.999, 512.0, 1024.5, *[-700.0] * 6], 1), (904, [0.0] * 9, -100)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y int").repartition(5)
+    long = df.select("id", F.col("y").alias("truth"), F.posexplode("x").alias("label", "logit")).repartition(7)
+    kept = df.where("y <> -100")
+    array_form = {r["id"]: r["loss"] for r in kept.select("id", fn.cross_entropy(F.col("x"), F.col("y")).alias("loss")).collect()}
+    found = vectors.long_cross_entropy(long.where("truth <> -100"), "id")
+    assert {r["id"]: r["loss"] for r in found.collect()} == pytest.approx(array_form, rel=1e-12, abs=1e-12)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    assert vectors.long_eval_loss(long, "id").first()[0] == pytest.approx(vectors.eval_loss(df, "x", "y").first()[0], rel=1e-12)
+    with pytest.raises(Exception, match="label outside the logits"):
+        vectors.long_eval_loss(long.withColumn("truth", F.lit(9)), "id").collect()
+    marked = df.withColumn("z", F.transform("x", lambda v: (v > 0).cast("int")))
+    long = marked.select("id", F.posexplode(F.arrays_zip("x", "z")).alias("label", "p")).select("id", "label", "p.x", "p.z")
+    assert vectors.long_eval_loss(long, "id", logit_col="x", truth_col="z", kind="binary_cross_entropy").first()[0] == pytest.approx(
+        vectors.eval_loss(marked, "x", "z", "binary_cross_entropy").first()[0])
+    assert vectors.long_eval_loss(long, "id", logit_col="x", truth_col="z", kind="squared_error").first()[0] == pytest.approx(
+        vectors.eval_loss(marked, "x", "z", "squared_error").first()[0])
+
+
 def test_pooling(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(40, 3))

@@ -1,6 +1,7 @@
 """Spans, matching, sheets and subwords against independent plain versions."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -117,3 +118,30 @@ def test_many_spans_are_matched_in_linear_time(spark):
     df = spark.createDataFrame([(many(4000), many(4000))], f"true {kind}, pred {kind}")
     found = spans.match_entities(df).select(F.size("matches").alias("n"), F.size(F.filter("matches", lambda m: m["truth"] == m["predicted"])).alias("k")).first()
     assert tuple(found) == (4000, 4000)
+
+
+@pytest.mark.parametrize("chunk", [2, 3, 7])
+def test_long_form_equals_the_array_form(spark, chunk):
+    rng = random.Random(chunk)
+    tags = ["O", "B-LOC", "I-LOC", "I-LOC", "B-PER", "I-PER", None]
+    docs = [(d, [f"t{i}" for i in range(n)], [rng.choice(tags) for _ in range(n)]) for d, n in enumerate([0, 1, 2, 6, 7, 40, 200])]
+    docs += [(50, [f"t{i}" for i in range(30)], ["B-LOC"] + ["I-LOC"] * 29), (51, ["a", "b", "c"], ["I-LOC"] * 3), (None, ["x", "y"], ["B-PER", "I-PER"])]
+    df = spark.createDataFrame(docs, "doc int, tokens array<string>, tags array<string>")
+    names = {"LOC": "Location", "PER": "Person"}
+    array_form = df.select("doc", F.inline(spans.decode_bio(F.col("tokens"), F.col("tags"), names))).where("doc IS NOT NULL")
+    rows = df.select("doc", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t")).select("doc", (F.col("pos") * 2).alias("pos"), "t.tokens", "t.tags")
+    found = spans.decode_bio_long(rows.repartition(3), "doc", "pos", "tokens", "tags", names, chunk=chunk).where("doc IS NOT NULL")
+    assert sorted(map(tuple, found.select("doc", "text", "label").collect())) == sorted(map(tuple, array_form.collect()))
+    whole = found.where("doc = 50").first()
+    assert (whole["start"], whole["stop"]) == (0, 58)
+
+
+def test_subwords_in_long_form(spark):
+    rows = [(1, [("x", 0, 0, 0), ("ab", 0, 2, 1), ("c", 2, 3, 2), ("\u0120d", 4, 5, 0), ("\u0120e", 0, 0, 1), ("\u0120f", 6, 7, 2)])]
+    df = spark.createDataFrame(rows, "doc int, s array<struct<subword:string,start:int,end:int,pred:int>>")
+    long = df.select("doc", F.posexplode("s").alias("pos", "s")).select("doc", "pos", "s.*")
+    for limit in (None, 5):
+        found = spans.merge_subwords_long(long, {0: "A", 1: "B", 2: "C"}, limit, doc_col="doc").orderBy("pos").collect()
+        whole = df.select(F.inline(spans.merge_subwords(F.transform("s", lambda x: x["subword"]), F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))),
+                                                     F.transform("s", lambda x: x["pred"]), relate.label_map({0: "A", 1: "B", 2: "C"}), limit))).collect()
+        assert [(r["word"], r["label"]) for r in found] == [(r["word"], r["label"]) for r in whole] and found

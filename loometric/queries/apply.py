@@ -85,6 +85,38 @@ def split_corrupt(spark, sf_dir):
     return counted.groupBy("run").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
+TEE_ROWS = 500
+
+
+@query("tee_corrupt", f"""
+    WITH files AS (SELECT run, id // {TEE_ROWS} AS part, count(*) AS n FROM fx_runs GROUP BY ALL)
+    SELECT run, coalesce(sum(n) FILTER (part % 3 <> 1), 0)::BIGINT AS good, count(*) FILTER (part % 3 = 1) AS bad FROM files GROUP BY run
+""", ("fx_runs",))
+def tee_corrupt(spark, sf_dir):
+    """Whole files, each one array over several lines, of which every third is broken: they are read once, and the others survive."""
+    path = shared_folder(spark, "tee-runs")
+    rows = v.fx_runs(spark, sf_dir).withColumn("part", F.floor(F.col("id") / TEE_ROWS))
+    packed = rows.groupBy("run", "part").agg(F.to_json(F.collect_list(F.struct("id", "input", "response", "score"))).alias("value"))
+    spread = F.replace("value", F.lit('},{"id"'), F.lit('},\n{"id"'))
+    broken = F.when(F.col("part") % 3 == 1, F.concat(F.lit("@"), spread)).otherwise(spread)
+    packed.select(F.concat("run", F.lit("="), "part").alias("file"), "run", broken.alias("value")).write.partitionBy("run", "file").format("text").save(path)
+    runs = io.read_runs(spark, path, RUN_SCHEMA, run_from="parent", pattern="*")
+    runs = runs.withColumn("run", F.regexp_extract("file_path", "/run=([^/]*)/", 1))
+    good, bad = io.tee_corrupt(runs, shared_folder(spark, "teed"))
+    counted = good.groupBy("run").agg(F.count(F.lit(1)).alias("good"), F.lit(0).cast("bigint").alias("bad")).unionByName(
+        bad.groupBy("run").agg(F.lit(0).cast("bigint").alias("good"), F.count(F.lit(1)).alias("bad")))
+    return counted.groupBy("run").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+@query("one_run", "SELECT run, count(*) AS rows, count(score) AS scored FROM fx_runs WHERE run = 'click' GROUP BY run", ("fx_runs",))
+def one_run(spark, sf_dir):
+    """One of many runs: the folders of the others are not listed."""
+    path = shared_folder(spark, "many-runs")
+    io.write_runs(v.fx_runs(spark, sf_dir), path, "id", ("id", "input", "response", "score"), rows=FILE_ROWS)
+    runs = io.read_runs(spark, path, RUN_SCHEMA, run_from="folder", arrays_span_lines=False, pattern="*").where("run = 'click'")
+    return io.split_corrupt(runs)[0].groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("score").alias("scored"))
+
+
 # --- user functions and models ------------------------------------------------------------
 
 @query("map_rows", """

@@ -467,3 +467,48 @@ def pool_mean_masked(spark, sf_dir):
 """, ("fx_vectors",))
 def pool_last(spark, sf_dir):
     return pooled(spark, sf_dir, "last", pad_col="is_pad")
+
+
+# --- whole reports ------------------------------------------------------------------------
+
+
+def sql_scores(cells: str) -> str:
+    """Table expressions ``report(section, metric, value)`` with all scores and the matrix of ``cells(t, p, n)``."""
+    return f"""sides AS (SELECT t AS label, n AS s, 0 AS g, CASE WHEN t = p THEN n ELSE 0 END AS h FROM {cells}
+              UNION ALL SELECT p, 0, n, 0 FROM {cells}),
+    classes AS (SELECT label, sum(s) AS s, sum(h) AS h, CASE WHEN sum(g) > 0 THEN sum(h) / sum(g) ELSE 0 END AS p,
+                CASE WHEN sum(s) > 0 THEN sum(h) / sum(s) ELSE 0 END AS r, 2 * sum(h) / (sum(s) + sum(g)) AS f FROM sides GROUP BY label),
+    report AS (SELECT 'Performance Metrics' AS section, 'accuracy' AS metric, sum(h) / sum(s) AS value FROM classes
+        UNION ALL SELECT 'Weighted Metrics', 'precision', sum(p * s) / sum(s) FROM classes
+        UNION ALL SELECT 'Weighted Metrics', 'recall', sum(r * s) / sum(s) FROM classes
+        UNION ALL SELECT 'Weighted Metrics', 'f1', sum(f * s) / sum(s) FROM classes
+        UNION ALL SELECT 'Macro Metrics', 'precision', avg(p) FROM classes UNION ALL SELECT 'Macro Metrics', 'recall', avg(r) FROM classes
+        UNION ALL SELECT 'Macro Metrics', 'f1', avg(f) FROM classes
+        UNION ALL SELECT 'Confusion Matrix', t || ' > ' || p, n FROM {cells})"""
+
+
+@query("prompted_ner_report", f"""
+    WITH pairs AS (SELECT unnest(tags) AS t, unnest(pred_tags) AS p FROM fx_parsed WHERE broken_reason IS NULL),
+    cells AS (SELECT t, p, count(*) AS n FROM pairs GROUP BY ALL), {sql_scores('cells')},
+    sizes AS (SELECT count(*) AS n, count(broken_reason) AS b FROM fx_parsed)
+    SELECT section, metric, round(value, 6)::DOUBLE AS value FROM (SELECT * FROM report
+        UNION ALL SELECT 'Dataset Information', 'total_samples', n FROM sizes
+        UNION ALL SELECT 'Dataset Information', 'broken_responses', b FROM sizes
+        UNION ALL SELECT 'Dataset Information', 'valid_samples', n - b FROM sizes
+        UNION ALL SELECT 'Dataset Information', 'broken_percent', b * 100.0 / n FROM sizes
+        UNION ALL SELECT 'Dataset Information', 'valid_percent', (n - b) * 100.0 / n FROM sizes
+        UNION ALL SELECT 'Broken Responses', broken_reason, count(*) FROM fx_parsed WHERE broken_reason IS NOT NULL GROUP BY broken_reason)
+""", ("fx_parsed",))
+def prompted_ner_report(spark, sf_dir):
+    parsed = responses.parse_structured_response(v.fx_structured(spark, sf_dir))
+    return rounded(evaluation.prompted_ner_report(parsed).select("section", "metric", "value"), "value")
+
+
+@query("sequence_classification_report", f"""
+    WITH cells AS (SELECT truth AS t, predicted AS p, n FROM fx_counts), {sql_scores('cells')}
+    SELECT section, metric, round(value, 6)::DOUBLE AS value FROM (SELECT * FROM report
+        UNION ALL SELECT 'Dataset Information', split, count(*) FROM fx_io GROUP BY split)
+""", ("fx_counts", "fx_io"))
+def sequence_classification_report(spark, sf_dir):
+    report = evaluation.sequence_classification_report(v.fx_pred(spark, sf_dir), "t", "p", v.fx_io(spark, sf_dir))
+    return rounded(report.select("section", "metric", "value"), "value")

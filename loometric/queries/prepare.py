@@ -222,10 +222,10 @@ def head(spark, sf_dir):
 
 
 @query("shuffle_rows", f"""
-    SELECT doc_id, md5(doc_id || ':{SEED}') AS place FROM documents ORDER BY place
+    SELECT *, md5(doc_id || ':{SEED}') AS place FROM documents ORDER BY place
 """)
 def shuffle_rows(spark, sf_dir):
-    df = v.table(spark, sf_dir, "documents").select("doc_id")
+    df = v.table(spark, sf_dir, "documents")
     return sampling.shuffle_rows(df, "doc_id", SEED).withColumn("place", sampling.seeded_hash(F.col("doc_id"), SEED))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loometric.functions import computed, split_words
+from loometric.operators import prep
 from loometric.operators import textmetrics as tm
+from loometric.plans import evaluation
 from loometric.queries import views as v
 from loometric.queries.prepare import rounded
 from loometric.queries.registry import query
@@ -136,3 +138,24 @@ def embedding_match_pairs(spark, sf_dir):
 def embedding_match(spark, sf_dir):
     scored = tm.embedding_match_pairs(v.fx_vectors(spark, sf_dir))
     return rounded(tm.mean_scores(scored, "precision", "recall", "f1"), "precision", "recall", "f1")
+
+
+# the answers are every third word of the texts: what ROUGE-1 and ROUGE-L count is every word of the answer
+@query("summarization_report", f"""
+    WITH words AS (SELECT doc_id AS pair_id, {SQL_ROUGE_WORDS.format('output')} AS c, {SQL_ROUGE_WORDS.format('input')} AS r FROM fx_io),
+    {sql_grams(2)},
+    counted AS (SELECT pair_id, g, count(*) FILTER (side = 'c') AS cc, count(*) FILTER (side = 'r') AS rc FROM grams WHERE n = 2 GROUP BY ALL),
+    pairs2 AS (SELECT pair_id, 2 * sum(least(cc, rc)) / sum(cc + rc) AS f FROM counted GROUP BY ALL),
+    scores AS (SELECT avg(CASE WHEN len(c) > 0 THEN 2 * len(c) / (len(c) + len(r)) ELSE 0 END) AS one, avg(coalesce(f, 0)) AS two
+               FROM words LEFT JOIN pairs2 USING (pair_id)),
+    sizes AS (SELECT split, count(*) AS n, avg(len({v.sql_words('input')})) AS w FROM fx_io GROUP BY split)
+    SELECT 'Dataset Information' AS section, split || ' instances' AS metric, n::DOUBLE AS value FROM sizes
+    UNION ALL SELECT 'Dataset Information', split || ' avg_word_count', round(w, 6) FROM sizes
+    UNION ALL SELECT 'ROUGE', 'rouge1', round(one, 6) FROM scores UNION ALL SELECT 'ROUGE', 'rougeL', round(one, 6) FROM scores
+    UNION ALL SELECT 'ROUGE', 'rouge2', round(two, 6) FROM scores
+""", ("fx_io",))
+def summarization_report(spark, sf_dir):
+    """All rows of the report but BLEU, which has a check of its own."""
+    rows = v.fx_io(spark, sf_dir)
+    report = evaluation.summarization_report(rows, "output", "input", prep.to_messages(rows, v.SYSTEM_PROMPT))
+    return rounded(report.where("section <> 'BLEU'").select("section", "metric", "value"), "value")

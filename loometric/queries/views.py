@@ -181,8 +181,8 @@ def fx_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("a"))
     form = (F.col("conv_id") + F.col("turn")) % 4
     mark = F.when(form == 1, "\n").when(form == 2, "\nmodel\nmodel\n").otherwise("\nmodel\n")
-    return asked.join(said, ["conv_id", "turn"]).select(
-        "conv_id", "turn", form.alias("form"), F.concat(F.lit("user\n"), "u", mark, "a").alias("raw"))
+    return said.join(asked, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", form.alias("form"), F.concat(F.lit("user\n"), F.coalesce("u", F.lit("")), mark, "a").alias("raw"))
 
 
 def fx_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,14 +194,15 @@ def fx_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON answers: right, one entity short, not JSON, missing, or without a label."""
-    form = F.col("doc_id") % 5
+    """JSON answers: right, one entity short, not JSON, missing, without a label, or no object."""
+    form = F.col("doc_id") % 6
     entities = F.zip_with("tokens", "tags", lambda w, t: F.struct(w.alias("kelime"), t.alias("etiket")))
     bare = F.transform("tokens", lambda w: F.struct(w.alias("kelime")))
     return computed(fx_tagged(spark, sf_dir), response=F.when(form == 0, F.to_json(F.struct(entities.alias("entities"))))
         .when(form == 1, F.to_json(F.struct(F.slice(entities, 2, F.size("tokens")).alias("entities"))))
         .when(form == 2, F.concat(F.lit("the labels are "), F.array_join("tags", ", ")))
-        .when(form == 4, F.to_json(F.struct(bare.alias("entities"))))).drop("split")
+        .when(form == 4, F.to_json(F.struct(bare.alias("entities"))))
+        .when(form == 5, F.to_json("tags"))).drop("split")
 
 
 def fx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,27 +299,28 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                WHEN 2 THEN to_json({'prompt': text}) ELSE to_json({'other': text}) END AS item
         FROM documents"""),
     "fx_raw": ((), """
-        SELECT u.conv_id, a.turn, (a.conv_id + a.turn) % 4 AS form,
-               'user' || chr(10) || u.text || CASE (a.conv_id + a.turn) % 4 WHEN 1 THEN chr(10)
+        SELECT a.conv_id, a.turn, (a.conv_id + a.turn) % 4 AS form,
+               'user' || chr(10) || coalesce(u.text, '') || CASE (a.conv_id + a.turn) % 4 WHEN 1 THEN chr(10)
                WHEN 2 THEN chr(10) || 'model' || chr(10) || 'model' || chr(10)
                ELSE chr(10) || 'model' || chr(10) END || a.text AS raw
-        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-        WHERE u.role = 'user' AND a.role = 'assistant'"""),
+        FROM conversations a LEFT JOIN conversations u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user'
+        WHERE a.role = 'assistant'"""),
     "fx_judge": ((), """
         SELECT doc_id, source AS run, CASE doc_id % 6 WHEN 0 THEN '5' WHEN 1 THEN ' 4 ' WHEN 2 THEN '3.0'
                WHEN 3 THEN '' WHEN 5 THEN 'iyi' END AS raw
         FROM documents"""),
     "fx_structured": (("fx_tagged",), """
-        SELECT doc_id, tokens, tags, CASE doc_id % 5
+        SELECT doc_id, tokens, tags, CASE doc_id % 6
                WHEN 0 THEN to_json({'entities': list_transform(tokens, lambda w, i: {'kelime': w, 'etiket': tags[i]})})::VARCHAR
                WHEN 1 THEN to_json({'entities': list_transform(tokens, lambda w, i: {'kelime': w, 'etiket': tags[i]})[2:]})::VARCHAR
                WHEN 2 THEN 'the labels are ' || array_to_string(tags, ', ')
-               WHEN 4 THEN to_json({'entities': list_transform(tokens, lambda w: {'kelime': w})})::VARCHAR END AS response
+               WHEN 4 THEN to_json({'entities': list_transform(tokens, lambda w: {'kelime': w})})::VARCHAR
+               WHEN 5 THEN to_json(tags)::VARCHAR END AS response
         FROM fx_tagged"""),
     "fx_parsed": (("fx_structured",), """
         SELECT *, CASE WHEN broken_reason IS NULL THEN found END AS pred_tags
         FROM (SELECT *, CASE WHEN response IS NULL THEN 'no_response' WHEN NOT json_valid(response) THEN 'bad_json'
-                     WHEN size <> len(tokens) THEN 'length_mismatch'
+                     WHEN json_type(response) <> 'OBJECT' THEN 'bad_shape' WHEN size <> len(tokens) THEN 'length_mismatch'
                      WHEN len(list_filter(found, lambda x: x IS NULL)) > 0 THEN 'missing_label' END AS broken_reason
               FROM (SELECT *, coalesce(TRY(json_array_length(response, '$.entities')), 0) AS size,
                            CASE WHEN json_valid(response) THEN list_transform(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StringType, StructType
+from pyspark.sql.types import BooleanType, IntegralType, StringType, StructType
 
 from loometric.functions.stage import computed
 
@@ -44,29 +44,52 @@ def write_splits(splits: Mapping[str, DataFrame] | DataFrame, path: str) -> None
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def run_catalogue(spark: SparkSession, path: str, suffix: str = "_filtered", pattern: str = "*.json*") -> DataFrame:
+    """(run, path, length, modified) of the run files below a folder; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select(_stem(F.col("path"), suffix).alias("run"), "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def _stem(path: Column, suffix: str) -> Column:
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl?(\.gz)?$", "")
+    return F.replace(stem, F.lit(suffix), F.lit(""))
+
+
 def read_runs(spark: SparkSession, path: str, schema: StructType | str, run_from: str = "file",
-              arrays_span_lines: bool = True, suffix: str = "_filtered", pattern: str = "*.json*") -> DataFrame:
+              arrays_span_lines: bool = True, suffix: str = "_filtered", pattern: str = "*.json*",
+              catalogue: DataFrame | None = None) -> DataFrame:
     """Result files of many runs with a ``run`` column and a corrupt-record column.
 
-    A run is named by its file, or by its folder when it is stored as many part files.
+    A run is named by its file (``run_from="file"``), by its folder ``run=name`` when it is stored as many part files ("folder"), or by
+    any parent folder ("parent"). Folders ``run=name`` are partitions: a filter on ``run`` lists and reads no other. Of files, only those
+    of a ``catalogue`` are read if one is given: ``run_catalogue``, filtered as wanted, one row for each run file.
     A file holds one JSON array over any number of lines; with ``arrays_span_lines``
     off each line is a JSON array or object, so that big files can be read in pieces.
     """
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wanted = StructType(list(wanted.fields)).add(CORRUPT, StringType())
-    df = (spark.read.schema(wanted).option("multiLine", arrays_span_lines)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-          .select("*", "_metadata.file_path"))
-    parts = F.split("file_path", "/")
-    if run_from == "file":
-        stem = F.regexp_replace(F.element_at(parts, -1), r"\.jsonl?(\.gz)?$", "")
+    names = wanted.names
+    folders = run_from == "folder"
+    if folders:
+        wanted = wanted.add("run", StringType())
+    reader = (spark.read.schema(wanted).option("multiLine", arrays_span_lines).option("pathGlobFilter", pattern)
+              .option("columnNameOfCorruptRecord", CORRUPT))
+    if catalogue is not None:
+        paths = [r["path"] for r in catalogue.select("path").toLocalIterator()]
+        if not paths:
+            empty = StructType(list(wanted.fields)).add("file_path", StringType())
+            return spark.createDataFrame([], empty if folders else empty.add("run", StringType()))
+        df = reader.json(paths)
     else:
-        stem = F.regexp_replace(F.element_at(parts, -2), "^run=", "")
+        df = (reader if folders else reader.option("recursiveFileLookup", True)).json(path)
+    df = df.select(*names, *(["run"] if folders else []), "_metadata.file_path")
     # Spark refuses to read the corrupt column alone, so an empty piece of a data column goes with it
-    nothing = F.substr(F.coalesce(F.col(df.columns[0]).cast("string"), F.lit("")), F.lit(1), F.lit(0))
-    return df.withColumn("run", F.replace(stem, F.lit(suffix), F.lit(""))).withColumn(
-        CORRUPT, F.concat(F.col(CORRUPT), nothing))
+    nothing = F.substr(F.coalesce(F.col(names[0]).cast("string"), F.lit("")), F.lit(1), F.lit(0))
+    df = df.withColumn(CORRUPT, F.concat(F.col(CORRUPT), nothing))
+    if folders:
+        return df
+    parent = F.replace(F.element_at(F.split("file_path", "/"), -2), F.lit(suffix), F.lit(""))
+    return df.withColumn("run", _stem(F.col("file_path"), suffix) if run_from == "file" else parent)
 
 
 def write_runs(runs: DataFrame, path: str, order_key: str, columns: Sequence[str], run_col: str = "run", rows: int = 50_000) -> None:
@@ -87,6 +110,15 @@ def split_corrupt(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad.select("run", "file_path", F.col(CORRUPT).alias("content"))
 
 
+def tee_corrupt(runs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """``split_corrupt`` of runs that are parsed once: one pass writes good and corrupt rows side by side below ``path``, then each is read."""
+    runs.withColumn("readable", F.col(CORRUPT).isNull()).write.mode("overwrite").partitionBy("readable").parquet(path)
+    schema = StructType(list(runs.schema.fields)).add("readable", BooleanType())
+    both = runs.sparkSession.read.schema(schema).parquet(path)
+    bad = both.filter(~F.col("readable")).select("run", "file_path", F.col(CORRUPT).alias("content"))
+    return both.filter("readable").drop(CORRUPT, "file_path", "readable"), bad
+
+
 def normalize_prompts(df: DataFrame, item_col: str, *keep: str) -> DataFrame:
     """Union-typed JSON items as ``(input, reference_response)``.
 

@@ -38,6 +38,46 @@ def test_runs_as_folders_of_parts(spark, tmp_path):
     assert sorted((r["run"], r["score"]) for r in good.collect()) == [("a", 1), ("a", 2), ("b", 3)]
 
 
+def test_only_the_wanted_run_is_listed(spark, tmp_path):
+    for run in ("a", "b_filtered", "007"):
+        (tmp_path / f"run={run}").mkdir()
+        write(tmp_path / f"run={run}", "part-0.json", json.dumps([{"input": run, "score": 1}]) + "\n")
+    runs = io.read_runs(spark, str(tmp_path), SCHEMA, run_from="folder", arrays_span_lines=False)
+    assert {r["run"] for r in runs.collect()} == {"a", "b_filtered", "007"}
+    one = runs.where("run = '007'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan and "run=a" not in plan
+    assert [r["input"] for r in one.collect()] == ["007"] and len(one.inputFiles()) >= 1
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    write(flat, "x_filtered.json", [{"input": "x"}])
+    write(flat, "y.jsonl", json.dumps({"input": "y"}) + "\n" + json.dumps([{"input": "z"}]) + "\n")
+    catalogue = io.run_catalogue(spark, str(flat))
+    assert {r["run"] for r in catalogue.collect()} == {"x", "y"}
+    wanted = io.read_runs(spark, str(flat), SCHEMA, catalogue=catalogue.where("run = 'x'"))
+    assert len(wanted.inputFiles()) == 1 and [(r["run"], r["input"]) for r in wanted.collect()] == [("x", "x")]
+    lines = io.read_runs(spark, str(flat), SCHEMA, arrays_span_lines=False, catalogue=catalogue.where("run = 'y'"))
+    assert [r["input"] for r in lines.collect()] == ["y", "z"]
+    nothing = io.read_runs(spark, str(flat), SCHEMA, catalogue=catalogue.where("run = 'no'"))
+    assert nothing.count() == 0 and set(nothing.columns) == set(wanted.columns)
+    parents = io.read_runs(spark, str(tmp_path), SCHEMA, run_from="parent", arrays_span_lines=False, pattern="part-*")
+    assert {r["run"] for r in parents.collect()} == {"run=a", "run=b", "run=007"}
+
+
+def test_good_and_corrupt_rows_from_one_pass(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "first.json", [{"input": "a"}, {"input": "b", "score": 2}])
+    write(tmp_path / "in", "broken.json", "@not json\nat all")
+    runs = io.read_runs(spark, str(tmp_path / "in"), SCHEMA)
+    good, bad = io.tee_corrupt(runs, str(tmp_path / "out"))
+    plain_good, plain_bad = io.split_corrupt(runs)
+    assert good.columns == plain_good.columns and sorted(map(str, good.collect())) == sorted(map(str, plain_good.collect()))
+    assert [tuple(r) for r in bad.collect()] == [tuple(r) for r in plain_bad.collect()]
+    for side in (good, bad):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan json" not in plan and plan.count("FileScan parquet") == plan.count("PartitionFilters: [isnotnull(readable") > 0
+
+
 def test_splits(spark, tmp_path):
     path = str(tmp_path / "ds")
     parts = {n: spark.createDataFrame([(n,)], "text string") for n in ("train", "valid", "eval", "test")}

@@ -10,6 +10,7 @@ from loometric.functions import computed, split_words
 from loometric.operators import classmetrics as cm
 from loometric.operators import prep, relate, sampling
 from loometric.operators import textmetrics as tm
+from loometric.plans import evaluation
 from loometric.queries import catalog, views
 
 
@@ -112,3 +113,30 @@ def test_intersection_is_one_scan(spark):
 def test_registry():
     assert len(catalog.QUERIES) >= 95 and len(catalog.CHECKS) >= 90
     assert not [n for n in catalog.QUERIES if re.match(r"op\d|.*pipeline", n)]
+
+
+def test_prompted_report_of_one_pass(spark):
+    rows = [(["A", "B"], ["A", "A"], None), (["A"], None, "bad_json"), (["B"], None, "bad_json"), (["B", "B"], ["B", "C"], None), (["A"], None, "no_response")]
+    parsed = spark.createDataFrame(rows, "tags array<string>, pred_tags array<string>, broken_reason string")
+    report = evaluation.prompted_ner_report(parsed, at=F.lit("2024-05-06 07:08:09").cast("timestamp")).orderBy("ord").collect()
+    found = {(r["section"], r["metric"]): (r["value"], r["kind"]) for r in report}
+    assert found["Dataset Information", "total_samples"] == (5, "count") and found["Dataset Information", "broken_percent"] == (60.0, "percent")
+    assert found["Broken Responses", "bad_json"][0] == 2 and found["Performance Metrics", "accuracy"][0] == 0.5
+    assert found["Macro Metrics", "f1"][0] == pytest.approx((2 / 3 + 0.5 + 0) / 3)
+    assert [r["metric"] for r in report if r["section"] == "Confusion Matrix"] == ["A > A", "B > A", "B > B", "B > C"]
+    assert {r["made"] for r in report} == {"2024-05-06 07:08:09"}
+    nothing = evaluation.prompted_ner_report(parsed.where("false"))
+    assert nothing.where("section = 'Confusion Matrix'").count() == 0
+
+
+def test_reports_name_their_parts(spark):
+    pairs = spark.createDataFrame([("a b c", "a b c"), ("x", "y")], "c string, r string")
+    messages = spark.createDataFrame([("train", [("system", "s"), ("user", "one two")]), ("test", [("system", "s"), ("user", "one")])],
+                                     "split string, messages array<struct<role:string,content:string>>")
+    report = evaluation.summarization_report(pairs, "c", "r", messages).orderBy("ord").collect()
+    assert [(r["metric"], r["value"]) for r in report[:4]] == [("test instances", 1.0), ("test avg_word_count", 1.0), ("train instances", 1.0),
+                                                              ("train avg_word_count", 2.0)]
+    assert [(r["metric"], r["value"]) for r in report[4:7]] == [("rouge1", 0.5), ("rouge2", 0.5), ("rougeL", 0.5)] and report[7]["metric"] == "bleu"
+    labels = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "t int, p int")
+    report = evaluation.sequence_classification_report(labels, "t", "p", messages).orderBy("ord").collect()
+    assert [(r["metric"], r["value"]) for r in report[:3]] == [("test", 1.0), ("train", 1.0), ("accuracy", pytest.approx(2 / 3))]

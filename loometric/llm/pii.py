@@ -1,10 +1,10 @@
 """Personal data: exact base patterns, and bootstrapped contexts that find further identifiers.
 
-Base matches are the seeds. Every token that looks like an identifier and the words around it
-make a graph of patterns (contexts) and instances (identifiers). Spark scores the graph in rounds:
-a pattern is trusted as far as its instances are known to be identifiers, counted over distinct
-instances of the whole corpus; an instance is believed when a trusted pattern surrounds it. After the last round the
-trusted patterns are applied to all texts, so identifiers that no base pattern knows are found by their context.
+Base matches are the seeds, and so are long random hexadecimal strings. Every token that looks like an identifier and the words around it
+make a graph of patterns (contexts) and instances (identifiers). Spark scores the graph in rounds, both ways and by degrees:
+a pattern is as sure as the mean sureness of its distinct instances in the whole corpus, less the fewer they are; an instance is
+as sure as all its patterns together make it, each of them damped. After the last round the patterns that are sure
+enough are applied to all texts, so identifiers that no base pattern knows are found by their context.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
 
 ROUNDS = 3
-# A pattern is trusted when this share of at least so many distinct instances is known.
-TRUST, LEAST_INSTANCES = 0.8, 3
+# A pattern is applied from this score on, if its instances add up to so many sure ones. A pattern's word on an instance counts by the damping.
+TRUST, LEAST_INSTANCES, DAMPING = 0.5, 3, 0.85
+# Hexadecimal strings of so many characters, letters and digits among them, are seeds.
+SECRET_LENGTH = 32
 # What one task receives at most of the trusted patterns; more patterns take more passes over the texts.
 BLOCK_PATTERNS = 200_000
 # Instances of one pattern are counted in so many parts first.
@@ -44,6 +46,10 @@ _DIGIT = re.compile(r"[0-9]")
 # Identifier-like tokens: of the characters of identifiers, with a digit or an at-sign; see `shaped`.
 _TOKEN = re.compile(r"[A-Za-z0-9@._%+:/-]+")
 _WORD = re.compile(r"\w+|[^\w\s]")
+_LETTERS = re.compile(r"[^\W\d_]{3}")
+# A key before a value: a word, and marks of which one names, assigns or quotes.
+_KEY = re.compile(r"([^\W\d_]{3,})\W{0,3}([=:#\"'(<])\W{0,3}$")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _SIDE_CHARS = 40
 
 
@@ -94,18 +100,37 @@ def shaped(token: str) -> bool:
     return len(token) >= 6 and (sum("0" <= c <= "9" for c in token) >= 4 or "@" in token[1:-1])
 
 
+def secret_like(token: str) -> bool:
+    """Whether a token is a long random string, a seed beside the base matches."""
+    return len(token) >= SECRET_LENGTH and _HEX.fullmatch(token) is not None and not token.isdigit() and not token.isalpha()
+
+
+def shape(token: str) -> str:
+    """The kind of a token's characters."""
+    if "@" in token:
+        return "a"
+    if len(token) >= 16 and _HEX.fullmatch(token) and not token.isdigit():
+        return "x"
+    return "m" if any(c.isalpha() for c in token) else "d"
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns around a place: two words before it; one word before and one behind it.
+    """The patterns around a place: two words before it; one word before and one behind it; a key before it, with the kind of the token.
 
-    Words are lower-cased and digits in them are one sign, so a pattern is no identifier itself.
+    Words are lower-cased and digits in them are one sign, so a pattern is no identifier itself. A pattern has a word of three letters
+    or more: marks and short words alone say nothing.
     """
-    before = [_generic(w) for w in _WORD.findall(text[max(0, start - _SIDE_CHARS):start])[-2:]]
+    head = text[max(0, start - _SIDE_CHARS):start]
+    before = [_generic(w) for w in _WORD.findall(head)[-2:]]
     after = [_generic(w) for w in _WORD.findall(text[end:end + _SIDE_CHARS])[:1]]
     found = []
-    if len(before) == 2:
+    if len(before) == 2 and _LETTERS.search(f"{before[0]} {before[1]}"):
         found.append(f"{before[0]} {before[1]} *")
-    if before and after:
+    if before and after and _LETTERS.search(f"{before[-1]} {after[0]}"):
         found.append(f"{before[-1]} * {after[0]}")
+    key = _KEY.search(head)
+    if key:
+        found.append(f"{key[1].lower()} {key[2]} *{shape(text[start:end])}")
     return found
 
 
@@ -141,44 +166,55 @@ def sightings(texts: DataFrame) -> DataFrame:
         for text in batch.column("text").to_pylist():
             for start, end, sure in places(text):
                 instance = int.from_bytes(hashlib.blake2b(text[start:end].encode(), digest_size=8).digest(), "big", signed=True)
+                seed = secret_like(text[start:end])
                 for pattern in contexts(text, start, end):
                     patterns.append(pattern)
                     instances.append(instance)
-                    known.append(sure)
+                    known.append(sure or seed)
         return pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(instances, pa.int64()), pa.array(known, pa.bool_())],
                                           names=["pattern", "instance", "known"])
 
     return over_batches(texts.select("text"), run, "pattern string, instance bigint, known boolean")
 
 
-def _scored(graph: DataFrame, known: Column) -> DataFrame:
-    """Trusted patterns. A pattern of very many instances is summed in parts."""
+def pattern_scores(graph: DataFrame) -> DataFrame:
+    """(pattern, sure, score) from (pattern, instance, sureness). A pattern of very many instances is summed in parts.
+
+    The mean sureness, with one unknown instance more, times a factor that rises with the number of sure ones.
+    """
     parts = graph.groupBy("pattern", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).alias("part")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(known.cast("bigint")).alias("k"))
-    totals = parts.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    return totals.where((F.col("k") >= LEAST_INSTANCES) & (F.col("k") >= F.lit(TRUST) * F.col("n"))).select(
-        "pattern", (F.col("k") / F.col("n")).alias("score"))
+        F.count(F.lit(1)).alias("n"), F.sum("sureness").alias("s"))
+    totals = parts.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    score = F.col("s") / (F.col("n") + 1) * (1 - 1 / (1 + F.log2(1 + F.col("s"))))
+    return totals.where("s > 0").select("pattern", F.col("s").alias("sure"), score.alias("score"))
+
+
+def instance_scores(graph: DataFrame, scores: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(instance, believed): an instance is not one only if all its patterns are wrong about it."""
+    salted = scores.select("pattern", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = graph.withColumn("salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
+    return rows.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-damping * F.col("score"))))).alias("believed"))
 
 
 def bootstrap(docs: DataFrame, text_column: str = "text", seeds: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score): the contexts that are trusted after the last round.
+    """(pattern, score): the contexts that are sure enough after the last round.
 
-    Only contexts of identifier-like tokens travel, never texts. The seeds are the base matches. Rounds
-    end early when no new instance is believed. Without any match there are no patterns.
+    Only contexts of identifier-like tokens travel, never texts. The seeds are the base matches and long random strings. Seeds stay sure.
+    Without any there are no patterns.
     """
     texts = id_and_text(docs, text_column, text_column).select("text")
     graph = stored(sightings(texts).groupBy("pattern", "instance").agg(F.max("known").alias("known")), "pii-graph")
     if seeds is not None:
         graph = graph.withColumn("known", F.col("known") | seeds)
-    trusted = stored(_scored(graph, F.col("known")), "pii-patterns")
+    scores = stored(pattern_scores(graph.withColumn("sureness", F.col("known").cast("double"))), "pii-patterns")
     for _ in range(rounds - 1):
-        believed = graph.join(trusted, "pattern", "left_semi").where("NOT known").select("instance").distinct().withColumn("believed", F.lit(True))
-        wider = graph.join(believed, "instance", "left").withColumn("sure", F.col("known") | F.coalesce("believed", F.lit(False)))
-        found = stored(_scored(wider, F.col("sure")), "pii-patterns")
-        if found.count() == trusted.count():
-            return found
-        trusted = found
-    return trusted
+        believed = instance_scores(graph.where("NOT known"), scores)
+        # an instance may stand in very many contexts: its one row is salted
+        spread = believed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = graph.withColumn("salt", F.pmod(F.xxhash64("pattern"), F.lit(SALTS)).cast("int")).join(spread, ["instance", "salt"], "left")
+        sureness = F.when(F.col("known"), 1.0).otherwise(F.coalesce("believed", F.lit(0.0)))
+        scores = stored(pattern_scores(rows.select("pattern", "instance", sureness.alias("sureness"))), "pii-patterns")
+    return scores.where((F.col("sure") >= LEAST_INSTANCES) & (F.col("score") >= TRUST)).select("pattern", "score")
 
 
 def _blocks(patterns: DataFrame, block: int) -> Iterator[frozenset[str]]:

@@ -92,6 +92,50 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in by_blocks.collect()} == found
 
 
+def test_secrets_are_found_by_their_key(spark):
+    """Long random strings are seeds; what stands behind the same key is found too, and strings elsewhere are not."""
+    rng = random.Random(41)
+
+    def hexed(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n - 4)) + "1a2b"
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}ord" for i in range(300)]
+    rows = [(i, f"{rng.choice(words)} {rng.choice(words)} token = \"{hexed(40)}\" {rng.choice(words)}") for i in range(30)]
+    rows += [(100 + i, f"{rng.choice(words)} of 4{rng.randrange(10 ** 14)} {rng.choice(words)} . {rng.randrange(10 ** 15)}") for i in range(200)]
+    rows += [(500, 'last token = "ab12cd34ef567890ab" end'), (501, "see ab12cd34ef567890ab there"), (502, "| 123456789 | 22222222 |")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in pii.pii_spans(df).collect()}
+    texts = dict(rows)
+    assert all(len(found[i]) == 1 and texts[i][found[i][0][0]:found[i][0][1]].endswith("1a2b") for i in range(30))
+    assert found[500] == [(14, 32)] and not any(found[i] for i in found if i >= 100 and i != 500)
+    assert all(any(c.isalpha() for c in r["pattern"].rstrip("axmd")) for r in pii.bootstrap(df).collect())
+
+
+def test_two_rounds_of_scores_by_hand(spark):
+    rng = random.Random(42)
+    edges = {(f"p{rng.randrange(12)}", rng.randrange(40)) for _ in range(120)}
+    known = {i: i % 3 == 0 for i in range(40)}
+    sureness = {i: float(known[i]) for i in known}
+    graph = spark.createDataFrame([(p, i, known[i], sureness[i]) for p, i in edges], "pattern string, instance bigint, known boolean, sureness double")
+
+    def by_hand(sure):
+        scores = {}
+        for p in {p for p, _ in edges}:
+            mine = [sure[i] for q, i in edges if q == p]
+            if sum(mine) > 0:
+                scores[p] = sum(mine) / (len(mine) + 1) * (1 - 1 / (1 + np.log2(1 + sum(mine))))
+        return scores
+
+    first = by_hand(sureness)
+    assert {r["pattern"]: r["score"] for r in pii.pattern_scores(graph).collect()} == pytest.approx(first)
+    believed = {i: 1 - np.prod([1 - pii.DAMPING * first[p] for p, j in edges if j == i and p in first]) for i in known if not known[i]}
+    unsure = pii.instance_scores(graph.where("NOT known"), pii.pattern_scores(graph))
+    assert {r["instance"]: r["believed"] for r in unsure.collect()} == pytest.approx({i: b for i, b in believed.items() if any(j == i for _, j in edges)})
+    second = by_hand({i: 1.0 if known[i] else believed[i] for i in known})
+    again = graph.join(unsure, "instance", "left").withColumn("sureness", F.coalesce("believed", "sureness"))
+    assert {r["pattern"]: r["score"] for r in pii.pattern_scores(again).collect()} == pytest.approx(second)
+
+
 def test_redaction_does_not_depend_on_blocks(spark):
     """Contexts of identifiers beside redacted spans, each in a block of its own."""
     ends = ("org", "com", "net", "edu", "info", "museum")

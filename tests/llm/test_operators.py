@@ -67,6 +67,20 @@ def test_junk_of_one_sort_is_rejected(spark):
     assert {r[0] for r in found.where("kept").select("doc_id").collect()} == {i for i, _ in good}
 
 
+@pytest.mark.parametrize("share", [0.6, 0.9])
+def test_a_rule_that_misfires_is_outvoted(spark, share):
+    """Most clean documents break the rule on symbols: they are kept, and junk that breaks another rule is not."""
+    def good(i, k):
+        return f"Word{i * k % 7919} goes{i + k}" + (" #" if i % 100 < 100 * share and k % 2 == 0 else "") + f" on{k}."
+
+    clean = [(i, " ".join(good(i, k) for k in range(1, 60))) for i in range(1, 400)]
+    junk = [(1000 + i, " ".join(f"W{i * k % 7919}XY BIG{i + k}" + (" #" if k % 2 == 0 else "") for k in range(1, 60)) + ".") for i in range(1, 20)]
+    measures = quality.with_votes(quality.measured(spark.createDataFrame(clean, "doc_id bigint, text string")))
+    assert measures.where("vote_symbols = -1").count() >= (share - 0.02) * len(clean)
+    found = quality.quality_rules(spark.createDataFrame(clean + junk, "doc_id bigint, text string"))
+    assert {r[0] for r in found.where("kept").select("doc_id").collect()} == {i for i, _ in clean}
+
+
 def test_licenses(docs, nothing):
     found = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
     assert found[7]["base_labels"] == "mit" and found[7]["n_base"] == 1 and found[0]["n_words"] == 0 and found[0]["first_word"] is None

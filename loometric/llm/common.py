@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset.
+    """A new folder under ``spark.checkpoint.dir``, which names storage that the driver and all executors share.
 
-    Both settings name storage that the driver and all executors share.
+    Where that is unset, a session on one machine uses its warehouse; a cluster's session raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

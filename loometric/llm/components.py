@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from loometric.llm.common import stored
 
 MAX_ROUNDS = 60
+# A node may have a third of all links: the one row that they meet is salted.
+SALTS = 8
+
+
+def _meeting(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with what ``nodes`` says of a in its one row; the edges of one node are dealt over tasks by their other end."""
+    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
 
 
 def _hooked(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours, and then each node itself, are linked with its smallest neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = (both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = (_meeting(both.where("b > a"), smallest).select(F.col("b").alias("a"), F.col("m").alias("b"))
              .where("a <> b").distinct())
     # now a > b in every row: link the smaller neighbours of a node, and the node, with the smallest of them
     least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a").select(F.explode(F.array(
+    small = _meeting(large, least).select(F.explode(F.array(
         F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
     return small.select("e.a", "e.b").where("a <> b").distinct()
 

@@ -23,10 +23,13 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", checkpoint_di
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``.
+    """A new folder under ``spark.checkpoint.dir``, which names storage that the driver and every executor see.
 
-    Where that is unset, the warehouse (``spark.sql.warehouse.dir``) is used: both settings
-    name storage that the driver and every executor see.
+    Where that is unset, a session on one machine uses its warehouse (``spark.sql.warehouse.dir``); a cluster's session raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -119,12 +119,20 @@ def one_run(spark, sf_dir):
 
 # --- user functions and models ------------------------------------------------------------
 
+def upper_initial(text: str) -> str:
+    """The first code point in upper case, as one code point: ``str.upper`` spells some out, as SS for ß."""
+    first = text[:1]
+    for upper in (first.upper(), first.title(), "\u1e9e" if first == "\u00df" else first):
+        if len(upper) == len(first):
+            return upper
+
+
 @query("map_rows", """
     SELECT doc_id, length(text) AS n, upper(substr(text, 1, 1)) AS initial FROM documents
 """)
 def map_rows(spark, sf_dir):
     def describe(row):
-        return {"doc_id": row["doc_id"], "n": len(row["text"]), "initial": row["text"][:1].upper()}
+        return {"doc_id": row["doc_id"], "n": len(row["text"]), "initial": upper_initial(row["text"])}
 
     return score.map_rows(v.documents(spark, sf_dir, "text"), describe, "doc_id bigint, n bigint, initial string")
 

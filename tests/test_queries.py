@@ -1,5 +1,6 @@
 """Every registered query against its SQL check, and the rules all plans keep."""
 
+import duckdb
 import pytest
 from conftest import DATA_DIR
 
@@ -36,6 +37,23 @@ def test_runs_without_check(spark, name):
     assert plan_without_all_pairs(df) and df.count() > 0
 
 
+def against_sql(spark, name, folder):
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    df = QUERIES[name](spark, str(folder))
+    cursor = con.execute(CHECKS[name])
+    columns = [c[0] for c in cursor.description]
+    return ordered([tuple(r) for r in df.collect()], df.columns), ordered(cursor.fetchall(), columns)
+
+
+def test_initials_that_upper_case_spells_out(spark, tmp_path):
+    texts = ["ßa", "ŉb", "ǰc", "ᾀd", "ﬁe", "ǆf", "éa", "", "1"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found, expected = against_sql(spark, "map_rows", tmp_path)
+    assert found == expected and len(found) == len(texts)
+
+
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES)
 

@@ -20,6 +20,7 @@ READABLE = {"LOC": "Location", "ORG": "Organization", "PER": "Person"}
 ROTATED = {"Location": "Organization", "Organization": "Person", "Person": "MISC", "MISC": "Location"}
 SYSTEM_PROMPT = "Summarize the text."
 RUNS = ("click", "error", "purchase", "signup", "view")
+FIRST_PAD = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,7 +145,7 @@ def fx_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.expr("vec_id div 10").alias("pair_id"),
         F.when(pos < 5, "candidate").otherwise("reference").alias("side"),
-        pos.alias("pos"), (pos >= 8).alias("is_pad"), F.col("embedding").alias("vec"))
+        pos.alias("pos"), (pos >= FIRST_PAD).alias("is_pad"), F.col("embedding").alias("vec"))
 
 
 def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from conftest import DATA_DIR
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 
@@ -54,6 +55,14 @@ def test_initials_that_upper_case_spells_out(spark, tmp_path):
     assert found == expected and len(found) == len(texts)
 
 
+@pytest.mark.parametrize("rows", [20, 26, 28, 29])
+def test_last_vectors_of_a_table_that_ends_inside_a_sequence(spark, tmp_path, rows):
+    df = spark.range(rows).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(0.5).cast("float")).alias("embedding"))
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found, expected = against_sql(spark, "pool_last", tmp_path)
+    assert found == expected and len(found) == (6 if rows > 27 else 4)
+
+
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from loometric.fixed import SMALLEST_NORMAL
-from loometric.functions.stage import computed
+from loometric.functions.stage import computed, row_slices
 from loometric.functions.text import split_words
 from loometric.session import shared_folder
 
@@ -65,16 +65,6 @@ def clipped_matches(words: np.ndarray, texts: np.ndarray, pairs: int, orders: ra
     return found
 
 
-def _row_slices(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive rows of about ``limit`` words; a longer row comes alone."""
-    ends, row = np.cumsum(lengths), 0
-    while row < len(lengths):
-        before = ends[row - 1] if row else 0
-        end = max(row + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield row, end
-        row = end
-
-
 def _lengths(words: pa.ListArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -84,7 +74,7 @@ def _overlaps(orders: range):
     @F.arrow_udf(StructType([StructField(f"o{n}", LongType()) for n in orders]))
     def overlaps(candidate: pa.Array, reference: pa.Array) -> pa.Array:
         parts = {n: [np.empty(0, dtype=np.int64)] for n in orders}
-        for row, end in _row_slices(_lengths(candidate) + _lengths(reference), SLICE_WORDS):
+        for row, end in row_slices(_lengths(candidate) + _lengths(reference), SLICE_WORDS):
             sides = [side.slice(row, end - row) for side in (candidate, reference)]
             texts = np.repeat(np.arange(2 * (end - row)), np.concatenate([_lengths(side) for side in sides]))
             words = pa.concat_arrays([side.flatten() for side in sides]).dictionary_encode().indices.to_numpy().astype(np.int64)

@@ -6,23 +6,52 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructType
 
+from loometric.functions.stage import row_slices
 from loometric.operators.relate import digest, pending
 from loometric.sources.io import append_results, read_results
 
 Model = Callable[[list[str]], Iterable[str | None]]
 
+# Rows and characters (or items of lists) of a piece of a batch that meets a user's function at once.
+PIECE_ROWS, PIECE_CHARS = 1024, 1 << 20
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of bounded size, so that what a user's function makes of one at a time is bounded as well."""
+    for batch in batches:
+        sizes = np.zeros(len(batch), dtype=np.int64)
+        for column in batch.select_dtypes(object):
+            sizes += batch[column].map(lambda value: len(value) if hasattr(value, "__len__") else 1).to_numpy(np.int64)
+        for row, end in row_slices(sizes, PIECE_CHARS, PIECE_ROWS):
+            yield batch.iloc[row:end].reset_index(drop=True)
+
+
+def _arrow_pieces(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of bounded size; the other columns stay as they are."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, end in row_slices(sizes, PIECE_CHARS, PIECE_ROWS):
+            yield batch.slice(row, end - row)
+
+
+def _with_columns(piece: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*piece.columns, *columns.values()], names=[*piece.schema.names, *columns])
+
 
 def map_rows(df: DataFrame, function: Callable[[dict], dict], schema: StructType | str) -> DataFrame:
     """A user function over single rows, each given and returned as a dict."""
     names = [f.name for f in (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = [function(row) for row in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=names)
 
@@ -30,9 +59,9 @@ def map_rows(df: DataFrame, function: Callable[[dict], dict], schema: StructType
 
 
 def map_batches(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
-    """A user function over Arrow batches; a batch may shrink."""
+    """A user function over pieces of Arrow batches; a piece may shrink."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _pieces(batches):
             yield function(batch)
 
     return df.mapInPandas(run, schema)
@@ -68,15 +97,15 @@ def score_batches(df: DataFrame, model: Callable[[], Model], prompt_col: str, ba
             half = len(prompts) // 2
             return attempt(answer, prompts[:half]) + attempt(answer, prompts[half:])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = model()
-        for batch in batches:
-            prompts = batch[prompt_col].tolist()
+        for piece in _arrow_pieces(batches, prompt_col):
+            prompts = piece.column(prompt_col).to_pylist()
             pairs = [p for at in range(0, len(prompts), batch_rows)
                      for p in attempt(answer, prompts[at:at + batch_rows])]
-            yield batch.assign(response=[r for r, _ in pairs], error=[e for _, e in pairs])
+            yield _with_columns(piece, response=pa.array([r for r, _ in pairs], pa.string()), error=pa.array([e for _, e in pairs], pa.string()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def scored_rows(scored: DataFrame, save_failures: bool = False) -> DataFrame:
@@ -98,12 +127,13 @@ def classify(df: DataFrame, model: Callable[[], Callable[[list[str]], Iterable[l
     """Adds ``logits`` from a user's classifier, loaded once per task."""
     schema = StructType(list(df.schema.fields)).add("logits", ArrayType(DoubleType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model()
-        for batch in batches:
-            yield batch.assign(logits=[list(map(float, row)) for row in predict(batch[text_col].tolist())])
+        for piece in _arrow_pieces(batches, text_col):
+            logits = [list(map(float, row)) for row in predict(piece.column(text_col).to_pylist())]
+            yield _with_columns(piece, logits=pa.array(logits, pa.list_(pa.float64())))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 BATCH, DIGEST, ROW, SEQ = "batch", "input_digest", "row_digest", "seq"

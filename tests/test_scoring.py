@@ -236,6 +236,27 @@ def test_failing_batch_is_halved(spark):
     assert score.score_batches(df, model, "input").where("error IS NOT NULL").count() == 1
 
 
+def test_users_meet_pieces_of_bounded_size(spark):
+    """One Arrow batch of many rows, or of long texts, reaches a user's function and model piece by piece, whole and in order."""
+    df = spark.range(3000).select("id", F.when(F.col("id") < 8, F.repeat(F.lit("x "), 250_000)).otherwise("y").alias("input")).coalesce(1)
+
+    def count(batch):
+        return batch.assign(n=len(batch), chars=int(batch["input"].str.len().sum()))[["id", "n", "chars"]]
+
+    rows = score.map_batches(df, count, "id bigint, n bigint, chars bigint").collect()
+    assert [r["id"] for r in rows] == list(range(3000))
+    assert max(r["n"] for r in rows) <= score.PIECE_ROWS and max(r["chars"] for r in rows) <= score.PIECE_CHARS
+
+    def model():
+        return lambda prompts: [str(len(prompts)) for _ in prompts]
+
+    scored = score.score_batches(df, model, "input", batch_rows=1 << 20).collect()
+    assert [r["id"] for r in scored] == list(range(3000))
+    assert max(int(r["response"]) for r in scored) <= score.PIECE_ROWS and {r["response"] for r in scored[:6]} == {"2"}
+    logits = score.classify(df, lambda: lambda texts: [[len(texts)] for _ in texts], "input").collect()
+    assert [r["id"] for r in logits] == list(range(3000)) and max(r["logits"][0] for r in logits) <= score.PIECE_ROWS
+
+
 def test_user_functions(spark, items):
     assert sorted(r["n"] for r in score.map_rows(items, lambda r: {"n": len(r["input"])}, "n int").collect()) == [1, 1, 1, 1, 6, 7]
     kept = score.map_batches(items, lambda b: b[b["input"].str.len() == 1], "id int, input string")

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Mapping
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from loometric.fixed import ANSWER_MARK, LAW_MARK, QUESTION_MARK, WORD_START
-from loometric.functions.stage import computed
+from loometric.functions.stage import computed, row_slices
 from loometric.functions.text import clean_cell, let, normalize_text, split_words, strip
 from loometric.operators.classmetrics import per_class
 from loometric.operators.relate import label_map, lookup
@@ -140,8 +142,12 @@ def match_entities(df: DataFrame, true_col: str = "true", pred_col: str = "pred"
     return computed(df, **{into: F.concat(hits, missed)}).drop("_t", "_p", "_taken")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _taken(true_labels: pd.Series, true_words: pd.Series, labels: pd.Series, words: pd.Series) -> pd.Series:
+# Spans of a slice of rows that are matched at once: a bound of memory.
+SLICE_SPANS = 1 << 14
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _taken(true_labels: pa.Array, true_words: pa.Array, labels: pa.Array, words: pa.Array) -> pa.Array:
     """For each prediction in order the first free true span of its label with a shared word, else -1.
 
     True spans are listed by label and word, and a taken one leaves its lists when it comes up: the work
@@ -167,7 +173,11 @@ def _taken(true_labels: pd.Series, true_words: pd.Series, labels: pd.Series, wor
             found.append(first)
         return found
 
-    return pd.Series([match(*row) for row in zip(true_labels, true_words, labels, words)])
+    sides = true_labels, true_words, labels, words
+    spans = sum(pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (true_labels, labels))
+    parts = [pa.array([match(*row) for row in zip(*(side.slice(row, end - row).to_pylist() for side in sides))], pa.list_(pa.int32()))
+             for row, end in row_slices(spans, SLICE_SPANS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
 def entity_overlap_scores(df: DataFrame, true_col: str = "true", pred_col: str = "pred") -> DataFrame:

@@ -102,7 +102,7 @@ def fx_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.when((i > 0) & (k == 0), WORD_START).otherwise(""), c).alias("subword"),
         (k * 4).alias("start"), (k * 4 + F.length(c)).alias("end")))))
     edge = F.array(F.struct(F.lit("<s>").alias("subword"), F.lit(0).alias("start"), F.lit(0).alias("end")))
-    df = fx_tagged(spark, sf_dir).select("doc_id", F.concat(edge, pieces, edge).alias("_pieces"))
+    df = computed(fx_tagged(spark, sf_dir).select("doc_id", "tokens"), _pieces=F.concat(edge, pieces, edge))
     return df.select(
         "doc_id", F.col("_pieces.subword").alias("subwords"),
         F.transform("_pieces", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("offsets"),

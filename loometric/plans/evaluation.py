@@ -92,8 +92,10 @@ def prompted_ner_report(parsed: DataFrame, tags_col: str = "tags", predicted_col
     row = F.array(F.struct(F.lit("row").alias("what"), F.col(reason_col).alias("truth"), none.alias("predicted")))
     pairs = F.when(F.col(reason_col).isNull(), F.transform(F.arrays_zip(F.col(tags_col).alias("t"), F.col(predicted_col).alias("p")), lambda x: F.struct(
         F.lit("token").alias("what"), x["t"].alias("truth"), x["p"].alias("predicted"))))
+    # what the parts of the report filter by are aggregates as well: a filter on a key would go down to the scan and each part parse all rows anew
     counts = (parsed.select(F.inline(F.concat(row, F.coalesce(pairs, F.slice(row, 1, 0))))).groupBy("what", "truth", "predicted")
-              .agg(F.count(F.lit(1)).alias("n")))
+              .agg(F.min("what").alias("_what"), F.min("truth").alias("_truth"), F.count(F.lit(1)).alias("n"))
+              .select(F.col("_what").alias("what"), F.col("_truth").alias("truth"), "predicted", "n"))
     samples = counts.filter("what = 'row'")
     cells = counts.filter("what = 'token'").drop("what")
     broken = F.coalesce(F.sum(F.when(F.col("truth").isNotNull(), F.col("n"))), F.lit(0))

@@ -140,3 +140,19 @@ def test_reports_name_their_parts(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (0, 0)], "t int, p int")
     report = evaluation.sequence_classification_report(labels, "t", "p", messages).orderBy("ord").collect()
     assert [(r["metric"], r["value"]) for r in report[:3]] == [("test", 1.0), ("train", 1.0), ("accuracy", pytest.approx(2 / 3))]
+
+
+def test_prompted_report_parses_answers_once(spark):
+    """All parts of the report read one grouped count: the parsed rows are evaluated by one exchange."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def parsed_reason(i):
+        seen.add(1)
+        return "bad_json" if i % 5 == 0 else None
+
+    rows = spark.range(40).select("id", parsed_reason(F.col("id")).alias("broken_reason"), F.array(F.lit("O"), F.lit("B-PER")).alias("tags"),
+                                  F.array(F.lit("O"), F.lit("O")).alias("pred_tags"))
+    report = {r["metric"]: r["value"] for r in evaluation.prompted_ner_report(rows).collect()}
+    assert report["broken_responses"] == 8 and report["bad_json"] == 8 and report["accuracy"] == 0.5 and report["B-PER > O"] == 32
+    assert seen.value == 40

@@ -151,60 +151,105 @@ def _closed(state: bytes, size: int) -> int:
     return size - int.from_bytes(state, "little").bit_count()
 
 
+def _shared_numbers(left: pa.Array, right: pa.Array) -> Iterator[tuple[list, list] | None]:
+    """Of each pair of word arrays the words that both have, as numbers; what only one has is in no common subsequence."""
+    missing = pc.or_(pc.is_null(left), pc.is_null(right)).to_pylist()
+    for row, end in row_slices(_lengths(left) + _lengths(right), SLICE_WORDS):
+        sides = [side.slice(row, end - row) for side in (left, right)]
+        lengths = [_lengths(side) for side in sides]
+        encoded = pa.concat_arrays([side.flatten() for side in sides]).dictionary_encode(null_encoding="encode")
+        words, kinds = encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+        cut = int(lengths[0].sum())
+        owners = [np.repeat(np.arange(end - row), n) for n in lengths]
+        marks = [owner * kinds + part for owner, part in zip(owners, (words[:cut], words[cut:]))]
+        kept = [np.isin(mine, other) for mine, other in (marks, marks[::-1])]
+        parts = [(part[keep].tolist(), np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=end - row))]).tolist())
+                 for part, owner, keep in zip((words[:cut], words[cut:]), owners, kept)]
+        for k in range(end - row):
+            yield None if missing[row + k] else tuple(part[at[k]:at[k + 1]] for part, at in parts)
+
+
+def _subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) > BLOCK_BITS:
+        return _closed(subsequence_bits(a, b)[0], len(a))
+    places: dict = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    bits = full = (1 << len(a)) - 1
+    for here in map(places.get, b):
+        if here is not None:
+            hits = bits & here
+            bits = (bits + hits & full) | (bits ^ hits)
+    return len(a) - bits.bit_count()
+
+
 @F.arrow_udf(IntegerType())
 def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
     """Length of the longest common subsequence of two word arrays; null where one is."""
-    def length(a: list | None, b: list | None) -> int | None:
-        if a is None or b is None:
-            return None
-        a, b = (a, b) if len(a) <= len(b) else (b, a)
-        return _closed(subsequence_bits(a, b)[0], len(a))
+    return pa.array([None if pair is None else _subsequence(*pair) for pair in _shared_numbers(left, right)], pa.int32())
+
 
-    return pa.array([length(a.as_py(), b.as_py()) for a, b in zip(left, right)], pa.int32())
+@F.arrow_udf(StructType([StructField(name, ArrayType(IntegerType())) for name in ("rows", "columns")]))
+def _numbered(left: pa.Array, right: pa.Array) -> pa.Array:
+    pairs = [([], []) if pair is None else pair for pair in _shared_numbers(left, right)]
+    return pa.StructArray.from_arrays([pa.array([pair[k] for pair in pairs], pa.list_(pa.int32())) for k in range(2)], ["rows", "columns"])
 
 
 def tiled_subsequences(pairs: DataFrame, key_col: str, left_col: str, right_col: str, tile_words: int = TILE_WORDS) -> DataFrame:
     """(key, lcs): the longest common subsequences of pairs of word arrays that are too long for one task.
 
     The table of a pair is cut into tiles. Tiles of one diagonal don't need each other, so each round of the loop works on a diagonal of
-    all pairs, with the borders of the one before: a bit for each row, a byte for each column. ``key_col`` is unique.
+    all pairs, with the borders of the one before: a bit for each row, a byte for each column. Words that only one text has are left out, the others
+    are numbers, and a part of a text is shuffled only in rounds in which it has a tile, once for each. ``key_col`` is unique.
     """
     spark = pairs.sparkSession
+    numbered = computed(pairs.select(F.col(key_col).alias("key"), F.col(left_col).alias("left"), F.col(right_col).alias("right")),
+                        n=_numbered("left", "right")).select("key", "n.rows", "n.columns")
+
+    def cut(side: str, other: str) -> Column:
+        def count(name: str) -> Column:
+            return F.ceil(F.size(name) / tile_words).cast("int")
 
-    def parts(column: str, name: str) -> DataFrame:
-        starts = F.when(F.size(column) > 0, F.sequence(F.lit(0), F.size(column) - 1, F.lit(tile_words)))
-        rows = pairs.select(F.col(key_col).alias("key"), F.col(column).alias("words"), F.posexplode(starts).alias("part", "start"))
-        path = shared_folder(spark, f"lcs-{name}")
-        rows.select("key", "part", F.slice("words", F.col("start") + 1, F.lit(tile_words)).alias("words")).write.parquet(path)
-        return spark.read.parquet(path)
+        starts = F.when(F.size(side) > 0, F.sequence(F.lit(0), count(side) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(
+            F.lit(side).alias("side"), k.alias("part"), count(other).alias("others"),
+            F.slice(side, k * tile_words + 1, F.lit(tile_words)).alias("words")))
 
-    rows, columns = parts(left_col, "rows"), parts(right_col, "columns")
-    ends = [side.groupBy("key").agg((F.max("part") + 1).alias("n")) for side in (rows, columns)]
-    last = ends[0].withColumnRenamed("n", "a").join(ends[1].withColumnRenamed("n", "b"), "key").agg(F.max(F.col("a") + F.col("b"))).first()[0] or 1
+    path = shared_folder(spark, "lcs-parts")
+    numbered.select("key", F.inline(F.concat(cut("rows", "columns"), cut("columns", "rows")))).write.parquet(path)
+    parts = spark.read.parquet(path)
+    rounds = parts.where("side = 'rows'").agg(F.max(F.col("part") + F.col("others"))).first()[0] or 0
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 tile = batch.slice(k, 1)
-                a, b, state, carries = (tile.column(name)[0].as_py() for name in ("row_words", "column_words", "state", "carries"))
-                state, carries = subsequence_bits(a, b, state, carries)
+                a, b = (tile.column(name).flatten().to_pylist() for name in ("row_words", "column_words"))
+                state, carries = subsequence_bits(a, b, tile.column("state")[0].as_py(), tile.column("carries")[0].as_py())
+                i, diagonal, others = (tile.column(name)[0].as_py() for name in ("i", "diagonal", "others"))
+                ended = _closed(state, len(a)) if diagonal - i == others - 1 else None
                 yield pa.RecordBatch.from_arrays(
-                    [tile.column("key"), tile.column("i"), tile.column("j"), pa.array([state], pa.binary()), pa.array([carries], pa.binary()),
-                     pa.array([_closed(state, len(a))], pa.int64())], names=["key", "i", "j", "state", "carries", "closed"])
+                    [tile.column("key"), tile.column("i"), pa.array([state], pa.binary()), pa.array([carries], pa.binary()),
+                     pa.array([ended], pa.int64())], names=["key", "i", "state", "carries", "closed"])
 
-    schema = StructType([StructField("key", pairs.schema[key_col].dataType), *[StructField(n, IntegerType()) for n in "ij"],
+    schema = StructType([StructField("key", pairs.schema[key_col].dataType), StructField("i", IntegerType()),
                          StructField("state", BinaryType()), StructField("carries", BinaryType()), StructField("closed", LongType())])
     before, paths = spark.createDataFrame([], schema), []
-    for diagonal in range(last - 1):
-        met = rows.select("key", F.col("part").alias("i"), F.col("words").alias("row_words"), (F.lit(diagonal) - F.col("part")).alias("j")).join(
-            columns.select("key", F.col("part").alias("j"), F.col("words").alias("column_words")), ["key", "j"])
-        met = (met.join(before.select("key", "i", "state"), ["key", "i"], "left")
-               .join(before.select("key", "j", "carries"), ["key", "j"], "left"))
+    for diagonal in range(rounds):
+        # a pair has one tile in a row of tiles on a diagonal, so all that a tile needs meets by pair and row
+        here = parts.where((F.col("part") <= diagonal) & (F.col("part") + F.col("others") > diagonal))
+        rows = here.where("side = 'rows'").select("key", F.col("part").alias("i"), "others", F.col("words").alias("row_words"))
+        columns = here.where("side = 'columns'").select("key", (F.lit(diagonal) - F.col("part")).alias("i"), F.col("words").alias("column_words"))
+        met = (rows.join(columns, ["key", "i"]).join(before.select("key", "i", "state"), ["key", "i"], "left")
+               .join(before.select("key", (F.col("i") + 1).alias("i"), "carries"), ["key", "i"], "left"))
         paths.append(shared_folder(spark, "lcs-diagonal"))
-        met.select("key", "i", "j", "row_words", "column_words", "state", "carries").mapInArrow(tiles, schema).write.parquet(paths[-1])
+        met.select("key", "i", F.lit(diagonal).alias("diagonal"), "others", "row_words", "column_words", "state", "carries").mapInArrow(
+            tiles, schema).write.parquet(paths[-1])
         before = spark.read.schema(schema).parquet(paths[-1])
     done = spark.read.schema(schema).parquet(*paths) if paths else before
-    ended = done.join(ends[1], "key").where("j = n - 1").groupBy("key").agg(F.sum("closed").alias("lcs"))
+    ended = done.groupBy("key").agg(F.sum("closed").alias("lcs"))
     keys = pairs.select(F.col(key_col).alias("key")).join(ended, "key", "left")
     return keys.select(F.col("key").alias(key_col), F.coalesce("lcs", F.lit(0)).cast("int").alias("lcs"))
 
@@ -215,19 +260,22 @@ def rouge_l_pairs(pairs: DataFrame, candidate_col: str, reference_col: str, unic
 
     A pair is worked on in its row. With a unique ``key_col``, pairs with a text of more than ``tile_words`` words are spread over tasks as tiles.
     """
-    df = computed(pairs, _cw=rouge_words(F.col(candidate_col), unicode), _rw=rouge_words(F.col(reference_col), unicode))
+    def worded(rows: DataFrame) -> DataFrame:
+        return computed(rows, _cw=rouge_words(F.col(candidate_col), unicode), _rw=rouge_words(F.col(reference_col), unicode))
 
     def scored(lengths: DataFrame) -> DataFrame:
-        return computed(lengths, rougeL=_f_measure(F.col("_lcs"), F.size("_cw"), F.size("_rw"))).drop("_cw", "_rw", "_lcs")
+        return computed(lengths, rougeL=_f_measure(F.col("_lcs"), F.col("_cn"), F.col("_rn"))).drop("_cn", "_rn", "_lcs")
 
+    df = worded(pairs).withColumns({"_cn": F.size("_cw"), "_rn": F.size("_rw")})
     if key_col is None:
-        return scored(df.withColumn("_lcs", common_subsequence("_cw", "_rw")))
-    longer = F.coalesce(F.greatest(F.size("_cw"), F.size("_rw")) > tile_words, F.lit(False))
+        return scored(df.withColumn("_lcs", common_subsequence("_cw", "_rw")).drop("_cw", "_rw"))
+    longer = F.coalesce(F.greatest("_cn", "_rn") > tile_words, F.lit(False))
     path = shared_folder(pairs.sparkSession, "long-pairs")
-    df.where(longer).write.parquet(path)
+    df.where(longer).drop("_cw", "_rw").write.parquet(path)
     far = pairs.sparkSession.read.parquet(path)
-    lengths = tiled_subsequences(far, key_col, "_cw", "_rw", tile_words).withColumnRenamed("lcs", "_lcs")
-    near = df.where(~longer).withColumn("_lcs", common_subsequence("_cw", "_rw"))
+    words = worded(far.select(key_col, *dict.fromkeys(c for c in (candidate_col, reference_col) if c != key_col)))
+    lengths = tiled_subsequences(words, key_col, "_cw", "_rw", tile_words).withColumnRenamed("lcs", "_lcs")
+    near = df.where(~longer).withColumn("_lcs", common_subsequence("_cw", "_rw")).drop("_cw", "_rw")
     return scored(near).unionByName(scored(far.join(lengths, key_col)))
 
 

@@ -164,3 +164,35 @@ def test_clipped_matches_by_ranks(spark, monkeypatch):
     assert found[60]["_c1"] == 0 and found[60]["_r1"] == 3 and found[60]["_o1"] is None and found[61]["_o2"] is None
     plan = tm.corpus_bleu(df, "c", "r")._jdf.queryExecution().executedPlan().toString()
     assert "array_intersect" not in plan and "zip_with" not in plan
+
+
+def test_tiles_pass_numbers_of_shared_words(spark, monkeypatch):
+    """Between rounds there are numbers of words that both texts have, and no text is written twice."""
+    written = {}
+
+    def folder(session, purpose):
+        path = shared_folder(session, purpose)
+        written.setdefault(purpose, []).append(path)
+        return path
+
+    shared_folder = tm.shared_folder
+    monkeypatch.setattr(tm, "shared_folder", folder)
+    r = [f"w{i % 7}" if i % 2 else f"only{i}" for i in range(60)]
+    c = r[1::2] + ["other"] * 9
+    df = spark.createDataFrame([(1, " ".join(c), " ".join(r)), (2, "x " * 30, "y " * 30), (3, "x", None)], "key int, c string, r string")
+    found = {row["key"]: row["rougeL"] for row in tm.rouge_l_pairs(df, "c", "r", key_col="key", tile_words=10).collect()}
+    assert found[1] == pytest.approx(f_measure(30, len(c), len(r))) and found[2] == 0.0
+    parts = spark.read.parquet(*written["lcs-parts"])
+    assert parts.schema["words"].dataType.simpleString() == "array<int>" and parts.agg(F.sum(F.size("words"))).first()[0] == 60
+    assert spark.read.parquet(*written["lcs-diagonal"]).count() == 9 and len(written["lcs-diagonal"]) == 5
+    assert spark.read.parquet(*written["long-pairs"]).columns == ["key", "c", "r", "_cn", "_rn"]
+
+
+def test_subsequences_of_null_empty_and_unlike_texts(spark):
+    rng = random.Random(5)
+    pairs = [(["a"], None), (None, ["a"]), ([], ["a"]), (["a", None, "b"], ["b", None]), (["a"], ["b"])]
+    pairs += [([rng.choice("abcde") for _ in range(rng.randrange(40))], [rng.choice("abcxy") for _ in range(rng.randrange(40))]) for _ in range(30)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").coalesce(1)
+    found = [r[0] for r in df.select(tm.common_subsequence("a", "b").alias("n"), "i").orderBy("i").collect()]
+    assert found[:5] == [None, None, 0, 1, 0]
+    assert found[5:] == [subsequence(a, b) for a, b in pairs[5:]]

@@ -86,6 +86,7 @@ def split_corrupt(spark, sf_dir):
 
 
 TEE_ROWS = 500
+TEE_FOLDER = 16
 
 
 @query("tee_corrupt", f"""
@@ -99,7 +100,10 @@ def tee_corrupt(spark, sf_dir):
     packed = rows.groupBy("run", "part").agg(F.to_json(F.collect_list(F.struct("id", "input", "response", "score"))).alias("value"))
     spread = F.replace("value", F.lit('},{"id"'), F.lit('},\n{"id"'))
     broken = F.when(F.col("part") % 3 == 1, F.concat(F.lit("@"), spread)).otherwise(spread)
-    packed.select(F.concat("run", F.lit("="), "part").alias("file"), "run", broken.alias("value")).write.partitionBy("run", "file").format("text").save(path)
+    # a file for each row, and a folder for many files: each folder is written by one task, and as many tasks write as there are folders or cores
+    lines = packed.select("run", F.floor(F.col("part") / TEE_FOLDER).alias("folder"), broken.alias("value")).repartition(
+        2 * spark.sparkContext.defaultParallelism, "run", "folder")
+    lines.write.partitionBy("run", "folder").option("maxRecordsPerFile", 1).format("text").save(path)
     runs = io.read_runs(spark, path, RUN_SCHEMA, run_from="parent", pattern="*")
     runs = runs.withColumn("run", F.regexp_extract("file_path", "/run=([^/]*)/", 1))
     good, bad = io.tee_corrupt(runs, shared_folder(spark, "teed"))

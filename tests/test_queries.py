@@ -63,6 +63,20 @@ def test_last_vectors_of_a_table_that_ends_inside_a_sequence(spark, tmp_path, ro
     assert found == expected and len(found) == (6 if rows > 27 else 4)
 
 
+def test_tee_writes_many_files_into_a_folder(spark, tmp_path, monkeypatch):
+    """Listing and committing cost time for each folder, so there are far fewer of them than files."""
+    from loometric.queries import apply
+
+    monkeypatch.setattr(apply, "shared_folder", lambda session, purpose: str(tmp_path / purpose))
+    rows = spark.range(16_000).select(F.col("id").alias("event_id"), F.element_at(F.array(F.lit("click"), F.lit("view")), (F.col("id") % 2 + 1).cast("int"))
+                                      .alias("event_type"), F.lit(1).alias("user_id"), F.lit("{}").alias("props"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    found, expected = against_sql(spark, "tee_corrupt", tmp_path)
+    assert found == expected
+    files = [f for f in (tmp_path / "tee-runs").rglob("*") if f.is_file() and f.name.startswith("part-")]
+    assert len(files) == 64 and len({f.parent for f in files}) == 4
+
+
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES)
 

@@ -6,7 +6,7 @@ Shingles stand as 64-bit hashes; their numeric order is the one global order of
 2. Candidates by the pigeonhole rule: two linked sets differ in at most H shingles, so of more than H
    parts of the hash space at least one holds the same shingles in both. Each set gives a key for
    each part that is not empty, the hash of the part's whole content. A frequent shingle alone makes no key common.
-   Candidates of one key are met by a bitmap filter: bit i of a set's bitmap is the parity of its shingles that
+   Keys of the same sets count once. Candidates of one key are met by a bitmap filter: bit i of a set's bitmap is the parity of its shingles that
    fall on i, and two bitmaps differ in no more bits than the sets differ in shingles. Bitmaps grow with the sets, so
    the filter passes few pairs that are not linked, at any size, and clusters stay close to what is linked.
 3. Connected sets of candidates are small clusters. Each cluster, or for a cluster of very many
@@ -47,6 +47,8 @@ SALTS = 8
 # key's sets stay candidates of its first, which costs work and loses no link.
 BITS = 512
 GROUP = 2048
+# Sets of one key whose list is looked at as a whole: bounds a task's memory, not the result.
+HELD = 1 << 16
 
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -161,14 +163,17 @@ def set_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def candidate_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(key, d1, d2): the keys of every set, once for each task that meets it."""
+    """(d1, key): the keys of every set, once for each task that meets it.
+
+    Half a digest names a set here. Of a key 48 bits are shuffled: two keys that agree in them make candidates, and lose none.
+    """
     classes = SizeClasses(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column("text")):
-                keys, ones, twos = [], [], []
+                keys, ones = [], []
                 for shingles in shingle_sets(data, offsets, words):
                     if not len(shingles):
                         continue
@@ -179,51 +184,65 @@ def candidate_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                         seen.clear()
                     seen.add((one, two))
                     found = classes.keys(shingles)
-                    keys.append(found.view(np.int64))
+                    keys.append((found >> np.uint64(16)).view(np.int64))
                     ones.append(np.full(len(found), one))
-                    twos.append(np.full(len(found), two))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, ones, twos)],
-                                                     names=["key", "d1", "d2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ones, keys)], names=["d1", "key"])
         seen.clear()
         returned_memory()
 
-    return docs.select("text").mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
+    return docs.select("text").mapInArrow(run, "d1 bigint, key bigint")
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """The distinct rows of ``keys`` whose key stands for more than one set.
+def shared_keys(keys: DataFrame, held_rows: int = HELD) -> DataFrame:
+    """(key, d1): the distinct lists of sets that share a key, under a name for each list.
 
-    The keys are sorted by Spark and read in one sweep that holds one row, so a key of very many sets costs no memory.
+    Two near copies share nearly all their keys: their list comes once, not once for each key. The keys are sorted by Spark and read
+    in one sweep that holds at most ``held_rows`` rows of a key and a batch; a key of more sets is a list by itself.
     """
-    names = ["key", "d1", "d2"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 3), dtype=np.int64)  # the last row, and whether its key was shared already
-        shared = False
+        held = np.empty((0, 2), dtype=np.int64)  # rows of the last key, which may go on
+        long = None  # a key of which rows were given under its own name already
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.concatenate((held, np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)))
+            rows = np.concatenate((held, np.stack([batch.column(i).to_numpy() for i in ("key", "d1")], axis=1)))
             fresh = np.ones(len(rows), dtype=bool)
             fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            first = rows[0]
             rows = rows[fresh]
-            alike = rows[1:, 0] == rows[:-1, 0]
-            keep = np.zeros(len(rows), dtype=bool)
-            keep[1:] |= alike
-            keep[:-1] |= alike
-            keep[0] |= shared and len(held) > 0
-            held, rest = rows[-1:], keep[:-1]
-            shared = bool(keep[-1]) if len(rows) > 1 or shared and (rows[0] == first).all() else False
-            if rest.any():
-                yield _columns(rows[:-1][rest], names)
-        if len(held) and shared:
-            yield _columns(held, names)
+            cut = int(np.argmax(rows[:, 0] == rows[-1, 0]))
+            whole, held = rows[:cut], rows[cut:]
+            found = [key_lists(whole, long)] if cut else []
+            if len(held) > held_rows:
+                long = int(held[0, 0])
+                found.append(held[:-1])
+                held = held[-1:]
+            for lists in found:
+                if len(lists):
+                    yield _columns(lists, ["key", "d1"])
+        if len(held):
+            lists = key_lists(held, long)
+            if len(lists):
+                yield _columns(lists, ["key", "d1"])
         returned_memory()
 
-    ordered = keys.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    return ordered.mapInArrow(run, "key bigint, d1 bigint, d2 bigint")
+    ordered = keys.repartition("key").sortWithinPartitions("key", "d1")
+    return ordered.mapInArrow(run, "key bigint, d1 bigint").distinct()
+
+
+def key_lists(rows: np.ndarray, long: int | None = None) -> np.ndarray:
+    """(list, set) of sorted distinct (key, set) rows, for each list of at least two sets once; the key ``long`` stays a list of its own."""
+    at = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+    sizes = np.diff(np.append(at, len(rows)))
+    own = rows[at, 0] == long if long is not None else np.zeros(len(at), dtype=bool)
+    sums = np.add.reduceat(mixed(np.ascontiguousarray(rows[:, 1]).view(np.uint64) ^ _ONE), at)
+    names = np.where(own, rows[at, 0], mixed(sums + sizes.astype(np.uint64)).view(np.int64))
+    wanted = np.flatnonzero((sizes > 1) | own)
+    _, first = np.unique(names[wanted], return_index=True)
+    keep = np.zeros(len(at), dtype=bool)
+    keep[wanted[first]] = True
+    of_rows = np.repeat(keep, sizes)
+    return np.stack((np.repeat(names, sizes)[of_rows], rows[of_rows, 1]), axis=1)
 
 
 def _columns(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -251,7 +270,7 @@ def alike_groups(sizes: np.ndarray, bits: np.ndarray, percent: int) -> list[tupl
 
 
 def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
-    """(a, b): names of sets that share a key and may be linked; connected sets may have fewer pairs.
+    """(a, b): names of sets that are in one list of ``shared`` and may be linked; connected sets may have fewer pairs.
 
     ``sets`` has d1, d2, n and bits of each set.
     """
@@ -285,7 +304,7 @@ def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT,
             yield _columns(np.array([(*a[1:3], *b[1:3]) for a, b in out], dtype=np.int64), ["a1", "a2", "b1", "b2"])
         returned_memory()
 
-    rows = shared.join(sets, ["d1", "d2"]).select("key", "d1", "d2", "n", "bits")
+    rows = shared.join(sets, "d1").select("key", "d1", "d2", "n", "bits")
     ordered = rows.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
     pairs = ordered.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
     return pairs.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))

@@ -1,6 +1,7 @@
 """The operators on Spark: nulls, empty and repeated rows, ties, clashing names, empty tables, and brute force."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -254,6 +255,55 @@ def test_long_unrelated_texts_are_no_candidates(spark):
     assert links.count() <= 3
 
 
+def test_keys_of_the_same_sets_count_once(spark):
+    """A pair of near copies shares over a hundred keys, ten copies of another text as many: their lists come once."""
+    pair = [f"a{k}" for k in range(400)]
+    many = [" ".join([f"b{k}" for k in range(400)] + [f"c{i}"]) for i in range(10)]
+    df = spark.createDataFrame([(0, " ".join(pair)), (1, " ".join(pair[:-1]))] + [(2 + i, t) for i, t in enumerate(many)], "id bigint, text string").repartition(3)
+    keys = near.candidate_keys(df, 5, 80)
+    for held in (near.HELD, 4):  # also with keys that are too long to be held
+        lists = near.shared_keys(keys, held)
+        names = {r["d1"] for r in lists.collect()}
+        links = near.candidate_links(lists, near.set_digests(df, 5).select("d1", "d2", "n", "bits"), 80)
+        found = sorted(r["n"] for r in components.components(links).groupBy("root").agg(F.count("*").alias("n")).collect())
+        assert len(names) == 12 and found == [2, 10]
+    assert near.shared_keys(keys).count() * 10 < keys.distinct().count()
+
+
+def test_key_lists_in_any_batches(spark):
+    rng = random.Random(3)
+    rows = sorted({(rng.randrange(12), rng.randrange(9)) for _ in range(70)} | {(20, 1)} | {(30, k) for k in range(40)})
+    wanted = {tuple(sorted(d for k, d in rows if k == key)) for key in {k for k, _ in rows}}
+    wanted = {x for x in wanted if len(x) > 1}
+    df = spark.createDataFrame([(d, k) for k, d in rows + rows[::3]], "d1 bigint, key bigint")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, held in ((1, 65536), (3, 5), (7, 1), (10000, 65536)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            lists = {}
+            for r in near.shared_keys(df, held).collect():
+                lists.setdefault(r["key"], []).append(r["d1"])
+            assert {tuple(sorted(x)) for x in lists.values()} == wanted
+            assert held < 65536 or len(lists) == len(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name.rsplit("/", 1)[-1] for name in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+    before, setting = files(), spark.conf.get(common.SHUFFLE_CLEANUP, None)
+    df = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    kept = common.stored(df, "test")
+    deadline = time.monotonic() + 20
+    while files() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(common.SHUFFLE_CLEANUP, None) == setting
+    assert kept.count() == 10 == df.count()
+
+
 def test_near_edges(docs, nothing):
     found = near.near_components(docs)
     assert found.count() == docs.count() and near.near_components(nothing).count() == 0

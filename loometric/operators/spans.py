@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from loometric.fixed import ANSWER_MARK, LAW_MARK, QUESTION_MARK, WORD_START
 from loometric.functions.stage import computed, row_slices
@@ -60,6 +60,24 @@ def _continues(tag: Column, before: Column) -> Column:
     return F.coalesce(tag.startswith("I-") & ((before == F.concat(F.lit("B-"), F.substr(tag, F.lit(3)))) | (before == tag)), F.lit(False))
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, part, pos, known, before, piece) of the tokens that their batch can't settle: see ``decode_bio_long``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, part, pos, token, tag = batch.columns
+        follows = np.zeros(len(tag) + 1, dtype=bool)
+        if pa.types.is_integer(pos.type):
+            after = pc.and_(pc.equal(doc[1:], doc[:-1]), pc.equal(pc.subtract(pos[1:], pos[:-1]), 1))
+            follows[1:-1] = pc.fill_null(after, False).to_numpy(zero_copy_only=False)
+        inside = pc.fill_null(pc.or_(pc.starts_with(tag, "B-"), pc.starts_with(tag, "I-")), False)
+        keep = pa.array(inside.to_numpy(zero_copy_only=False) | ~follows[1:])
+        before = pa.concat_arrays([pa.nulls(1, tag.type), tag[:-1]])
+        piece = pa.StructArray.from_arrays([tag, pc.if_else(inside, token, pa.scalar(None, token.type))], ["tag", "token"])
+        yield pa.RecordBatch.from_arrays([doc, part, pos, pa.array(follows[:-1]), before, piece],
+                                         names=["doc", "part", "pos", "known", "before", "piece"]).filter(keep)
+
+
 def decode_bio_long(tokens: DataFrame, doc_col: str = "doc_id", pos_col: str = "pos", token_col: str = "token", tag_col: str = "tag",
                     names: Mapping[str, str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """(doc, start, stop, text, label) of the spans of ``decode_bio`` from one row for each token.
@@ -68,14 +86,28 @@ def decode_bio_long(tokens: DataFrame, doc_col: str = "doc_id", pos_col: str = "
     first and last tag, its first position and the last place behind that where a run starts; on these few rows the state at
     each chunk's border follows (the tag before it, the place where the run open there has started), and only this state is carried
     into the chunk. ``start`` and ``stop`` (inclusive) are positions, which rise in a document and may leave gaps.
+
+    Where the tokens at whole positions p - 1 and p come one after the other, the tag before p is known at once; a token outside all
+    spans whose follower knows it is needed no more, so of text in order little more than the spans' tokens is shuffled.
     """
     rows = tokens.select(F.col(doc_col).alias("doc"), F.floor(F.col(pos_col) / chunk).alias("part"), F.col(pos_col).alias("pos"),
                          F.col(token_col).alias("token"), F.col(tag_col).alias("tag"))
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField(name, types[name]) for name in ("doc", "part", "pos")] + [
+        StructField("known", BooleanType()), StructField("before", types["tag"]),
+        StructField("piece", StructType([StructField(name, types[name]) for name in ("tag", "token")]))])
+    # said here, the condition of the join below is the same on both its ways
+    rows = rows.mapInArrow(_neighbours, schema).where(F.col("doc").isNotNull() & F.col("part").isNotNull())
     inside = W.partitionBy("doc", "part").orderBy("pos")
-    marked = rows.withColumn("before", F.lag("tag").over(inside)).withColumn("first", F.row_number().over(inside) == 1)
+    # whole pieces on both ways, so that one shuffle serves them
+    above = F.lag("piece").over(inside)
+    marked = rows.withColumn("above_it", above).withColumn("open_it", ~F.col("known") & (F.row_number().over(inside) == 1))
+    marked = marked.select("doc", "part", "pos", "piece", F.col("piece.tag").alias("tag"), F.col("open_it").alias("first"),
+                           F.when(F.col("known"), F.col("before")).otherwise(F.col("above_it.tag")).alias("before"))
     begins = F.when(~F.col("first") & ~_continues(F.col("tag"), F.col("before")), F.col("pos"))
-    borders = marked.groupBy("doc", "part").agg(
-        F.min_by("tag", "pos").alias("head"), F.max_by("tag", "pos").alias("tail"), F.min("pos").alias("pos"), F.max(begins).alias("start"))
+    borders = marked.groupBy("doc", "part").agg(F.min_by("piece", "pos").alias("head"), F.max_by("piece", "pos").alias("tail"),
+                                                F.min("pos").alias("pos"), F.max(begins).alias("start"))
+    borders = borders.withColumn("head", F.col("head.tag")).withColumn("tail", F.col("tail.tag"))
     earlier = W.partitionBy("doc").orderBy("part")
     borders = borders.withColumn("above", F.lag("tail").over(earlier))
     # the last start at or before a chunk's end: in it, or at its head, or carried on
@@ -86,7 +118,7 @@ def decode_bio_long(tokens: DataFrame, doc_col: str = "doc_id", pos_col: str = "
     met = met.withColumn("own", F.when(~_continues(F.col("tag"), F.col("before")), F.col("pos")))
     running = F.last("own", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
     runs = met.withColumn("start", F.coalesce(running, "open")).where(F.col("tag").startswith("B-") | F.col("tag").startswith("I-"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", F.col("piece.token").alias("token"))))
     found = runs.groupBy("doc", "start").agg(F.max("pos").alias("stop"), F.min_by("tag", "pos").alias("tag"), ordered.alias("tokens"))
     kind = F.substr("tag", F.lit(3))
     label = lookup(label_map(names), kind) if names else kind

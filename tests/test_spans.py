@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -145,3 +146,32 @@ def test_subwords_in_long_form(spark):
         whole = df.select(F.inline(spans.merge_subwords(F.transform("s", lambda x: x["subword"]), F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))),
                                                      F.transform("s", lambda x: x["pred"]), relate.label_map({0: "A", 1: "B", 2: "C"}), limit))).collect()
         assert [(r["word"], r["label"]) for r in found] == [(r["word"], r["label"]) for r in whole] and found
+
+
+@pytest.mark.parametrize("parts,batch", [(1, 10_000), (1, 3), (5, 10_000)])
+def test_long_form_settles_neighbours_before_the_shuffle(spark, parts, batch):
+    rng = random.Random(parts + batch)
+    tags = ["O", "O", "O", "B-LOC", "I-LOC", "I-LOC", "B-PER", "I-PER", None]
+    docs = [(d, [f"t{i}" for i in range(n)], [rng.choice(tags) for _ in range(n)]) for d, n in enumerate([0, 1, 2, 9, 60, 200])]
+    docs += [(50, [f"t{i}" for i in range(30)], ["B-LOC"] + ["I-LOC"] * 29), (51, [f"t{i}" for i in range(2000)], ["O"] * 1999 + ["B-PER"])]
+    df = spark.createDataFrame(docs, "doc int, tokens array<string>, tags array<string>")
+    array_form = df.select("doc", F.inline(spans.decode_bio(F.col("tokens"), F.col("tags"))))
+    rows = df.select("doc", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t")).select("doc", "pos", "t.tokens", "t.tags")
+    rows = rows.coalesce(1) if parts == 1 else rows.repartition(parts)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = spans.decode_bio_long(rows, "doc", "pos", "tokens", "tags", chunk=7)
+        assert sorted(map(tuple, found.select("doc", "text", "label").collect())) == sorted(map(tuple, array_form.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_tokens_outside_spans_are_not_shuffled():
+    n = 1000
+    tags = ["O"] * n
+    tags[500], tags[501] = "B-X", "I-X"
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array([0] * n), pa.array(range(n), pa.int32()), pa.array(["w"] * n), pa.array(tags)],
+                                       names=["doc", "part", "pos", "token", "tag"])
+    left = pa.Table.from_batches(spans._neighbours(iter([batch]))).to_pylist()
+    assert [(r["pos"], r["known"], r["before"], r["piece"]["token"]) for r in left] == [(500, True, "O", "w"), (501, True, "B-X", "w"), (999, True, "O", None)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loometric.fixed import WHITESPACE_CHARS, WORD_START
-from loometric.functions import argmax_label, computed, split_words
+from loometric.functions import argmax_label, computed, let, split_words
 from loometric.operators.spans import decode_bio
 
 LABELS = {f"L{i}": i for i in range(11)}
@@ -84,11 +84,6 @@ def fx_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed(df, tags=F.transform("tokens", tag)).select("doc_id", "split", "tokens", "tags")
 
 
-def _chunks(word: Column, width: int = 4) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.length(word) / width).cast("int") - 1),
-                       lambda c: F.substr(word, c * width + 1, F.lit(width)))
-
-
 def fx_wordids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-character pieces of the words, with the word index of each piece."""
     ids = F.flatten(F.transform("tokens", lambda w, i: F.array_repeat(i, F.ceil(F.length(w) / 4).cast("int"))))
@@ -96,17 +91,32 @@ def fx_wordids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_tagged(spark, sf_dir).select("doc_id", "tags", F.concat(null, ids, null).alias("word_ids"))
 
 
+def _pieces(words: Column, width: int = 4) -> Column:
+    """Pieces of all words in order, with a word-start mark before each word but the first: one pass over the joined words."""
+    mark = f"(?<= ){WORD_START}"
+    return F.regexp_extract_all(F.array_join(words, f" {WORD_START}"), F.lit(f"{mark}[^ ]{{1,{width}}}|[^ ]{{1,{width}}}"), F.lit(0))
+
+
+def _piece_spans(words: Column, width: int = 4, listed: int = 32) -> Column:
+    """(start, end) in its word of each piece; those of words of up to ``listed`` characters are looked up by the length."""
+    def spans(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1, F.lit(width)), lambda s: F.struct(
+            s.alias("start"), F.least(s + width, n).alias("end")))
+
+    short = F.array(*[F.array(*[F.struct(F.lit(s).alias("start"), F.lit(min(s + width, n)).alias("end")) for s in range(0, n, width)])
+                      for n in range(1, listed + 1)])
+    return F.flatten(F.transform(words, lambda w: F.coalesce(F.get(short, F.length(w) - 1), let(F.length(w), spans))))
+
+
 def fx_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces with a word-start mark, offsets inside the word, and a prediction each."""
-    pieces = F.flatten(F.transform("tokens", lambda w, i: F.transform(_chunks(w), lambda c, k: F.struct(
-        F.concat(F.when((i > 0) & (k == 0), WORD_START).otherwise(""), c).alias("subword"),
-        (k * 4).alias("start"), (k * 4 + F.length(c)).alias("end")))))
-    edge = F.array(F.struct(F.lit("<s>").alias("subword"), F.lit(0).alias("start"), F.lit(0).alias("end")))
-    df = computed(fx_tagged(spark, sf_dir).select("doc_id", "tokens"), _pieces=F.concat(edge, pieces, edge))
+    edge = F.array(F.lit("<s>"))
+    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
+    df = computed(documents(spark, sf_dir, "text"), _words=split_words(F.col("text"))).drop("text")
+    df = computed(df, subwords=F.concat(edge, _pieces(F.col("_words")), edge))
     return df.select(
-        "doc_id", F.col("_pieces.subword").alias("subwords"),
-        F.transform("_pieces", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("offsets"),
-        F.transform("_pieces", lambda p, i: ((i + F.col("doc_id")) % 7).cast("int")).alias("preds"))
+        "doc_id", "subwords", F.concat(none, _piece_spans(F.col("_words")), none).alias("offsets"),
+        F.transform("subwords", lambda p, i: ((i + F.col("doc_id")) % 7).cast("int")).alias("preds"))
 
 
 def fx_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

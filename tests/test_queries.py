@@ -1,5 +1,7 @@
 """Every registered query against its SQL check, and the rules all plans keep."""
 
+import math
+
 import duckdb
 import pytest
 from conftest import DATA_DIR
@@ -77,6 +79,28 @@ def test_tee_writes_many_files_into_a_folder(spark, tmp_path, monkeypatch):
     assert len(files) == 64 and len({f.parent for f in files}) == 4
 
 
+def test_subword_view_of_odd_words(spark, tmp_path):
+    """Pieces come from one pass over a text: no tags are made for them, and a word's pieces cost time in proportion to its length."""
+    from loometric.queries import views
+
+    texts = [None, "", " \u2003\n", "a", "\u0120", "\u0120ab \u0120\u0120cdefg\x1c\x85x", "abcd abcde abcdefgh", "\U0001F600" * 9 + " \U0001F600b", "w" * 32 + " " + "v" * 33,
+             "ab " + "é" * 200_001 + "\u3000b"]
+    rows = [(5 - i, "en", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = views.fx_subwords(spark, str(tmp_path))
+    assert "RLIKE" not in df._jdf.queryExecution().executedPlan().toString()
+    found = {r["doc_id"]: tuple(r)[1:] for r in df.collect()}
+    assert found.pop(5) == (None, None, None) and len(found) == len(texts) - 1
+    for key, _, text in rows[1:]:
+        pieces = [("<s>", 0, 0)]
+        for i, word in enumerate(text.split()):
+            pieces += [("\u0120" * (i > 0 and s == 0) + word[s:s + 4], s, min(s + 4, len(word))) for s in range(0, len(word), 4)]
+        pieces.append(("<s>", 0, 0))
+        subwords, offsets, preds = found[key]
+        assert [(w, *o) for w, o in zip(subwords, offsets, strict=True)] == pieces
+        assert preds == [int(math.fmod(i + key, 7)) for i in range(len(pieces))]
+
+
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES)
 

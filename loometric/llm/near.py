@@ -43,10 +43,11 @@ BLOCK_SHINGLES = 1 << 19
 REMEMBERED = 100_000
 SALTS = 8
 
-# Least bits of a set's bitmap, and candidates of one key that are met by it at once; beyond that all of a
-# key's sets stay candidates of its first, which costs work and loses no link.
+# Least bits of a set's bitmap, and how many sets of one list, and MB of their bitmaps, are met by it at once; a
+# longer list is cut into blocks of that size, of which each two meet: bounds a task's memory, not the result.
 BITS = 512
-GROUP = 2048
+GROUP = 1 << 15
+GROUP_MB = 16
 # Sets of one key whose list is looked at as a whole: bounds a task's memory, not the result.
 HELD = 1 << 16
 
@@ -250,51 +251,82 @@ def _columns(rows: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 
 def alike_groups(sizes: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows that connect all rows which size and bitmap allow to be linked."""
-    found, left = [], np.arange(1, len(sizes))
-    todo = [0] if len(sizes) else []
-    while todo:
-        i = todo.pop()
-        if not len(left):
-            break
-        apart = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        low, high = np.minimum(sizes[left], sizes[i]), np.maximum(sizes[left], sizes[i])
-        near = (apart * (100 + percent) <= (100 - percent) * (low + high)) & (100 * low >= percent * high)
-        found += [(int(j), i) for j in left[near]]
-        todo += left[near].tolist()
-        left = left[~near]
-        if not todo and len(left):
-            todo.append(int(left[0]))
-            left = left[1:]
+    """Pairs of rows that connect all rows which size and bitmap allow to be linked.
+
+    Rows are looked at by size, so a row meets only those whose size allows a link.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, words = sizes[order].astype(np.int64), np.ascontiguousarray(bits[order].T)
+    short = words  # folded twice: unrelated sets of any size still differ in more of these bits than linked ones may
+    while len(short) > max(2, len(words) // 4):
+        short = short[:len(short) // 2] ^ short[len(short) // 2:]
+    # rows of no group yet, and some of those that found theirs of late
+    left, left_sizes, left_short = np.arange(len(order)), sizes, short
+    free, n_free = np.ones(len(order), dtype=bool), len(order)
+    found, todo, first = [], [], 0
+    while n_free:
+        if todo:
+            i = todo.pop()
+        else:
+            while not free[left[first]]:
+                first += 1
+            i = left[first]
+            free[i], n_free = False, n_free - 1
+        n = sizes[i]
+        begin, end = np.searchsorted(left_sizes, -(-percent * n // 100)), np.searchsorted(left_sizes, 100 * n // percent, side="right")
+        apart = np.bitwise_count(left_short[:, begin:end] ^ short[:, i, None]).sum(axis=0, dtype=np.int64)
+        rows = left[begin:end][apart * (100 + percent) <= (100 - percent) * (n + left_sizes[begin:end])]
+        rows = rows[free[rows]]
+        if len(rows):
+            apart = np.bitwise_count(words[:, rows] ^ words[:, i, None]).sum(axis=0, dtype=np.int64)
+            rows = rows[apart * (100 + percent) <= (100 - percent) * (n + sizes[rows])]
+        if len(rows):
+            found += [(int(order[j]), int(order[i])) for j in rows]
+            todo += rows.tolist()
+            free[rows], n_free = False, n_free - len(rows)
+        if 4 * n_free < 3 * len(left):
+            left = left[free[left]]
+            left_sizes, left_short, first = sizes[left], short[:, left], 0
     return found
 
 
-def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
+def dealt_lists(shared: DataFrame, sets: DataFrame, group: int = GROUP, group_mb: float = GROUP_MB) -> DataFrame:
+    """``shared``, in which the rows of a list that is too long for one task stand under a new name for each two blocks of the list.
+
+    A set's block is a hash of it. Each two sets of a list are in one of the new lists at least.
+    """
+    long = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group // 16).select("key")
+    widths = shared.join(long, "key").join(sets.select("d1", F.octet_length("bits").alias("width")), "d1")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / group, F.sum("width") / (group_mb * 1e6))).cast("int")
+    cut = stored(widths.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "long-lists")
+    own = F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int")
+    others = F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own"))
+    placed = shared.join(cut, "key", "left").withColumn("own", own).withColumn(
+        "other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(others)))
+    name = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return placed.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(name).alias("key"), "d1")
+
+
+def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT, group: int = GROUP, group_mb: float = GROUP_MB) -> DataFrame:
     """(a, b): names of sets that are in one list of ``shared`` and may be linked; connected sets may have fewer pairs.
 
-    ``sets`` has d1, d2, n and bits of each set.
+    ``sets`` has d1, d2, n and bits of each set. Sets that only share a list, however long, are no candidates.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        lead, out = None, []
+        out = []
 
         def flush() -> None:
             if len(held) > 1:
                 sizes = np.array([r[3] for r in held])
                 out.extend((held[i], held[j]) for i, j in alike_groups(sizes, same_bits([r[4] for r in held]), percent))
-            if lead is not None and held:  # part of a key of very many sets: all stay candidates of its first
-                out.extend((r, lead) for r in held if r is not lead)
             held.clear()
 
         for batch in batches:
             for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if held and held[-1][0] != row[0] or not held and lead is not None and lead[0] != row[0]:
+                if held and held[-1][0] != row[0]:
                     flush()
-                    lead = None
                 held.append(row)
-                if len(held) >= group:
-                    lead = lead or held[0]
-                    flush()
             if out:
                 pairs = np.array([(*a[1:3], *b[1:3]) for a, b in out], dtype=np.int64)
                 out.clear()
@@ -304,7 +336,7 @@ def candidate_links(shared: DataFrame, sets: DataFrame, percent: int = PERCENT,
             yield _columns(np.array([(*a[1:3], *b[1:3]) for a, b in out], dtype=np.int64), ["a1", "a2", "b1", "b2"])
         returned_memory()
 
-    rows = shared.join(sets, "d1").select("key", "d1", "d2", "n", "bits")
+    rows = dealt_lists(shared, sets, group, group_mb).join(sets, "d1").select("key", "d1", "d2", "n", "bits")
     ordered = rows.repartition("key").sortWithinPartitions("key", "n", "d1", "d2")
     pairs = ordered.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
     return pairs.select(_name("a1", "a2").alias("a"), _name("b1", "b2").alias("b"))

@@ -255,6 +255,52 @@ def test_long_unrelated_texts_are_no_candidates(spark):
     assert links.count() <= 3
 
 
+def test_long_lists_make_no_candidates_by_themselves(spark, tmp_path):
+    """Sets that share a key and nothing else, and a few that are linked, in lists cut into blocks by number or by size of the bitmaps."""
+    rng = np.random.default_rng(8)
+    sets, linked = [], set()
+    for k in range(60):
+        shingles = np.unique(rng.integers(0, 1 << 62, 80 + k % 5, dtype=np.uint64))
+        if k % 15 == 7:  # a near copy of the set before, which a hash may put into another block
+            shingles = np.unique(np.concatenate((sets[-1][3:], shingles[:2])))
+            linked.add(frozenset((k - 1, k)))
+        sets.append(shingles)
+    rows = [(k, -k, len(s), bytearray(near.bitmap(s))) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "d1 bigint, d2 bigint, n bigint, bits binary")
+    # one list of all sets, a short one, and one with a set that another has too
+    shared = spark.createDataFrame([(1, k) for k in range(60)] + [(2, 3), (2, 4)] + [(3, k) for k in range(40)], "key bigint, d1 bigint")
+    number = {row[0]: k for k, row in enumerate(table.select(near._name("d1", "d2")).collect())}
+    for group, mb in ((4, near.GROUP_MB), (near.GROUP, 1.0), (16, 64 * 5 / 1e6), (near.GROUP, near.GROUP_MB)):
+        found = {frozenset((number[r["a"]], number[r["b"]])) for r in near.candidate_links(shared, table, 80, group, mb).collect()}
+        assert found == linked, (group, mb)
+        lists = {}
+        for r in near.dealt_lists(shared, table, group, mb).collect():
+            lists.setdefault(r["key"], set()).add(r["d1"])
+        met = {frozenset((a, b)) for x in lists.values() for a in x for b in x if a != b}
+        assert len(met) == 60 * 59 // 2
+        assert group < 17 or len(lists) == 3
+
+
+def test_groups_by_folded_bitmaps_are_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    for n, copies in ((60, 30), (300, 12), (4000, 5)):
+        bases = [np.unique(rng.integers(0, 1 << 62, n + int(extra), dtype=np.uint64)) for extra in rng.integers(0, n // 2, 9)]
+        sets = [np.unique(np.concatenate((base[int(cut):], rng.integers(0, 1 << 62, int(cut) // 2, dtype=np.uint64))))
+                for base in bases for cut in rng.integers(0, n // 4, copies)]
+        sets = [sets[i] for i in rng.permutation(len(sets))]
+        sizes, bits = np.array([len(s) for s in sets]), near.same_bits([near.bitmap(s, near.bits_for(len(s))) for s in sets])
+
+        def groups(pairs):
+            root = list(range(len(sets)))
+            for i, j in pairs:
+                root = [root[j] if r == root[i] else r for r in root]
+            return {frozenset(k for k in range(len(sets)) if root[k] == r) for r in root}
+
+        apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+        near_ones = (apart * 180 <= 20 * (sizes[:, None] + sizes)) & (100 * np.minimum(sizes[:, None], sizes) >= 80 * np.maximum(sizes[:, None], sizes))
+        assert groups(near.alike_groups(sizes, bits, 80)) == groups(np.argwhere(np.triu(near_ones, 1)).tolist())
+
+
 def test_keys_of_the_same_sets_count_once(spark):
     """A pair of near copies shares over a hundred keys, ten copies of another text as many: their lists come once."""
     pair = [f"a{k}" for k in range(400)]

@@ -189,10 +189,18 @@ def pattern_scores(graph: DataFrame) -> DataFrame:
     return totals.where("s > 0").select("pattern", F.col("s").alias("sure"), score.alias("score"))
 
 
+def _meeting(graph: DataFrame, scored: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``graph`` with the one row of each key in ``scored``.
+
+    Both sides are shuffled at every size, without copies of ``scored``: it grows with the corpus, so the driver never collects it
+    for a broadcast. The side of a key of very many rows is the graph's, which adaptive execution splits.
+    """
+    return graph.join(scored.hint("merge"), key, how)
+
+
 def instance_scores(graph: DataFrame, scores: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(instance, believed): an instance is not one only if all its patterns are wrong about it."""
-    salted = scores.select("pattern", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = graph.withColumn("salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
+    rows = _meeting(graph, scores.select("pattern", "score"), "pattern")
     return rows.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-damping * F.col("score"))))).alias("believed"))
 
 
@@ -208,12 +216,11 @@ def bootstrap(docs: DataFrame, text_column: str = "text", seeds: Column | None =
         graph = graph.withColumn("known", F.col("known") | seeds)
     scores = stored(pattern_scores(graph.withColumn("sureness", F.col("known").cast("double"))), "pii-patterns")
     for _ in range(rounds - 1):
-        believed = instance_scores(graph.where("NOT known"), scores)
-        # an instance may stand in very many contexts: its one row is salted
-        spread = believed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = graph.withColumn("salt", F.pmod(F.xxhash64("pattern"), F.lit(SALTS)).cast("int")).join(spread, ["instance", "salt"], "left")
+        # written, so that the join below shuffles both of its sides itself and can split an instance of very many contexts
+        believed = stored(instance_scores(graph.where("NOT known"), scores), "pii-instances")
         sureness = F.when(F.col("known"), 1.0).otherwise(F.coalesce("believed", F.lit(0.0)))
-        scores = stored(pattern_scores(rows.select("pattern", "instance", sureness.alias("sureness"))), "pii-patterns")
+        rows = _meeting(graph, believed, "instance", "left").select("pattern", "instance", sureness.alias("sureness"))
+        scores = stored(pattern_scores(rows), "pii-patterns")
     return scores.where((F.col("sure") >= LEAST_INSTANCES) & (F.col("score") >= TRUST)).select("pattern", "score")
 
 

@@ -151,6 +151,23 @@ def test_two_rounds_of_scores_by_hand(spark):
     assert {r["pattern"]: r["score"] for r in pii.pattern_scores(again).collect()} == pytest.approx(second)
 
 
+def test_rounds_of_scores_send_nothing_to_the_driver(spark, monkeypatch):
+    """No broadcast and no copies of what the rounds join, whatever its size; a pattern and an instance of very many rows count whole."""
+    plans, stored = [], pii.stored
+
+    def noted(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, purpose)
+
+    monkeypatch.setattr(pii, "stored", noted)
+    many = [(f"key word{chr(97 + k % 26)}{chr(97 + k // 26)} MX-440{k % 2} end",) for k in range(300)] + [(f"mail now a{k}@site.org",) for k in range(20)]
+    df = spark.createDataFrame(many + [(f"mail now ZQ-{k + 5000}",) for k in range(8)], "text string").repartition(3)
+    found = {r["pattern"]: r["score"] for r in pii.bootstrap(df).collect()}
+    assert set(found) == {"mail now *"}
+    assert len(plans) == 6 and not any(x in plan for plan in plans for x in ("Broadcast", "Generate"))
+    assert sum("SortMergeJoin" in plan for plan in plans) == 4
+
+
 def test_redaction_does_not_depend_on_blocks(spark):
     """Contexts of identifiers beside redacted spans, each in a block of its own."""
     ends = ("org", "com", "net", "edu", "info", "museum")
